@@ -1,0 +1,304 @@
+"""Queries over graphs, overlaps, the code index and text, each with its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import text as T
+from tidemark.operators import graph, index, overlap, search, selection
+from tidemark.sources import fixtures as fx
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+R0 = f"WITH RECURSIVE {fx.REFS_SQL}".replace("WITH RECURSIVE", "WITH")
+
+
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    refs = fx.references(spark, d)
+    symbols = refs.select(F.col("source_path").alias("file_path"), F.col("source_symbol").alias("name")).distinct()
+    return refs, symbols, refs.select("source_path", "target_path").distinct()
+
+
+_INBOUND = """inb AS (SELECT p.path, coalesce(i.i,0) + coalesce(r.r,0) AS n_inbound FROM (SELECT DISTINCT source_path AS path FROM fx_refs) p
+LEFT JOIN (SELECT target_path AS path, count(*) AS i FROM fx_imports GROUP BY 1) i USING (path)
+LEFT JOIN (SELECT target_path AS path, count(DISTINCT source_path) AS r FROM fx_refs GROUP BY 1) r USING (path))"""
+
+
+@query(f"{R0}, {_INBOUND} SELECT * FROM inb")
+def inbound_edges(spark: SparkSession, d: str) -> DataFrame:
+    refs, symbols, imports = _graph(spark, d)
+    return graph.inbound_edges(symbols.select(F.col("file_path").alias("path")), imports, refs)
+
+
+@query(f"{R0}, {_INBOUND} SELECT path, path % 7 AS pr, n_inbound, CAST(row_number() OVER (PARTITION BY path % 7 ORDER BY n_inbound DESC, path) AS INT) AS rank FROM inb")
+def ranked_paths(spark: SparkSession, d: str) -> DataFrame:
+    changed = _graph(spark, d)[1].select(F.col("file_path").alias("path"), (F.col("file_path") % 7).alias("pr"), F.col("file_path").alias("ord")).distinct()
+    return graph.rank_by_inbound(changed, inbound_edges(spark, d), "pr").select("path", "pr", "n_inbound", "rank")
+
+
+@query(
+    f"""{R0}, seeds AS (SELECT DISTINCT file_path % 25 AS seed_id, file_path AS path FROM fx_symbols WHERE file_path % 50 IN (3, 28)),
+h1 AS (SELECT DISTINCT s.seed_id, r.source_path AS path, r.source_symbol AS symbol FROM seeds s JOIN fx_symbols y ON y.file_path = s.path
+  JOIN fx_refs r ON r.target_path = s.path AND r.target_symbol = y.name WHERE NOT EXISTS (SELECT 1 FROM seeds v WHERE v.seed_id = s.seed_id AND v.path = r.source_path)),
+h2 AS (SELECT DISTINCT h.seed_id, r.source_path AS path, r.source_symbol AS symbol FROM h1 h JOIN fx_refs r ON r.target_path = h.path AND r.target_symbol = h.symbol
+  WHERE NOT EXISTS (SELECT 1 FROM seeds v WHERE v.seed_id = h.seed_id AND v.path = r.source_path) AND NOT EXISTS (SELECT 1 FROM h1 v WHERE v.seed_id = h.seed_id AND v.path = r.source_path))
+SELECT seed_id, path, CAST(1 AS INT) AS depth, string_agg(symbol, ',' ORDER BY symbol) AS symbols FROM h1 GROUP BY ALL
+UNION ALL SELECT seed_id, path, CAST(2 AS INT), string_agg(symbol, ',' ORDER BY symbol) FROM h2 GROUP BY ALL"""
+)
+def blast_radius(spark: SparkSession, d: str) -> DataFrame:
+    refs, symbols, _ = _graph(spark, d)
+    seeds = symbols.where((F.col("file_path") % 50).isin(3, 28)).select((F.col("file_path") % 25).alias("seed_id"), F.col("file_path").alias("path"))
+    return graph.blast_radius(seeds, symbols, refs).withColumn("symbols", F.array_join("symbols", ","))
+
+
+@query(f"{R0} SELECT DISTINCT target_path AS path FROM fx_imports WHERE source_path % 10 = 1 AND target_path NOT IN (SELECT file_path FROM fx_symbols WHERE file_path % 10 = 1)")
+def one_hop_related(spark: SparkSession, d: str) -> DataFrame:
+    _, symbols, imports = _graph(spark, d)
+    return graph.one_hop(symbols.where("file_path % 10 = 1").select(F.col("file_path").alias("path")), imports)
+
+
+@query(
+    f"""{R0}, i AS (SELECT * FROM fx_imports WHERE target_path IN (SELECT file_path FROM fx_symbols WHERE file_path % 10 = 1) AND source_path NOT IN (SELECT file_path FROM fx_symbols WHERE file_path % 10 = 1))
+SELECT target_path, source_path, CAST(row_number() OVER (PARTITION BY target_path ORDER BY source_path) AS INT) AS rank FROM i QUALIFY rank <= 20"""
+)
+def reverse_importers(spark: SparkSession, d: str) -> DataFrame:
+    _, symbols, imports = _graph(spark, d)
+    return graph.importers(symbols.where("file_path % 10 = 1").select(F.col("file_path").alias("path")), imports)
+
+
+@query(
+    f"""{R0}, e AS (SELECT DISTINCT source_path % 5 AS graph_id, 'p'||(source_path % 40) AS src, 'p'||(target_path % 40) AS dst FROM fx_imports),
+n AS (SELECT DISTINCT graph_id, src AS node FROM e UNION SELECT graph_id, dst FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY node) AS rank FROM n),
+m AS (SELECT graph_id, greatest(count(*) - 24, 0) AS n_more FROM r GROUP BY 1)
+SELECT e.graph_id, e.src, e.dst, m.n_more FROM e JOIN m USING (graph_id) JOIN r a ON a.graph_id = e.graph_id AND a.node = e.src AND a.rank <= 24 JOIN r b ON b.graph_id = e.graph_id AND b.node = e.dst AND b.rank <= 24"""
+)
+def capped_graph(spark: SparkSession, d: str) -> DataFrame:
+    imports = _graph(spark, d)[2]
+    label = lambda c: F.concat(F.lit("p"), (F.col(c) % 40).cast("string"))
+    e = imports.select((F.col("source_path") % 5).alias("graph_id"), label("source_path").alias("src"), label("target_path").alias("dst")).distinct()
+    return graph.capped_graph(e).select("graph_id", "src", "dst", "n_more")
+
+
+# --- overlaps ------------------------------------------------------------------------------------
+
+_PAIRS = f"""WITH {fx.PRS_SQL}, w AS (SELECT repo, number, list_distinct(list_filter(string_split(lower(title), ' '), lambda x: x <> '')) AS w FROM fx_prs),
+titles AS (SELECT a.repo, a.number AS a, b.number AS b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS sim
+  FROM w a JOIN w b ON a.repo = b.repo AND a.number < b.number AND len(a.w) > 0 AND len(b.w) > 0),
+p AS (SELECT repo, number, unnest(paths) AS path FROM fx_prs),
+shared AS (SELECT x.repo, x.number AS a, y.number AS b, count(DISTINCT x.path) AS n FROM p x JOIN p y ON x.repo = y.repo AND x.path = y.path AND x.number < y.number GROUP BY ALL),
+pairs AS (SELECT repo, a, b, coalesce(t.sim, 0) AS title_similarity, coalesce(s.n, 0) AS n_shared FROM titles t FULL JOIN shared s USING (repo, a, b) WHERE t.sim >= 0.4 OR s.n > 0)"""
+
+
+@query(f"{_PAIRS} SELECT repo, a, b, round(title_similarity, 6) AS title_similarity, CAST(n_shared AS INT) AS n_shared FROM pairs")
+def overlap_candidates(spark: SparkSession, d: str) -> DataFrame:
+    o = overlap.overlap_candidates(fx.pull_requests(spark, d))
+    return o.select("repo", "a", "b", F.round("title_similarity", 6).alias("title_similarity"), F.size("shared_paths").alias("n_shared"))
+
+
+@query(
+    f"""{_PAIRS}, v AS (SELECT repo, a, b, ['none','duplicate_effort','merge_conflict','both'][(a+b)%4+1] AS kind, ((a*7+b)%101)/100.0::DOUBLE AS confidence FROM pairs)
+SELECT repo, a, b, kind, confidence, CAST(row_number() OVER (PARTITION BY repo, a ORDER BY CASE kind WHEN 'both' THEN 3 WHEN 'merge_conflict' THEN 2 ELSE 1 END DESC, confidence DESC, b) AS INT) AS rank
+FROM v WHERE kind <> 'none' AND confidence >= 0.6 QUALIFY rank <= 20"""
+)
+def overlap_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """JON-15, TOP-2: verdicts come as JSON text, one reply a pair."""
+    o = overlap.overlap_candidates(fx.pull_requests(spark, d)).select("repo", "a", "b")
+    kinds = F.array(*[F.lit(k) for k in ("none", "duplicate_effort", "merge_conflict", "both")])
+    one = F.struct(F.col("b").alias("pr_number"), F.element_at(kinds, ((F.col("a") + F.col("b")) % 4 + 1).cast("int")).alias("kind"), (((F.col("a") * 7 + F.col("b")) % 101) / 100.0).alias("confidence"))
+    reply = F.concat(F.lit("<think>hm</think>```json\n"), F.to_json(F.struct(F.array(one).alias("overlaps"))), F.lit("\n```"))
+    v = overlap.parsed_verdicts(o.withColumn("reply", reply)).where("pr_number = b")
+    return overlap.ranked_overlaps(overlap.kept_verdicts(v)).select("repo", "a", "b", "kind", "confidence", "rank")
+
+
+# --- index ---------------------------------------------------------------------------------------
+
+X0 = f"WITH {fx.FILES_SQL}"
+_STORED = "stored AS (SELECT repo, path, CASE WHEN doc_id%7=0 THEN 'old' ELSE sha256(content) END AS content_hash, doc_id AS ord FROM fx_files WHERE doc_id%5<>0)"
+
+
+def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    f = index.content_hash(fx.files(spark, d)).withColumn("ord", F.col("doc_id"))
+    s = f.where("doc_id % 5 <> 0").withColumn("content_hash", F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("content_hash")))
+    return f, s.select("repo", "path", "content_hash", "ord")
+
+
+@query(f"{X0} SELECT path, sha256(content) AS content_hash, strlen(content)//4 AS tokens_down, (strlen(content)+3)//4 AS tokens_up FROM fx_files")
+def content_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """FUN-5, FUN-6."""
+    f = _index(spark, d)[0]
+    return f.select("path", "content_hash", T.tokens_down(F.col("content")).alias("tokens_down"), T.tokens_up(F.col("content")).alias("tokens_up"))
+
+
+@query(f"{X0}, {_STORED} SELECT f.path FROM fx_files f ANTI JOIN stored s ON s.repo = f.repo AND s.path = f.path AND s.content_hash = sha256(f.content)")
+def stale_files(spark: SparkSession, d: str) -> DataFrame:
+    f, s = _index(spark, d)
+    return index.needs_work(f, s).select("path")
+
+
+@query(f"{X0}, {_STORED} SELECT f.path FROM fx_files f ANTI JOIN stored s ON s.repo = f.repo AND s.path = f.path")
+def missing_files(spark: SparkSession, d: str) -> DataFrame:
+    f, s = _index(spark, d)
+    return index.missing_rows(f.select("repo", "path"), s)
+
+
+SQL["missing_files"] = f"{X0}, {_STORED} SELECT f.repo, f.path FROM fx_files f ANTI JOIN stored s ON s.repo = f.repo AND s.path = f.path"
+
+
+@query(f"{X0}, {_STORED} SELECT s.path, s.content_hash FROM stored s WHERE ord % 3 <> 0")
+def pruned_index(spark: SparkSession, d: str) -> DataFrame:
+    f, s = _index(spark, d)
+    return index.prune({"files": s}, f.where("doc_id % 3 <> 0"))["files"].select("path", "content_hash")
+
+
+@query(f"{X0}, {_STORED} SELECT f.path, CASE WHEN doc_id%2=0 THEN sha256(content) ELSE (SELECT content_hash FROM stored s WHERE s.path = f.path) END AS content_hash FROM fx_files f WHERE doc_id%2=0 OR doc_id%5<>0")
+def upserted_index(spark: SparkSession, d: str) -> DataFrame:
+    f, s = _index(spark, d)
+    return index.upsert(s, f.where("doc_id % 2 = 0").select(*s.columns)).select("path", "content_hash")
+
+
+@query(f"{X0} SELECT path, CASE WHEN strlen(content) < 600 THEN 'trivial' WHEN strlen(content) >= 5000 THEN 'large' ELSE 'normal' END AS size_class FROM fx_files")
+def size_classes(spark: SparkSession, d: str) -> DataFrame:
+    return fx.files(spark, d).select("path", selection.size_class(F.col("content")).alias("size_class"))
+
+
+@query(f"{X0} SELECT path, CAST(CASE WHEN content = '' THEN 0 ELSE length(content) - length(replace(content, chr(10), '')) + CASE WHEN content LIKE '%'||chr(10) THEN 0 ELSE 1 END END AS INT) AS loc FROM fx_files")
+def lines_of_code(spark: SparkSession, d: str) -> DataFrame:
+    return fx.files(spark, d).select("path", T.lines_of_code(F.col("content")).cast("int").alias("loc"))
+
+
+@query(
+    f"""{X0}, f AS (SELECT repo, path, summary, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM fx_files), r AS (SELECT *, row_number() OVER (PARTITION BY repo, dir ORDER BY path) AS nth FROM f)
+SELECT repo, dir, count(*) AS n_files, string_agg('- '||regexp_extract(path, '([^/]*)$', 1)||': '||summary, chr(10) ORDER BY nth) FILTER (nth <= 30 AND summary <> '') AS lines FROM r GROUP BY ALL HAVING lines IS NOT NULL"""
+)
+def directory_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return index.directory_rollup(fx.files(spark, d)).withColumn("lines", F.array_join("lines", "\n"))
+
+
+@query(
+    f"""{X0}, f AS (SELECT repo, path, strlen(content) >= 5000 AS is_large FROM fx_files)
+SELECT repo, path, is_large, CASE WHEN is_large THEN n ELSE n // 3 END AS batch FROM (SELECT *, row_number() OVER (PARTITION BY repo, is_large ORDER BY path) - 1 AS n FROM f)"""
+)
+def index_batches(spark: SparkSession, d: str) -> DataFrame:
+    return index.batches(fx.files(spark, d))
+
+
+# --- search and text -----------------------------------------------------------------------------
+
+_LINES = f"{X0}, l AS (SELECT repo, path, unnest(range(1, len(x) + 1)) AS line_no, unnest(x) AS line FROM (SELECT repo, path, string_split(regexp_replace(content, '\\n$', ''), chr(10)) AS x FROM fx_files WHERE content <> ''))"
+
+
+@query(f"{_LINES} SELECT repo, path, CAST(line_no AS INT) AS line_no, line FROM l WHERE contains(lower(line), 'token') QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY line_no) <= 100")
+def code_search_text(spark: SparkSession, d: str) -> DataFrame:
+    return search.code_search(fx.files(spark, d), "Token")
+
+
+@query(f"{_LINES} SELECT repo, path, CAST(line_no AS INT) AS line_no, line FROM l WHERE path LIKE '%/en/%' AND regexp_matches(line, '(?i)tok\\w+\\s*=') QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY line_no) <= 100")
+def code_search_regex(spark: SparkSession, d: str) -> DataFrame:
+    return search.code_search(fx.files(spark, d), r"tok\w+\s*=", regex=True, globs=["*/en/*"])
+
+
+@query(f"{_LINES} SELECT repo, path, CAST(line_no AS INT) AS line_no, 'hardcoded-secret' AS rule_id FROM l WHERE regexp_matches(line, '(?i)(api[_-]?key|secret|password|token)\\s*[:=]\\s*[\"''][A-Za-z0-9_\\-]{{20,}}[\"'']')")
+def secret_lines(spark: SparkSession, d: str) -> DataFrame:
+    return search.secret_lines(fx.files(spark, d))
+
+
+@query(
+    f"""{X0}, q AS (SELECT DISTINCT 'l'||lang AS query_id, lang||'/' AS query FROM fx_files UNION ALL SELECT DISTINCT 's'||(doc_id%7), 'D'||(doc_id%7)||'1' FROM fx_files),
+h AS (SELECT q.query_id, f.repo, f.path, contains(lower(regexp_extract(f.path, '([^/]*)$', 1)), lower(q.query)) AS b FROM fx_files f JOIN q ON contains(lower(f.path), lower(q.query))),
+k AS (SELECT *, bool_or(b) OVER (PARTITION BY query_id) AS any_b FROM h)
+SELECT query_id, repo, path, CAST(row_number() OVER (PARTITION BY query_id ORDER BY path) AS INT) AS rank FROM k WHERE b OR NOT any_b QUALIFY rank <= 100"""
+)
+def file_find(spark: SparkSession, d: str) -> DataFrame:
+    f = fx.files(spark, d)
+    by_lang = f.select(F.concat(F.lit("l"), "lang").alias("query_id"), F.concat("lang", F.lit("/")).alias("query"))
+    seven = (F.col("doc_id") % 7).cast("string")
+    by_no = f.select(F.concat(F.lit("s"), seven).alias("query_id"), F.concat(F.lit("D"), seven, F.lit("1")).alias("query"))
+    return search.file_find(f, by_lang.union(by_no).distinct())
+
+
+@query(
+    f"""{X0}, f AS (SELECT repo, path, string_split(content, chr(10)) AS x FROM fx_files)
+SELECT repo, path, array_to_string(x[3:12], chr(10)) AS "window", CAST(len(x) AS INT) AS n_lines, least(14, len(x)) - 3 + 1 > 10 AS truncated FROM f"""
+)
+def line_windows(spark: SparkSession, d: str) -> DataFrame:
+    return search.line_window(fx.files(spark, d), 3, 14, cap=10)
+
+
+@query(f"{X0} SELECT path, sum(strlen(content)) OVER (PARTITION BY repo ORDER BY doc_id) AS used FROM fx_files QUALIFY used <= 30000")
+def priority_prefix(spark: SparkSession, d: str) -> DataFrame:
+    f = fx.files(spark, d).select("repo", "path", F.octet_length("content").cast("long").alias("n_bytes"), F.col("doc_id").alias("ord"))
+    return search.priority_prefix(f, 30_000, "repo").select("path", "used")
+
+
+SQL["priority_prefix"] = f"{X0} SELECT path, CAST(sum(strlen(content)) OVER (PARTITION BY repo ORDER BY doc_id) AS BIGINT) AS used FROM fx_files QUALIFY used <= 30000"
+
+
+@query(f"{X0} SELECT path, regexp_matches(upper(left(content, 1000)), 'DO NOT EDIT|GENERATED BY|@GENERATED') AS is_generated FROM fx_files")
+def generated_files(spark: SparkSession, d: str) -> DataFrame:
+    return fx.files(spark, d).select("path", selection.is_generated(F.col("content")).alias("is_generated"))
+
+
+@query(r"SELECT page_id, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^:]+://(?:[^/@]*@)?([^/@]+)', 1)) || '/' || regexp_replace(regexp_extract(u, '^[^:]+://[^/]+/?(.*)$', 1), '/$', ''), '\.git$', ''), '/$', '') AS remote FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u FROM pages)")
+def canonical_remotes(spark: SparkSession, d: str) -> DataFrame:
+    return fx.table(spark, d, "pages").select("page_id", T.canonical_remote(F.col("url")).alias("remote"))
+
+
+@query()
+def redacted_files(spark: SparkSession, d: str) -> DataFrame:
+    """FUN-2 over whole files: RE2 has no look-ahead, so the tests compare with cases."""
+    return fx.files(spark, d).select("path", T.redact_secrets(F.col("content")).alias("content"))
+
+
+@query(
+    """SELECT event_id, CAST(user_id + CAST(json_extract_string(props,'$.k') AS INT) AS BIGINT) AS total, user_id AS prompt, CAST(json_extract_string(props,'$.k') AS BIGINT) AS completion FROM events
+WHERE user_id <> 0 OR CAST(json_extract_string(props,'$.k') AS INT) <> 0 OR event_id % 2 = 0"""
+)
+def usage_records(spark: SparkSession, d: str) -> DataFrame:
+    """FUN-8 on provider replies of two shapes."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    a = F.to_json(F.struct(F.struct((F.col("user_id") + k).alias("total_tokens"), F.col("user_id").alias("prompt_tokens"), k.alias("completion_tokens")).alias("usage")))
+    b = F.to_json(F.struct(F.struct(F.col("user_id").alias("input_tokens"), k.alias("output_tokens")).alias("usage")))
+    e = fx.table(spark, d, "events").select("event_id", T.usage_tokens(F.when(F.col("event_id") % 2 == 0, a).otherwise(b)).alias("u"))
+    return e.where("u is not null").select("event_id", "u.total", "u.prompt", "u.completion")
+
+
+_ZONES = """WITH t AS (SELECT conv_id, turn, role, (strlen(text)+3)//4 AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations),
+r AS (SELECT *, pos > 2 AND role = 'assistant' AS in_round FROM t),
+s AS (SELECT *, sum(CASE WHEN in_round THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos DESC) AS suffix FROM r),
+z AS (SELECT *, min(pos) FILTER (in_round AND suffix <= 480) OVER (PARTITION BY conv_id) AS head, coalesce(bool_and(suffix <= 480) FILTER (in_round) OVER (PARTITION BY conv_id), true) AS fits FROM s)
+SELECT conv_id, turn, role, tokens, CASE WHEN pos <= 2 THEN 'frozen' WHEN pos >= head THEN 'active' ELSE 'compress' END AS zone, fits FROM z"""
+
+
+@query(_ZONES)
+def conversation_zones(spark: SparkSession, d: str) -> DataFrame:
+    return search.conversation_zones(fx.table(spark, d, "conversations"), max_tokens=600)
+
+
+_BUCKET = "CASE WHEN effort_score > 0 THEN CASE WHEN effort_score <= 3 THEN 0 WHEN effort_score <= 6 THEN 1 ELSE 2 END WHEN total_cost_usd < 0.2 THEN 0 WHEN total_cost_usd < 1 THEN 1 ELSE 2 END"
+
+
+@query(
+    f"""WITH {fx.RUNS_SQL} SELECT repo, count(*) AS n_runs, round(sum(total_cost_usd), 6) AS total_cost_usd, CAST(sum(new_findings + carried_findings) AS BIGINT) AS n_findings,
+CAST(sum(new_findings) AS BIGINT) AS n_new, CAST(sum(duration_ms) // count(*) AS BIGINT) AS avg_duration_ms, count(*) FILTER ({_BUCKET} = 0) AS n_green,
+count(*) FILTER ({_BUCKET} = 1) AS n_yellow, count(*) FILTER ({_BUCKET} = 2) AS n_red FROM fx_runs GROUP BY repo"""
+)
+def run_totals(spark: SparkSession, d: str) -> DataFrame:
+    return search.run_totals(fx.runs(spark, d), "repo")
+
+
+@query(f"WITH {fx.RUNS_SQL} SELECT repo, ord, CAST(row_number() OVER (PARTITION BY repo ORDER BY ts DESC, ord DESC) AS INT) AS rank FROM fx_runs QUALIFY rank <= 20")
+def last_runs(spark: SparkSession, d: str) -> DataFrame:
+    return search.last_runs(fx.runs(spark, d), 20, "repo").select("repo", "ord", "rank")
