@@ -86,21 +86,40 @@ def solve_cutting_stock(demand: np.ndarray, capacity: int, rounds: int = 2000) -
     return out
 
 
-def integral_patterns(demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Whole patterns that use exactly ``demand``: rounded down, the rest by first-fit decreasing."""
+def fullest(left: np.ndarray, capacity: int) -> np.ndarray:
+    """The longest demanded length with the subset of the others that fills the room best."""
+    first = int(np.flatnonzero(left)[-1]) + 1
+    room, reach, trail = capacity - first, 1, []
+    mask = (1 << (room + 1)) - 1
+    for length in (np.flatnonzero(left[:room]) + 1).tolist()[::-1]:
+        for _ in range(min(int(left[length - 1]) - (length == first), room // length)):
+            trail.append((length, reach))
+            reach |= (reach << length) & mask
+    pattern, at = np.zeros(capacity, np.int64), reach.bit_length() - 1
+    pattern[first - 1] = 1
+    for length, before in reversed(trail):  # a sum that wasn't reached before took this piece
+        if not before >> at & 1:
+            pattern[length - 1] += 1
+            at -= length
+    return pattern
+
+
+def integral_patterns(demand: np.ndarray, capacity: int, waste: float = 0.01) -> list[tuple[np.ndarray, int]]:
+    """Whole patterns that use exactly ``demand``.
+
+    The linear program's patterns that waste at most ``waste`` are taken, rounded down; what is
+    left, a few per length, goes to :func:`fullest` patterns, each repeated as often as it fits.
+    """
     left, out = demand.astype(np.int64).copy(), []
+    sizes = np.arange(1, capacity + 1)
     for pattern, x in sorted(solve_cutting_stock(demand, capacity), key=lambda t: -t[1]):
         used = pattern > 0
         n = min(int(np.floor(x + 1e-6)), int((left[used] // pattern[used]).min()))
-        if n > 0:
+        if n > 0 and pattern @ sizes >= (1 - waste) * capacity:
             out.append((pattern, n))
             left -= pattern * n
-    while left.any():  # a few per length: each pattern is filled greedily and repeated as it fits
-        pattern, room = np.zeros(capacity, np.int64), capacity
-        for length in np.flatnonzero(left)[::-1] + 1:
-            k = min(int(left[length - 1]), room // int(length))
-            pattern[length - 1] = k
-            room -= k * int(length)
+    while left.any():
+        pattern = fullest(left, capacity)
         used = pattern > 0
         n = int((left[used] // pattern[used]).min())
         out.append((pattern, n))
