@@ -251,6 +251,7 @@ def test_quality_prefers_the_target(spark):
     got = [r.doc_id for r in quality.resample(d, lab).collect()]
     assert sum(x < 200 for x in got) >= 195 and sum(200 <= x < 250 for x in got) <= 5
     assert sorted(got) == sorted(r.doc_id for r in quality.resample(d.repartition(3), lab).collect())
+    assert sorted(got) == sorted(r.doc_id for r in quality.resample(d, lab, broadcast_ids=0).collect())
     assert quality.resample(d.limit(0), lab).count() == 0
 
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import kth_largest, materialize, with_text
 
 BUCKETS = 16_384
-#: Target documents that the target model reads at most, by hash order of doc_id.
-TARGET_ROWS = 20_000
+#: Target doc_ids that may be broadcast (8 bytes each); more are joined by shuffling.
+BROADCAST_IDS = 1_000_000
 
 
 class HashedNgrams:
@@ -60,18 +60,19 @@ def gumbel(doc_id, text, seed: int) -> F.Column:
     return -F.log(-F.log(u))
 
 
-def importance_scores(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS, seed: int = 3) -> DataFrame:
+def importance_scores(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, broadcast_ids: int = BROADCAST_IDS, seed: int = 3) -> DataFrame:
     """doc_id, log_weight, gumbel_key of every document.
 
     log_weight sums log p_target / p_raw over the text's hashed words and word pairs. The target
-    model is fitted on at most ``target_rows`` documents labelled quality 1, the raw model on all
-    documents; both add one count a bucket. Null and empty texts weigh 0. Without target
-    documents all weights are 0.
+    model counts every document labelled quality 1, the raw model all documents; both add one
+    count a bucket. Null and empty texts weigh 0. Without target documents all weights are 0.
+    The target ids are broadcast up to ``broadcast_ids``; beyond, the texts meet them in a
+    shuffle on doc_id.
     """
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    good = materialize(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows), "op3-target")
+    good = materialize(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct(), "op3-target")
+    good = F.broadcast(good) if good.count() <= broadcast_ids else good.hint("merge")
     rows = with_text(docs)
-    target = bucket_counts(rows.join(F.broadcast(good), "doc_id", "left_semi"), buckets) + 1.0
+    target = bucket_counts(rows.join(good, "doc_id", "left_semi"), buckets) + 1.0
     raw = bucket_counts(rows, buckets) + 1.0
     ratio = np.log(target / target.sum()) - np.log(raw / raw.sum()) if target.sum() > buckets else np.zeros(buckets)
 
