@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, shuffle_width, with_text
+from tidemark.llm.common import materialize, shuffle_width, small_batches, with_text
 from tidemark.llm.tokens import WordEncoder
 
 SIZE, END = 2048, 1
@@ -171,7 +171,8 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END, grain:
     come from part counts and a window over (class, part), so a hot class fills many tasks.
     """
     spark = docs.sparkSession
-    pieces = materialize(cut_pieces(docs, path, size, end_id), "op8-pieces")
+    with small_batches(spark):
+        pieces = materialize(cut_pieces(docs, path, size, end_id), "op8-pieces")
     cap = size // grain
     pieces = pieces.withColumn("cls", F.ceil(F.col("length") / grain).cast("int")).withColumn(
         "part", F.pmod(F.xxhash64("row_key", "start"), F.lit(PARTS)).cast("int")

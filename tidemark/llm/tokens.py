@@ -28,6 +28,8 @@ from tidemark.llm.common import with_text
 MEMO_WORD = 64
 #: Entries of a task's memo; it is emptied when full, so memory is bounded.
 MEMO_SIZE = 400_000
+#: Characters of texts that are split into words at a time (one text, if it is longer).
+SLICE = 2_000_000
 
 
 def load(path: str):
@@ -97,7 +99,18 @@ class WordEncoder:
         return {w: array("I", e.ids).tobytes() for w, e in zip(words, got, strict=True)}
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; unseen words of the batch go to the library together."""
+        """The ids of each text. Words are held for about ``SLICE`` characters at a time, not the whole batch."""
+        out, part, held = [], [], 0
+        for t in texts:
+            if part and held + len(t) > SLICE:
+                out += self._encode(part)
+                part, held = [], 0
+            part.append(t)
+            held += len(t)
+        return out + self._encode(part)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; unseen words go to the library together."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         unseen = set().union(*split).difference(self.memo)
         if unseen:
