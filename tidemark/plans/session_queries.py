@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import context, sessions
+from tidemark.operators import context, placement, sessions
 from tidemark.operators.context import Rule
 from tidemark.plans.review_queries import F0, FC
 from tidemark.sources import fixtures as fx
@@ -139,3 +139,53 @@ def session_tool_failures(spark: SparkSession, d: str) -> DataFrame:
 def resume_points(spark: SparkSession, d: str) -> DataFrame:
     """SRC-11."""
     return sessions.resume_items(sessions.records(_session_lines(spark, d)))
+
+
+# --- quoted code ---------------------------------------------------------------------------------
+
+
+def _quoted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Ten documents are a change set; lines of a file are hunks of twenty; findings quote two lines of their file or of the next."""
+    docs = fx.table(spark, d, "documents").select(
+        F.lit("acme").alias("owner"), F.lit("r").alias("repo"), F.expr("doc_id div 10").alias("pr"), F.col("doc_id").alias("change_id"),
+        F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).alias("content"),
+    )
+    changes = docs.select("owner", "repo", "pr", "change_id", F.col("path").alias("new_path"), F.concat(F.lit("old/"), "path").alias("old_path"), F.col("change_id").alias("ord"))
+    lines = docs.select("owner", "repo", "pr", "change_id", F.posexplode(F.split("content", "\n")).alias("k", "content")).where("k % 7 <> 3")
+    kind = F.when(F.col("k") % 5 == 0, "deleted").otherwise("added")
+    hunks = lines.select("owner", "repo", "pr", "change_id", F.expr("k div 20").alias("hunk_no"), F.col("k").alias("pos"), kind.alias("type"), "content", (F.col("k") + 1).alias("old_line"), (F.col("k") + 1).alias("new_line"))
+    of = F.when(F.col("change_id") % 3 == 0, F.col("change_id") + 1).otherwise(F.col("change_id"))
+    at = (F.col("change_id") % 4).cast("int")
+    quote = docs.select(F.col("change_id").alias("q"), F.split("content", "\n").alias("l"))
+    f = docs.join(quote, of == F.col("q"))
+    f = f.select(
+        F.col("change_id").alias("finding_id"), "owner", "repo", "pr", "path", F.array_join(F.slice("l", at + 1, 2), "\n").alias("existing_code"),
+        F.when(F.col("change_id") % 11 == 0, 5).otherwise(0).cast("long").alias("start_line"), F.lit(0).cast("long").alias("end_line"),
+    )
+    return f, changes, hunks, docs
+
+
+_NORM = r"regexp_replace(regexp_replace(regexp_replace({}, '^\s+|\s+$', '', 'g'), '^\+?-?', ''), '^\s+|\s+$', '', 'g')"
+
+
+@query(
+    rf"""WITH d AS (SELECT doc_id, doc_id//10 AS pr, string_split(coalesce(text,''), chr(10)) AS l FROM documents),
+x AS (SELECT doc_id, pr, unnest(range(0, len(l))) AS k, {_NORM.format("unnest(l)")} AS s FROM d),
+lines AS (SELECT doc_id, pr, CASE WHEN k%5=0 THEN 2 ELSE 1 END AS stage, k//20 AS hunk, k+1 AS n, s FROM x WHERE k%7<>3 UNION ALL SELECT doc_id, pr, 3, 0, k+1, s FROM x WHERE s <> ''),
+seg AS (SELECT doc_id, pr, stage, hunk, list(s ORDER BY n) AS ss, list(n ORDER BY n) AS ns FROM lines GROUP BY ALL),
+f AS (SELECT a.doc_id AS finding_id, a.pr, list_filter(list_transform(b.l[a.doc_id%4+1 : a.doc_id%4+2], lambda x: {_NORM.format("x")}), lambda x: x <> '') AS t,
+  CASE WHEN a.doc_id%11=0 THEN 5 ELSE 0 END AS given FROM d a JOIN d b ON b.doc_id = CASE WHEN a.doc_id%3=0 THEN a.doc_id+1 ELSE a.doc_id END),
+h AS (SELECT f.finding_id, s.doc_id, stage, hunk, ns, len(t) AS m, list_filter(range(1, len(ss)-len(t)+2), lambda i: ss[i:i+len(t)-1] = t)[1] AS i
+  FROM f JOIN seg s ON s.pr = f.pr WHERE len(t) > 0 AND given = 0 AND list_contains(ss, t[1])),
+one AS (SELECT finding_id, doc_id, arg_min(ns[i], stage*1000000+hunk) AS a, arg_min(ns[i+m-1], stage*1000000+hunk) AS b FROM h WHERE i IS NOT NULL GROUP BY ALL),
+g AS (SELECT finding_id, max(a) FILTER (doc_id = finding_id) AS oa, max(b) FILTER (doc_id = finding_id) AS ob, count(*) FILTER (doc_id <> finding_id) AS n,
+  max(doc_id) FILTER (doc_id <> finding_id) AS od, max(a) FILTER (doc_id <> finding_id) AS xa, max(b) FILTER (doc_id <> finding_id) AS xb FROM one GROUP BY 1)
+SELECT finding_id, 'f'||CASE WHEN oa IS NULL AND n = 1 THEN od ELSE finding_id END AS path, CAST(coalesce(oa, CASE WHEN n=1 THEN xa END, given) AS BIGINT) AS start_line,
+  CAST(coalesce(ob, CASE WHEN n=1 THEN xb END, 0) AS BIGINT) AS end_line, CASE WHEN oa IS NOT NULL THEN 'own' WHEN n=1 THEN 'moved' WHEN given > 0 THEN 'given' ELSE 'none' END AS placed_by
+FROM f LEFT JOIN g USING (finding_id)"""
+)
+def placed_findings(spark: SparkSession, d: str) -> DataFrame:
+    """JON-12, JON-13."""
+    f, changes, hunks, docs = _quoted(spark, d)
+    out = placement.placed(f, changes, placement.side_lines(hunks, docs))
+    return out.select("finding_id", "path", "start_line", "end_line", "placed_by")
