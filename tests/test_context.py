@@ -1,6 +1,8 @@
 """Rules, budgets and session logs on small cases."""
 
-from tidemark.operators import context, sessions
+from pyspark.sql import functions as F
+
+from tidemark.operators import context, placement, sessions
 from tidemark.operators.context import Rule
 from tidemark.plans import catalog
 from tidemark.streaming.sessions import session_totals
@@ -30,11 +32,11 @@ def test_first_fit(spark):
 
 def test_token_chunks_equal_brute_force(spark):
     rows = catalog.queries()["token_chunks"](spark, SF).orderBy("owner", "repo", "pr", "ord").collect()
-    assert rows
+    assert len(rows) > max(r.chunk for r in rows) + 1
     sums = {}
     for r in rows:
         s = sums.setdefault((r.owner, r.repo, r.pr), [])
-        fits = [k for k in range(len(s)) if r.tokens <= 60 and s[k] + r.tokens <= 60]
+        fits = [k for k in range(len(s)) if r.tokens <= 5000 and s[k] + r.tokens <= 5000]
         assert r.chunk == (fits[0] if fits else len(s))
         if fits:
             s[fits[0]] += r.tokens
@@ -68,3 +70,36 @@ def test_stream_equals_batch(spark, tmp_path):
     key = lambda rows: sorted(map(tuple, rows))
     assert key(spark.table("totals").collect()) == key(batch.collect())
     assert key(batch.select("session", "prompt_tokens", "n_files", "closed").collect()) == [("s0", 4, 2, True), ("s1", 2, 1, True)]
+
+
+def test_text_metrics(spark):
+    rows = [("duration=1.5s files=8 files=9 tokens=in:3/out:4 cost=$0.25 findings=new:1/carried:x/resolved:3 comments=2",), ("duration=12ms junk tokens=out:5",), ("duration=5",), ("",)]
+    m = [r.m for r in spark.createDataFrame(rows, "p string").select(sessions.text_metrics(F.col("p")).alias("m")).collect()]
+    assert (m[0].duration_ms, m[0].files_reviewed, m[0].prompt_tokens, m[0].completion_tokens, m[0].total_cost_usd) == (1500, 9, 3, 4, 0.25)
+    assert (m[0].new_findings, m[0].carried_findings, m[0].resolved_findings, m[0].comments_posted, m[0].scanner_findings) == (1, 0, 3, 2, None)
+    assert (m[1].duration_ms, m[1].prompt_tokens, m[1].completion_tokens) == (12, None, 5) and m[2].duration_ms == 0 and m[3].duration_ms is None
+
+
+def test_placement(spark):
+    key = ("o", "r", 1)
+    hunks = spark.createDataFrame(
+        [(*key, 1, 0, p, t, c, o, n) for p, (t, c, o, n) in enumerate([("context", "a", 5, 7), ("deleted", "old", 6, None), ("added", "  b ", None, 8), ("context", "a", 7, 9), ("added", "b", None, 10)])],
+        "owner string, repo string, pr long, change_id long, hunk_no int, pos int, type string, content string, old_line int, new_line int",
+    )
+    contents = spark.createDataFrame([(*key, 1, "x\n\n+ y\nz"), (*key, 2, "only\nhere\nonly"), (*key, 3, None)], "owner string, repo string, pr long, change_id long, content string")
+    changes = spark.createDataFrame(
+        [(*key, 1, "a0", "a", 1), (*key, 2, "", "b", 2), (*key, 3, "c", "/dev/null", 3)], "owner string, repo string, pr long, change_id long, old_path string, new_path string, ord long"
+    )
+    cases = {
+        1: ("a", "a\nb", 0), 2: ("a0", "+a\n-old", 0), 3: ("a", "x\ny", 0), 4: ("a", "only\nhere", 0), 5: ("a", "absent", 0), 6: ("a", "a", 4),
+        7: ("a", " \n", 0), 8: ("nowhere", "z", 0), 9: ("b", "only", 0), 10: ("a", "old\na", 0),
+    }
+    f = spark.createDataFrame(
+        [(k, *key, p, q, s, 0) for k, (p, q, s) in cases.items()], "finding_id long, owner string, repo string, pr long, path string, existing_code string, start_line long, end_line long"
+    )
+    out = placement.placed(f, changes, placement.side_lines(hunks, contents))
+    got = {r.finding_id: (r.path, r.start_line, r.end_line, r.placed_by) for r in out.collect()}
+    assert got == {
+        1: ("a", 7, 8, "own"), 2: ("a0", 5, 6, "own"), 3: ("a", 1, 3, "own"), 4: ("b", 1, 2, "moved"), 5: ("a", 0, 0, "none"), 6: ("a", 4, 0, "given"),
+        7: ("a", 0, 0, "none"), 8: ("a", 4, 4, "moved"), 9: ("b", 1, 1, "own"), 10: ("a", 6, 7, "own"),
+    }

@@ -78,19 +78,19 @@ def label_sets(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def token_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """WIN-3: a change set's files in chunks of 60 tokens; tested against brute force."""
+    """WIN-3: a change set's files in chunks of 5000 tokens; tested against brute force."""
     items = fx.changes(fx.findings(spark, d)).select("owner", "repo", "pr", "ord", "new_path", (F.length("diff") / 4).cast("long").alias("tokens"))
-    return context.first_fit(items, 60, "owner", "repo", "pr")
+    return context.first_fit(items, 5000, "owner", "repo", "pr")
 
 
 @query(
-    f"""{FC} SELECT owner, repo, pr, CAST(list_reduce(list_prepend(0, list(length(diff) ORDER BY ord)), lambda a, x: CASE WHEN a + x <= 200 THEN a + x ELSE a END) AS BIGINT) AS used FROM fx_changes GROUP BY ALL
-HAVING min(length(diff)) <= 200"""
+    f"""{FC} SELECT owner, repo, pr, CAST(list_reduce(list_prepend(0, list(length(diff) ORDER BY ord)), lambda a, x: CASE WHEN a + x <= 30000 THEN a + x ELSE a END) AS BIGINT) AS used FROM fx_changes GROUP BY ALL
+HAVING min(length(diff)) <= 30000"""
 )
 def budgeted_items(spark: SparkSession, d: str) -> DataFrame:
     """WIN-5b: bytes that the accepted diffs of a change set take."""
     items = fx.changes(fx.findings(spark, d)).select("owner", "repo", "pr", "ord", F.length("diff").cast("long").alias("n_bytes"))
-    return context.fitting_items(items, 200, "owner", "repo", "pr").groupBy("owner", "repo", "pr").agg(F.sum("n_bytes").alias("used"))
+    return context.fitting_items(items, 30000, "owner", "repo", "pr").groupBy("owner", "repo", "pr").agg(F.sum("n_bytes").alias("used"))
 
 
 def _session_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -189,3 +189,35 @@ def placed_findings(spark: SparkSession, d: str) -> DataFrame:
     f, changes, hunks, docs = _quoted(spark, d)
     out = placement.placed(f, changes, placement.side_lines(hunks, docs))
     return out.select("finding_id", "path", "start_line", "end_line", "placed_by")
+
+
+def _run_logs(spark: SparkSession, d: str) -> DataFrame:
+    """Log files from ``events``: a file a user, kinds of lines by event_id."""
+    e = fx.table(spark, d, "events")
+    i, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("long")
+    stamp = F.concat(F.lit("2024-01-01T00:00:"), F.lpad((i % 60).cast("string"), 2, "0"), F.lit("Z"))
+    s = lambda *parts: F.concat(*[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
+    line = (
+        F.when(i % 9 == 0, s('{"stage":"metrics","time":"', stamp, '","duration_ms":', k * 3, ',"files_reviewed":', i % 4, ',"prompt_tokens":', k, "}"))
+        .when(i % 9 == 1, s("now [tool] metrics: duration=", k, "ms files=", i % 3, " tokens=in:", k, "/out:7 cost=$0.5 findings=new:", i % 5, "/carried:x"))
+        .when(i % 9 == 2, s('{"type":"session_start","timestamp":"', stamp, '"}'))
+        .when(i % 9 == 3, s('{"type":"session_end","files_reviewed":', i % 6, ',"duration_seconds":', k % 3, ".5}"))
+        .when(i % 9 == 4, '{"stage":"metrics", broken').otherwise("other")
+    )
+    return e.select(F.col("user_id").alias("file"), i.alias("line_no"), line.alias("value"), F.lit("2020-01-01 00:00:00").cast("timestamp").alias("modified"))
+
+
+@query(
+    """WITH e AS (SELECT user_id AS file, event_id AS i, event_id%9 AS kind, CAST(json_extract_string(props,'$.k') AS BIGINT) AS k FROM events WHERE event_id%9 < 4),
+g AS (SELECT file, max(i) FILTER (kind < 2) AS at, arg_max(CASE kind WHEN 0 THEN k*3 ELSE k END, i) FILTER (kind < 2) AS ms, arg_max(CASE kind WHEN 0 THEN i%4 ELSE i%3 END, i) FILTER (kind < 2) AS nf,
+  arg_max(k, i) FILTER (kind < 2) AS p, arg_max(CASE kind WHEN 0 THEN 0 ELSE 7 END, i) FILTER (kind < 2) AS c, arg_max(CASE kind WHEN 0 THEN 0 ELSE i%5 END, i) FILTER (kind < 2) AS nw,
+  arg_max(i%60, i) FILTER (kind = 2) AS st, arg_min(i%60, i) FILTER (kind = 0) AS lg FROM e GROUP BY 1),
+x AS (SELECT g.file, arg_min(e.i%6, e.i) FILTER (e.i%6 <> 0) AS ef, arg_min(k%3*1000+500, e.i) AS em FROM g JOIN e ON e.file = g.file AND e.kind = 3 AND e.i > coalesce(g.at,-1) GROUP BY 1)
+SELECT file, strftime(CASE WHEN coalesce(st, lg) IS NULL THEN TIMESTAMP '2020-01-01' ELSE TIMESTAMP '2024-01-01' + to_seconds(coalesce(st, lg)) END, '%Y-%m-%d %H:%M:%S') AS ts,
+  CAST(coalesce(nullif(ms,0), em, 0) AS BIGINT) AS duration_ms, CAST(coalesce(nullif(nf,0), ef, 0) AS BIGINT) AS files_reviewed, CAST(coalesce(p,0) AS BIGINT) AS prompt_tokens,
+  CAST(coalesce(c,0) AS BIGINT) AS completion_tokens, CAST(coalesce(nw,0) AS BIGINT) AS new_findings FROM g LEFT JOIN x USING (file)"""
+)
+def run_log_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-6, FUN-9."""
+    m = sessions.run_metrics(_run_logs(spark, d))
+    return m.select("file", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts"), "duration_ms", "files_reviewed", "prompt_tokens", "completion_tokens", "new_findings")
