@@ -73,3 +73,18 @@ def test_continuous_reconciliation(spark, tmp_path):
     got = {r.fingerprint: (r.state, r.first_seen, r.last_seen) for r in current_state(spark, state).collect()}
     assert got == {"a": ("keep", 10, 20), "b": ("carried", 10, 20), "c": ("new", 20, 20)}
     assert current_state(spark, state).agg(F.max("batch")).first()[0] >= 1
+
+
+def test_govulncheck(spark):
+    step = lambda file, line, module="m": {"module": module, "package": "p", "function": "F", "position": {"filename": file, "line": line}}
+    found = lambda osv, *trace: json.dumps({"finding": {"osv": osv, "trace": list(trace)}})
+    body = "\n".join(
+        [
+            json.dumps({"osv": {"id": "V1", "summary": "bad"}}, indent=1) + found("V1", step("src/lib.go", 1, "x"), step("/root/a.go", 3)),
+            "{broken", found("V1", step("/root/a.go", 3)), found("V2", {"module": "m"}, step("b.go", 4)), found("V3", step("/usr/c.go", 5, "x")), found("V4"),
+        ]
+    )
+    streams = spark.createDataFrame([(1, body), (2, body), (3, None)], "report_id long, body string")
+    roots = spark.createDataFrame([(1, "/root", "m"), (2, "/root", None), (3, "/", "m")], "report_id long, root string, module string")
+    got = sorted((r.report_id, r.rule_id, r.path, r.line, r.description, r.evidence) for r in reports.govulncheck_findings(reports.json_messages(streams), roots).collect())
+    assert got == [(i, *r) for i in (1, 2) for r in (("V1", "a.go", 3, "bad", "p.F"), ("V2", "b.go", 4, "V2", "p.F"))]
