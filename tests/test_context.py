@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import context, placement, sessions
+from tidemark.operators import context, findings, placement, sessions
 from tidemark.operators.context import Rule
 from tidemark.plans import catalog
 from tidemark.streaming.sessions import session_totals
@@ -103,3 +103,12 @@ def test_placement(spark):
         1: ("a", 7, 8, "own"), 2: ("a0", 5, 6, "own"), 3: ("a", 1, 3, "own"), 4: ("b", 1, 2, "moved"), 5: ("a", 0, 0, "none"), 6: ("a", 4, 0, "given"),
         7: ("a", 0, 0, "none"), 8: ("a", 4, 4, "moved"), 9: ("b", 1, 1, "own"), 10: ("a", 6, 7, "own"),
     }
+
+
+def test_scanner_table(spark):
+    f = spark.createDataFrame(
+        [(1, 2, "scanner:s", "", "p", 3, "x" * 101), (1, 1, "scanner:t", "c", "q", 0, " a\n b "), (2, 1, "llm", "c", "q", 0, "a")],
+        "pr long, ord long, source string, category string, path string, start_line int, content string",
+    )
+    got = {r.pr: r.table.split("\n")[2:] for r in findings.scanner_table(f, "pr").collect()}
+    assert got == {1: ["| t | c | `q:0` | a b |", "| s | - | `p:3` | " + "x" * 97 + "... |", ""]}

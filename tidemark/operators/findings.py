@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import fingerprint, line_symbol
+from tidemark.functions.text import byte_prefix, empty, fingerprint, line_symbol, strip_ws
 from tidemark.operators.scoring import KEY
 
 
@@ -68,3 +68,18 @@ def unified(model: DataFrame, scanner: DataFrame) -> DataFrame:
         line.alias("start_line"), line.alias("end_line"), text.alias("content"),
     )
     return model.select(*mapped.columns).unionByName(mapped)
+
+
+def scanner_table(findings: DataFrame, *by: str) -> DataFrame:
+    """FUN-14: a Markdown table of the scanner findings of each group, in order of ``ord``; groups without any give no row.
+
+    White space is collapsed; a text of more than 100 bytes is cut to 97 and an ellipsis.
+    """
+    flat = strip_ws(F.regexp_replace(empty(F.col("content")), r"\s+", " "))
+    text = F.when(F.octet_length(flat) > 100, F.concat(byte_prefix(flat, 97), F.lit("..."))).otherwise(flat)
+    rule = F.when(empty(F.col("category")) == "", "-").otherwise(F.col("category"))
+    cells = [F.expr("substring(source, 9)"), rule, F.concat(F.lit("`"), empty(F.col("path")), F.lit(":"), F.col("start_line").cast("string"), F.lit("`")), text]
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |\n"))
+    rows = findings.where(F.col("source").startswith("scanner:")).select(*by, "ord", row.alias("row"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "row"))), lambda x: x["row"]), "")
+    return rows.groupBy(*by).agg(F.concat(F.lit("| Tool | Rule | Location | Finding |\n| --- | --- | --- | --- |\n"), body).alias("table"))

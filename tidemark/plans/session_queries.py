@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import context, placement, sessions
+from tidemark.operators import context, findings, placement, sessions
 from tidemark.operators.context import Rule
 from tidemark.plans.review_queries import F0, FC
 from tidemark.sources import fixtures as fx
@@ -221,3 +221,13 @@ def run_log_metrics(spark: SparkSession, d: str) -> DataFrame:
     """AGG-6, FUN-9."""
     m = sessions.run_metrics(_run_logs(spark, d))
     return m.select("file", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts"), "duration_ms", "files_reviewed", "prompt_tokens", "completion_tokens", "new_findings")
+
+
+@query(
+    rf"""{F0} SELECT owner, repo, pr, '| Tool | Rule | Location | Finding |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) ||
+  string_agg('| ' || substr(source, 9) || ' | ' || category || ' | `' || path || ':' || start_line || '` | ' || content || ' |' || chr(10), '' ORDER BY ord) AS "table"
+FROM fx_findings WHERE starts_with(source, 'scanner:') GROUP BY ALL"""
+)
+def scanner_tables(spark: SparkSession, d: str) -> DataFrame:
+    """FUN-14."""
+    return findings.scanner_table(fx.findings(spark, d), "owner", "repo", "pr")
