@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprint, mixing, neardup, packing, pii, quality, tokens, topk, toxicity, urlfilter
+from tidemark.llm import components, fingerprint, mixing, neardup, packing, pii, quality, tokens, topk, toxicity, urlfilter
 from tidemark.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double"
@@ -242,6 +242,17 @@ def _groups(labels):
     return out
 
 
+def test_components_of_long_paths(spark, monkeypatch):
+    n, rounds = 3000, []
+    write = components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, name: (rounds.append(name), write(df, name))[1])
+    ids = [0, *range(n, 0, -1)]
+    edges = list(zip(ids, ids[1:], strict=False)) + [(5000, 4999), (5001, 5000)]
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == dict.fromkeys(ids, 0) | dict.fromkeys((4999, 5000, 5001), 4999)
+    assert len(rounds) <= 20
+
+
 def test_quality_prefers_the_target(spark):
     rng = random.Random(4)
     good = [(i, sentence(rng, 60)) for i in range(200)]

@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its component) for the nodes of ``edges`` (u, v: long).
 
-    Each round takes the least label among neighbours, then the label of the label, so long chains
-    shrink by a factor a round. Labels are written out each round; only a count reaches the driver.
+    Each round takes the least label among neighbours, then the label of the label, and hooks the
+    node's former label to it too, so whole trees move at once and long chains shrink by a factor a
+    round, whatever their numbering. Ends when nothing moves, after any number of rounds. Labels are
+    written out each round; only a count reaches the driver.
     """
     both = materialize(
         edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(),
         "cc-edges",
     )
     labels = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "cc-0")
-    for k in range(1, rounds):
+    for k in count(1):
         far = labels.select(F.col("node").alias("v"), F.col("label").alias("near"))
         least = both.join(far.hint("merge"), "v").groupBy("u").agg(F.min("near").alias("near"))
         hooked = (
@@ -27,11 +31,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .select("node", "label", F.least("label", "near").alias("next"))
         )
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("up"))
-        step = materialize(
-            hooked.join(jump.hint("merge"), "next").select("node", F.least("next", "up").alias("label"), (F.least("next", "up") < F.col("label")).alias("moved")),
-            f"cc-{k}",
-        )
+        new = F.least("next", "up")
+        own = F.struct("node", new.alias("label"), F.col("label").alias("old"))
+        root = F.struct(F.col("label").alias("node"), new.alias("label"), F.lit(None).cast("long").alias("old"))
+        step = hooked.join(jump.hint("merge"), "next").select(F.explode(F.array(own, root)).alias("e")).groupBy("e.node")
+        step = step.agg(F.min("e.label").alias("label"), F.max("e.old").alias("old"))
+        step = materialize(step.select("node", "label", (F.col("label") < F.col("old")).alias("moved")), f"cc-{k}")
         labels = step.select("node", "label")
         if not step.where("moved").limit(1).count():
-            break
-    return labels
+            return labels
