@@ -235,6 +235,21 @@ def test_near_duplicates_equal_brute_force(spark):
     assert neardup.deduplicated(twice).count() == 4 and neardup.near_duplicates(twice.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_short_texts_equal_brute_force(spark):
+    rng = random.Random(12)
+    texts = []
+    for n in list(range(8, 21)) * 4 + list(range(30, 50, 2)):
+        w = sentence(rng, n + 1).split()
+        texts += [" ".join(w[:n]), " ".join(w), " ".join(w[1:]), " ".join(["x", *w[:n], "y"])]
+    texts += ["one two three", "One two  three", "one two", "one"]
+    rng.shuffle(texts)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(d).collect()}
+    want = brute_classes(texts)
+    assert len(set(want)) < len(texts) - 100
+    assert set(map(tuple, _groups([got[i] for i in range(len(texts))]).values())) == set(map(tuple, _groups(want).values()))
+
+
 def _groups(labels):
     out = {}
     for i, x in enumerate(labels):

@@ -4,8 +4,15 @@ A text's shingles are its runs of five words (white space apart, lower case), ea
 its occurrence number, so repeats count. One Order MinHash value takes the ``TUPLE`` least labelled
 shingles under one hash function and combines them in text order; two texts of shingle similarity
 s agree on a value with probability about s ** TUPLE, if the order agrees. ``BANDS`` values make
-candidates: at s = 0.8, TUPLE = 6 and BANDS = 32 a pair is missed with probability 6e-5, while
-texts that share one passage hardly ever meet.
+candidates: at s = 0.8, TUPLE = 6 and BANDS = 32 a long pair is missed with probability 6e-5, one just
+above ``SHORT`` shingles with 2e-4 at most (if the order agrees), while texts that share one passage
+hardly ever meet.
+
+Texts of few shingles share too few tuples for that. Pairs whose smaller text has at most ``SHORT``
+shingles get an exact path instead: each text's shingles are sorted by how many short texts have
+them, rarest first, and texts meet on each shingle of their prefix. Two texts of n and m shingles
+that reach ``least`` share ceil(least * n) of them or more, so the first n - ceil(least * n) + 1
+of each hold a common one: no such pair is missed.
 
 A link needs (matched shingles) / (all shingles of both, matched once) >= 0.8, where the match is
 the longest common subsequence of labelled shingles inside a diagonal band. Labelled shingles are
@@ -29,6 +36,8 @@ from tidemark.llm.components import components
 
 WORDS, LEAST = 5, 0.8
 BANDS, TUPLE = 32, 6
+#: Pairs whose smaller text has at most so many shingles are found without loss.
+SHORT = 32
 #: Members of a bucket that are compared in one group; larger buckets are cut into blocks.
 BLOCK = 64
 _MULT = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) ^ (0xD1B54A32D192ED03 * (k + 7))) & (2**64 - 1) | 1 for k in range(BANDS)], np.uint64)
@@ -132,24 +141,42 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.frombuffer(b, "<u4")
 
 
-def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, digest (md5 of the text), sketch (null without shingles): one pass, no shuffle."""
+def sketches(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """doc_id, digest (md5 of the text), sketch (null for at most ``SHORT`` shingles), short: one pass, no shuffle.
+
+    ``short`` holds all shingles of a text that can be similar to one of at most ``SHORT``; texts of
+    more than ``SHORT`` that still can have both.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(words)
         for pdf in batches:
             seen: dict[str, list[int] | None] = {}
+            short: dict[str, list[int] | None] = {}
             for d, t in zip(pdf["digest"], pdf["text"], strict=True):
                 if d not in seen:
                     h = shingle(t)
-                    seen[d] = order_minhash(h).tolist() if len(h) else None
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "digest": pdf["digest"], "sketch": pdf["digest"].map(seen.get)})
+                    seen[d] = order_minhash(h).tolist() if len(h) > SHORT else None
+                    short[d] = h.view(np.int64).tolist() if 0 < len(h) and len(h) * least <= SHORT + 1e-9 else None
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "digest": pdf["digest"], "sketch": pdf["digest"].map(seen.get), "short": pdf["digest"].map(short.get)})
 
     src = with_text(docs).withColumn("digest", F.md5("text")).withColumn("doc_id", F.col("doc_id").cast("string"))
-    got = src.mapInPandas(run, "doc_id string, digest string, sketch array<long>")
+    got = src.mapInPandas(run, "doc_id string, digest string, sketch array<long>, short array<long>")
     return got.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def _prefixes(texts: DataFrame, least: float) -> DataFrame:
+    """tid, band (``BANDS``), value: the shingles of each short text's prefix, rarest first, that other short texts have."""
+    each = texts.where("short is not null").select("tid", F.size("short").alias("n"), F.explode("short").alias("value"))
+    held = each.groupBy("value").agg(F.count("*").alias("k")).where("k > 1")
+    got = each.join(held.hint("merge"), "value").groupBy("tid", "n").agg(F.array_sort(F.collect_list(F.struct("k", "value"))).alias("common"))
+    # shingles that no other text has come first in the prefix and join nothing
+    left = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1 - (F.col("n") - F.size("common"))
+    got = got.withColumn("left", left.cast("int")).where("left > 0")
+    got = got.select("tid", F.explode(F.slice("common", F.lit(1), F.col("left"))).alias("c"))
+    return got.select("tid", F.lit(BANDS).alias("band"), F.col("c.value").alias("value"))
+
+
 def _shingles(texts: DataFrame, words: int) -> DataFrame:
     """tid, shingles (32-bit labelled hashes in text order) of (tid, text) rows."""
 
@@ -170,15 +197,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = LEAST) -
     that has the text; where that is null, negative or shared by different texts, it is a negative
     63-bit hash of the text.
 
-    1. One pass makes a digest and a sketch; exact copies collapse by digest (combined before the
+    1. One pass makes a digest and a sketch, or the shingles of a short text; exact copies collapse by digest (combined before the
        shuffle), so a hot text is one row from here on.
     2. Every member of a bucket is verified against the bucket's least text; components follow.
     3. Buckets that still hold several components compare all members of different components, in
        blocks of about ``BLOCK``: the work of a task is bounded, and pairs stay inside it. So no
        pair that shares a bucket is left out, and no list of all pairs is made.
     """
-    rows = materialize(sketches(docs, words), "op9-sketches")
-    grouped = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
+    rows = materialize(sketches(docs, words, least), "op9-sketches")
+    grouped = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("short").alias("short"))
     grouped = materialize(grouped, "op9-texts")
     # tid: doc_id, unless different texts share it
     shared = grouped.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 or doc_id < 0").select("doc_id")
@@ -190,9 +217,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = LEAST) -
         )
     else:
         texts = grouped.withColumn("tid", F.coalesce("doc_id", own_hash))
-    texts = texts.select("digest", "tid", "sketch")
+    texts = texts.select("digest", "tid", "sketch", "short")
 
-    bands = texts.select("tid", F.posexplode("sketch").alias("band", "value"))
+    bands = texts.select("tid", F.posexplode("sketch").alias("band", "value")).unionByName(_prefixes(texts, least))
     firsts = bands.groupBy("band", "value").agg(F.min("tid").alias("rep"), F.count("*").alias("n")).where("n > 1")
     members = materialize(bands.join(firsts.hint("merge"), ["band", "value"]).select("band", "value", "tid", "rep", "n"), "op9-members")
     star = materialize(members.where("tid <> rep").select("tid", "rep").distinct(), "op9-star")
