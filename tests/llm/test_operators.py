@@ -173,6 +173,28 @@ def test_surrogates_keep_form_and_distinctness(spark):
     assert pii.surrogate_report(d).where("n_entities > 0").count() == 5
 
 
+PHONES = """+15551234567|5551234567|555-0142|(555) 123-4567|+1 (269) 555-1234|030 1234567|0170-1234567|(030) 1234567|030/1234567|+49 30 1234567|+49 170 1234567
++49 (0)30 1234567|0049 30 1234567|+33 6 12 34 56 78|06 12 34 56 78|0612345678|+34 612 345 678|612 345 678|+34612345678|+44 20 7946 0958"""
+
+
+@pytest.mark.parametrize("text", PHONES.replace("\n", "|").split("|"))
+def test_phone_forms_are_found_whole(text):
+    for before, after in (("call ", " now"), ("", "."), ("Tel.: ", ", bitte"), ("llame al ", "")):
+        found = pii.entities(before + text + after)
+        assert [(a, b, k) for a, b, k, _ in found] == [(len(before), len(before) + len(text), "phone")]
+    got = pii.surrogate(b"k" * 32, "phone", text)
+    assert got != text and [c.isdigit() for c in got] == [c.isdigit() for c in text]
+
+
+def test_ipv6_and_things_that_are_no_phones():
+    for text in ("2001:db8::8a2e:370:7334", "fe80::1", "2001:0db8:0000:0000:0000:8a2e:0370:7334", "::ffff:10.20.30.40"):
+        assert [text[a:b] for a, b, k, _ in pii.entities(text) if k == "ip"] == [text]
+        assert pii._address(pii.surrogate(b"k" * 32, "ip", text)) not in (None, pii._address(text))
+    assert pii.surrogate(b"k" * 32, "ip", "2001:db8::1") == pii.surrogate(b"k" * 32, "ip", "2001:db8:0:0::1")
+    for text in ("on 01.02.2024 and 2024-01-15 12:30", "at 12:30:45 std::vector", "0.1234567 and 1,234,567", "1706000000 ticks"):
+        assert not pii.entities(text), text
+
+
 def test_packing_round_trip(docs, rows):
     got = packing.pack(docs, tokenizer_path()).collect()
     t = tokens.load(tokenizer_path())

@@ -13,6 +13,7 @@ collide (forms that overlap) are keyed anew until none does.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -33,12 +34,18 @@ _SECRET = re.compile(
     r"|\b(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"
 )
 _EMAIL = re.compile(r"([^\W_][\w.+%'-]{0,63})@((?:[^\W_](?:[\w-]{0,61}[^\W_])?\.)+[^\W\d_]{2,24})")
+_SEP = r"[ .\-/\u00a0\u202f\u2011]"
+_IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,8}(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f]{1,4})?(?![\w:])")
+_DATE = re.compile(r"(?:\d{1,2}([./-])\d{1,2}\1(?:\d{4}|\d\d)|\d{4}([./-])\d\d\2\d\d)(?![./-]?\d)")
 _NUMBER = re.compile(
-    r"\b(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?)\b"
+    rf"(?<![\w.+])(?P<intl>(?:\+ ?|00 ?)[1-9]\d{{0,14}}(?:{_SEP}?\(\d{{1,5}}\){_SEP}?\d{{1,12}})?(?:{_SEP}\d{{1,8}}){{0,7}})(?!\w)"
+    r"|\b(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?)\b"
     r"|\b(?P<mac>[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5})\b"
     r"|(?<![\d.])(?P<ip>(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3})(?![\d]|\.\d)"
     r"|(?<![\d-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d-])"
     r"|(?<![\d])(?P<card>\d(?:[ -]?\d){12,18})(?![\d])"
+    rf"|(?<![\w.,+/-])(?P<trunk>(?:\(0\d{{1,5}}\){_SEP}?\d{{1,12}}|0[1-9]\d{{0,12}})(?:{_SEP}\d{{1,8}}){{0,7}})(?!\w)"
+    r"|(?<![\w.,+/-])(?P<bare>[2-9]\d{9}|[2-9]\d\d-\d{4})(?![\w-]|[.,]\d)"
     r"|(?<![\w.])(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4})(?![\w])"
 )
 #: Titles by gender ('n': unknown).
@@ -209,6 +216,11 @@ def surrogate(key: bytes, kind: str, text: str, gender: str = "n") -> str:
         head, dot, top = domain.rpartition(".")
         got = keep_form(key, "email", f"{local}@{head}", tweak=top.lower())
         return got + dot + top
+    if kind == "ip" and ":" in text:  # the first group (the kind of network) stays
+        first, *rest = [int(_address(text)) >> 16 * k & 0xFFFF for k in range(7, -1, -1)]
+        groups = [first, *_permute_places(key, f"ip6|{first}", [(g, 65536) for g in rest])]
+        got = str(ipaddress.IPv6Address(sum(g << 16 * (7 - k) for k, g in enumerate(groups))))
+        return got.upper() if text.isupper() else got
     if kind == "ip":
         o = [(int(x), 256) for x in text.split(".")]
         return ".".join(map(str, _permute_places(key, "ip", o)))
@@ -219,7 +231,7 @@ def surrogate(key: bytes, kind: str, text: str, gender: str = "n") -> str:
     if kind == "iban":
         return _iban(key, text)
     if kind == "phone":
-        country = re.match(r"\+\d{1,3}(?=[ .(-])", text)
+        country = re.match(rf"\+ ?\d{{1,3}}(?={_SEP}|\()|00 ?[1-9]\d{{0,2}}(?={_SEP}|\()|\+ ?|00 ?|\(?0", text)
         head = country[0] if country else ""
         return head + keep_form(key, "phone", text[len(head) :], (DIGITS,), tweak=head)
     if kind == "name":
@@ -234,9 +246,30 @@ def surrogate(key: bytes, kind: str, text: str, gender: str = "n") -> str:
 
 def canonical(kind: str, text: str, gender: str = "n") -> str:
     """What makes two mentions the same entity."""
+    if kind == "ip" and ":" in text:
+        return f"{int(_address(text)):032x}"
     return f"{gender}:{text.lower()}" if kind == "name" else text.lower()
 
 
+def _address(text: str) -> ipaddress.IPv6Address | None:
+    try:
+        return ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+
+
+def _phone_end(text: str) -> int:
+    """Where the first number ends: a run of groups over 15 digits is cut, before a trunk 0 if there is one."""
+    cuts, n, at = [], 0, 0
+    for m in re.finditer(r"\d+", text):
+        if 7 <= n <= 15:
+            cuts.append((m[0][0] == "0" and len(m[0]) > 2, at))
+        n, at = n + len(m[0]), m.end()
+    if n <= 15 or not cuts:
+        return len(text)
+    return max(cuts)[1]
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, gender) of the entities of a text, in order, not overlapping."""
     if not _TRIGGER.search(text):
@@ -257,14 +290,24 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         else:
             at = text.find("@", at + 1)
     if re.search(r"\d", text):
-        for m in _NUMBER.finditer(text):
-            kind = m.lastgroup
-            n = sum(c.isdigit() for c in m[0])
-            if kind == "phone" and not 7 <= n <= 15:
-                continue
-            if kind == "phone" and not m[0].startswith("+") and n < 9 and "(" not in m[0]:
-                continue
-            found.append((*m.span(), kind, "n"))
+        at = 0
+        while m := _NUMBER.search(text, at):
+            kind, (a, at) = m.lastgroup, m.span()
+            if kind in ("intl", "trunk", "bare", "phone"):
+                if kind in ("trunk", "phone") and (day := _DATE.match(text, a)):
+                    at = day.end()
+                    continue
+                at = a + _phone_end(m[0])
+                n = sum(c.isdigit() for c in text[a:at])
+                least = {"intl": 7, "trunk": 8 if re.search(r"\D", m[0]) else 9, "bare": 7}.get(kind, 7 if m[0][0] in "+(" or "(" in m[0] else 9)
+                if not least <= n <= 15:
+                    continue
+                kind = "phone"
+            found.append((a, at, kind, "n"))
+    if text.count(":") > 1:
+        for m in _IP6.finditer(text):
+            if re.search(r"\d", m[0]) and _address(m[0]):
+                found.append((*m.span(), "ip", "n"))
     for m in _TITLED.finditer(text):
         found.append((*m.span(3), "name", TITLES[m[1]]))
     found.sort(key=lambda e: (e[0], KINDS.index(e[2])))
