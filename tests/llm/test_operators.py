@@ -195,6 +195,21 @@ def test_ipv6_and_things_that_are_no_phones():
         assert not pii.entities(text), text
 
 
+def test_names_are_coreferent_by_part(spark):
+    texts = ["Mrs. Maria Novak came. Novak said so, and Maria Novak wrote; NOVAK's book.", "Dr. Maria del Carmen Lopez and Lopez", "Mr. Smith met Mr. John Smith", "Herr von Braun, Braun", "Nothing by Novak"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.pseudonymize(d).collect()}
+    first, family = out[0].split()[1:3]
+    assert out[0] == f"Mrs. {first} {family} came. {family} said so, and {first} {family} wrote; {family.upper()}'s book."
+    for i, names in ((0, "Maria Novak NOVAK"), (1, "Maria Carmen Lopez"), (2, "John Smith"), (3, "Braun")):
+        assert not set(names.split()) & set(out[i].replace("'", " ").split())
+    w = out[1].split()
+    assert w[2] == "del" and w[4] == w[6]
+    w = out[2].split()
+    assert w[1] == w[5] and out[3].split()[1] == "von" and out[3].split()[2] == out[3].split()[3] + ","
+    assert out[4] == texts[4]
+
+
 def test_packing_round_trip(docs, rows):
     got = packing.pack(docs, tokenizer_path()).collect()
     t = tokens.load(tokenizer_path())

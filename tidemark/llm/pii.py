@@ -69,8 +69,11 @@ NAMES = {
     ("greek", "n"): "Άγγελος Αγάπη Φώτης Χαρά Σίμος Ρένα Πέτρος Νίκη".split(),
     ("greek", "family"): "Αλεξίου Βλάχος Γκίκας Δούκας Ζαρίφης Κανάκης Λάμπρου Μελάς".split(),
 }
+_CAP = r"[^\W\d_a-z](?:['’]?[^\W\d_]+)"
+_PARTICLE = r"(?:(?:de|del|della|di|da|dos|das|do|du|des|la|las|los|le|van|von|der|den|ter|zu|zur|zum|al|bin|ibn) )"
 _TITLED = re.compile(
-    r"(?<!\w)(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")(\.? )((?:[^\W\d_a-z][^\W\d_]+)(?:[ -][^\W\d_a-z][^\W\d_]+){0,2})"
+    r"(?<!\w)(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")(\.? )"
+    rf"({_PARTICLE}{{0,3}}{_CAP}(?:[ -]{_CAP}){{0,2}}(?: {_PARTICLE}{{1,3}}{_CAP}(?:[ -]{_CAP}){{0,2}})?)"
 )
 _TRIGGER = re.compile(r"[@\d]|(?i:passw|pwd|secret|token|key)|(?<!\w)(?:" + "|".join(TITLES) + r")\.? ")
 
@@ -191,23 +194,31 @@ def _script(text: str) -> str:
 def _name(key: bytes, text: str, gender: str) -> str:
     """Names of the same script, gender, number of words and case.
 
-    A name may be any word, so it is first hashed to 64 bits: the leading bits choose from the
-    lists, the rest becomes a syllable tail on the family name, which keeps distinct names apart.
+    Each word is hashed by itself, so equal parts of two names get equal surrogates: the last word
+    (double names with their hyphen) as a family name, without gender, the others as given names;
+    particles stay. A part may be any word: the leading bits of its hash choose from the lists, the
+    rest becomes a syllable tail, which keeps distinct parts apart.
     """
-    script, words = _script(text), re.split(r"([ -])", text)
-    lists = [NAMES[script, gender]] * ((len(words) + 1) // 2 - 1) + [NAMES[script, "family"]]
-    h, out = _int(key, "name", gender, text.lower()) % 2**64, []
-    for k, given in enumerate(lists):
-        h, at = divmod(h, len(given))
-        out.append(given[at])
-        if 2 * k + 1 < len(words):
-            out.append(words[2 * k + 1])
-    vowels, consonants = {"latin": ("aeio", "lmnrstdk"), "cyrillic": ("аеио", "лмнрстдк"), "greek": ("αειο", "λμνρστδκ")}[script]
-    for _ in range(9):
-        h, at = divmod(h, 32)
-        out[-1] += consonants[at // 4] + vowels[at % 4]
-    got = "".join(out)
-    return got.upper() if text.isupper() else got
+    words = text.split(" ")
+    return " ".join(
+        w if w.islower() and re.fullmatch(_PARTICLE, w + " ") else _name_part(key, w, "family" if k == len(words) - 1 else gender)
+        for k, w in enumerate(words)
+    )
+
+
+def _name_part(key: bytes, word: str, role: str) -> str:
+    script, out = _script(word), []
+    for k, part in enumerate(word.split("-")):
+        h = _int(key, "name", role, k, part.lower()) % 2**64
+        h, at = divmod(h, len(NAMES[script, role]))
+        got = NAMES[script, role][at]
+        vowels, consonants = {"latin": ("aeio", "lmnrstdk"), "cyrillic": ("аеио", "лмнрстдк"), "greek": ("αειο", "λμνρστδκ")}[script]
+        for _ in range(9 if role == "family" else 6):
+            h, at = divmod(h, 32)
+            got += consonants[at // 4] + vowels[at % 4]
+        out.append(got)
+    got = "-".join(out)
+    return got.upper() if word.isupper() else got
 
 
 def surrogate(key: bytes, kind: str, text: str, gender: str = "n") -> str:
@@ -270,6 +281,29 @@ def _phone_end(text: str) -> int:
     return max(cuts)[1]
 
 
+def _named(text: str) -> list[tuple[int, int, str, str]]:
+    """Names behind titles, and all other mentions of those full names and of their family names.
+
+    A mention takes the gender that a title gives the same name, or else the same family name, in this text.
+    """
+    titled = [(*m.span(3), TITLES[m[1]]) for m in _TITLED.finditer(text)]
+    if not titled:
+        return []
+    gender: dict[str, str] = {}
+    for a, b, g in titled:
+        for name in (text[a:b], text[a:b].rpartition(" ")[2]):
+            if gender.get(name, "n") == "n":
+                gender[name] = g
+    found = [(a, b, "name", gender[text[a:b]]) for a, b, _ in titled]
+    forms = {f: g for name, g in gender.items() for f in (name.upper(), name)}
+    longest = "|".join(map(re.escape, sorted(forms, key=lambda f: (-len(f), f))))
+    starts = {a for a, _, _ in titled}
+    for m in re.finditer(rf"(?<!\w)(?:{longest})(?=s?(?!\w))", text):
+        if m.start() not in starts:
+            found.append((*m.span(), "name", forms[m[0]]))
+    return found
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, gender) of the entities of a text, in order, not overlapping."""
     if not _TRIGGER.search(text):
@@ -308,8 +342,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         for m in _IP6.finditer(text):
             if re.search(r"\d", m[0]) and _address(m[0]):
                 found.append((*m.span(), "ip", "n"))
-    for m in _TITLED.finditer(text):
-        found.append((*m.span(3), "name", TITLES[m[1]]))
+    found += _named(text)
     found.sort(key=lambda e: (e[0], KINDS.index(e[2])))
     out, end = [], 0
     for e in found:
