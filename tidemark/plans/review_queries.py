@@ -355,6 +355,13 @@ def effort_scores(spark: SparkSession, d: str) -> DataFrame:
     return effort.effort_scores(_effort_files(spark, d), sev).select(*KEY, "value", "label", F.round("raw", 6).alias("raw"))
 
 
+@query(_EFFORT_SQL.replace(" WHERE ord % 50 = 0", ""))
+def effort_scores_all(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-5 over all scored findings; effort_scores takes one in fifty."""
+    sev = scoring.severity_histogram(_scored(spark, d))
+    return effort.effort_scores(_effort_files(spark, d), sev).select(*KEY, "value", "label", F.round("raw", 6).alias("raw"))
+
+
 @query()
 def effort_audit(spark: SparkSession, d: str) -> DataFrame:
     """AGG-5: one row a contribution."""
