@@ -17,27 +17,39 @@ WORD = r"[^\x20\x09-\x0D]+"
 def scratch(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a local folder is taken.
+    Where the session names none, a temporary folder is taken on one machine (``local`` masters, as
+    in tests); a cluster's executors would not share it, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, waves: int = 4) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage (a lost executor re-reads files instead of recomputing Python
-    stages) and gives the optimizer real sizes for what follows.
+    stages) and gives the optimizer real sizes for what follows. The table is written by ``waves``
+    tasks a core at most, without a shuffle: intermediate tables are small against the corpus, and
+    thousands of tiny files cost more than they hold.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.coalesce(waves * spark.sparkContext.defaultParallelism).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`materialize` wrote and that nothing reads any more."""
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
     """At most ``rows`` rows an Arrow batch for the jobs that run inside, so whole texts of few rows

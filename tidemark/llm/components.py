@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,9 +20,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = materialize(
         edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(),
-        "cc-edges",
+        "cc-edges", waves=2,
     )
-    labels = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "cc-0")
+    labels = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "cc-0", waves=2)
     for k in count(1):
         far = labels.select(F.col("node").alias("v"), F.col("label").alias("near"))
         least = both.join(far.hint("merge"), "v").groupBy("u").agg(F.min("near").alias("near"))
@@ -36,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
         root = F.struct(F.col("label").alias("node"), new.alias("label"), F.lit(None).cast("long").alias("old"))
         step = hooked.join(jump.hint("merge"), "next").select(F.explode(F.array(own, root)).alias("e")).groupBy("e.node")
         step = step.agg(F.min("e.label").alias("label"), F.max("e.old").alias("old"))
-        step = materialize(step.select("node", "label", (F.col("label") < F.col("old")).alias("moved")), f"cc-{k}")
+        step = materialize(step.select("node", "label", (F.col("label") < F.col("old")).alias("moved")), f"cc-{k}", waves=2)
+        discard(labels)
         labels = step.select("node", "label")
         if not step.where("moved").limit(1).count():
             return labels

@@ -1,12 +1,16 @@
 """Near duplicates by Order MinHash on five-word shingles, verified by banded alignment (operator 9).
 
 A text's shingles are its runs of five words (white space apart, lower case), each labelled with
-its occurrence number, so repeats count. One Order MinHash value takes the ``TUPLE`` least labelled
-shingles under one hash function and combines them in text order; two texts of shingle similarity
-s agree on a value with probability about s ** TUPLE, if the order agrees. ``BANDS`` values make
-candidates: at s = 0.8, TUPLE = 6 and BANDS = 32 a long pair is missed with probability 6e-5, one just
-above ``SHORT`` shingles with 2e-4 at most (if the order agrees), while texts that share one passage
-hardly ever meet.
+its occurrence number, so repeats count. Two texts are linked if their edit similarity is 0.8 or
+more: the shingles that an alignment matches in order, over the shingles of the longer text. Every
+pair of Jaccard similarity 0.8 with its text in order is linked (it has 0.89 by this measure);
+texts that only share passages are not.
+
+One Order MinHash value takes the ``TUPLE`` least labelled shingles under one hash function and
+combines them in text order; two texts of Jaccard similarity s agree on a value with probability
+about s ** TUPLE, if the order agrees. An edit similarity of 0.8 is a Jaccard similarity of 2/3
+between texts of equal length: of such pairs, the least similar that count, ``BANDS`` values of
+``TUPLE`` miss one in a hundred, of pairs of Jaccard 0.8 fewer than one in a hundred thousand.
 
 Texts of few shingles share too few tuples for that. Pairs whose smaller text has at most ``SHORT``
 shingles get an exact path instead: each text's shingles are sorted by how many short texts have
@@ -14,10 +18,10 @@ them, rarest first, and texts meet on each shingle of their prefix. Two texts of
 that reach ``least`` share ceil(least * n) of them or more, so the first n - ceil(least * n) + 1
 of each hold a common one: no such pair is missed.
 
-A link needs (matched shingles) / (all shingles of both, matched once) >= 0.8, where the match is
-the longest common subsequence of labelled shingles inside a diagonal band. Labelled shingles are
-distinct, so that is a longest increasing subsequence of matched positions; pairs of that
-similarity differ by at most 1/5 of their shingles, so the band loses none of them.
+The alignment is the longest common subsequence of labelled shingles inside a diagonal band.
+Labelled shingles are distinct 64-bit hashes, so that is a longest increasing subsequence of
+matched positions; an aligned shingle of such a pair is displaced by at most a fifth of the longer
+text, so the band loses none of them.
 """
 
 from __future__ import annotations
@@ -35,18 +39,18 @@ from tidemark.llm.common import materialize, with_text
 from tidemark.llm.components import components
 
 WORDS, LEAST = 5, 0.8
-BANDS, TUPLE = 32, 6
+BANDS, TUPLE = 32, 5
 #: Pairs whose smaller text has at most so many shingles are found without loss.
 SHORT = 32
 #: Members of a bucket that are compared in one group; larger buckets are cut into blocks.
-BLOCK = 64
+BLOCK = 128
 _MULT = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) ^ (0xD1B54A32D192ED03 * (k + 7))) & (2**64 - 1) | 1 for k in range(BANDS)], np.uint64)
 
 
 class Shingler:
     """Labelled shingle hashes of texts, in text order; word hashes are kept in a bounded memo."""
 
-    def __init__(self, words: int = WORDS, size: int = 400_000):
+    def __init__(self, words: int = WORDS, size: int = 200_000):
         self.words, self.size, self.memo = words, size, {}
 
     def __call__(self, text: str) -> np.ndarray:
@@ -102,43 +106,57 @@ def order_minhash(h: np.ndarray, tuple_size: int = TUPLE) -> np.ndarray:
 
 
 def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
-    """Matched over all labelled shingles, by a banded longest common subsequence.
+    """Shingles matched in order over those of the longer text, by a banded longest common subsequence.
 
-    Pairs that cannot reach ``least`` may get a lower bound instead; 1.0 for two empty texts.
+    Pairs that cannot reach ``least`` may get another value below it; 1.0 for two empty texts.
     """
-    total = len(a) + len(b)
-    if not total:
+    longer = max(len(a), len(b))
+    if not longer:
         return 1.0
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
+    if min(len(a), len(b)) < least * longer:
         return 0.0
     _, i, j = np.intersect1d(a, b, return_indices=True)
-    if len(i) < least * (total - len(i)):
-        return len(i) / (total - len(i)) if len(i) else 0.0
+    if len(i) < least * longer:
+        return len(i) / longer
     order = np.argsort(i)
     i, j = i[order], j[order]
-    band = int((1 - least) * total) + 1
-    inside = np.abs(i - j) <= band
-    j = j[inside]
-    if len(j) > 1 and not (np.diff(j) > 0).all():
-        tails: list[int] = []
-        for x in j.tolist():
-            k = bisect_left(tails, x)
-            if k == len(tails):
-                tails.append(x)
-            else:
-                tails[k] = x
-        matched = len(tails)
-    else:
-        matched = len(j)
-    return matched / (total - matched)
+    j = j[np.abs(i - j) <= int((1 - least) * longer) + 1]
+    if len(j) < 2 or (np.diff(j) > 0).all():
+        return len(j) / longer
+    tails: list[int] = []
+    for x in j.tolist():
+        k = bisect_left(tails, x)
+        if k == len(tails):
+            tails.append(x)
+        else:
+            tails[k] = x
+    return len(tails) / longer
+
+
+def shared_counts(texts: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """How many shingles each two of ``texts`` have in common: products of membership matrices, ``columns`` shingles at a time."""
+    n = len(texts)
+    out = np.zeros((n, n), np.float32)
+    owner = np.repeat(np.arange(n), [len(t) for t in texts])
+    _, at, count = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+    keep = count[at] > 1  # a shingle of one text alone is shared by none
+    owner, at = owner[keep], np.unique(at[keep], return_inverse=True)[1]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    for a in range(0, int(at[-1]) + 1 if len(at) else 0, columns):
+        lo, hi = np.searchsorted(at, (a, a + columns))
+        member = np.zeros((n, columns), np.float32)
+        member[owner[lo:hi], at[lo:hi] - a] = 1
+        out += member @ member.T
+    return out
 
 
 def _pack(h: np.ndarray) -> bytes:
-    return (h & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+    return h.astype("<u8").tobytes()
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, "<u4")
+    return np.frombuffer(b, "<u8")
 
 
 def sketches(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
@@ -178,7 +196,7 @@ def _prefixes(texts: DataFrame, least: float) -> DataFrame:
 
 
 def _shingles(texts: DataFrame, words: int) -> DataFrame:
-    """tid, shingles (32-bit labelled hashes in text order) of (tid, text) rows."""
+    """tid, shingles (64-bit labelled hashes in text order) of (tid, text) rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(words)
@@ -191,18 +209,22 @@ def _shingles(texts: DataFrame, words: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
     """One row a document: doc_id, digest, tid (its distinct text), class_id, is_kept.
 
-    Classes are the connected components of the links between distinct texts; class_id is the
-    least tid in it, and one document of each class (the least doc_id of that text) is kept. Null
-    and empty texts are one class. Repeated rows share doc_id and digest. tid is the least doc_id
-    that has the text; where that is null, negative or shared by different texts, it is a negative
-    63-bit hash of the text.
+    Classes are the connected components of the links between distinct texts, so class_id loses no
+    link; it is the least tid in it, and one document of each class (the least doc_id of that text)
+    is kept. Null and empty texts are one class. Repeated rows share doc_id and digest; equal texts
+    tie for is_kept, and the least doc_id (a null one last) has it. tid is the least doc_id that has
+    the text; where that is null, negative or shared by different texts, it is a negative 63-bit
+    hash of the text. An empty table gives no rows; other columns, whatever their names, play no
+    part. A very long text is one row of 8 bytes a word in one task.
 
-    1. One pass makes a digest and a sketch, or the shingles of a short text; exact copies collapse by digest (combined before the
-       shuffle), so a hot text is one row from here on.
+    1. One pass makes a digest and a sketch, or the shingles of a short text; exact copies collapse
+       by digest (combined before the shuffle), so a hot text is one row from here on.
     2. Every member of a bucket is verified against the bucket's least text; components follow.
     3. Buckets that still hold several components compare all members of different components, in
-       blocks of about ``BLOCK``: the work of a task is bounded, and pairs stay inside it. So no
-       pair that shares a bucket is left out, and no list of all pairs is made.
+       blocks of about ``BLOCK`` whose shared shingles are counted by matrix products; only pairs
+       that share enough are aligned. Buckets with the same members count once. The work of a task
+       is bounded, and pairs stay inside it. So no pair that shares a bucket is left out, and no
+       list of all pairs is made.
     """
     rows = materialize(sketches(docs, words, least), "op9-sketches")
     grouped = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("short").alias("short"))
@@ -222,7 +244,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = LEAST) -
     bands = texts.select("tid", F.posexplode("sketch").alias("band", "value")).unionByName(_prefixes(texts, least))
     firsts = bands.groupBy("band", "value").agg(F.min("tid").alias("rep"), F.count("*").alias("n")).where("n > 1")
     members = materialize(bands.join(firsts.hint("merge"), ["band", "value"]).select("band", "value", "tid", "rep", "n"), "op9-members")
-    star = materialize(members.where("tid <> rep").select("tid", "rep").distinct(), "op9-star")
+    star = members.where("tid <> rep").select("tid", "rep").distinct()
 
     involved = members.select("tid").distinct().join(texts.select("digest", "tid").hint("merge"), "tid")
     involved = materialize(involved, "op9-involved")
@@ -233,17 +255,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = LEAST) -
     text = with_text(docs).alias("d").join(picked.alias("p"), on).select("tid", "text")
     shingles = materialize(_shingles(text, words).dropDuplicates(["tid"]), "op9-shingles")
 
-    links = materialize(_verify_pairs(star, shingles, least), "op9-links")
-    label = components(links)
+    label = components(_verify_pairs(star, shingles, least))
 
-    known = members.join(label.withColumnRenamed("node", "tid").hint("merge"), "tid", "left").select(
+    known = members.where("n > 2").join(label.withColumnRenamed("node", "tid").hint("merge"), "tid", "left").select(
         "band", "value", "tid", "n", F.coalesce("label", "tid").alias("label")
     )
     known = materialize(known, "op9-labelled")
-    mixed = known.groupBy("band", "value").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band", "value")
+    # several components, and the first of the buckets that have the same members (by two 64-bit sums of hashes)
+    same = [F.sum(F.xxhash64("tid") % 2**32).alias("s"), F.sum(F.xxhash64(F.lit(1), "tid") % 2**32).alias("t")]
+    mixed = known.groupBy("band", "value").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.first("n").alias("n"), *same).where("a <> b")
+    mixed = mixed.groupBy("s", "t", "n").agg(F.min(F.struct("band", "value")).alias("m")).select("m.band", "m.value")
     rest = known.join(mixed.hint("merge"), ["band", "value"], "left_semi")
-    more = materialize(_verify_blocks(rest, shingles, least), "op9-more")
-    label = components(links.unionByName(more))
+    more = materialize(_verify_blocks(rest, shingles, least), "op9-more", waves=2)
+    if more.limit(1).count():  # links between components: their labels are joined in turn
+        upper = components(more).select(F.col("node").alias("label"), F.col("label").alias("top"))
+        label = label.join(upper.hint("merge"), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+        lone = upper.select(F.col("label").alias("node"), F.col("top").alias("label"))
+        label = label.unionByName(lone).groupBy("node").agg(F.min("label").alias("label"))
     classes = texts.select("digest", "tid").join(label.withColumnRenamed("node", "tid").hint("merge"), "tid", "left")
     classes = classes.select("digest", "tid", F.coalesce("label", "tid").alias("class_id"))
     heads = grouped.select("digest", F.col("doc_id").alias("first_doc"))
@@ -271,7 +299,7 @@ def _verify_pairs(star: DataFrame, shingles: DataFrame, least: float) -> DataFra
 
 
 def _verify_blocks(rest: DataFrame, shingles: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """u, v of similar members of a bucket in different components, block against block."""
+    """u, v: labels of different components that hold similar members of a bucket, block against block."""
     blocks = F.ceil(F.col("n") / block).cast("int")
     rest = rest.withColumn("own", F.pmod(F.xxhash64("tid", "band"), blocks).cast("int")).join(shingles.hint("merge"), "tid")
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
@@ -279,34 +307,45 @@ def _verify_blocks(rest: DataFrame, shingles: DataFrame, least: float, block: in
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
-        label = {}
+        top: dict[int, int] = {}
 
         def find(c: int) -> int:
-            while label.get(c, c) != c:
-                c = label[c]
+            while top.get(c, c) != c:
+                c = top[c]
             return c
 
-        pdf = pdf.sort_values("tid")
-        rows = list(zip(pdf["own"], pdf["tid"], pdf["label"], map(_unpack, pdf["shingles"]), strict=True))
         out = []
-        for i, (p, a, la, sa) in enumerate(rows):
-            for q, b, lb, sb in rows[i + 1 :]:
-                if (x == y or p != q) and find(la) != find(lb) and aligned_similarity(sa, sb, least) >= least:
-                    label[find(lb)] = find(la)
-                    out.append((a, b))
+        if pdf["label"].nunique() > 1:
+            pdf = pdf.sort_values("tid")
+            one = pdf["x"].iloc[0] == pdf["y"].iloc[0]
+            own, label = pdf["own"].to_numpy(), pdf["label"].to_numpy()
+            texts = list(map(_unpack, pdf["shingles"]))
+            n = np.array(list(map(len, texts)))
+            enough = shared_counts(texts) >= least * np.maximum(n[:, None], n[None, :]) - 1e-6
+            enough &= label[:, None] != label[None, :]
+            if not one:  # pairs inside a block are met elsewhere
+                enough &= own[:, None] != own[None, :]
+            for i, j in np.argwhere(np.triu(enough, 1)).tolist():
+                a, b = find(int(label[i])), find(int(label[j]))
+                if a != b and aligned_similarity(texts[i], texts[j], least) >= least:
+                    top[max(a, b)] = min(a, b)
+                    out.append((int(label[i]), int(label[j])))
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     return rest.groupBy("band", "value", "x", "y").applyInPandas(run, "u long, v long")
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The documents that are kept, one of each class; columns as given."""
+    """The documents that are kept, one of each class; columns as given, whatever their names.
+
+    Nulls, empty texts, ties, repeated rows (one of them stays) and very long texts as in
+    :func:`near_duplicates`; an empty table stays empty.
+    """
     keep = near_duplicates(docs, **options).where("is_kept").groupBy("doc_id", "digest").agg(F.count("*").alias("rows"))
     keep = materialize(keep.select(*[F.col(c).alias(f"k_{c}") for c in ("doc_id", "digest", "rows")]), "op9-kept")
-    d = docs.withColumn("k_own", F.md5(F.coalesce("text", F.lit(""))))
-    on = d["doc_id"].eqNullSafe(keep["k_doc_id"]) & (d["k_own"] == keep["k_digest"])
-    out = d.join(keep.hint("merge"), on)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    d = docs.select(row.alias("row"), F.col("doc_id").alias("own_id"), F.md5(F.coalesce("text", F.lit(""))).alias("own_digest"))
+    out = d.join(keep.hint("merge"), F.col("own_id").eqNullSafe(F.col("k_doc_id")) & (F.col("own_digest") == F.col("k_digest")))
     if keep.where("k_rows > 1").limit(1).count():  # repeated rows: one of them stays
         out = out.dropDuplicates(["k_doc_id", "k_digest"])
-    return out.select(*docs.columns)
+    return out.select("row.*")
