@@ -2,108 +2,36 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.llm.common import crc_fold, materialize, with_text
+from tidemark.llm.dense import PREFIXES, Features
 
-#: Second-person words of the supported languages.
-SECOND_PERSON = frozenset(
-    "you your yours yourself u ya du dich dir dein deine ihr euch euer sie tu te toi ton ta tes vous votre vos "
-    "tú usted ustedes vosotros ti tus su sus".split()
-)
-#: Signs that stand for letters in obfuscated words.
-LOOKALIKE = str.maketrans("013457@$!*", "oieastasi_")
 #: Labelled rows of one fold that a fit reads at most, by hash order of doc_id.
 FIT_ROWS = 12_000
-NAMES = (
-    "lexicon_density", "lexicon_weight", "lexicon_hits", "lexicon_kinds", "near_you", "you_density", "capitals",
-    "shouted_words", "exclamations", "questions", "punctuation", "obfuscated", "obfuscated_hits", "digits", "longest_run", "log_words",
-)
-PREFIXES = (4, 5)
-_EDGE = re.compile(r"^\W+|\W+$")
-
-
-def terms_of(word: str) -> list[str]:
-    """A word's lexicon keys: itself and, if it is longer, its prefixes (marked by '~')."""
-    return [word, *(f"{word[:k]}~" for k in PREFIXES if len(word) > k)]
-
-
-class Features:
-    """Dense features of a text. Scores see the text alone, never lang, source, doc_id or labels."""
-
-    def __init__(self, lexicon: dict[str, float], near: int = 5, size: int = 300_000):
-        self.lexicon, self.near, self.size = lexicon, near, size
-        self.memo: dict[str, tuple] = {}
-
-    def word(self, raw: str) -> tuple:
-        """weight, is second person, capitals, letters, shouted, '!', '?', signs, obfuscated, obfuscated hit, digits, key."""
-        w = _EDGE.sub("", raw)
-        low = w.lower()
-        weight = max((self.lexicon.get(t, 0.0) for t in terms_of(low)), default=0.0)
-        letters = sum(c.isalpha() for c in w)
-        inner = letters and any(not c.isalpha() and c not in "-'’" for c in w)
-        hidden = 0.0
-        if inner and not weight:
-            plain = low.translate(LOOKALIKE)
-            hidden = max((self.lexicon.get(t, 0.0) for t in terms_of(plain)), default=0.0)
-        caps = sum(c.isupper() for c in raw)
-        signs = sum(not c.isalnum() for c in raw)
-        return (
-            max(weight, hidden), float(low in SECOND_PERSON), caps, letters, float(letters > 2 and caps == letters),
-            raw.count("!"), raw.count("?"), signs, float(bool(inner)), float(hidden > 0), sum(c.isdigit() for c in raw), hash(low) if weight or hidden else 0,
-        )
-
-    def __call__(self, text: str) -> list[float]:
-        words = text.split()
-        if not words:
-            return [0.0] * len(NAMES)
-        memo = self.memo
-        if len(memo) > self.size:
-            memo.clear()
-        for w in set(words).difference(memo):
-            memo[w] = self.word(w)
-        m = np.array([memo[w] for w in words], dtype=float)
-        n, s = len(words), m.sum(axis=0)
-        hits, you = np.flatnonzero(m[:, 0] > 0), np.flatnonzero(m[:, 1])
-        close = 0
-        if len(hits) and len(you):
-            at = np.searchsorted(you, hits)
-            left = hits - you[np.maximum(at - 1, 0)]
-            right = you[np.minimum(at, len(you) - 1)] - hits
-            close = int(((np.abs(left) <= self.near) | (np.abs(right) <= self.near)).sum())
-        run = max((len(x) for x in re.findall(r"([!?*$%#&@])\1+", text)), default=0)
-        letters = max(s[3], 1.0)
-        return [
-            len(hits) / n, s[0] / n, float(len(hits)), float(len(set(m[hits, 11]))), close / n, s[1] / n, s[2] / letters, s[4] / n, s[5] / n,
-            s[6] / n, s[7] / max(len(text), 1), s[8] / n, s[9] / n, s[10] / max(len(text), 1), float(run), float(np.log1p(n)),
-        ]
-
-
-def featurize(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """``rows`` and a column ``features`` of their text (null: empty); no shuffle.
-
-    The text is in a column ``text`` or in the field of that name of a struct column ``row``.
+
+
+def featurize(rows: DataFrame, lexicon: dict[str, float], text: str = "text") -> DataFrame:
+    """``rows`` and a column ``features`` of the column ``text`` (null: empty); no shuffle.
+
+    Only the text travels to Python and 16 doubles come back; the other columns stay in the JVM.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         f = Features(lexicon)
         for b in batches:
-            text = b.column("text") if "text" in b.schema.names else b.column("row").field("text")
-            got = pa.array([f(t or "") for t in text.to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*b.schema.names, "features"])
+            yield pa.array([f(t.as_py() or "") for t in b], pa.list_(pa.float64()))
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("features", T.ArrayType(T.DoubleType()))])
-    return rows.mapInArrow(run, schema)
+    # not deterministic to the optimizer, so a filter on the score never runs it a second time
+    return rows.withColumn("features", run.asNondeterministic()(F.col(text)))
 
 
 def learn_lexicon(rows: DataFrame, least_docs: int = 4, size: int = 400) -> dict[str, float]:
@@ -137,12 +65,12 @@ class ToxicityModel:
     def __init__(self, lexicon=None, trees=None, isotonic=None, rate: float = 0.0):
         self.lexicon, self.trees, self.isotonic, self.rate = lexicon or {}, trees, isotonic, rate
 
-    def score(self, rows: DataFrame) -> DataFrame:
+    def score(self, rows: DataFrame, text: str = "text") -> DataFrame:
         """``rows`` and score: calibrated, with a thousandth of the raw score to break ties."""
         keep = rows.columns
         if self.trees is None:
             return rows.withColumn("score", F.lit(self.rate))
-        df = featurize(rows, self.lexicon)
+        df = featurize(rows, self.lexicon, text)
         df = self.trees.transform(df.withColumn("vector", array_to_vector("features")))
         df = df.withColumn("raw", vector_to_array("probability")[1])
         if self.isotonic is not None:
@@ -180,9 +108,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, trees: int
         return ToxicityModel(rate=rate)
     lexicon = learn_lexicon(rows.where("fold <= 2"))
     vectors = featurize(rows.where("fold > 2"), lexicon)
-    vectors = materialize(
-        vectors.select(F.col("label").cast("double").alias("label"), "fold", "features").coalesce(2), "op5-features"
-    ).withColumn("vector", array_to_vector("features"))
+    # features on all cores, then a few kilobytes a hundred rows in two partitions for the many small jobs of the trees
+    vectors = vectors.select(F.col("label").cast("double").alias("label"), "fold", "features").repartition(2)
+    vectors = materialize(vectors, "op5-features").withColumn("vector", array_to_vector("features"))
     gbt = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.2, seed=7)
     model = gbt.fit(vectors.where("fold = 3"))
     c, d = seen.get(4, (0, 0))
@@ -194,7 +122,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, trees: int
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """One row a document: doc_id, held_out, score, predicted. Null texts score as empty ones."""
+    """One row a document: doc_id, held_out, score, predicted.
+
+    Null and empty texts score as a text without words; equal texts score equally, whatever their
+    ids; repeated rows give a row each; an empty table gives none. A null doc_id counts as held out
+    (crc32 of the empty string). Texts are read in slices, so a very long one needs no more memory
+    than itself. Other columns, whatever their names, play no part.
+    """
     out = fit(docs, labels, **options).score(with_text(docs))
     return out.select(
         "doc_id", (crc_fold(F.col("doc_id")) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
@@ -202,6 +136,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that score under 0.5; columns as given."""
+    """The documents that score under 0.5; columns as given, whatever their names.
+
+    Nulls, empty and very long texts, ties and repeated rows as in :func:`score_toxicity`.
+    """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return fit(docs, labels, **options).score(rows).where("score < 0.5").select("row.*")
+    return fit(docs, labels, **options).score(rows, "row.text").where("score < 0.5").select("row.*")
