@@ -77,7 +77,40 @@ def test_token_counts_equal_the_library(docs, rows):
     for x in odd:
         ids = t.encode(x, add_special_tokens=False).ids
         assert np.frombuffer(enc.encode_many([x])[0], "<u4").tolist() == ids
-        assert tokens.encode_chunked(t, x, 60, 4) == ids
+        assert list(tokens.encode_chunked(t, x, 60, 4)) == ids
+
+
+class Counting:
+    """A tokenizer that counts the characters it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.n = tokenizer, 0
+
+    def encode(self, text, **options):
+        self.n += len(text)
+        return self.tokenizer.encode(text, **options)
+
+
+def test_long_texts_without_spaces_are_encoded_about_once():
+    t, rng = tokens.load(tokenizer_path()), random.Random(6)
+    pieces = ["it's ", "we'll", "12", "é\u0301", "ß", "<|endoftext|>", "...", "'", "漢字", "\n", "가", "\u1100", "\u1161"]
+    texts = {
+        "cjk": "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(1_000_000)), "letters": "".join(rng.choices("abcdefghij", k=300_000)),
+        "one": "a" * 300_000, "mixed": "".join(rng.choices(pieces, k=60_000)), "signs": ".!?" * 90_000, "spaces": " " * 300_000, "digits": "123" * 90_000,
+    }
+    for name, x in texts.items():
+        c = Counting(t)
+        assert list(tokens.encode_chunked(c, x)) == t.encode(x, add_special_tokens=False).ids, name
+        assert c.n < 1.5 * len(x), name
+
+
+def test_ids_survive_beside_nulls(spark):
+    rows = [(2**53 + 1, "one text"), (None, "no id"), (2**53 + 3, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = {r[0] for r in rows}
+    assert {r.doc_id for r in tokens.count_tokens(d, tokenizer_path()).collect()} == want
+    assert {r.doc_id for r in fingerprint.fingerprint_edits(d).collect()} == want
+    assert {r.doc_id for r in packing.pack(d, tokenizer_path()).collect()} == want
 
 
 def test_top_k_equals_brute_force(spark):

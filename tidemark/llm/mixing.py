@@ -48,6 +48,11 @@ def pivotal(items: list[tuple], seed: int) -> tuple[list[tuple], tuple | None]:
     return done, held
 
 
+def words_of(text: str) -> F.Column:
+    """The size of a text column: its words (null: 0)."""
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0) -> DataFrame:
     """source, source_size, target from (source, size) rows.
 
@@ -97,9 +102,8 @@ def mix(
     a tree of the same fan-in until each source has one left, which a last draw decides. So a
     source's words miss its target by at most one document.
     """
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     units = materialize(
-        docs.select("doc_id", "source", size.alias("size"))
+        docs.select("doc_id", "source", words_of("text").alias("size"))
         .groupBy("doc_id", "source", "size")
         .agg(F.count("*").alias("n_rows")),
         "op6-units",
@@ -184,16 +188,17 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents, each as often as the mix takes it; columns as given."""
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    """The documents, each as often as the mix takes it; columns as given, whatever their names.
+
+    Null sources are a source of their own; null and empty texts have no words and are never taken;
+    repeated rows are decided together; an empty table stays empty. A very long text is one unit.
+    """
     m = mix(docs, **options).where("copies > 0").select(
         F.col("doc_id").alias("m_doc_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), F.col("copies").alias("m_copies")
     )
     m = materialize(m, "op6-copies")
-    d = docs.withColumn("m_own", size)
-    on = d["doc_id"].eqNullSafe(m["m_doc_id"]) & d["source"].eqNullSafe(m["m_source"]) & (d["m_own"] == m["m_size"])
-    return (
-        d.join(m.hint("merge"), on)
-        .withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_copies"))))
-        .select(*docs.columns)
-    )
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    d = docs.select(row.alias("row"), F.col("doc_id").alias("own_id"), F.col("source").alias("own_source"), words_of("text").alias("own_size"))
+    on = F.col("own_id").eqNullSafe(F.col("m_doc_id")) & F.col("own_source").eqNullSafe(F.col("m_source")) & (F.col("own_size") == F.col("m_size"))
+    copies = d.join(m.hint("merge"), on).select("row", F.explode(F.sequence(F.lit(1), F.col("m_copies"))).alias("copy"))
+    return copies.select("row.*")
