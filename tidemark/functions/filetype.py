@@ -9,18 +9,51 @@ from tidemark.functions.text import extension
 
 # Extensions by language.
 LANGUAGES = {
-    "python": "py", "javascript": "js jsx", "typescript": "ts tsx", "ruby": "rb", "go": "go", "rust": "rs", "java": "java",
-    "kotlin": "kt kts", "csharp": "cs", "cpp": "cpp cc hpp", "c": "c h", "swift": "swift", "php": "php", "scala": "scala",
-    "bash": "sh bash", "zsh": "zsh", "yaml": "yml yaml", "json": "json", "toml": "toml", "xml": "xml", "html": "html", "css": "css",
-    "scss": "scss", "sql": "sql", "markdown": "md", "r": "r", "dart": "dart", "lua": "lua", "elixir": "ex exs", "erlang": "erl",
-    "haskell": "hs", "ocaml": "ml", "clojure": "clj", "vim": "vim", "terraform": "tf", "graphql": "graphql", "protobuf": "proto",
-}
+    "python": ("py",),
+    "javascript": ("js", "jsx"),
+    "typescript": ("ts", "tsx"),
+    "ruby": ("rb",),
+    "go": ("go",),
+    "rust": ("rs",),
+    "java": ("java",),
+    "kotlin": ("kt", "kts"),
+    "csharp": ("cs",),
+    "cpp": ("cpp", "cc", "hpp"),
+    "c": ("c", "h"),
+    "swift": ("swift",),
+    "php": ("php",),
+    "scala": ("scala",),
+    "bash": ("sh", "bash"),
+    "zsh": ("zsh",),
+    "yaml": ("yml", "yaml"),
+    "json": ("json",),
+    "toml": ("toml",),
+    "xml": ("xml",),
+    "html": ("html",),
+    "css": ("css",),
+    "scss": ("scss",),
+    "sql": ("sql",),
+    "markdown": ("md",),
+    "r": ("r",),
+    "dart": ("dart",),
+    "lua": ("lua",),
+    "elixir": ("ex", "exs"),
+    "erlang": ("erl",),
+    "haskell": ("hs",),
+    "ocaml": ("ml",),
+    "clojure": ("clj",),
+    "vim": ("vim",),
+    "terraform": ("tf",),
+    "graphql": ("graphql",),
+    "protobuf": ("proto",),
+}
 # Languages that are indexed.
 INDEXABLE = (
-    "python javascript typescript ruby go rust java kotlin csharp cpp c swift php scala bash zsh yaml json toml sql lua terraform graphql protobuf"
-).split()
+    "python", "javascript", "typescript", "ruby", "go", "rust", "java", "kotlin", "csharp", "cpp", "c", "swift", "php", "scala", "bash", "zsh",
+    "yaml", "json", "toml", "sql", "lua", "terraform", "graphql", "protobuf",
+)
 
-BY_EXTENSION = {f".{e}": lang for lang, es in LANGUAGES.items() for e in es.split()}
+BY_EXTENSION = {f".{e}": lang for lang, es in LANGUAGES.items() for e in es}
 
 
 def language(path: Column) -> Column:

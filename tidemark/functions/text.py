@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def strip_ws(c: Column) -> Column:
     """Trim all white space, not only spaces."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def empty(c: Column) -> Column:

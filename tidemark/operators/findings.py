@@ -43,6 +43,31 @@ def reconcile(previous: DataFrame, fresh: DataFrame, changed: DataFrame, include
     return current.unionByName(gone)
 
 
+def reconcile_runs(findings: DataFrame, previous: int, fresh: int, changed: DataFrame, include_resolved: bool = False) -> DataFrame:
+    """JON-1 for two runs of one table: key, fingerprint, path, ord, state, first_seen, last_seen.
+
+    ``findings``: key, run_id, fingerprint, path, ord. A fingerprint is one finding of its run: the
+    greatest path and ord of its rows count. Both runs meet in one aggregation by key and
+    fingerprint (combined before the shuffle, so repeated findings cost nothing); the latest ord of
+    the fresh run comes from the same aggregate, and one join says which paths changed.
+    """
+    of = lambda f, run, c: f(F.when(F.col("run_id") == run, F.col(c)))
+    both = findings.where(F.col("run_id").isin(previous, fresh)).groupBy(*KEY, "fingerprint").agg(
+        of(F.max, previous, "path").alias("was_path"), of(F.max, previous, "ord").alias("was"), of(F.max, fresh, "path").alias("new_path"), of(F.max, fresh, "ord").alias("new"),
+    )
+    now = both.groupBy(*KEY).agg(F.max("new").alias("now"))
+    touched = changed.select(*KEY, F.col("path").alias("was_path")).distinct().withColumn("touched", F.lit(True))
+    d = both.join(touched.hint("merge"), [*KEY, "was_path"], "left").join(now.hint("merge"), list(KEY))
+    gone = F.col("new").isNull()
+    state = F.when(gone, F.when(F.col("touched"), "resolved").otherwise("carried")).when(F.col("was").isNull(), "new").otherwise("keep")
+    last = F.when(~gone, F.col("new")).when(F.col("touched"), F.col("was")).otherwise(F.coalesce("now", "was"))
+    out = d.select(
+        *KEY, "fingerprint", F.when(gone, F.col("was_path")).otherwise(F.col("new_path")).alias("path"), F.coalesce("new", "was").alias("ord"), state.alias("state"),
+        F.coalesce("was", "new").alias("first_seen"), last.alias("last_seen"),
+    )
+    return out if include_resolved else out.where("state <> 'resolved'")
+
+
 def carryover_counts(states: DataFrame) -> DataFrame:
     """AGG-1: kept, new, carried and resolved by change set (from reconcile with include_resolved)."""
     names = {"keep": "kept", "new": "new", "carried": "carried", "resolved": "resolved"}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import strip_ws
+
 
 def inbound_edges(paths: DataFrame, imports: DataFrame, refs: DataFrame) -> DataFrame:
     """AGG-4: imports of a path plus distinct files that refer to it; 0 if none."""
@@ -42,19 +44,56 @@ def blast_radius(seeds: DataFrame, symbols: DataFrame, refs: DataFrame, hops: in
     return out.select("seed_id", "path", "depth", "symbols")
 
 
-def one_hop(changed: DataFrame, imports: DataFrame) -> DataFrame:
-    """JON-17: distinct import targets of changed files that are not changed themselves."""
-    c = changed.select(F.col("path").alias("source_path")).distinct()
-    hit = imports.join(c, "source_path", "left_semi").select(F.col("target_path").alias("path")).distinct()
-    return hit.join(c.withColumnRenamed("source_path", "path"), "path", "left_anti")
+def one_hop(changed: DataFrame, imports: DataFrame, *by: str) -> DataFrame:
+    """JON-17: distinct import targets of changed files that are not changed themselves.
+
+    ``changed``: the key columns ``by`` of a change set (none: one change set) and path; all change
+    sets are looked up together.
+    """
+    c = changed.select(*by, F.col("path").alias("source_path")).distinct()
+    hit = imports.select("source_path", F.col("target_path").alias("path")).join(c, "source_path").select(*by, "path").distinct()
+    return hit.join(c.withColumnRenamed("source_path", "path"), [*by, "path"], "left_anti")
 
 
-def importers(changed: DataFrame, imports: DataFrame, cap: int = 20) -> DataFrame:
-    """JON-11: unchanged files that import a changed path, at most ``cap`` a target, in path order."""
-    c = changed.select(F.col("path").alias("target_path")).distinct()
-    hit = imports.join(c, "target_path", "left_semi").join(c.withColumnRenamed("target_path", "source_path"), "source_path", "left_anti")
-    w = Window.partitionBy("target_path").orderBy("source_path")
-    return hit.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
+def importers(changed: DataFrame, imports: DataFrame, cap: int = 20, *by: str) -> DataFrame:
+    """JON-11, files: unchanged files that import a changed path, at most ``cap`` a target, in path order.
+
+    ``by`` as in :func:`one_hop`. :func:`package_importers` has the form by package with its lines.
+    """
+    c = changed.select(*by, F.col("path").alias("target_path")).distinct()
+    hit = imports.join(c, "target_path").select(*by, "source_path", "target_path").distinct()
+    hit = hit.join(c.withColumnRenamed("target_path", "source_path"), [*by, "source_path"], "left_anti")
+    w = Window.partitionBy(*by, "target_path").orderBy("source_path")
+    return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
+
+
+def package_importers(changed: DataFrame, files: DataFrame, modules: DataFrame, cap: int = 20, most_lines: int = 8) -> DataFrame:
+    """JON-11: Go files that import a changed package, with the lines that use it.
+
+    ``changed``: change_id, repo, path. ``files``: repo, path, content. ``modules``: repo, module.
+    Packages are the folders of changed Go files that are no tests; importers are files whose text
+    holds the quoted import path, outside the package's folder, no tests, and not changed
+    themselves. The first ``cap`` of each change set by path (then package) stay, each with its
+    first ``most_lines`` lines that hold the package's name and a dot ('7: x.Do()'). Returns
+    change_id, repo, path, package, lines.
+    """
+    go = lambda c: c.endswith(".go") & ~c.endswith("_test.go")
+    folder = lambda c: F.regexp_extract(c, "^(.*)/[^/]*$", 1)
+    packages = changed.where(go(F.col("path"))).select("change_id", "repo", folder(F.col("path")).alias("package")).distinct()
+    packages = packages.join(modules.where("module <> ''").select("repo", "module").distinct().hint("merge"), "repo")
+    packages = packages.withColumn("import", F.concat_ws("/", "module", F.when(F.col("package") != "", F.col("package"))))
+    code = files.where(go(F.col("path")) & F.col("content").contains('"'))
+    quoted = code.select("repo", "path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r'"([^"\\\s]+)"'), F.lit(1)))).alias("import"))
+    hit = quoted.join(packages.hint("merge"), ["repo", "import"]).where(folder(F.col("path")) != F.col("package"))
+    hit = hit.join(changed.select("change_id", "repo", "path").distinct().hint("merge"), ["change_id", "repo", "path"], "left_anti")
+    w = Window.partitionBy("change_id", "repo").orderBy("path", "package")
+    hit = hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
+    used = hit.select("change_id", "repo", "path", "package").join(files.select("repo", "path", "content").hint("merge"), ["repo", "path"])
+    needle = F.concat(F.regexp_extract("package", "([^/]*)$", 1), F.lit("."))
+    rows = F.transform(F.split("content", "\n"), lambda x, k: F.struct((k + 1).alias("n"), x.alias("line")))
+    rows = F.slice(F.filter(rows, lambda x: x["line"].contains(F.col("needle"))), 1, most_lines)
+    text = F.transform(rows, lambda x: F.concat(x["n"].cast("string"), F.lit(": "), strip_ws(x["line"])))
+    return used.withColumn("needle", needle).select("change_id", "repo", "path", "package", text.alias("lines"))
 
 
 def capped_graph(edges: DataFrame, cap: int = 24) -> DataFrame:

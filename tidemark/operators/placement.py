@@ -44,18 +44,25 @@ def _open(findings: DataFrame) -> DataFrame:
 def matches_of(findings: DataFrame, lines: DataFrame) -> DataFrame:
     """finding_id, change_id, stage, start, end: the first run of a finding's lines in each change of its change set.
 
-    Lines are found by an equi-join on the first quoted line. Each further line is a join on its
-    exact position, so nothing is compared that doesn't already begin right.
+    A finding is anchored at its rarest quoted line, counted in its change set, so a blank brace or
+    an 'end' that every file has draws nothing. The anchor is an equality join; each further line is
+    a join on its exact position, so nothing is compared that doesn't already fit in one place. All
+    joins are sort-merge joins: sizes after an explode are guesses.
     """
     todo = _open(findings)
     ident = ["change_id", "stage", "hunk_no"]
-    heads = todo.select("finding_id", *KEY, F.get("target", F.lit(0)).alias("line"), F.size("target").alias("m"))
-    starts = heads.join(lines, [*KEY, "line"]).select("finding_id", *KEY, *ident, F.col("pos").alias("at"), F.col("line_no").alias("start"), "m")
-    tails = todo.select("finding_id", F.posexplode("target").alias("j", "line")).where("j > 0")
-    wanted = starts.where("m > 1").join(tails, "finding_id").withColumn("pos", F.col("at") + F.col("j"))
-    run = wanted.join(lines, [*KEY, *ident, "pos", "line"]).groupBy("finding_id", *ident, "at", "start", "m").agg(F.count("*").alias("n"), F.max("line_no").alias("end"))
-    hits = run.where("n = m - 1").select("finding_id", *ident, "at", "start", "end")
-    hits = hits.unionByName(starts.where("m = 1").select("finding_id", *ident, "at", "start", F.col("start").alias("end")))
+    quoted = todo.select("finding_id", *KEY, F.size("target").alias("m"), F.posexplode("target").alias("j", "line"))
+    often = lines.groupBy(*KEY, "line").agg(F.count("*").alias("f"))
+    found = quoted.join(often.hint("merge"), [*KEY, "line"]).groupBy("finding_id", *KEY, "m").agg(F.count("*").alias("k"), F.min(F.struct("f", "j", "line")).alias("a"))
+    heads = found.where("k = m").select("finding_id", *KEY, "m", F.col("a.j").alias("j0"), F.col("a.line").alias("line"))
+    starts = heads.join(lines.hint("merge"), [*KEY, "line"])
+    starts = starts.select("finding_id", *KEY, *ident, (F.col("pos") - F.col("j0")).alias("at"), "j0", F.col("line_no").alias("n0"), "m").where("at > 0")
+    tails = quoted.select("finding_id", "j", "line")
+    wanted = starts.where("m > 1").join(tails.hint("merge"), "finding_id").where("j <> j0").withColumn("pos", F.col("at") + F.col("j"))
+    run = wanted.join(lines.hint("merge"), [*KEY, *ident, "pos", "line"]).groupBy("finding_id", *ident, "at", "n0", "m")
+    run = run.agg(F.count("*").alias("n"), F.min("line_no").alias("lo"), F.max("line_no").alias("hi")).where("n = m - 1")
+    hits = run.select("finding_id", *ident, "at", F.least("n0", "lo").alias("start"), F.greatest("n0", "hi").alias("end"))
+    hits = hits.unionByName(starts.where("m = 1").select("finding_id", *ident, "at", F.col("n0").alias("start"), F.col("n0").alias("end")))
     first = F.min(F.struct("stage", "hunk_no", "at", "start", "end")).alias("p")
     return hits.groupBy("finding_id", "change_id").agg(first).select("finding_id", "change_id", "p.stage", "p.start", "p.end")
 

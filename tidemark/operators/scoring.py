@@ -35,12 +35,6 @@ SEVERITIES = ("critical", "high", "medium", "low")
 BUMP = 0.05
 
 
-def policy_table(spark, policy: dict = POLICY, defaults: tuple = DEFAULTS) -> DataFrame:
-    """One row a category and 'defaults'; categories without a severity map are left out."""
-    rows = [(k, float(i), float(c), m) for k, (i, c, m) in {**policy, "defaults": defaults}.items() if m]
-    return spark.createDataFrame(rows, "policy_key string, impact double, confidence_floor double, severity_map map<string,string>")
-
-
 def score(findings: DataFrame, policy: dict = POLICY, defaults: tuple = DEFAULTS) -> DataFrame:
     """JON-8: adds score_severity, confidence, impact, rationale.
 
@@ -50,7 +44,7 @@ def score(findings: DataFrame, policy: dict = POLICY, defaults: tuple = DEFAULTS
     entries = {**{k: v for k, v in policy.items() if v[2]}, "defaults": defaults}
     cat, raw = F.lower(strip_ws(empty(F.col("category")))), F.lower(strip_ws(empty(F.col("severity"))))
     keys = [k for k in entries if k != "defaults"]
-    prefix = F.regexp_extract(cat, r"^([^.]+)\.", 1)
+    prefix = F.when(F.instr(cat, ".") > 1, F.substring_index(cat, ".", 1)).otherwise("")
     key = F.when(cat.isin(keys), cat).when(prefix.isin(keys), prefix).otherwise("defaults")
     flat = {f"{k}|{s}": v for k, (_, _, m) in entries.items() for s, v in m.items()}
     literal = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])

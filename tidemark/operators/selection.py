@@ -28,10 +28,16 @@ ALWAYS_IGNORED = (".idea", ".vscode", ".svn", ".git", "vendor", "node_modules",
 GENERATED = ("DO NOT EDIT", "AUTO-GENERATED", "AUTOGENERATED", "GENERATED BY", "AUTOMATICALLY GENERATED", "THIS FILE IS GENERATED", "@GENERATED")
 # Path components by kind.
 AUTH = (
-    "auth authn authz session sessions token tokens crypto oauth oauth2 jwt tls ssl permission permissions rbac acl iam keycloak"
-).split()
-MIGRATION = "migration migrations migrate schema schemata sqlmigrate".split()
-INFRA = "dockerfile docker k8s kubernetes helm terraform ansible cloudformation pulumi".split()
+    "auth", "authn", "authz", "session", "sessions", "token", "tokens", "crypto", "oauth", "oauth2", "jwt", "tls", "ssl", "permission",
+    "permissions", "rbac", "acl", "iam", "keycloak",
+)
+MIGRATION = (
+    "migration", "migrations", "migrate", "schema", "schemata", "sqlmigrate",
+)
+INFRA = (
+    "dockerfile", "docker", "k8s", "kubernetes", "helm", "terraform", "ansible", "cloudformation", "pulumi",
+)
+# File names of tests.
 TEST_NAME = r"(?i)(_test\.go|\.test\.(js|ts|jsx|tsx)|\.spec\.(js|ts)|_test\.py)$|^test_.*\.py$"
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import graph_queries, review_queries, session_queries
+from tidemark.plans import graph_queries, report_queries, review_queries, session_queries, source_queries
 
-MODULES = (review_queries, graph_queries, session_queries)
+MODULES = (review_queries, graph_queries, session_queries, source_queries, report_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

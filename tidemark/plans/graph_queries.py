@@ -32,6 +32,11 @@ def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     return refs, symbols, refs.select("source_path", "target_path").distinct()
 
 
+def _changed(symbols: DataFrame) -> DataFrame:
+    """All files as change sets (``seed_id``) of eight neighbours."""
+    return symbols.select(F.expr("file_path div 8").alias("seed_id"), F.col("file_path").alias("path")).distinct()
+
+
 _INBOUND = """inb AS (SELECT p.path, coalesce(i.i,0) + coalesce(r.r,0) AS n_inbound FROM (SELECT DISTINCT source_path AS path FROM fx_refs) p
 LEFT JOIN (SELECT target_path AS path, count(*) AS i FROM fx_imports GROUP BY 1) i USING (path)
 LEFT JOIN (SELECT target_path AS path, count(DISTINCT source_path) AS r FROM fx_refs GROUP BY 1) r USING (path))"""
@@ -50,7 +55,7 @@ def ranked_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""{R0}, seeds AS (SELECT DISTINCT file_path % 25 AS seed_id, file_path AS path FROM fx_symbols WHERE file_path % 50 IN (3, 28)),
+    f"""{R0}, seeds AS (SELECT DISTINCT file_path // 8 AS seed_id, file_path AS path FROM fx_symbols),
 h1 AS (SELECT DISTINCT s.seed_id, r.source_path AS path, r.source_symbol AS symbol FROM seeds s JOIN fx_symbols y ON y.file_path = s.path
   JOIN fx_refs r ON r.target_path = s.path AND r.target_symbol = y.name WHERE NOT EXISTS (SELECT 1 FROM seeds v WHERE v.seed_id = s.seed_id AND v.path = r.source_path)),
 h2 AS (SELECT DISTINCT h.seed_id, r.source_path AS path, r.source_symbol AS symbol FROM h1 h JOIN fx_refs r ON r.target_path = h.path AND r.target_symbol = h.symbol
@@ -60,23 +65,26 @@ UNION ALL SELECT seed_id, path, CAST(2 AS INT), string_agg(symbol, ',' ORDER BY
 )
 def blast_radius(spark: SparkSession, d: str) -> DataFrame:
     refs, symbols, _ = _graph(spark, d)
-    seeds = symbols.where((F.col("file_path") % 50).isin(3, 28)).select((F.col("file_path") % 25).alias("seed_id"), F.col("file_path").alias("path"))
-    return graph.blast_radius(seeds, symbols, refs).withColumn("symbols", F.array_join("symbols", ","))
+    return graph.blast_radius(_changed(symbols), symbols, refs).withColumn("symbols", F.array_join("symbols", ","))
 
 
-@query(f"{R0} SELECT DISTINCT target_path AS path FROM fx_imports WHERE source_path % 10 = 1 AND target_path NOT IN (SELECT file_path FROM fx_symbols WHERE file_path % 10 = 1)")
+@query(
+    f"""{R0}, c AS (SELECT DISTINCT file_path // 8 AS seed_id, file_path AS path FROM fx_symbols)
+SELECT DISTINCT c.seed_id, i.target_path AS path FROM fx_imports i JOIN c ON c.path = i.source_path WHERE (c.seed_id, i.target_path) NOT IN (SELECT (seed_id, path) FROM c)"""
+)
 def one_hop_related(spark: SparkSession, d: str) -> DataFrame:
     _, symbols, imports = _graph(spark, d)
-    return graph.one_hop(symbols.where("file_path % 10 = 1").select(F.col("file_path").alias("path")), imports)
+    return graph.one_hop(_changed(symbols), imports, "seed_id")
 
 
 @query(
-    f"""{R0}, i AS (SELECT * FROM fx_imports WHERE target_path IN (SELECT file_path FROM fx_symbols WHERE file_path % 10 = 1) AND source_path NOT IN (SELECT file_path FROM fx_symbols WHERE file_path % 10 = 1))
-SELECT target_path, source_path, CAST(row_number() OVER (PARTITION BY target_path ORDER BY source_path) AS INT) AS rank FROM i QUALIFY rank <= 20"""
+    f"""{R0}, c AS (SELECT DISTINCT file_path // 8 AS seed_id, file_path AS path FROM fx_symbols),
+i AS (SELECT DISTINCT c.seed_id, target_path, source_path FROM fx_imports JOIN c ON c.path = target_path WHERE (c.seed_id, source_path) NOT IN (SELECT (seed_id, path) FROM c))
+SELECT seed_id, target_path, source_path, CAST(row_number() OVER (PARTITION BY seed_id, target_path ORDER BY source_path) AS INT) AS rank FROM i QUALIFY rank <= 20"""
 )
 def reverse_importers(spark: SparkSession, d: str) -> DataFrame:
     _, symbols, imports = _graph(spark, d)
-    return graph.importers(symbols.where("file_path % 10 = 1").select(F.col("file_path").alias("path")), imports)
+    return graph.importers(_changed(symbols), imports, 20, "seed_id").select("seed_id", "target_path", "source_path", "rank")
 
 
 @query(
@@ -94,7 +102,7 @@ def capped_graph(spark: SparkSession, d: str) -> DataFrame:
 
 # --- overlaps ------------------------------------------------------------------------------------
 
-_PAIRS = f"""WITH {fx.PRS_SQL}, w AS (SELECT repo, number, list_distinct(list_filter(string_split(lower(title), ' '), lambda x: x <> '')) AS w FROM fx_prs),
+PAIRS = f"""WITH {fx.PRS_SQL}, w AS (SELECT repo, number, list_distinct(list_filter(string_split(lower(title), ' '), lambda x: x <> '')) AS w FROM fx_prs),
 titles AS (SELECT a.repo, a.number AS a, b.number AS b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS sim
   FROM w a JOIN w b ON a.repo = b.repo AND a.number < b.number AND len(a.w) > 0 AND len(b.w) > 0),
 p AS (SELECT repo, number, unnest(paths) AS path FROM fx_prs),
@@ -102,14 +110,14 @@ shared AS (SELECT x.repo, x.number AS a, y.number AS b, count(DISTINCT x.path) A
 pairs AS (SELECT repo, a, b, coalesce(t.sim, 0) AS title_similarity, coalesce(s.n, 0) AS n_shared FROM titles t FULL JOIN shared s USING (repo, a, b) WHERE t.sim >= 0.4 OR s.n > 0)"""
 
 
-@query(f"{_PAIRS} SELECT repo, a, b, round(title_similarity, 6) AS title_similarity, CAST(n_shared AS INT) AS n_shared FROM pairs")
+@query(f"{PAIRS} SELECT repo, a, b, round(title_similarity, 6) AS title_similarity, CAST(n_shared AS INT) AS n_shared FROM pairs")
 def overlap_candidates(spark: SparkSession, d: str) -> DataFrame:
     o = overlap.overlap_candidates(fx.pull_requests(spark, d))
     return o.select("repo", "a", "b", F.round("title_similarity", 6).alias("title_similarity"), F.size("shared_paths").alias("n_shared"))
 
 
 @query(
-    f"""{_PAIRS}, v AS (SELECT repo, a, b, ['none','duplicate_effort','merge_conflict','both'][(a+b)%4+1] AS kind, ((a*7+b)%101)/100.0::DOUBLE AS confidence FROM pairs)
+    f"""{PAIRS}, v AS (SELECT repo, a, b, ['none','duplicate_effort','merge_conflict','both'][(a+b)%4+1] AS kind, ((a*7+b)%101)/100.0::DOUBLE AS confidence FROM pairs)
 SELECT repo, a, b, kind, confidence, CAST(row_number() OVER (PARTITION BY repo, a ORDER BY CASE kind WHEN 'both' THEN 3 WHEN 'merge_conflict' THEN 2 ELSE 1 END DESC, confidence DESC, b) AS INT) AS rank
 FROM v WHERE kind <> 'none' AND confidence >= 0.6 QUALIFY rank <= 20"""
 )
@@ -246,9 +254,16 @@ def priority_prefix(spark: SparkSession, d: str) -> DataFrame:
 SQL["priority_prefix"] = f"{X0} SELECT path, CAST(sum(strlen(content)) OVER (PARTITION BY repo ORDER BY doc_id) AS BIGINT) AS used FROM fx_files QUALIFY used <= 30000"
 
 
-@query(f"{X0} SELECT path, regexp_matches(upper(left(content, 1000)), 'DO NOT EDIT|GENERATED BY|@GENERATED') AS is_generated FROM fx_files")
+@query(
+    f"""{X0} SELECT path, doc_id % 9 < 7 AND doc_id % 5 <> 0 OR regexp_matches(upper(content[1:200]), '{'|'.join(selection.GENERATED)}') AS is_generated FROM fx_files WHERE strlen(content) = length(content) OR doc_id % 9 < 7"""
+)
 def generated_files(spark: SparkSession, d: str) -> DataFrame:
-    return fx.files(spark, d).select("path", selection.is_generated(F.col("content")).alias("is_generated"))
+    """FLT-6: seven files of nine get one of the marks, of which a fifth behind the first 1000 bytes."""
+    f = fx.files(spark, d).where("octet_length(content) = length(content) or doc_id % 9 < 7")
+    mark = F.element_at(F.array(*[F.lit(m.capitalize()) for m in selection.GENERATED], F.lit(""), F.lit("")), (F.col("doc_id") % 9 + 1).cast("int"))
+    gap = F.when(F.col("doc_id") % 5 == 0, F.repeat(F.lit("é"), F.lit(500))).otherwise("// ")
+    content = F.when(F.col("doc_id") % 9 < 7, F.concat(gap, mark, F.lit("\n"), F.substring("content", 1, 200))).otherwise(F.substring("content", 1, 200))
+    return f.select("path", selection.is_generated(content).alias("is_generated"))
 
 
 @query(r"SELECT page_id, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^:]+://(?:[^/@]*@)?([^/@]+)', 1)) || '/' || regexp_replace(regexp_extract(u, '^[^:]+://[^/]+/?(.*)$', 1), '/$', ''), '\.git$', ''), '/$', '') AS remote FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u FROM pages)")

@@ -178,10 +178,7 @@ states AS (
 
 def _states(spark: SparkSession, d: str, resolved: bool) -> DataFrame:
     f = fx.findings(spark, d)
-    one = findings.with_fingerprint(f).groupBy(*KEY, "run_id", "fingerprint").agg(F.max("path").alias("path"), F.max("ord").alias("ord"))
-    prev = one.where("run_id = 1").withColumn("first_seen", F.col("ord")).drop("run_id")
-    fresh = one.where("run_id = 2").withColumn("seen", F.col("ord")).drop("run_id")
-    return findings.reconcile(prev, fresh, fx.changed_paths(f), resolved)
+    return findings.reconcile_runs(findings.with_fingerprint(f), 1, 2, fx.changed_paths(f), resolved)
 
 
 @query(f"{_STATES} SELECT * FROM states WHERE state <> 'resolved'")
@@ -338,7 +335,7 @@ _EFFORT_SQL = f"""{FS}, {fx.CHANGES_SQL}, fl AS (SELECT *, insertions + deletion
 g AS (SELECT owner, repo, pr, sum(churn)::DOUBLE AS churn, count(*)::DOUBLE AS n, count(*) FILTER (is_new AND NOT is_renamed)::DOUBLE AS fresh, max(churn)::DOUBLE AS top,
   count(*) FILTER (is_test)::DOUBLE AS tests, bool_or(auth) AS auth, bool_or(mig) AS mig, bool_or(infra) AS infra FROM fl GROUP BY ALL),
 s AS (SELECT owner, repo, pr, count(*) FILTER (score_severity='CRITICAL') * 1.5::DOUBLE + count(*) FILTER (score_severity='HIGH') * 0.75::DOUBLE
-  + count(*) FILTER (score_severity='MEDIUM') * 0.3::DOUBLE + count(*) FILTER (score_severity='LOW') * 0.05::DOUBLE AS pts FROM fx_scored WHERE ord % 50 = 0 GROUP BY ALL),
+  + count(*) FILTER (score_severity='MEDIUM') * 0.3::DOUBLE + count(*) FILTER (score_severity='LOW') * 0.05::DOUBLE AS pts FROM fx_scored GROUP BY ALL),
 r AS (SELECT g.owner, g.repo, g.pr, 0.5::DOUBLE + {_CAP('churn/10.0*0.05', 2.5)} + {_CAP('n*0.05', 1.5)} + {_CAP('fresh*0.1', 1.5)} + {_CAP('top/10.0*0.03', 1.0)}
   + CASE WHEN tests = n THEN 0 WHEN tests/n >= 0.5 THEN -1.0 WHEN tests/n >= 0.25 THEN -0.5 ELSE 0 END
   + CASE WHEN auth THEN 1.5 ELSE 0 END + CASE WHEN mig THEN 1.5 ELSE 0 END + CASE WHEN infra THEN 1.0 ELSE 0 END
@@ -350,20 +347,42 @@ SELECT owner, repo, pr, CAST(round(raw) AS INT) AS value, CASE WHEN round(raw) <
 
 @query(_EFFORT_SQL)
 def effort_scores(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-5. The findings are those of one review in fifty, so the caps don't hide the rest."""
-    sev = scoring.severity_histogram(_scored(spark, d).where("ord % 50 = 0"))
+    """AGG-5 over all scored findings."""
+    sev = scoring.severity_histogram(_scored(spark, d))
     return effort.effort_scores(_effort_files(spark, d), sev).select(*KEY, "value", "label", F.round("raw", 6).alias("raw"))
 
 
-@query(_EFFORT_SQL.replace(" WHERE ord % 50 = 0", ""))
+@query(_EFFORT_SQL)
 def effort_scores_all(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-5 over all scored findings; effort_scores takes one in fifty."""
-    sev = scoring.severity_histogram(_scored(spark, d))
-    return effort.effort_scores(_effort_files(spark, d), sev).select(*KEY, "value", "label", F.round("raw", 6).alias("raw"))
+    """The same, under the name it had while effort_scores took a part of the findings."""
+    return effort_scores(spark, d)
 
 
-@query()
+_HITS = "CASE WHEN n_{k} > 1 THEN p_{k}||' (+'||(n_{k} - 1)||' more)' ELSE p_{k} END"
+_AUDIT_SQL = f"""{FS}, {fx.CHANGES_SQL}, fl AS (SELECT *, insertions + deletions AS churn, {_HAS(selection.AUTH)} AS auth, {_HAS(selection.MIGRATION)} OR new_path LIKE '%.sql' AS migration,
+  {_HAS(selection.INFRA)} AS infra, new_path LIKE '%\\_test.go' ESCAPE '\\' AS is_test FROM fx_changes),
+g AS (SELECT owner, repo, pr, CAST(sum(insertions) AS BIGINT) AS added, CAST(sum(deletions) AS BIGINT) AS deleted, count(*) AS n, count(*) FILTER (is_new AND NOT is_renamed) AS fresh,
+  max(churn) AS top, arg_max(new_path, (churn, -ord)) AS top_path, count(*) FILTER (is_test) AS tests,
+  count(*) FILTER (auth) AS n_auth, arg_min(new_path, ord) FILTER (auth) AS p_auth, count(*) FILTER (migration) AS n_migration, arg_min(new_path, ord) FILTER (migration) AS p_migration,
+  count(*) FILTER (infra) AS n_infra, arg_min(new_path, ord) FILTER (infra) AS p_infra FROM fl GROUP BY ALL),
+s AS (SELECT owner, repo, pr, count(*) FILTER (score_severity='CRITICAL') AS c, count(*) FILTER (score_severity='HIGH') AS h, count(*) FILTER (score_severity='MEDIUM') AS m,
+  count(*) FILTER (score_severity='LOW') AS l FROM fx_scored GROUP BY ALL),
+i AS (SELECT owner, repo, pr, 'Base' AS signal, '' AS detail, 0.5::DOUBLE AS raw, NULL::DOUBLE AS cap FROM g
+  UNION ALL SELECT owner, repo, pr, 'LOC churn', '+'||added||' / −'||deleted||' ('||(added + deleted)||' lines)', (added + deleted)::DOUBLE / 10.0 * 0.05, 2.5 FROM g WHERE added + deleted > 0
+  UNION ALL SELECT owner, repo, pr, 'Files changed', n||' file(s)', n * 0.05::DOUBLE, 1.5 FROM g
+  UNION ALL SELECT owner, repo, pr, 'New files', fresh||' new', fresh * 0.1::DOUBLE, 1.5 FROM g WHERE fresh > 0
+  UNION ALL SELECT owner, repo, pr, 'Largest single file', top||' lines in '||top_path, top::DOUBLE / 10.0 * 0.03, 1.0 FROM g WHERE top > 0
+  UNION ALL SELECT owner, repo, pr, 'Test file ratio', CAST(round(tests / n * 100) AS INT)||'% ('||tests||' test / '||n||' total)', CASE WHEN tests / n >= 0.5 THEN -1.0 WHEN tests / n >= 0.25 THEN -0.5 ELSE 0 END, NULL FROM g WHERE tests < n
+  UNION ALL SELECT owner, repo, pr, 'Auth path touched', {_HITS.format(k='auth')}, 1.5, NULL FROM g WHERE n_auth > 0
+  UNION ALL SELECT owner, repo, pr, 'Migration path touched', {_HITS.format(k='migration')}, 1.5, NULL FROM g WHERE n_migration > 0
+  UNION ALL SELECT owner, repo, pr, 'Infra path touched', {_HITS.format(k='infra')}, 1.0, NULL FROM g WHERE n_infra > 0
+  UNION ALL SELECT owner, repo, pr, 'Findings', c||' CRIT / '||h||' HIGH / '||m||' MED / '||l||' LOW', c * 1.5::DOUBLE + h * 0.75::DOUBLE + m * 0.3::DOUBLE + l * 0.05::DOUBLE, 4.0 FROM s WHERE c + h + m + l > 0)
+SELECT owner, repo, pr, signal, detail, round(CASE WHEN raw >= cap THEN cap ELSE raw END, 6) AS points, coalesce(raw >= cap, false) AS capped FROM i WHERE raw <> 0"""
+
+
+@query(_AUDIT_SQL)
 def effort_audit(spark: SparkSession, d: str) -> DataFrame:
     """AGG-5: one row a contribution."""
     e = effort.effort_scores(_effort_files(spark, d), scoring.severity_histogram(_scored(spark, d)))
-    return e.select(*KEY, F.explode("contributions").alias("c")).select(*KEY, "c.*")
+    c = e.select(*KEY, F.explode("contributions").alias("c"))
+    return c.select(*KEY, "c.signal", "c.detail", F.round("c.points", 6).alias("points"), "c.capped")
