@@ -13,6 +13,7 @@ from tidemark.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double"
 WORDS = [f"w{i:03d}" for i in range(400)]
+KEY = "a key of the tests"
 
 
 def sentence(rng, n):
@@ -192,7 +193,7 @@ def test_surrogates_keep_form_and_distinctness(spark):
     texts = ["mail Ann.Lee@Example.com or ann.lee@example.com now", "call +1 (269) 555-1234 or 4111 1111 1111 1111 at 10.20.30.40", "password=b7db7aa4a5fcc78305 and Mrs. Maria Novak met Mr. John Smith",
              "Frau Maria Novak", 'token = "0cab398dc11d1a2a11dc6572c8df8bd228c864f3"', "nothing 12 here", None]
     d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, features string")
-    out = {r.doc_id: r.text for r in pii.pseudonymize(d).collect()}
+    out = {r.doc_id: r.text for r in pii.pseudonymize(d, KEY).collect()}
     assert out[6] is None and out[5] == texts[5]
     for i, secret in ((0, "ann.lee"), (1, "269) 555-1234"), (1, "4111 1111"), (1, "10.20.30.40"), (2, "b7db7aa4"), (2, "Novak"), (2, "Smith"), (4, "0cab398d")):
         assert secret.lower() not in out[i].lower()
@@ -203,7 +204,7 @@ def test_surrogates_keep_form_and_distinctness(spark):
     assert pii._luhn("".join(digits[:-1])) == int(digits[-1])
     key = b"k" * 32
     assert sorted(pii.permute(key, "t", v, 7, 11) for v in range(77)) == list(range(77)) and all(pii.permute(key, "t", v, 7, 11) != v for v in range(77))
-    assert pii.surrogate_report(d).where("n_entities > 0").count() == 5
+    assert pii.surrogate_report(d, KEY).where("n_entities > 0").count() == 5
 
 
 PHONES = """+15551234567|5551234567|555-0142|(555) 123-4567|+1 (269) 555-1234|030 1234567|0170-1234567|(030) 1234567|030/1234567|+49 30 1234567|+49 170 1234567
@@ -231,7 +232,7 @@ def test_ipv6_and_things_that_are_no_phones():
 def test_names_are_coreferent_by_part(spark):
     texts = ["Mrs. Maria Novak came. Novak said so, and Maria Novak wrote; NOVAK's book.", "Dr. Maria del Carmen Lopez and Lopez", "Mr. Smith met Mr. John Smith", "Herr von Braun, Braun", "Nothing by Novak"]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = {r.doc_id: r.text for r in pii.pseudonymize(d).collect()}
+    out = {r.doc_id: r.text for r in pii.pseudonymize(d, KEY).collect()}
     first, family = out[0].split()[1:3]
     assert out[0] == f"Mrs. {first} {family} came. {family} said so, and {first} {family} wrote; {family.upper()}'s book."
     for i, names in ((0, "Maria Novak NOVAK"), (1, "Maria Carmen Lopez"), (2, "John Smith"), (3, "Braun")):

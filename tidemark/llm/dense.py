@@ -26,7 +26,7 @@ NAMES = (
 PREFIXES = (4, 5)
 SLICE = 500_000
 #: Words of a task's memo and the longest of them; it is emptied when full.
-MEMO_SIZE, MEMO_WORD = 150_000, 64
+MEMO_SIZE, MEMO_WORD = 100_000, 64
 
 _EDGE = re.compile(r"^\W+|\W+$")
 _RUN = re.compile(r"([!?*$%#&@])\1+")

@@ -50,7 +50,7 @@ _MULT = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) ^ (0xD1B54A32D192ED03 * (k +
 class Shingler:
     """Labelled shingle hashes of texts, in text order; word hashes are kept in a bounded memo."""
 
-    def __init__(self, words: int = WORDS, size: int = 200_000):
+    def __init__(self, words: int = WORDS, size: int = 100_000):
         self.words, self.size, self.memo = words, size, {}
 
     def __call__(self, text: str) -> np.ndarray:

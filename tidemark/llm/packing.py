@@ -10,14 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, shuffle_width, small_batches, with_text
+from tidemark.llm.common import materialize, small_batches, with_text
 from tidemark.llm.tokens import WordEncoder
 
 SIZE, END = 2048, 1
 #: Remainders are rounded up to multiples of this for the linear program.
 GRAIN = 8
-#: Ranks within a length class are taken in so many parts, so a common length fills many tasks.
-PARTS = 256
+#: Remainders of a length class are ranked in parts of about so many, so a common length fills many tasks.
+PART_ROWS = 50_000
 
 
 def price_pattern(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -128,7 +128,10 @@ def integral_patterns(demand: np.ndarray, capacity: int, waste: float = 0.01) ->
 
 
 def cut_pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, row_key: full pieces and one remainder a row."""
+    """doc_id, row_key, start, length, ids_crc32, doc_tokens: full pieces and one remainder a row.
+
+    Long texts are encoded in chunks; a text and its ids (4 bytes each) are in memory whole.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = WordEncoder(path)
@@ -163,57 +166,58 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END, grain:
     """Packs every document's ids and an end id into sequences of at most ``size``.
 
     Returns one row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
-    A null text is empty and packs its end id alone; repeated rows are packed each. A document is
-    cut into full sequences and one remainder. Remainder lengths, rounded up to ``grain``, form a
+    A null text is empty and packs its end id alone; repeated rows are packed each, ties in a
+    length class go by a hash of the row; an empty table gives no rows; other columns, whatever
+    their names, play no part. A document is cut into full sequences and one remainder. Full
+    sequences need no packing, only a number. Remainder lengths, rounded up to ``grain``, form a
     histogram of size / grain bins, which is all the driver sees: column generation finds patterns
     for it, and each length class hands its documents, by rank, to the patterns' places. The
-    pattern table has at most a few places a length, so it may be broadcast; ranks within a class
-    come from part counts and a window over (class, part), so a hot class fills many tasks.
+    pattern table has at most a few places a length, so it may be broadcast. Ranks within a class
+    come from a window over (class, part) and the running counts of the parts, which grow in number
+    with the rows, so a hot class fills many tasks.
     """
     spark = docs.sparkSession
     with small_batches(spark):
         pieces = materialize(cut_pieces(docs, path, size, end_id), "op8-pieces")
     cap = size // grain
-    pieces = pieces.withColumn("cls", F.ceil(F.col("length") / grain).cast("int")).withColumn(
-        "part", F.pmod(F.xxhash64("row_key", "start"), F.lit(PARTS)).cast("int")
-    )
-    counts = pieces.groupBy("cls", "part").agg(F.count("*").alias("n")).collect()  # size / grain * PARTS rows
+    cls = F.ceil(F.col("length") / grain).cast("int")
+    full, rest = pieces.where(cls == cap), pieces.where(cls < cap).withColumn("cls", cls)
+    parts = max(1, -(-rest.count() // PART_ROWS))
+    rest = rest.withColumn("part", F.pmod(F.xxhash64("row_key", "start"), F.lit(parts)).cast("int"))
+    counts = rest.groupBy("cls", "part").agg(F.count("*").alias("n"))
     demand = np.zeros(cap, np.int64)
-    bases: dict[tuple[int, int], int] = {}
-    for r in sorted(counts, key=lambda r: (r.cls, r.part)):
-        bases[r.cls, r.part] = int(demand[r.cls - 1])
-        demand[r.cls - 1] += r.n
-    full, demand[cap - 1] = int(demand[cap - 1]), 0
+    for r in counts.groupBy("cls").agg(F.sum("n").alias("n")).collect():  # size / grain rows
+        demand[r.cls - 1] = r.n
     # A place: pattern instance i (0..n-1) of the pattern holds `per` pieces of the class at `at`.
-    places, first, seen = [(cap, 0, full, 1, 0, 0)], full, np.zeros(cap, np.int64)
+    places: dict[int, list[tuple]] = {c: [] for c in range(1, cap)}
+    first, seen = 0, np.zeros(cap, np.int64)
     for pattern, n in integral_patterns(demand, cap):
         at = 0
-        for c in np.flatnonzero(pattern)[::-1]:
+        for c in np.flatnonzero(pattern)[::-1].tolist():
             per = int(pattern[c])
-            places.append((int(c) + 1, int(seen[c]), int(seen[c]) + per * n, per, first, at))
+            places[c + 1].append((int(seen[c]), int(seen[c]) + per * n, per, first, at))
             seen[c] += per * n
-            at += per * int(c + 1) * grain
+            at += per * (c + 1) * grain
         first += n
-    # One row for each (class, part, place) that meet; the class and part of a piece pick few rows.
-    by_class: dict[int, list[tuple]] = {}
-    for p in places:
-        by_class.setdefault(p[0], []).append(p)
-    base_rows = spark.createDataFrame([(c, p, b) for (c, p), b in bases.items()] or [(0, 0, 0)], "cls int, part int, base long")
     struct = "array<struct<lo: long, hi: long, per: long, seq: long, at: long>>"
-    place_rows = spark.createDataFrame([(c, [p[1:] for p in v]) for c, v in by_class.items()], f"cls int, places {struct}")
+    place_rows = spark.createDataFrame(list(places.items()), f"cls int, places {struct}")
+    bases = counts.withColumn("base", F.sum("n").over(Window.partitionBy("cls").orderBy("part")) - F.col("n")).drop("n")
     in_part = Window.partitionBy("cls", "part").orderBy("row_key", "start")
     ranked = (
-        pieces.join(F.broadcast(base_rows), ["cls", "part"])
-        .withColumn("rank", F.row_number().over(in_part) - 1 + F.col("base"))
+        rest.withColumn("nth", F.row_number().over(in_part) - 1)
+        .join(bases.hint("merge"), ["cls", "part"])
+        .withColumn("rank", F.col("nth") + F.col("base"))
         .join(F.broadcast(place_rows), "cls")
         .withColumn("p", F.filter("places", lambda p: (p["lo"] <= F.col("rank")) & (F.col("rank") < p["hi"]))[0])
     )
-    nth = F.col("rank") - F.col("p.lo")
+    inside = F.col("rank") - F.col("p.lo")
+    columns = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
     placed = ranked.select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens",
-        (F.col("p.seq") + F.expr("(rank - p.lo) div p.per")).alias("sequence_id"),
-        (F.col("p.at") + (nth % F.col("p.per")) * F.col("cls") * grain).alias("slot"),
+        *columns, (F.col("p.seq") + F.expr("(rank - p.lo) div p.per")).alias("sequence_id"),
+        (F.col("p.at") + (inside % F.col("p.per")) * F.col("cls") * grain).alias("slot"),
     )
     # Close the gaps that rounding up left, so offsets are gapless.
     w = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(w), F.lit(0))).drop("slot")
+    placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(w), F.lit(0))).drop("slot")
+    alone = full.select(*columns, (F.monotonically_increasing_id() + first).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.unionByName(alone)

@@ -5,9 +5,19 @@ level domain, key names, titles) and a payload of characters from known classes.
 number in a mixed-radix domain, and a keyed permutation of that domain gives the surrogate's
 payload. A permutation has no collisions, so distinct entities of one form stay distinct, equal
 ones stay equal in all documents, and the conjugated successor has no fixed points, so no entity
-keeps its value. Names come from lists by gender and script and are permuted in a domain of list
-places and a numbered tail. A distributed check over all entities verifies distinctness; types that
-collide (forms that overlap) are keyed anew until none does.
+keeps its value.
+
+Names are open-ended, so their parts are hashed with the key and spelled in syllables of the
+script, as many as the number of entities asks for, with an ending for the gender. A part's
+surrogate depends on the part alone, never on the title before it, so 'Mr. John Smith',
+'Dr. John Smith' and 'Smith' corefer, in all documents. Its gender is that of the name lists; a
+name in none of them, or of either gender, gets a neutral form, which suits any title.
+
+A distributed check over all entities of the corpus verifies that no two of a kind share a
+surrogate and, for the kinds with large domains, that no surrogate is itself an entity of the
+corpus; kinds that fail are keyed anew until none does. IPs, phone and social security numbers
+have so small domains that a surrogate may be another entity's value; since that one is replaced
+too, distinctness holds.
 """
 
 from __future__ import annotations
@@ -16,6 +26,7 @@ import hashlib
 import ipaddress
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import pandas as pd
 import pyarrow as pa
@@ -23,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import materialize, with_text
+from tidemark.llm.common import discard, materialize, with_text
 
 KINDS = ("secret", "email", "iban", "ip", "mac", "ssn", "card", "phone", "name")
 
@@ -33,7 +44,7 @@ _SECRET = re.compile(
     r"|\b((?:AKIA|ASIA)[0-9A-Z]{16})\b|\b(gh[pousr]_[A-Za-z0-9]{20,})\b|\b(sk-[A-Za-z0-9_-]{20,})\b"
     r"|\b(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"
 )
-_EMAIL = re.compile(r"([^\W_][\w.+%'-]{0,63})@((?:[^\W_](?:[\w-]{0,61}[^\W_])?\.)+[^\W\d_]{2,24})")
+_EMAIL = re.compile(r"([^\W_][\w.+%'-]{0,255})@((?:[^\W_](?:[\w-]{0,61}[^\W_])?\.)+[^\W\d_]{2,24})")
 _SEP = r"[ .\-/\u00a0\u202f\u2011]"
 _IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,8}(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f]{1,4})?(?![\w:])")
 _DATE = re.compile(r"(?:\d{1,2}([./-])\d{1,2}\1(?:\d{4}|\d\d)|\d{4}([./-])\d\d\2\d\d)(?![./-]?\d)")
@@ -54,27 +65,40 @@ TITLES = {
     "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Sra": "f", "Señora": "f", "Doña": "f",
     "Dr": "n", "Prof": "n", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f",
 }
-#: Given and family names by script and gender.
-NAMES = {
-    ("latin", "m"): "Adrian Bruno Carlos Daniel Edgar Felix Gustav Hugo Ivan Jonas Karl Leon Martin Nils Oscar Paul".split(),
-    ("latin", "f"): "Alice Berta Clara Diana Elena Frida Greta Helena Irene Julia Karin Laura Maria Nina Olga Paula".split(),
-    ("latin", "n"): "Alex Robin Kim Sascha Dominique Andrea Charlie Noa Luca Jamie Toni Maxime Sam Chris Nicola Quinn".split(),
-    ("latin", "family"): "Abel Brandt Castro Durand Engel Fischer Garcia Hansen Ibarra Jansen Keller Laurent Moreau Novak Ortega Peters".split(),
-    ("cyrillic", "m"): "Андрей Борис Виктор Глеб Денис Егор Иван Кирилл".split(),
-    ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Жанна Ирина Ксения".split(),
-    ("cyrillic", "n"): "Саша Женя Валя Шура Слава Митя Паша Лёня".split(),
-    ("cyrillic", "family"): "Белых Вишня Гончар Дымко Ермак Живаго Зорич Ильин".split(),
-    ("greek", "m"): "Ανδρέας Βασίλης Γιώργος Δημήτρης Ηλίας Κώστας Λουκάς Μάρκος".split(),
-    ("greek", "f"): "Άννα Βάσω Γεωργία Δήμητρα Ελένη Ζωή Ιωάννα Κατερίνα".split(),
-    ("greek", "n"): "Άγγελος Αγάπη Φώτης Χαρά Σίμος Ρένα Πέτρος Νίκη".split(),
-    ("greek", "family"): "Αλεξίου Βλάχος Γκίκας Δούκας Ζαρίφης Κανάκης Λάμπρου Μελάς".split(),
+# Given names by gender ('n': either); others count as 'n'.
+GIVEN = {
+    "m": (
+        "Adam", "Adrian", "Alan", "Alejandro", "Andrew", "Anthony", "Antoine", "Antonio", "Arthur", "Benjamin", "Bernd", "Brian", "Bruno", "Carlos", "Charles",
+        "Christian", "Daniel", "David", "Diego", "Edgar", "Edward", "Emil", "Eric", "Felix", "Fernando", "Frank", "François", "Fritz", "George", "Gustav", "Hans",
+        "Heinz", "Henri", "Henry", "Hugo", "Ivan", "Jack", "Jacques", "Jakob", "James", "Javier", "Jean", "Johannes", "John", "Jonas", "José", "Joseph", "Juan",
+        "Karl", "Kevin", "Klaus", "Leon", "Louis", "Lukas", "Luis", "Manuel", "Marc", "Mark", "Martin", "Matthew", "Max", "Michael", "Miguel", "Nils", "Oscar",
+        "Otto", "Pablo", "Patrick", "Paul", "Pedro", "Peter", "Philippe", "Pierre", "Ralf", "Richard", "Robert", "Stefan", "Steven", "Thomas", "Walter", "William",
+        "Андрей", "Борис", "Виктор", "Денис", "Иван", "Кирилл", "Ανδρέας", "Γιώργος", "Δημήτρης", "Κώστας",
+    ),
+    "f": (
+        "Alice", "Amélie", "Ana", "Anna", "Barbara", "Berta", "Camille", "Carmen", "Carla", "Caroline", "Céline", "Chantal", "Charlotte", "Clara", "Cristina",
+        "Diana", "Elena", "Elisabeth", "Elizabeth", "Emily", "Emma", "Eva", "Frida", "Greta", "Hannah", "Heidi", "Helena", "Inés", "Ingrid", "Irene", "Isabel",
+        "Jane", "Jennifer", "Jessica", "Juana", "Julia", "Karen", "Karin", "Katharina", "Laura", "Lena", "Linda", "Lisa", "Lucía", "Manon", "Margaret", "Maria",
+        "María", "Marie", "Martha", "Mary", "Monika", "Nancy", "Nathalie", "Nina", "Olga", "Olivia", "Patricia", "Paula", "Petra", "Pilar", "Rosa", "Sabine",
+        "Sandra", "Sarah", "Sofía", "Sophie", "Susan", "Sylvie", "Teresa", "Ursula", "Анна", "Вера", "Дарья", "Елена", "Ирина", "Άννα", "Γεωργία", "Ελένη", "Ζωή",
+    ),
+}
+#: Consonants, vowels and the endings of male, female, neutral given names and of family names, by script.
+SPELLING = {
+    "latin": ("bdfgklmnprstvz", "aeiou", {"m": "n", "f": "na", "n": "li", "family": "ser"}),
+    "cyrillic": ("бвгдзклмнпрст", "аеиоу", {"m": "н", "f": "на", "n": "ли", "family": "рин"}),
+    "greek": ("βγδζκλμνπρστφ", "αεηιο", {"m": "νος", "f": "να", "n": "λι", "family": "ρης"}),
 }
 _CAP = r"[^\W\d_a-z](?:['’]?[^\W\d_]+)"
 _PARTICLE = r"(?:(?:de|del|della|di|da|dos|das|do|du|des|la|las|los|le|van|von|der|den|ter|zu|zur|zum|al|bin|ibn) )"
 _TITLED = re.compile(
     r"(?<!\w)(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")(\.? )"
-    rf"({_PARTICLE}{{0,3}}{_CAP}(?:[ -]{_CAP}){{0,2}}(?: {_PARTICLE}{{1,3}}{_CAP}(?:[ -]{_CAP}){{0,2}})?)"
+    rf"((?:[A-ZÀ-Þ]\. ){{0,2}}{_PARTICLE}{{0,3}}{_CAP}(?:[ -]{_CAP}){{0,2}}(?: {_PARTICLE}{{1,3}}{_CAP}(?:[ -]{_CAP}){{0,2}})?)"
 )
+_GENDER = {name.lower(): g for g, names in GIVEN.items() for name in names}
+#: A listed given name and a family name behind it, without a title.
+_KNOWN = re.compile(rf"(?<![\w@.-])((?:{'|'.join(n for names in GIVEN.values() for n in names)}) (?:[A-ZÀ-Þ]\. )?{_PARTICLE}{{0,3}}{_CAP}(?:-{_CAP})?)(?![\w@])")
+_GIVENS = frozenset(n for names in GIVEN.values() for n in names)
 _TRIGGER = re.compile(r"[@\d]|(?i:passw|pwd|secret|token|key)|(?<!\w)(?:" + "|".join(TITLES) + r")\.? ")
 
 DIGITS, LOWER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
@@ -191,37 +215,43 @@ def _script(text: str) -> str:
     return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin"
 
 
-def _name(key: bytes, text: str, gender: str) -> str:
+def _name(key: bytes, text: str, syllables: int, role: str = "") -> str:
     """Names of the same script, gender, number of words and case.
 
     Each word is hashed by itself, so equal parts of two names get equal surrogates: the last word
-    (double names with their hyphen) as a family name, without gender, the others as given names;
-    particles stay. A part may be any word: the leading bits of its hash choose from the lists, the
-    rest becomes a syllable tail, which keeps distinct parts apart.
+    (double names with their hyphen) as a family name, the others as given names; ``role`` says
+    which of them a lone word is. Initials and particles stay.
     """
     words = text.split(" ")
     return " ".join(
-        w if w.islower() and re.fullmatch(_PARTICLE, w + " ") else _name_part(key, w, "family" if k == len(words) - 1 else gender)
+        w if re.fullmatch(r".\.", w) or (w.islower() and re.fullmatch(_PARTICLE, w + " ")) else _name_part(key, w, role or ("family" if k == len(words) - 1 else "given"), syllables)
         for k, w in enumerate(words)
     )
 
 
-def _name_part(key: bytes, word: str, role: str) -> str:
+def _name_part(key: bytes, word: str, role: str, syllables: int) -> str:
     script, out = _script(word), []
-    for k, part in enumerate(word.split("-")):
-        h = _int(key, "name", role, k, part.lower()) % 2**64
-        h, at = divmod(h, len(NAMES[script, role]))
-        got = NAMES[script, role][at]
-        vowels, consonants = {"latin": ("aeio", "lmnrstdk"), "cyrillic": ("аеио", "лмнрстдк"), "greek": ("αειο", "λμνρστδκ")}[script]
-        for _ in range(9 if role == "family" else 6):
-            h, at = divmod(h, 32)
-            got += consonants[at // 4] + vowels[at % 4]
-        out.append(got)
+    consonants, vowels, endings = SPELLING[script]
+    size = len(consonants) * len(vowels)
+    for part in word.split("-"):
+        h, got = _int(key, "name", role, part.lower()), ""
+        for _ in range(syllables):
+            h, at = divmod(h, size)
+            got += consonants[at // len(vowels)] + vowels[at % len(vowels)]
+        out.append((got + endings["family" if role == "family" else _GENDER.get(part.lower(), "n")]).capitalize())
     got = "-".join(out)
-    return got.upper() if word.isupper() else got
+    return got.upper() if word.isupper() and len(word) > 1 else got
+
+
+def syllables_for(names: int) -> int:
+    """So many syllables of 65 that ``names`` names collide with a chance under one in a thousand."""
+    k = 2
+    while 65.0**k < 500.0 * (names + 1) ** 2:
+        k += 1
+    return k
 
 
-def surrogate(key: bytes, kind: str, text: str, gender: str = "n") -> str:
+def surrogate(key: bytes, kind: str, text: str, role: str = "", syllables: int = 6) -> str:
     if kind == "email":
         local, _, domain = text.rpartition("@")
         head, dot, top = domain.rpartition(".")
@@ -246,7 +276,7 @@ def surrogate(key: bytes, kind: str, text: str, gender: str = "n") -> str:
         head = country[0] if country else ""
         return head + keep_form(key, "phone", text[len(head) :], (DIGITS,), tweak=head)
     if kind == "name":
-        return _name(key, text, gender)
+        return _name(key, text, syllables, role)
     if kind == "secret":
         head = re.match(r"AKIA|ASIA|gh[pousr]_|sk-|eyJ", text)
         head = head[0] if head else ""
@@ -255,11 +285,11 @@ def surrogate(key: bytes, kind: str, text: str, gender: str = "n") -> str:
     return keep_form(key, kind, text, (DIGITS,))
 
 
-def canonical(kind: str, text: str, gender: str = "n") -> str:
+def canonical(kind: str, text: str) -> str:
     """What makes two mentions the same entity."""
     if kind == "ip" and ":" in text:
         return f"{int(_address(text)):032x}"
-    return f"{gender}:{text.lower()}" if kind == "name" else text.lower()
+    return text.lower()
 
 
 def _address(text: str) -> ipaddress.IPv6Address | None:
@@ -281,45 +311,46 @@ def _phone_end(text: str) -> int:
     return max(cuts)[1]
 
 
-def _named(text: str) -> list[tuple[int, int, str, str]]:
-    """Names behind titles, and all other mentions of those full names and of their family names.
+def _named(text: str, known: bool) -> list[tuple[int, int, str, str]]:
+    """Names behind titles or with a listed given name, and all other mentions of them or of their parts in the text.
 
-    A mention takes the gender that a title gives the same name, or else the same family name, in this text.
+    The last field is the role of a lone word: 'family' or 'given' ('': a whole name).
     """
-    titled = [(*m.span(3), TITLES[m[1]]) for m in _TITLED.finditer(text)]
-    if not titled:
+    first = [m.span(3) for m in _TITLED.finditer(text)] + ([m.span(1) for m in _KNOWN.finditer(text)] if known else [])
+    if not first:
         return []
-    gender: dict[str, str] = {}
-    for a, b, g in titled:
-        for name in (text[a:b], text[a:b].rpartition(" ")[2]):
-            if gender.get(name, "n") == "n":
-                gender[name] = g
-    found = [(a, b, "name", gender[text[a:b]]) for a, b, _ in titled]
-    forms = {f: g for name, g in gender.items() for f in (name.upper(), name)}
-    longest = "|".join(map(re.escape, sorted(forms, key=lambda f: (-len(f), f))))
-    starts = {a for a, _, _ in titled}
-    for m in re.finditer(rf"(?<!\w)(?:{longest})(?=s?(?!\w))", text):
-        if m.start() not in starts:
+    forms: dict[str, str] = {}
+    for a, b in first:
+        words = [w for w in text[a:b].split(" ") if not w.islower() and not re.fullmatch(r".\.", w)]
+        for name, role in ((text[a:b], ""), (words[-1], "family"), *((w, "given") for w in words[:-1])):
+            for form in (name, name.upper()):
+                if len(form) > 2 and forms.get(form) != "family":  # a word that is both counts as a family name
+                    forms[form] = role if " " not in form else ""
+    found = [(a, b, "name", "" if " " in text[a:b] else "family") for a, b in first]
+    if forms:
+        longest = "|".join(map(re.escape, sorted(forms, key=lambda f: (-len(f), f))))
+        for m in re.finditer(rf"(?<![\w@.-])(?:{longest})(?=s?(?![\w@]))", text):
             found.append((*m.span(), "name", forms[m[0]]))
     return found
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, gender) of the entities of a text, in order, not overlapping."""
-    if not _TRIGGER.search(text):
+    """(start, end, kind, role) of the entities of a text, in order, not overlapping; the longer of two that begin together."""
+    known = not _GIVENS.isdisjoint(text.split())
+    if not known and not _TRIGGER.search(text):
         return []
     found: list[tuple[int, int, str, str]] = []
     if re.search(r"(?i)passw|pwd|secret|token|key|akia|asia|gh[pousr]_|sk-|eyj", text):
         for m in _SECRET.finditer(text):
-            found.append((*m.span(m.lastindex), "secret", "n"))
+            found.append((*m.span(m.lastindex), "secret", ""))
     at = text.find("@")
     while at >= 0:  # look around each sign, so long words cost nothing
         lo = at
-        while lo > 0 and at - lo < 65 and (text[lo - 1].isalnum() or text[lo - 1] in "._+%'-"):
+        while lo > 0 and at - lo < 256 and (text[lo - 1].isalnum() or text[lo - 1] in "._+%'-"):
             lo -= 1
         m = _EMAIL.search(text, lo, min(len(text), at + 256))
         if m and m.start() < at < m.end():
-            found.append((*m.span(), "email", "n"))
+            found.append((*m.span(), "email", ""))
             at = text.find("@", m.end())
         else:
             at = text.find("@", at + 1)
@@ -337,13 +368,13 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 if not least <= n <= 15:
                     continue
                 kind = "phone"
-            found.append((a, at, kind, "n"))
+            found.append((a, at, kind, ""))
     if text.count(":") > 1:
         for m in _IP6.finditer(text):
             if re.search(r"\d", m[0]) and _address(m[0]):
-                found.append((*m.span(), "ip", "n"))
-    found += _named(text)
-    found.sort(key=lambda e: (e[0], KINDS.index(e[2])))
+                found.append((*m.span(), "ip", ""))
+    found += _named(text, known)
+    found.sort(key=lambda e: (e[0], KINDS.index(e[2]), -e[1]))
     out, end = [], 0
     for e in found:
         if e[0] >= end:
@@ -352,76 +383,111 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
-def _keys(key: str, salts: dict[str, int]) -> dict[str, bytes]:
-    return {k: hashlib.blake2b(f"{key}|{k}|{salts.get(k, 0)}".encode(), digest_size=32).digest() for k in KINDS}
+#: Kinds whose domain is so large that no surrogate need be another entity of the corpus.
+LARGE = ("secret", "email", "iban", "card", "name")
+
+
+@dataclass(frozen=True)
+class Settings:
+    """What the entities of a corpus need: salts by kind and the syllables of a name."""
+
+    salts: tuple[tuple[str, int], ...] = ()
+    syllables: int = 6
 
+    def keys(self, key: str) -> dict[str, bytes]:
+        salts = dict(self.salts)
+        return {k: hashlib.blake2b(f"{key}|{k}|{salts.get(k, 0)}".encode(), digest_size=32).digest() for k in KINDS}
 
-def entity_table(docs: DataFrame, key: str, salts: dict[str, int] | None = None) -> DataFrame:
-    """Distinct kind, entity (canonical), surrogate (canonical) over all documents."""
-    keys = _keys(key, salts or {})
+
+def entity_table(docs: DataFrame, key: str, settings: Settings = Settings()) -> DataFrame:
+    """Distinct kind, entity (canonical), surrogate (canonical) over all documents.
+
+    Names are given by their parts: what must stay distinct is each given and each family name.
+    """
+    keys, n = settings.keys(key), settings.syllables
+
+    def parts(kind: str, text: str, role: str) -> list[tuple[str, str, str]]:
+        if kind != "name":
+            return [(kind, canonical(kind, text), canonical(kind, surrogate(keys[kind], kind, text)))]
+        new = surrogate(keys[kind], kind, text, role, n)
+        words = list(zip(text.split(" "), new.split(" "), strict=True))
+        roles = [role or ("family" if k == len(words) - 1 else "given") for k in range(len(words))]
+        return [(f"name:{r}", a.lower(), b.lower()) for (w, v), r in zip(words, roles, strict=True) if w != v for a, b in zip(w.split("-"), v.split("-"), strict=True)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = set()
-            for t in pdf["text"].tolist():
-                for a, b, kind, g in entities(t):
-                    rows.add((kind, canonical(kind, t[a:b], g), canonical(kind, surrogate(keys[kind], kind, t[a:b], g), g)))
+            rows = {x for t in pdf["text"].tolist() for a, b, kind, role in entities(t) for x in parts(kind, t[a:b], role)}
             yield pd.DataFrame(list(rows), columns=["kind", "entity", "surrogate"], dtype="object")
 
     return with_text(docs).select("text").mapInPandas(run, "kind string, entity string, surrogate string").distinct()
 
 
-def settle_salts(docs: DataFrame, key: str, rounds: int = 8) -> dict[str, int]:
-    """Salts by kind under which no two entities of the corpus share a surrogate.
+def settle(docs: DataFrame, key: str, rounds: int = 8) -> Settings:
+    """Settings under which no two entities of the corpus share a surrogate.
 
-    Counts collisions over all entities in Spark; only the names of colliding kinds come back.
+    Counts collisions over all entities in Spark; only counts and the names of kinds come back.
     """
-    salts: dict[str, int] = {}
+    settings = Settings()
     for _ in range(rounds):
-        table = entity_table(docs, key, salts)
-        clash = table.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1").select("kind").distinct()
-        bad = [r.kind for r in clash.collect()]
+        table = materialize(entity_table(docs, key, settings), "op7-entities", waves=1)
+        names = table.where("kind like 'name:%'").count()
+        if syllables_for(names) > settings.syllables:
+            settings = replace(settings, syllables=syllables_for(names))
+            continue
+        twice = table.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1").select("kind")
+        large = table.where(F.substring_index("kind", ":", 1).isin(*LARGE))
+        taken = large.select("kind", "surrogate").join(large.select("kind", F.col("entity").alias("surrogate")).hint("merge"), ["kind", "surrogate"], "left_semi").select("kind")
+        bad = sorted({r.kind.partition(":")[0] for r in twice.union(taken).distinct().collect()})
+        discard(table)
         if not bad:
-            return salts
-        salts = salts | {k: salts.get(k, 0) + 1 for k in bad}
-    raise RuntimeError(f"surrogates of {bad} still collide after {rounds} keys")
+            return settings
+        salts = dict(settings.salts)
+        settings = replace(settings, salts=tuple(sorted((salts | {k: salts.get(k, 0) + 1 for k in bad}).items())))
+    raise RuntimeError(f"surrogates still collide after {rounds} keys")
 
 
-def pseudonymize(docs: DataFrame, key: str = "corpus-key", salts: dict[str, int] | None = None) -> DataFrame:
-    """The documents with every entity replaced by its surrogate, plus nothing: columns as given.
+def pseudonymize(docs: DataFrame, key: str, settings: Settings | None = None) -> DataFrame:
+    """The documents with every entity replaced by its surrogate, plus nothing: columns as given, whatever their names.
 
-    Null texts stay null. ``salts`` come from :func:`settle_salts`, which runs if they aren't
-    given. One pass, no shuffle; rows and other columns pass through untouched.
+    ``key`` is the secret without which surrogates can't be turned back; it has no default.
+    Null texts stay null, empty ones empty; equal texts get equal results, repeated rows and ties
+    included; an empty table stays empty. ``settings`` come from :func:`settle`, which runs if they
+    aren't given. One pass, no shuffle; a text is one row of one task, however long.
     """
-    keys = _keys(key, settle_salts(docs, key) if salts is None else salts)
+    settings = settle(docs, key) if settings is None else settings
+    keys, n = settings.keys(key), settings.syllables
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index("text")
-            texts = pa.array([None if t is None else _rewrite(t, keys)[0] for t in b.column(at).to_pylist()], pa.string())
+            texts = pa.array([None if t.as_py() is None else _rewrite(t.as_py(), keys, n)[0] for t in b.column(at)], pa.string())
             cols = [texts if k == at else c for k, c in enumerate(b.columns)]
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def _rewrite(text: str, keys: dict[str, bytes]) -> tuple[str, list[str]]:
+def _rewrite(text: str, keys: dict[str, bytes], syllables: int) -> tuple[str, list[str]]:
     out, end, kinds = [], 0, []
-    for a, b, kind, g in entities(text):
-        out += [text[end:a], surrogate(keys[kind], kind, text[a:b], g)]
+    for a, b, kind, role in entities(text):
+        out += [text[end:a], surrogate(keys[kind], kind, text[a:b], role, syllables)]
         end = b
         kinds.append(kind)
     return ("".join(out) + text[end:], kinds) if out else (text, kinds)
 
 
-def surrogate_report(docs: DataFrame, key: str = "corpus-key") -> DataFrame:
-    """One row a document: doc_id, text (rewritten; null: empty), n_entities and a count by kind."""
-    keys = _keys(key, settle_salts(docs, key))
+def surrogate_report(docs: DataFrame, key: str) -> DataFrame:
+    """One row a document: doc_id, text (rewritten; null: empty), n_entities and a count by kind.
+
+    Edge cases as in :func:`pseudonymize`.
+    """
+    settings = settle(docs, key)
+    keys, n = settings.keys(key), settings.syllables
     counts = [f"n_{k}" for k in KINDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [_rewrite(t, keys) for t in b.column("text").to_pylist()]
+            got = [_rewrite(t.as_py(), keys, n) for t in b.column("text")]
             cols = [b.column("doc_id"), pa.array([t for t, _ in got], pa.string()), pa.array([len(k) for _, k in got], pa.int64())]
             cols += [pa.array([ks.count(k) for _, ks in got], pa.int64()) for k in KINDS]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", "n_entities", *counts])

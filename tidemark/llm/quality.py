@@ -21,7 +21,7 @@ BROADCAST_IDS = 1_000_000
 class HashedNgrams:
     """Bucket counts of hashed words and word pairs of a text; word hashes in a bounded memo."""
 
-    def __init__(self, buckets: int = BUCKETS, size: int = 400_000):
+    def __init__(self, buckets: int = BUCKETS, size: int = 100_000):
         self.buckets, self.size, self.memo = np.uint64(buckets), size, {}
 
     def __call__(self, text: str) -> np.ndarray:

@@ -43,8 +43,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_read(spark, sf_dir, "documents"))
 
 
+#: The key of the registered query and the pipeline over made-up documents; real corpora need a secret one.
+EXAMPLE_KEY = "example key, not a secret"
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.surrogate_report(_read(spark, sf_dir, "documents"))
+    return pii.surrogate_report(_read(spark, sf_dir, "documents"), EXAMPLE_KEY)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,21 +7,26 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize
 
-SALTS = 16
+#: Lookups (distinct host and day) for each copy of the list, and the most copies: one for small inputs.
+SALT_ROWS, MOST_SALTS = 1_000_000, 64
+#: Public suffixes of two labels, which are nobody's domain; a longer list is a parameter.
+PUBLIC_SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "or.jp", "co.kr", "com.br", "com.cn", "com.mx", "com.tr", "co.in", "co.za")
 
 
 def host_of(url: F.Column) -> F.Column:
-    """Lower-case host of an absolute URL, without user, port or trailing dot; '' if there is none."""
-    h = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)
+    """Lower-case host of an absolute URL, without user, port or trailing dot; '' if there is none. IPv6 keeps its brackets."""
+    h = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)", 1)
     return F.lower(F.regexp_replace(h, r"\.$", ""))
 
 
-def suffixes(host: F.Column) -> F.Column:
-    """The host and its parent domains down to two labels, as (suffix, labels) structs."""
+def suffixes(host: F.Column, public: tuple[str, ...] = PUBLIC_SUFFIXES) -> F.Column:
+    """The host and its parent domains down to two labels, as (suffix, labels) structs; no public suffixes, and IPs have no parents."""
     parts = F.split(host, r"\.")
     n = F.size(parts)
-    starts = F.when(n > 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array(F.lit(1)))
-    return F.transform(starts, lambda i: F.struct(F.array_join(F.slice(parts, i, n), ".").alias("suffix"), (n - i + 1).alias("labels")))
+    alone = (n <= 2) | host.rlike(r"^\[|^\d{1,3}(?:\.\d{1,3}){3}$")
+    starts = F.when(alone, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), n - 1))
+    every = F.transform(starts, lambda i: F.struct(F.array_join(F.slice(parts, i, n), ".").alias("suffix"), (n - i + 1).alias("labels")))
+    return F.filter(every, lambda s: (s["labels"] == n) | ~s["suffix"].isin(*public))
 
 
 def validity(entries: DataFrame) -> DataFrame:
@@ -50,21 +55,24 @@ def temporal_filter(captures: DataFrame, entries: DataFrame, bucket_days: int =
     Plan: distinct (url, fetched) pairs are looked up once, so a hot page costs one lookup.
     Intervals are cut at multiples of ``bucket_days`` within the captures' span, and both sides
     meet on (domain, bucket, salt): an equality join in which a long history or a hot host is
-    spread over many tasks. The salt copies the list, not the captures.
+    spread over many tasks. The salt copies the list, not the captures, and only as often as the
+    number of lookups asks for. A url is read whole, however long; an empty table gives no rows, an
+    empty list matches nothing; other columns, whatever their names, play no part.
     """
     base = captures.select("page_id", "url", "fetched").withColumn("host", host_of(F.col("url")))
     span = base.agg(F.min("fetched"), F.max("fetched")).first()
     bucket = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / bucket_days)
-    lookups = base.where("host <> '' and fetched is not null").select("host", "fetched").distinct()
+    lookups = materialize(base.where("host <> '' and fetched is not null").select("host", "fetched").distinct(), "op10-lookups")
+    salts = min(MOST_SALTS, 1 + lookups.count() // SALT_ROWS)
     keyed = lookups.withColumn("s", F.explode(suffixes(F.col("host")))).select(
         "host", "fetched", F.col("s.suffix").alias("domain"), F.col("s.labels").alias("labels"), bucket(F.col("fetched")).alias("bucket"),
-        F.pmod(F.xxhash64("host", "fetched"), F.lit(SALTS)).cast("int").alias("salt"),
+        F.pmod(F.xxhash64("host", "fetched"), F.lit(salts)).cast("int").alias("salt"),
     )
     lo, hi = F.lit(span[0]).cast("date"), F.lit(span[1]).cast("date")
     spans = validity(entries).where((F.col("valid_from") <= hi) & (F.coalesce("valid_to", F.date_add(hi, 1)) > lo))
     first, last = F.greatest("valid_from", lo), F.least(F.coalesce(F.date_sub("valid_to", 1), hi), hi)
     spans = spans.withColumn("bucket", F.explode(F.sequence(bucket(first), bucket(last)))).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
     spans = materialize(spans, "op10-intervals")
     hit = keyed.join(spans.hint("merge"), ["domain", "bucket", "salt"]).where(
@@ -103,12 +111,13 @@ def derived_entries(pages: DataFrame) -> DataFrame:
 SQL = rf"""
 WITH base AS (
   SELECT page_id, url, CAST(DATE '{FIRST_DAY}' + CAST(((page_id % 365) + 365) % 365 AS INT) AS DATE) AS fetched,
-    lower(regexp_replace(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '\.$', '')) AS host
+    lower(regexp_replace(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)', 1), '\.$', '')) AS host
   FROM pages),
 hosts AS (SELECT DISTINCT host FROM base WHERE host <> ''),
 parts AS (SELECT host, string_split(host, '.') AS p FROM hosts),
 suf AS (SELECT host, array_to_string(p[i:], '.') AS domain, len(p) - i + 1 AS labels
-  FROM parts, unnest(CASE WHEN len(p) > 2 THEN range(1, len(p)) ELSE [1] END) AS t(i)),
+  FROM parts, unnest(CASE WHEN len(p) > 2 AND NOT regexp_matches(host, '^\[|^\d{{1,3}}(\.\d{{1,3}}){{3}}$') THEN range(1, len(p)) ELSE [1] END) AS t(i)
+  WHERE i = 1 OR array_to_string(p[i:], '.') NOT IN {PUBLIC_SUFFIXES}),
 listed AS (SELECT DISTINCT domain FROM suf WHERE CAST('0x' || substr(md5(domain), 1, 8) AS BIGINT) % 5 < 2),
 entries AS (SELECT domain, CAST(DATE '{FIRST_DAY}' + CAST(CAST('0x' || substr(md5(domain || '|' || k), 1, 8) AS BIGINT) % 400 - 20 AS INT) AS DATE) AS day,
     CASE WHEN k = 3 THEN 'lift' WHEN k % 2 = 0 THEN 'block' ELSE 'allow' END AS action
