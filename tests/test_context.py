@@ -112,3 +112,74 @@ def test_scanner_table(spark):
     )
     got = {r.pr: r.table.split("\n")[2:] for r in findings.scanner_table(f, "pr").collect()}
     assert got == {1: ["| t | c | `q:0` | a b |", "| s | - | `p:3` | " + "x" * 97 + "... |", ""]}
+
+
+def plain_sections(changed, blast, contents, summaries, imports, directories, tokens):
+    """The three sections of one change set, one after the other."""
+    budget = tokens * 4
+    out, used = [], 0
+    order = [p for p, n, o in sorted(changed, key=lambda c: (-c[1], c[2]))]
+    order += [p for p, n, k in sorted(blast, key=lambda b: (-b[1], b[2], b[0])) if p not in order]
+    source = set()
+    for p in order:
+        room = budget * 60 // 100 - used - 256
+        if used >= budget * 60 // 100 or room <= 0 or not contents.get(p):
+            continue
+        text = contents[p].encode()
+        if len(text) > room:
+            text = text[:room]
+            text = text[: text.rfind(b"\n")] if text.rfind(b"\n") > 0 else text
+            text += b"\n// ... (truncated)"
+        block = f"#### `{p}`\n```{p.rpartition('.')[2] if '.' in p else ''}\n".encode() + text + b"\n```\n\n"
+        if used + len(block) <= budget * 60 // 100:
+            used += len(block)
+            source.add(p)
+            out.append(("source", p, len(block)))
+    names = {p for p, _, _ in changed}
+    listed = [(0, p) for p in sorted(names - source)] + [(1, t) for t in sorted({t for s, t in imports if s in names} - names - source)]
+    total, headed = len("### File summaries\n"), False
+    for related, p in listed:
+        if not summaries.get(p, "").strip():
+            continue
+        if related and not headed:
+            total += len("\n**Related files (imported by changed files):**\n")
+            headed = True
+        n = len(f"- `{p}`: {summaries[p]}\n".encode())
+        total += n
+        if total <= budget * 30 // 100:
+            out.append(("summary", p, n))
+    total = len("### Directory context\n")
+    for p in sorted({p.rpartition("/")[0] for p in names} - {""}):
+        if p in directories:
+            n = len(f"- `{p}/`: {directories[p][0]} ({directories[p][1]} files)\n".encode())
+            total += n
+            if total <= budget * 10 // 100:
+                out.append(("directory", p, n))
+    return out
+
+
+def test_context_sections_equal_a_plain_version(spark):
+    import random
+
+    from tidemark.operators import context
+
+    rng = random.Random(4)
+    paths = [f"{rng.choice(['a', 'a/b', 'c'])}/f{k}.py" for k in range(30)] + ["Makefile"]
+    contents = {p: "\n".join("x" * rng.randint(0, 30) for _ in range(rng.randint(0, 60))) for p in paths}
+    summaries = {p: rng.choice(["", "does é things", "a longer summary of it"]) for p in paths}
+    imports = [(rng.choice(paths), rng.choice(paths)) for _ in range(60)]
+    dirs = {"a": ("dir a", 3), "a/b": ("dir b", 12), "c": ("x" * 80, 1)}
+    rows, blasts, want = [], [], []
+    for pr in range(6):
+        changed = [(p, rng.randint(0, 3), k) for k, p in enumerate(rng.sample(paths, 7))]
+        blast = [(p, rng.randint(1, 4), rng.randint(1, 2)) for p in rng.sample(paths, 6)]
+        rows += [("o", "r", pr, *c) for c in changed]
+        blasts += [("o", "r", pr, *b) for b in blast]
+        want += [(pr, *x) for x in plain_sections(changed, blast, contents, summaries, imports, dirs, 900)]
+    frame = lambda data, kind: spark.createDataFrame(data, kind)
+    got = context.context_sections(
+        frame(rows, "owner string, repo string, pr long, path string, n_inbound long, ord long"), frame(blasts, "owner string, repo string, pr long, path string, n_symbols long, depth int"),
+        frame([("r", p, c) for p, c in contents.items()], "repo string, path string, content string"), frame([("r", p, s) for p, s in summaries.items()], "repo string, path string, summary string"),
+        frame([("r", *i) for i in set(imports)], "repo string, source_path string, target_path string"), frame([("r", p, *v) for p, v in dirs.items()], "repo string, path string, summary string, n_files int"), tokens=900,
+    )
+    assert sorted((r.pr, r.section, r.path, r.n_bytes) for r in got.collect()) == sorted(want)

@@ -6,11 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.text import strip_ws
+from tidemark.functions.filetype import language
+from tidemark.functions.text import empty, excerpt, extension, parent_dir, strip_ws
 from tidemark.operators.scoring import KEY
 from tidemark.operators.selection import matches
 
@@ -130,3 +131,124 @@ def fitting_items(items: DataFrame, budget: int, *by: str) -> DataFrame:
         return pdf[keep]
 
     return items.groupBy(*by).applyInPandas(run, items.schema)
+
+
+#: What an excerpt ends with where it was cut.
+CUT = "\n// ... (truncated)"
+#: Bytes of the source budget that stay free for a block's header.
+HEADER_ROOM = 256
+
+
+def import_excerpts(candidates: DataFrame, max_files: int = 8, per_file: int = 1500, budget: int = 12_000) -> DataFrame:
+    """WIN-5c: excerpts of imported files for each change set: owner, repo, pr, path, importer, excerpt, n_bytes, rank.
+
+    ``candidates``: key, importer_ord, ord, importer, path, content: what the changed files import, in
+    order; changed files are not among them. A path counts once, blank excerpts don't. Files are
+    taken until ``max_files`` or ``budget`` bytes; one that would exceed the budget ends its importer,
+    and the next importer goes on. The choice depends on all before it, so a change set's
+    candidates are one task's work: their sizes only, texts are cut before and joined after.
+    """
+    text = excerpt(F.col("content"), per_file, CUT)
+    d = candidates.where(empty(F.col("content")) != "").withColumn("excerpt", text).where(strip_ws(F.col("excerpt")) != "")
+    lang = F.coalesce(F.nullif(language(F.col("path")), F.lit("")), language(F.col("importer")))
+    block = F.octet_length(F.concat(F.lit("### `"), "path", F.lit("` (imported by `"), "importer", F.lit("`)\n```"), lang, F.lit("\n"), "excerpt", F.when(F.col("excerpt").endswith("\n"), "").otherwise("\n"), F.lit("```")))
+    d = d.withColumn("n_bytes", block.cast("long"))
+    first = Window.partitionBy(*KEY, "path").orderBy("importer_ord", "ord")
+    d = d.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["importer_ord", "ord"], kind="stable")
+        used, ranks, full = 0, [], None
+        for importer, n in zip(pdf["importer_ord"].tolist(), pdf["n_bytes"].tolist(), strict=True):
+            taken = sum(r > 0 for r in ranks)
+            ok = taken < max_files and used < budget and importer != full and used + n <= budget
+            if not ok and taken < max_files and importer != full:
+                full = importer
+            used += n if ok else 0
+            ranks.append(taken + 1 if ok else 0)
+        return pdf.assign(rank=pd.array(ranks, dtype="int32"))[pd.array(ranks) > 0]
+
+    sizes = d.select(*KEY, "importer_ord", "ord", "path", "n_bytes")
+    schema = T.StructType([*sizes.schema.fields, T.StructField("rank", T.IntegerType())])
+    kept = sizes.groupBy(*KEY).applyInPandas(run, schema).select(*KEY, "path", "rank")
+    return d.join(kept.hint("merge"), [*KEY, "path"]).select(*KEY, "path", "importer", "excerpt", "n_bytes", "rank")
+
+
+def source_excerpts(files: DataFrame, budget: int) -> DataFrame:
+    """Source blocks of a change set in order of ``ord``: owner, repo, pr, path, excerpt, n_bytes, ord.
+
+    ``files``: key, path, ord, content. A file is cut to what is left of ``budget`` bytes less
+    :data:`HEADER_ROOM`; one whose block still doesn't fit is skipped. As for :func:`first_fit`, a
+    group is one task's work; no more than ``budget`` bytes of a file reach it.
+    """
+    head = F.substring(F.encode("content", "utf-8"), 1, budget)
+    d = files.where(empty(F.col("content")) != "").select(*KEY, "path", "ord", head.alias("head"), F.octet_length("content").alias("size"))
+    d = d.withColumn("fence", F.octet_length(F.concat("path", F.regexp_replace(extension(F.col("path")), r"^\.", ""))) + 18)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        used, out = 0, []
+        pdf = pdf.sort_values("ord", kind="stable")
+        for r in pdf.itertuples(index=False):
+            room = budget - used - HEADER_ROOM
+            if used >= budget or room <= 0:
+                continue
+            text = bytes(r.head)
+            if r.size > room:
+                text = text[:room]
+                at = text.rfind(b"\n")
+                text = (text[:at] if at > 0 else text) + CUT.encode()
+            n = len(text) + r.fence
+            if text.strip() and used + n <= budget:
+                used += n
+                out.append((r.owner, r.repo, r.pr, r.path, text.decode("utf-8", "replace"), n, r.ord))
+        return pd.DataFrame(out, columns=[*KEY, "path", "excerpt", "n_bytes", "ord"])
+
+    own = {f.name: f for f in d.schema.fields}
+    schema = T.StructType([*[own[c] for c in (*KEY, "path")], T.StructField("excerpt", T.StringType()), T.StructField("n_bytes", T.LongType()), own["ord"]])
+    return d.groupBy(*KEY).applyInPandas(run, schema)
+
+
+def _within(lines: DataFrame, budget: int, header: int) -> DataFrame:
+    """Lines of a section in order, as long as they end inside the budget; ``header`` bytes stand before them."""
+    w = Window.partitionBy(*KEY).orderBy("related", "path").rowsBetween(Window.unboundedPreceding, 0)
+    # a blank line and a heading, 48 bytes, stand before the first related file
+    lead = F.when(F.col("related") & (F.row_number().over(Window.partitionBy(*KEY, "related").orderBy("path")) == 1), 48).otherwise(0)
+    d = lines.withColumn("n_bytes", (F.octet_length("line") + 1).cast("long")).withColumn("lead", lead)
+    d = d.withColumn("used", F.sum(F.col("n_bytes") + F.col("lead")).over(w) + header)
+    return d.where(F.col("used") <= budget)
+
+
+def context_sections(changed: DataFrame, blast: DataFrame, contents: DataFrame, summaries: DataFrame, imports: DataFrame, directories: DataFrame, tokens: int = 8000) -> DataFrame:
+    """WIN-6: what a review's context holds: owner, repo, pr, section, path, n_bytes.
+
+    ``tokens`` * 4 bytes are split 60 : 30 : 10 over source excerpts, file summaries and directory
+    lines. Sources go to the changed files by inbound edges (``changed``: key, path, n_inbound, ord),
+    then to the ``blast`` radius (key, path, n_symbols, depth) by affected symbols. Files without
+    source get their summary line, then those that changed files import (``imports``: repo,
+    source_path, target_path) do. ``summaries``: repo, path, summary; ``directories``: repo, path,
+    summary, n_files; ``contents``: repo, path, content. Summary and directory lines are cut by
+    running sums; only the source section is sequential (see :func:`source_excerpts`).
+    """
+    bytes_ = tokens * 4
+    c = changed.select(*KEY, "path", F.struct(F.lit(0).alias("kind"), (-F.col("n_inbound")).cast("long").alias("a"), F.col("ord").cast("long").alias("b"), F.lit("").alias("c")).alias("ord"))
+    near = blast.join(changed.select(*KEY, "path"), [*KEY, "path"], "left_anti")
+    b = near.select(*KEY, "path", F.struct(F.lit(1).alias("kind"), (-F.col("n_symbols")).cast("long").alias("a"), F.col("depth").cast("long").alias("b"), F.col("path").alias("c")).alias("ord"))
+    order = c.unionByName(b)
+    place = Window.partitionBy(*KEY).orderBy("ord")
+    order = order.withColumn("ord", F.row_number().over(place))
+    source = source_excerpts(order.join(contents.select("repo", "path", "content"), ["repo", "path"]), bytes_ * 60 // 100).select(*KEY, "path", "n_bytes")
+
+    has = summaries.where(strip_ws(empty(F.col("summary"))) != "")
+    line = F.concat(F.lit("- `"), "path", F.lit("`: "), "summary")
+    own = changed.select(*KEY, "path").withColumn("related", F.lit(False))
+    hop = changed.select(*KEY, F.col("path").alias("source_path")).join(imports, ["repo", "source_path"]).select(*KEY, F.col("target_path").alias("path")).distinct()
+    hop = hop.join(changed.select(*KEY, "path"), [*KEY, "path"], "left_anti").withColumn("related", F.lit(True))
+    listed = own.unionByName(hop).join(source.select(*KEY, "path"), [*KEY, "path"], "left_anti").join(has.select("repo", "path", "summary"), ["repo", "path"])
+    listed = _within(listed.withColumn("line", line), bytes_ * 30 // 100, len("### File summaries\n"))
+
+    parents = changed.select(*KEY, parent_dir(F.col("path")).alias("path")).where("path <> ''").distinct()
+    dirs = parents.join(directories.where(strip_ws(empty(F.col("summary"))) != "").select("repo", "path", "summary", "n_files"), ["repo", "path"])
+    line = F.concat(F.lit("- `"), "path", F.lit("/`: "), "summary", F.lit(" ("), F.col("n_files").cast("string"), F.lit(" files)"))
+    dirs = _within(dirs.withColumn("related", F.lit(False)).withColumn("line", line), bytes_ * 10 // 100, len("### Directory context\n"))
+    part = lambda df, name: df.select(*KEY, F.lit(name).alias("section"), "path", "n_bytes")
+    return part(source, "source").unionByName(part(listed, "summary")).unionByName(part(dirs, "directory"))

@@ -96,6 +96,11 @@ def is_suggestion() -> Column:
     return (low("severity") == "low") & low("category").isin(*SUGGESTION_CATEGORIES) & (strip_ws(empty(F.col("suggestion_code"))) != "")
 
 
+def blocking(findings: DataFrame, suggestions_block: bool = False) -> DataFrame:
+    """FLT-9: the findings that count for the gate: all but suggestions, or all."""
+    return findings if suggestions_block else findings.where(~is_suggestion())
+
+
 def is_nit() -> Column:
     return (F.col("severity") == "low") & F.col("category").isin(*SUGGESTION_CATEGORIES)
 
@@ -158,14 +163,27 @@ def marked_fingerprint(body: Column, marker: str = "<!-- review:fp:") -> Column:
     return strip_ws(F.regexp_extract(empty(body), rf"(?s)\Q{marker}\E(.*?) -->", 1))
 
 
+def is_unmarked_comment(body: Column, marker: str = "<!-- review:fp:") -> Column:
+    """SRC-10: whether a comment without a marker begins like a rendered finding: '**[X / Y]** ' within its first 80 bytes."""
+    b = strip_ws(empty(body))
+    head = F.regexp_extract(b, r"(?s)^(\*\*\[.*?)\]\*\* ", 1)
+    return ~empty(body).contains(marker) & (head != "") & (F.octet_length(head) <= 80) & head.contains(" / ")
+
+
 def grouped_by_path(findings: DataFrame) -> DataFrame:
     """AGG-10: findings of a path as one ordered array."""
     item = F.struct("ord", "category", "severity", "start_line", "end_line", "content")
     return findings.groupBy(*KEY, "path").agg(F.array_sort(F.collect_list(item)).alias("findings"), F.count("*").alias("n"))
 
 
-def scanner_tally(findings: DataFrame, tools: tuple[str, ...] = ("gitleaks", "semgrep", "govulncheck")) -> DataFrame:
-    """AGG-9: findings by known tool, zero-filled, one row a change set."""
+def scanner_tally(findings: DataFrame, tools: tuple[str, ...] = ("gitleaks", "semgrep", "govulncheck"), change_sets: DataFrame | None = None) -> DataFrame:
+    """AGG-9: findings by known tool, zero-filled, one row a change set.
+
+    Change sets without findings get a row if ``change_sets`` (key) names them.
+    """
+    if change_sets is not None:
+        keys = change_sets.select(*KEY).distinct()
+        findings = findings.select(*KEY, "source").unionByName(keys.withColumn("source", F.lit("")))
     return findings.groupBy(*KEY).agg(*[F.count_if(F.col("source") == f"scanner:{t}").alias(f"n_{t}") for t in tools])
 
 

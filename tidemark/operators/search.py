@@ -39,20 +39,28 @@ def code_search(files: DataFrame, pattern: str, regex: bool = False, ignore_case
     return lines(files).where(hit(F.col("line"))).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= per_file).drop("nth")
 
 
-def file_find(files: DataFrame, queries: DataFrame, cap: int = 100) -> DataFrame:
+def file_find(files: DataFrame, queries: Sequence[tuple[str, str]], cap: int = 100) -> DataFrame:
     """FLT-16: paths whose base name holds the query; only if no base name does, paths that hold it anywhere.
 
-    ``queries``: query_id, query (a stated, broadcastable set). Extensionless names other than a few are left out.
+    ``queries``: (query_id, query) pairs that a caller asks; they become literals of the plan, so
+    nothing is joined. Extensionless names other than a few are left out. Whether a query has hits by
+    base name is one aggregate over all; the first ``cap`` hits are found before the shuffle.
     """
     p = F.col("path")
     shown = (extension(p) != "") | basename(p).isin(*NAMED)
-    low = F.lower("query")
-    hit = files.select("repo", "path").where(shown).join(F.broadcast(queries), F.lower(p).contains(low))
-    hit = hit.withColumn("by_base", F.lower(basename(p)).contains(low))
-    any_base = F.max("by_base").over(Window.partitionBy("query_id"))
-    hit = hit.withColumn("any_base", any_base).where(F.col("by_base") | ~F.col("any_base"))
-    w = Window.partitionBy("query_id").orderBy("path")
-    return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap).select("query_id", "repo", "path", "rank")
+    low, base = F.lower(p), F.lower(basename(p))
+    found = F.array_compact(F.array(*[F.when(low.contains(q.lower()), F.struct(F.lit(i).alias("query_id"), base.contains(q.lower()).alias("by_base"))) for i, q in queries]))
+    hit = files.select("repo", "path").where(shown).select("repo", "path", F.explode(found).alias("h")).select("repo", "path", "h.query_id", "h.by_base")
+    w = Window.partitionBy("query_id", "by_base").orderBy("path", "repo")
+    first = hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
+    best = Window.partitionBy("query_id")  # at most 2 * cap rows a query
+    first = first.withColumn("any_base", F.max("by_base").over(best)).where(F.col("by_base") | ~F.col("any_base"))
+    return _ranked(first, cap)
+
+
+def _ranked(hits: DataFrame, cap: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy("path", "repo")
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap).select("query_id", "repo", "path", "rank")
 
 
 def line_window(files: DataFrame, start: int, end: int, cap: int = 500) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +76,26 @@ def gitignored(path: Column, lines: Sequence[str] = ()) -> Column:
     return hit | state
 
 
+def gitignored_by_repo(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """FLT-5 for many repositories: adds ``ignored`` to ``files`` (repo, path).
+
+    ``rules``: repo, ord, line (the lines of each repository's ignore file). Lines become patterns once
+    for each distinct line, in Python on the rule table; a repository's patterns travel as one
+    array and the last that matches decides.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            got = [(line, *r[0]) for line in pdf["line"] if (r := gitignore_rules([line or ""]))]
+            yield pd.DataFrame(got, columns=["line", "rx", "negated"])
+
+    each = rules.select("line").distinct().mapInPandas(run, "line string, rx string, negated boolean")
+    item = F.struct("ord", "rx", "negated")
+    own = rules.join(each.hint("merge"), "line").groupBy("repo").agg(F.array_sort(F.collect_list(item)).alias("patterns"))
+    hit = F.aggregate(F.coalesce("patterns", F.array().cast(own.schema["patterns"].dataType)), F.lit(False), lambda acc, p: F.when(F.rlike(F.col("path"), p["rx"]), ~p["negated"]).otherwise(acc))
+    return files.join(own.hint("merge"), "repo", "left").withColumn("ignored", gitignored(F.col("path")) | hit).drop("patterns")
+
+
 def is_generated(content: Column) -> Column:
     """FLT-6: a mark in the first 1000 bytes."""
     return F.upper(byte_prefix(empty(content), 1000)).rlike("|".join(GENERATED))

@@ -131,19 +131,22 @@ def escalated_risk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""{FS} SELECT owner, repo, pr, CASE WHEN bool_or(NOT (severity='low' AND category IN ('style','maintainability','test','documentation') AND {_SUGGESTED} <> '')
-  AND score_severity='CRITICAL') THEN 3 ELSE 0 END AS exit_code FROM fx_scored GROUP BY ALL"""
+    f"""{FS}, g AS (SELECT * FROM fx_scored WHERE (pr % 3 <> 0 OR score_severity <> 'CRITICAL') AND (pr % 6 <> 1 OR severity <> 'critical'))
+SELECT owner, repo, pr, CASE WHEN bool_or(NOT (severity='low' AND category IN ('style','maintainability','test','documentation') AND {_SUGGESTED} <> '')
+  AND CASE WHEN pr % 3 = 1 THEN severity = 'critical' ELSE score_severity='CRITICAL' END) THEN 3 ELSE 0 END AS exit_code FROM g GROUP BY ALL"""
 )
 def blocker_gate(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.blocker_gate(scoring.score(_suggested(spark, d)))
+    """AGG-13: a third of the change sets has no critical finding, a third is unscored, so raw labels decide, of which half have none."""
+    g = scoring.score(_suggested(spark, d)).where("(pr % 3 <> 0 or score_severity <> 'CRITICAL') and (pr % 6 <> 1 or severity <> 'critical')")
+    return scoring.blocker_gate(g.withColumn("score_severity", F.when(F.col("pr") % 3 != 1, F.col("score_severity"))))
 
 
 @query(
     f"""{F0} SELECT ord, CASE WHEN severity='low' AND category='style' THEN '**[nit]** ' ELSE '' END || '**['||severity||' / '||category||']** ' || content ||
-  CASE WHEN ord%3=0 THEN '' ELSE '' END || chr(10)||chr(10)||'<!-- review:fp:' || {FP_SQL} || ' -->' AS body FROM fx_findings"""
+  CASE WHEN ord%6=0 THEN chr(10)||chr(10)||'```suggestion'||chr(10)||'fix()'||chr(10)||'```' ELSE '' END || chr(10)||chr(10)||'<!-- review:fp:' || {FP_SQL} || ' -->' AS body FROM fx_findings"""
 )
 def comment_bodies(spark: SparkSession, d: str) -> DataFrame:
-    f = findings.with_fingerprint(_suggested(spark, d))
+    f = findings.with_fingerprint(_suggested(spark, d)).withColumn("existing_code", F.when(F.col("ord") % 2 == 0, "old()").otherwise(""))
     return f.select("ord", scoring.comment_body(F.col("fingerprint")).alias("body"))
 
 
@@ -158,6 +161,23 @@ def finding_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return findings.with_fingerprint(fx.findings(spark, d)).select("ord", "fingerprint")
 
 
+@query(
+    f"""{F0}, s AS (SELECT * EXCLUDE (owner), 'acme' AS owner, CASE ord % 4 WHEN 0 THEN 'call('||k||') "a//b" https://x.y' WHEN 1 THEN 'call('||k||')' WHEN 2 THEN 'x = ''#'' + `//`' ELSE '' END AS snippet
+  FROM (SELECT *, start_line AS k FROM fx_findings))
+SELECT ord, sha256(concat_ws('|', owner, repo, category, regexp_extract(path, '^(.*?)(\\.[^./]*)?$', 1) || lower(regexp_extract(path, '(\\.[^./]*)$', 1)), 'sym', snippet)) AS fingerprint FROM s"""
+)
+def snippet_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """FUN-1 with quoted code: line numbers, comments and white space don't count, strings and URLs do."""
+    k = F.col("start_line").cast("string")
+    forms = [
+        F.concat(F.lit("  12: call("), k, F.lit(')  "a//b"\n 13 | https://x.y # note '), F.col("ord").cast("string")), F.concat(F.lit("call("), k, F.lit(")\t// "), F.col("ord").cast("string")),
+        F.lit("x  =  '#' + `//`   // tail"), F.lit("// only a comment\n# and one more"),
+    ]
+    code = F.element_at(F.array(*forms), (F.col("ord") % 4 + 1).cast("int"))
+    f = fx.findings(spark, d).withColumn("existing_code", code).withColumn("symbol", F.lit(" sym "))
+    return findings.with_fingerprint(f).select("ord", "fingerprint")
+
+
 @query(f"{F0} SELECT ord, path||':'||start_line||'-'||end_line||':'||left(content,64) AS finding_key FROM fx_findings")
 def finding_keys(spark: SparkSession, d: str) -> DataFrame:
     return fx.findings(spark, d).select("ord", finding_key(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("content")).alias("finding_key"))
@@ -306,10 +326,11 @@ def path_buckets(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"{FC} SELECT owner, repo, pr, new_path, insertions AS added, CAST(0 AS BIGINT) AS deleted FROM fx_changes")
+@query(f"{FC} SELECT owner, repo, pr, new_path, insertions AS added, deletions AS deleted FROM fx_changes")
 def churn_counts(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-15: added and deleted lines by a scan of the diff body."""
-    c = fx.changes(fx.findings(spark, d)).withColumn("c", churn(F.col("diff")))
+    """AGG-15: added and deleted lines by a scan of the diff body; file headers don't count. SRC-1 has the count inside hunks."""
+    body = F.concat(F.lit("--- a/x\n+++ b/x\n@@ -1 +1 @@\n"), "diff", F.repeat(F.lit("-y\n ctx\n"), F.col("deletions").cast("int")))
+    c = fx.changes(fx.findings(spark, d)).withColumn("c", churn(body))
     return c.select(*KEY, "new_path", F.col("c.added").cast("long").alias("added"), F.col("c.deleted").cast("long").alias("deleted"))
 
 

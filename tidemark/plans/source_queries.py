@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import graph, imports
-from tidemark.sources import code, manifests
+from tidemark.operators import context, graph, imports, scoring, selection
+from tidemark.operators.scoring import KEY
+from tidemark.plans.review_queries import F0
+from tidemark.sources import code, manifests, snapshot
+from tidemark.sources import fixtures as rx
 from tidemark.sources import code_fixtures as fx
 
 QUERIES: dict = {}
@@ -24,7 +27,7 @@ def query(sql: str | None = None):
 
 
 PATH = fx.PATH_SQL.format(o="o")
-R0 = f"WITH {fx.ROWS_SQL}"
+R0 = f"WITH RECURSIVE {fx.ROWS_SQL}"
 
 
 @query(
@@ -110,3 +113,108 @@ def package_importers(spark: SparkSession, d: str) -> DataFrame:
     number = F.regexp_extract("path", r"m(\d+)", 1).cast("long")
     changed = files.where(F.col("path").startswith("go/")).select(F.floor(number / 64).alias("change_id"), "repo", "path")
     return graph.package_importers(changed, files, fx.go_modules(spark, d)).select("change_id", "repo", "path", "package")
+
+
+_TREE = """CASE doc_id % 6 WHEN 0 THEN '.git/' WHEN 1 THEN 'a/node_modules/x/' WHEN 2 THEN 'pkg/_' WHEN 3 THEN '.config/' ELSE 'src/' END||'d'||doc_id||'.py'"""
+
+
+def _archives(spark: SparkSession, d: str) -> DataFrame:
+    """One tar archive for every fifty documents."""
+    import io
+    import tarfile
+
+    import pandas as pd
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w:gz") as tar:
+            for path, text in zip(pdf["path"], pdf["text"], strict=True):
+                body = text.encode()
+                info = tarfile.TarInfo(f"./{path}")
+                info.size = len(body)
+                tar.addfile(info, io.BytesIO(body))
+        return pd.DataFrame({"repo": [pdf["repo"].iloc[0]], "content": [out.getvalue()]})
+
+    prefix = F.when(F.col("doc_id") % 6 == 0, ".git/").when(F.col("doc_id") % 6 == 1, "a/node_modules/x/").when(F.col("doc_id") % 6 == 2, "pkg/_").when(F.col("doc_id") % 6 == 3, ".config/").otherwise("src/")
+    docs = rx.table(spark, d, "documents").select(
+        F.concat(F.lit("r"), F.expr("doc_id div 50").cast("string")).alias("repo"), F.concat(prefix, F.lit("d"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.coalesce("text", F.lit("")).alias("text"),
+    )
+    return docs.groupBy("repo").applyInPandas(pack, "repo string, content binary")
+
+
+@query(f"""SELECT 'r'||(doc_id // 50) AS repo, {_TREE} AS path, strlen(coalesce(text, '')) AS size, sha256(coalesce(text, '')) AS content_hash FROM documents WHERE doc_id % 6 > 1 AND strlen(coalesce(text, '')) <= 8000""")
+def snapshot_tree(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-3: files of archived repositories, hidden names included."""
+    return snapshot.repository_tree(snapshot.archived_files(_archives(spark, d), max_bytes=8000))
+
+
+@query(
+    R0 + f""", files AS (SELECT DISTINCT repo, o FROM fx_rows), f AS (SELECT repo, {PATH} AS path, o % 4 AS k FROM files)
+SELECT repo, path, CASE k WHEN 0 THEN path LIKE '%.py' OR path LIKE '%.go' WHEN 1 THEN path LIKE 'web/%' OR path LIKE 'go/%' WHEN 2 THEN path LIKE '%.ts' AND NOT path LIKE '%2.ts' ELSE false END AS ignored FROM f"""
+)
+def ignored_by_repo(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-5: ignore rules of each repository."""
+    rules = [("r0", 1, "*.py"), ("r0", 2, "*.go"), ("r1", 1, "# c"), ("r1", 2, "/web/"), ("r1", 3, "go/"), ("r1", 4, "!web/"), ("r2", 1, "*.ts"), ("r2", 2, "!*2.ts")]
+    table = spark.createDataFrame(rules, "repo string, ord int, line string")
+    return selection.gitignored_by_repo(fx.code_files(spark, d).select("repo", "path"), table)
+
+
+@query(
+    f"""{F0}, n AS (SELECT DISTINCT owner, repo, pr FROM fx_findings) SELECT n.owner, n.repo, n.pr, count(f.ord) AS n_gitleaks, CAST(0 AS BIGINT) AS n_semgrep, CAST(0 AS BIGINT) AS n_govulncheck
+FROM n LEFT JOIN (SELECT * FROM fx_findings WHERE source = 'scanner:gitleaks' AND pr % 2 = 0) f USING (owner, repo, pr) GROUP BY ALL"""
+)
+def zero_filled_tally(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-9 with change sets that have no findings."""
+    f = rx.findings(spark, d)
+    return scoring.scanner_tally(f.where("pr % 2 = 0"), change_sets=f.select(*KEY))
+
+
+@query(
+    f"""{F0} SELECT ord, ord % 4 = 1 AS legacy, NOT (severity = 'low' AND category IN ('style','maintainability','test','documentation') AND ord % 3 = 0) AS blocks FROM fx_findings"""
+)
+def posted_comments(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-10, FLT-9: comments of the old form, and findings that block."""
+    f = rx.findings(spark, d).withColumn("suggestion_code", F.when(F.col("ord") % 3 == 0, "x()").otherwise(" "))
+    far = F.concat(F.lit("**["), F.repeat(F.lit("é"), F.lit(50)), F.lit(" / b]** t"))
+    kinds = [F.concat(F.lit("**[low / bug]** "), "content", F.lit("\n<!-- review:fp:ab -->")), F.concat(F.lit("\n **[low / bug]** "), "content"), F.lit("**[low]** x"), far]
+    body = F.element_at(F.array(*kinds), (F.col("ord") % 4 + 1).cast("int"))
+    some = scoring.blocking(f).select("ord", F.lit(True).alias("blocks"))
+    return f.select("ord", scoring.is_unmarked_comment(body).alias("legacy")).join(some, "ord", "left").select("ord", "legacy", F.coalesce("blocks", F.lit(False)).alias("blocks"))
+
+
+@query(
+    R0 + f""", c AS (SELECT DISTINCT repo, o // 64 AS pr, o AS importer, x AS ord, 'go/m'||x||'/main.go' AS path, 100 + x % 900 AS size FROM fx_rows WHERE lang = 4),
+u AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY repo, pr, path ORDER BY importer, ord) = 1),
+b AS (SELECT *, CAST(strlen('### `'||path||'` (imported by `m'||importer||'.go`)') + 1 + 5 + 1 + size + 1 + 3 AS BIGINT) AS n_bytes, row_number() OVER (PARTITION BY repo, pr ORDER BY importer, ord) AS k FROM u),
+w AS (SELECT repo, pr, 0::BIGINT AS k, 0::BIGINT AS used, 0 AS n, NULL::BIGINT AS stopped, false AS ok FROM (SELECT DISTINCT repo, pr FROM b)
+  UNION ALL SELECT b.repo, b.pr, b.k, w.used + CASE WHEN t.ok THEN b.n_bytes ELSE 0 END, w.n + CASE WHEN t.ok THEN 1 ELSE 0 END,
+    CASE WHEN NOT t.ok AND w.n < 8 THEN b.importer ELSE w.stopped END, t.ok
+  FROM w JOIN b ON b.repo = w.repo AND b.pr = w.pr AND b.k = w.k + 1, LATERAL (SELECT w.n < 8 AND w.used < 3000 AND (w.stopped IS NULL OR w.stopped <> b.importer) AND w.used + b.n_bytes <= 3000 AS ok) t)
+SELECT b.repo, b.pr, b.path, b.n_bytes, w.n AS rank FROM w JOIN b ON b.repo = w.repo AND b.pr = w.pr AND b.k = w.k WHERE w.ok"""
+)
+def import_excerpts(spark: SparkSession, d: str) -> DataFrame:
+    """WIN-5c: excerpts of what the Go files of a change set import, until 3000 bytes."""
+    c = fx.code_files(spark, d).where("path like 'go/%'")
+    number = F.regexp_extract("path", r"m(\d+)", 1).cast("long")
+    raw = imports.raw_imports(c).select("repo", number.alias("o"), F.regexp_extract("import", r"m(\d+)$", 1).cast("long").alias("x")).distinct()
+    candidates = raw.select(
+        F.lit("acme").alias("owner"), "repo", F.expr("o div 64").alias("pr"), F.col("o").alias("importer_ord"), F.col("x").alias("ord"), F.concat(F.lit("m"), "o", F.lit(".go")).alias("importer"),
+        F.concat(F.lit("go/m"), "x", F.lit("/main.go")).alias("path"), F.expr("repeat('a', cast(100 + x % 900 as int))").alias("content"),
+    )
+    got = context.import_excerpts(candidates, budget=3000)
+    return got.select("repo", "pr", "path", "n_bytes", "rank")
+
+
+@query()
+def context_sections(spark: SparkSession, d: str) -> DataFrame:
+    """WIN-6: context of each change set of Go files (a file and its importers share a set); its source part depends on all before it, so tests compare with a plain version."""
+    files = fx.code_files(spark, d).where("path like 'go/%'").withColumn("owner", F.lit("acme"))
+    number = F.regexp_extract("path", r"m(\d+)", 1).cast("long")
+    edges = imports.raw_imports(files).select("repo", F.col("path").alias("source_path"), F.concat(F.lit("go/m"), F.regexp_extract("import", r"m(\d+)$", 1), F.lit("/main.go")).alias("target_path")).distinct()
+    inbound = edges.groupBy("repo", F.col("target_path").alias("path")).agg(F.count("*").alias("n_inbound"))
+    changed = files.select("owner", "repo", F.floor(number / 64).alias("pr"), "path", number.alias("ord")).join(inbound, ["repo", "path"], "left").fillna(0, ["n_inbound"])
+    blast = changed.select(*KEY, F.col("path").alias("target_path")).join(edges, ["repo", "target_path"]).groupBy(*KEY, F.col("source_path").alias("path"))
+    blast = blast.agg(F.count("*").alias("n_symbols"), F.lit(1).alias("depth"))
+    summaries = files.select("repo", "path", F.concat(F.lit("about "), "path").alias("summary"))
+    dirs = files.select("repo", F.regexp_extract("path", "^(.*)/", 1).alias("path"), F.lit("a package").alias("summary"), F.lit(1).alias("n_files"))
+    return context.context_sections(changed, blast, files.select("repo", "path", "content"), summaries, edges, dirs, tokens=600)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.filetype import language
 from tidemark.functions.text import strip_ws
@@ -127,7 +128,7 @@ def symbols(lines: DataFrame) -> DataFrame:
     return got.select("repo", "path", F.col("pos").alias("ord"), "s.name", "s.kind", "s.signature")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _rust_paths(clauses: pd.Series) -> pd.Series:
     """The paths of nested 'a::{b, c::{d, self}}' clauses; braces nest to any depth, which a pattern can't follow."""
 
