@@ -331,7 +331,7 @@ def _groups(labels):
 def test_components_of_long_paths(spark, monkeypatch):
     n, rounds = 3000, []
     write = components.materialize
-    monkeypatch.setattr(components, "materialize", lambda df, name: (rounds.append(name), write(df, name))[1])
+    monkeypatch.setattr(components, "materialize", lambda df, name, **k: (rounds.append(name), write(df, name, **k))[1])
     ids = [0, *range(n, 0, -1)]
     edges = list(zip(ids, ids[1:], strict=False)) + [(5000, 4999), (5001, 5000)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}

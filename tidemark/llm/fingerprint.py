@@ -180,7 +180,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         df = pd.DataFrame(rows, columns=names)
         return df.astype({"n_chars": "Int64", "common_prefix": "Int64", "part": "Int32"})
 
-    digest = materialize(sorted_docs.mapInPandas(scan, f"{COLUMNS}, {edge}"), "op1-digest")
+    digest = materialize(sorted_docs.mapInPandas(scan, f"{COLUMNS}, {edge}"), "op1-digest", waves=0)
     first = digest.where("side = 'first'").select(F.col("part").alias("next_part"), F.col("edge_text").alias("next_text"))
     last = digest.where("side = 'last'").select("part", "doc_id", "edge_text")
     # Partition numbers only: one row a partition, the next one that has rows, round to the first.
