@@ -41,3 +41,19 @@ def test_results_do_not_depend_on_partitioning(spark):
     f = fixtures.findings(spark, SF)
     one = lambda n: sorted(map(tuple, scoring.first_by_location(f.repartition(n)).select("ord").collect()))
     assert one(1) == one(17)
+
+
+def executed(df):
+    """The plan that ran, with what was reused."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_reconciliation_reads_findings_twice(spark):
+    plan = executed(catalog.queries()["reconciled_findings"](spark, SF))
+    assert plan.count("FileScan parquet") <= 2 and plan.count("SortMergeJoin") <= 2, plan
+
+
+def test_scoring_needs_no_join(spark):
+    plan = executed(catalog.queries()["findings_severity_histogram"](spark, SF))
+    assert "Join" not in plan and plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning") <= 2, plan

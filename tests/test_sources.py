@@ -75,6 +75,23 @@ def test_continuous_reconciliation(spark, tmp_path):
     assert current_state(spark, state).agg(F.max("batch")).first()[0] >= 1
 
 
+def test_continuous_state_is_compacted(spark, tmp_path):
+    schema = "owner string, repo string, pr long, fingerprint string, path string, ord long, seen long"
+    src, state = str(tmp_path / "in"), tmp_path / "state"
+    push = lambda k: spark.createDataFrame([("o", "r", k % 3, f"f{k}", "p", k, k), ("o", "r", k % 3, "all", f"q{k}", k, k)], schema).coalesce(1)
+    push(0).write.parquet(src)
+    q = reconcile_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), str(state), str(tmp_path / "cp"), compact_every=2)
+    q.processAllAvailable()
+    for k in range(1, 7):
+        push(k).write.mode("append").parquet(src)
+        q.processAllAvailable()
+    q.stop()
+    folders = sorted(f.name for f in state.iterdir())
+    assert [f for f in folders if f.startswith("snapshot")] == ["snapshot=000000000004", "snapshot=000000000006"] and len([f for f in folders if f.startswith("version")]) <= 4
+    got = {(r.pr, r.fingerprint): (r.state, r.first_seen) for r in current_state(spark, str(state)).collect()}
+    assert got == {(0, "f6"): ("new", 6), (0, "all"): ("keep", 0), (1, "f4"): ("new", 4), (1, "all"): ("keep", 1), (2, "f5"): ("new", 5), (2, "all"): ("keep", 2)}
+
+
 def test_govulncheck(spark):
     step = lambda file, line, module="m": {"module": module, "package": "p", "function": "F", "position": {"filename": file, "line": line}}
     found = lambda osv, *trace: json.dumps({"finding": {"osv": osv, "trace": list(trace)}})

@@ -76,9 +76,16 @@ def label_sets(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.array_join("labels", ",").alias("labels"), F.array_join("stale", ",").alias("stale"))
 
 
-@query()
+@query(
+    f"""{FC.replace("WITH", "WITH RECURSIVE", 1)}, i AS (SELECT owner, repo, pr, ord, new_path, CAST(floor(length(diff) / 4) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY owner, repo, pr ORDER BY ord) AS k FROM fx_changes),
+w AS (SELECT owner, repo, pr, 0::BIGINT AS k, []::BIGINT[] AS totals, 0 AS chunk FROM (SELECT DISTINCT owner, repo, pr FROM i)
+  UNION ALL SELECT i.owner, i.repo, i.pr, i.k, CASE WHEN t.at > 0 THEN totals[1:t.at - 1] || [totals[t.at] + tokens] || totals[t.at + 1:] ELSE totals || [tokens] END, CASE WHEN t.at > 0 THEN t.at - 1 ELSE len(totals) END
+  FROM w JOIN i ON i.owner = w.owner AND i.repo = w.repo AND i.pr = w.pr AND i.k = w.k + 1,
+    LATERAL (SELECT CASE WHEN tokens <= 5000 THEN coalesce(list_position(list_transform(totals, lambda x: x + tokens <= 5000), true), 0) ELSE 0 END AS at) t)
+SELECT i.owner, i.repo, i.pr, i.ord, new_path, tokens, CAST(chunk AS INT) AS chunk FROM w JOIN i ON i.owner = w.owner AND i.repo = w.repo AND i.pr = w.pr AND i.k = w.k"""
+)
 def token_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """WIN-3: a change set's files in chunks of 5000 tokens; tested against brute force."""
+    """WIN-3: a change set's files in chunks of 5000 tokens."""
     items = fx.changes(fx.findings(spark, d)).select("owner", "repo", "pr", "ord", "new_path", (F.length("diff") / 4).cast("long").alias("tokens"))
     return context.first_fit(items, 5000, "owner", "repo", "pr")
 
