@@ -315,15 +315,44 @@ _HAS = lambda words: f"list_has_any({_PARTS}, [{', '.join(repr(w) for w in words
 
 @query(
     f"""{FC} SELECT owner, repo, pr, new_path, {_HAS(selection.AUTH)} AS auth, {_HAS(selection.MIGRATION)} OR new_path LIKE '%.sql' AS migration,
-{_HAS(selection.INFRA)} AS infra, new_path LIKE '%\\_test.go' ESCAPE '\\' AS is_test, new_path AS effective FROM fx_changes"""
+{_HAS(selection.INFRA)} AS infra, new_path LIKE '%\\_test.go' ESCAPE '\\' AS is_test, CASE WHEN is_deleted THEN old_path ELSE new_path END AS effective,
+is_renamed AND ord % 2 = 0 AS pure_rename FROM fx_changes"""
 )
 def path_buckets(spark: SparkSession, d: str) -> DataFrame:
-    """FLT-11, FLT-13."""
+    """FLT-11, FLT-13: buckets of changed paths; deletions have no new path, and half of the renames change nothing."""
     p = F.col("new_path")
-    return fx.changes(fx.findings(spark, d)).select(
+    c = fx.changes(fx.findings(spark, d))
+    same = F.col("ord") % 2 == 0
+    still = c.withColumn("insertions", F.when(same, 0).otherwise(F.col("insertions"))).withColumn("deletions", F.when(same, 0).otherwise(F.col("deletions")))
+    rows = still.select(
         *KEY, p, selection.touches_auth(p).alias("auth"), selection.touches_migration(p).alias("migration"), selection.touches_infra(p).alias("infra"),
-        selection.is_test_file(p).alias("is_test"), selection.effective_path().alias("effective"),
+        selection.is_test_file(p).alias("is_test"), F.coalesce(selection.is_pure_rename(), F.lit(False)).alias("pure_rename"),
     )
+    gone = F.when(same, "/dev/null").otherwise("")
+    own = c.withColumn("path", p).withColumn("new_path", F.when(F.col("is_deleted"), gone).otherwise(p))
+    return rows.join(own.select(*KEY, F.col("path").alias("new_path"), selection.effective_path().alias("effective")), [*KEY, "new_path"])
+
+
+@query(
+    f"""{FC} SELECT owner, repo, pr, new_path, CASE WHEN is_binary THEN 'binary' WHEN is_deleted THEN 'deleted' WHEN new_path LIKE 'docs/%' THEN 'user_exclude'
+  WHEN NOT (new_path LIKE 'src/%' OR new_path LIKE 'docs/%' OR new_path LIKE 'vendor/%') THEN 'not_allowed' WHEN (strlen(diff)+3)//4 > 2500 THEN 'too_large' ELSE '' END AS reason FROM fx_changes"""
+)
+def selection_with_globs(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-1 with a caller's exclude and include globs, which end the static gates."""
+    c = fx.changes(fx.findings(spark, d))
+    return selection.select_changes(c, exclude=["docs/**"], include=["src/**", "docs/**", "vendor/**"], max_tokens=2500).select(*KEY, "new_path", "reason")
+
+
+@query(
+    f"""{F0}, n AS (SELECT DISTINCT path, pr % 8 AS k FROM fx_findings) SELECT path, k, CASE k WHEN 0 THEN path LIKE '%\\_test.go' ESCAPE '\\' WHEN 7 THEN path LIKE '%\\_test.go' ESCAPE '\\' ELSE true END AS is_test FROM n"""
+)
+def test_file_names(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-11: the conventions for test files."""
+    p = F.col("path")
+    n = fx.findings(spark, d).select("path", (F.col("pr") % 8).cast("int").alias("k")).distinct()
+    forms = [p, F.concat(p, F.lit(".test.ts")), F.concat(F.lit("Tests/"), p), F.lit("a/test_x.py"), F.concat(p, F.lit(".spec.js")), F.lit("x_test.py"), F.concat(F.lit("a/__tests__/"), p), F.concat(p)]
+    form = F.element_at(F.array(*forms), F.col("k") + 1)
+    return n.select("path", F.col("k").cast("long").alias("k"), selection.is_test_file(form).alias("is_test"))
 
 
 @query(f"{FC} SELECT owner, repo, pr, new_path, insertions AS added, deletions AS deleted FROM fx_changes")

@@ -92,10 +92,10 @@ def govulncheck_findings(messages: DataFrame, roots: DataFrame) -> DataFrame:
         near = (~name.startswith("/") & ~name.startswith("src/")) | name.startswith(root)
         return (name != "") & F.when(module != "", F.coalesce(step["module"] == module, F.lit(False))).otherwise(near)
 
-    f = f.join(roots.select("report_id", "root", "module"), "report_id").withColumn("step", F.get(F.filter("trace", own), F.lit(0))).where("step is not null")
+    f = f.join(roots.select("report_id", "root", "module").hint("merge"), "report_id").withColumn("step", F.get(F.filter("trace", own), F.lit(0))).where("step is not null")
     name, line = F.col("step.position.filename"), F.coalesce("step.position.line", F.lit(0))
     first = f.groupBy("report_id", "rule_id", name.alias("name"), line.alias("line")).agg(F.min_by(F.struct("root", "step"), "line_no").alias("x"))
-    d = first.join(about, ["report_id", "rule_id"], "left")
+    d = first.join(about.hint("merge"), ["report_id", "rule_id"], "left")
     return d.select(
         "report_id", F.lit("govulncheck").alias("tool"), "rule_id", _relative(F.col("name"), F.col("x.root")).alias("path"), "line", F.lit("cve").alias("kind"),
         F.lit("HIGH").alias("severity"), F.when(empty(F.col("summary")) != "", F.col("summary")).otherwise(F.col("rule_id")).alias("description"),
