@@ -63,7 +63,7 @@ def language(path: Column) -> Column:
 
 
 def indexable(path: Column) -> Column:
-    return language(path).isin(INDEXABLE)
+    return language(path).isin(*INDEXABLE)
 
 
 def sql_language(path: str) -> str:

@@ -148,7 +148,7 @@ def churn(diff: Column) -> Column:
 
 def excerpt(c: Column, budget: int, marker: str = "\n... (truncated)") -> Column:
     """At most ``budget`` bytes, cut back to a line end, with a marker if anything was cut."""
-    cut = F.regexp_replace(byte_prefix(c, budget), r"\n[^\n]*$", "")
+    cut = F.regexp_replace(byte_prefix(c, budget), r"\n[^\n]*\z", "")
     return F.when(F.octet_length(c) <= budget, c).otherwise(F.concat(cut, F.lit(marker)))
 
 

@@ -21,7 +21,7 @@ SECRET_RULES = {
 
 def lines(files: DataFrame) -> DataFrame:
     """repo, path, line_no (from 1), line."""
-    split = F.split(F.regexp_replace(empty(F.col("content")), r"\n$", ""), "\n")
+    split = F.split(F.regexp_replace(empty(F.col("content")), r"\n\z", ""), "\n")
     return files.where(empty(F.col("content")) != "").select("repo", "path", F.posexplode(split).alias("at", "line")).select("repo", "path", (F.col("at") + 1).alias("line_no"), "line")
 
 
