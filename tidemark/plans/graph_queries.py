@@ -116,6 +116,19 @@ def overlap_candidates(spark: SparkSession, d: str) -> DataFrame:
     return o.select("repo", "a", "b", F.round("title_similarity", 6).alias("title_similarity"), F.size("shared_paths").alias("n_shared"))
 
 
+@query(
+    f"""WITH {fx.PRS_SQL}, w AS (SELECT repo, number, list_distinct(list_filter(string_split(lower(title), ' '), lambda x: x <> '')) AS w, paths FROM fx_prs),
+late AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY repo ORDER BY number DESC) <= 21),
+s AS (SELECT a.repo, a.number AS a, b.number AS b, CASE WHEN len(a.w) > 0 AND len(b.w) > 0 THEN len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) ELSE 0 END AS sim,
+  len(list_intersect(a.paths, b.paths)) AS n_shared FROM w a JOIN late b ON a.repo = b.repo AND a.number <> b.number)
+SELECT repo, a, b, round(sim, 6) AS title_similarity, CAST(n_shared AS INT) AS n_shared FROM s WHERE sim >= 0.4 OR n_shared > 0"""
+)
+def recent_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """JON-14 with its cap: each change set against the latest of its repo."""
+    o = overlap.recent_overlaps(fx.pull_requests(spark, d))
+    return o.select("repo", "a", "b", F.round("title_similarity", 6).alias("title_similarity"), F.size("shared_paths").alias("n_shared"))
+
+
 @query(
     f"""{PAIRS.replace("pairs AS (", "symbols AS (SELECT x.lang AS repo, x.doc_id AS a, y.doc_id AS b FROM documents x JOIN documents y ON x.lang = y.lang AND x.doc_id < y.doc_id AND (x.doc_id // 7 = y.doc_id // 7 OR x.doc_id % 211 = y.doc_id % 211)), pairs AS (")}
 SELECT repo, a, b FROM pairs UNION SELECT repo, a, b FROM symbols"""
