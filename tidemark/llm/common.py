@@ -35,8 +35,8 @@ def materialize(df: DataFrame, name: str, waves: int = 4) -> DataFrame:
     This cuts the lineage (a lost executor re-reads files instead of recomputing Python
     stages) and gives the optimizer real sizes for what follows. The table is written by ``waves``
     tasks a core at most, without a shuffle: intermediate tables are small against the corpus, and
-    thousands of tiny files cost more than they hold. 0 keeps the partitions, for tasks that go by
-    their number.
+    thousands of tiny files cost more than they hold. Passes over whole texts take 16, so a task
+    stays a small part of the work; 0 keeps the partitions, for tasks that go by their number.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"

@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = LEAST) -
        is bounded, and pairs stay inside it. So no pair that shares a bucket is left out, and no
        list of all pairs is made.
     """
-    rows = materialize(sketches(docs, words, least), "op9-sketches")
+    rows = materialize(sketches(docs, words, least), "op9-sketches", waves=16)
     grouped = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("short").alias("short"))
     grouped = materialize(grouped, "op9-texts")
     # tid: doc_id, unless different texts share it

@@ -178,7 +178,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END, grain:
     """
     spark = docs.sparkSession
     with small_batches(spark):
-        pieces = materialize(cut_pieces(docs, path, size, end_id), "op8-pieces")
+        pieces = materialize(cut_pieces(docs, path, size, end_id), "op8-pieces", waves=16)
     cap = size // grain
     cls = F.ceil(F.col("length") / grain).cast("int")
     full, rest = pieces.where(cls == cap), pieces.where(cls < cap).withColumn("cls", cls)

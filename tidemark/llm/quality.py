@@ -97,7 +97,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, **o
     """
     if share is None:
         share = labels.agg(F.avg(F.when(F.col("quality") == 1, 1.0).when(F.col("quality").isNotNull(), 0.0))).first()[0] or 0.0
-    scored = materialize(importance_scores(docs, labels, **options), "op3-scores")
+    scored = materialize(importance_scores(docs, labels, **options), "op3-scores", waves=16)
     k = int(round(share * scored.count()))
     least = kth_largest(scored, "gumbel_key", k)
     return scored.where(F.col("gumbel_key") >= F.lit(least)) if least is not None else scored.limit(0)

@@ -99,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, trees: int
     )
     parts = [own.where(c).orderBy("ord", "doc_id").limit(n) for c, n in (("fold <= 2", 2 * fit_rows), ("fold = 3", fit_rows), ("fold = 4", fit_rows))]
     some = materialize(parts[0].union(parts[1]).union(parts[2]).select("doc_id", "label", "fold"), "op5-labels")
-    rows = materialize(with_text(docs).join(F.broadcast(some), "doc_id").select("text", "label", "fold"), "op5-sample")
+    rows = materialize(with_text(docs).join(F.broadcast(some), "doc_id").select("text", "label", "fold"), "op5-sample", waves=16)
     seen = {r.fold: (r.n, r.pos) for r in rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("pos")).collect()}
     n, pos = sum(a for a, _ in seen.values()), sum(b for _, b in seen.values())
     rate = pos / n if n else 0.0
