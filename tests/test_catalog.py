@@ -49,9 +49,9 @@ def executed(df):
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
-def test_reconciliation_reads_findings_twice(spark):
+def test_reconciliation_computes_fingerprints_once(spark):
     plan = executed(catalog.queries()["reconciled_findings"](spark, SF))
-    assert plan.count("FileScan parquet") <= 2 and plan.count("SortMergeJoin") <= 2, plan
+    assert plan.count("AS fingerprint") == 1 and plan.count("FileScan parquet") <= 3 and plan.count("SortMergeJoin") <= 2, plan
 
 
 def test_scoring_needs_no_join(spark):

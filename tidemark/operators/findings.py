@@ -48,14 +48,15 @@ def reconcile_runs(findings: DataFrame, previous: int, fresh: int, changed: Data
 
     ``findings``: key, run_id, fingerprint, path, ord. A fingerprint is one finding of its run: the
     greatest path and ord of its rows count. Both runs meet in one aggregation by key and
-    fingerprint (combined before the shuffle, so repeated findings cost nothing); the latest ord of
-    the fresh run comes from the same aggregate, and one join says which paths changed.
+    fingerprint (combined before the shuffle, so repeated findings cost nothing). The latest ord of
+    the fresh run is a second aggregate over two narrow columns, without fingerprints, and one join
+    says which paths changed.
     """
     of = lambda f, run, c: f(F.when(F.col("run_id") == run, F.col(c)))
     both = findings.where(F.col("run_id").isin(previous, fresh)).groupBy(*KEY, "fingerprint").agg(
         of(F.max, previous, "path").alias("was_path"), of(F.max, previous, "ord").alias("was"), of(F.max, fresh, "path").alias("new_path"), of(F.max, fresh, "ord").alias("new"),
     )
-    now = both.groupBy(*KEY).agg(F.max("new").alias("now"))
+    now = findings.where(F.col("run_id") == fresh).groupBy(*KEY).agg(F.max("ord").alias("now"))
     touched = changed.select(*KEY, F.col("path").alias("was_path")).distinct().withColumn("touched", F.lit(True))
     d = both.join(touched.hint("merge"), [*KEY, "was_path"], "left").join(now.hint("merge"), list(KEY))
     gone = F.col("new").isNull()
