@@ -39,7 +39,7 @@ from tidemark.llm.common import with_text
 #: Words longer than this many characters are not kept in a memo.
 MEMO_WORD = 64
 #: Entries of a task's memo; it is emptied when full, so memory is bounded.
-MEMO_SIZE = 120_000
+MEMO_SIZE = 300_000
 #: Characters of a chunk of a long document and of its first overlap with the next one, for ids and for counts.
 CHUNK, OVERLAP = 65_536, 256
 COUNT_CHUNK = 16_384
