@@ -16,8 +16,8 @@ from tidemark.llm.tokens import WordEncoder
 SIZE, END = 2048, 1
 #: Remainders are rounded up to multiples of this for the linear program.
 GRAIN = 8
-#: Remainders of a length class are ranked in parts of about so many, so a common length fills many tasks.
-PART_ROWS = 50_000
+#: Remainders of a length class are ranked in so many parts at least, of so many rows in all at most, so a common length fills many tasks.
+PARTS, PART_ROWS = 256, 50_000
 
 
 def price_pattern(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -182,7 +182,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END, grain:
     cap = size // grain
     cls = F.ceil(F.col("length") / grain).cast("int")
     full, rest = pieces.where(cls == cap), pieces.where(cls < cap).withColumn("cls", cls)
-    parts = max(1, -(-rest.count() // PART_ROWS))
+    parts = max(PARTS, -(-rest.count() // PART_ROWS))
     rest = rest.withColumn("part", F.pmod(F.xxhash64("row_key", "start"), F.lit(parts)).cast("int"))
     counts = rest.groupBy("cls", "part").agg(F.count("*").alias("n"))
     demand = np.zeros(cap, np.int64)

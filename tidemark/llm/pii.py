@@ -14,10 +14,10 @@ surrogate depends on the part alone, never on the title before it, so 'Mr. John
 name in none of them, or of either gender, gets a neutral form, which suits any title.
 
 A distributed check over all entities of the corpus verifies that no two of a kind share a
-surrogate and, for the kinds with large domains, that no surrogate is itself an entity of the
-corpus; kinds that fail are keyed anew until none does. IPs, phone and social security numbers
-have so small domains that a surrogate may be another entity's value; since that one is replaced
-too, distinctness holds.
+surrogate; kinds that fail are keyed anew until none does. Kinds with large domains are also keyed
+anew, twice at most, if a surrogate is itself an entity of the corpus. IPs, phone and social
+security numbers have so small domains that a surrogate may be another entity's value; since that
+one is replaced too, distinctness holds.
 """
 
 from __future__ import annotations
@@ -425,10 +425,13 @@ def entity_table(docs: DataFrame, key: str, settings: Settings = Settings()) ->
 def settle(docs: DataFrame, key: str, rounds: int = 8) -> Settings:
     """Settings under which no two entities of the corpus share a surrogate.
 
-    Counts collisions over all entities in Spark; only counts and the names of kinds come back.
+    Counts collisions over all entities in Spark; only counts and the names of kinds come back. Kinds
+    with large domains are also keyed anew, twice at most, while some surrogate is itself an entity
+    of the corpus; what is left after that (short e-mails of a huge corpus) is replaced too, so
+    distinctness holds all the same.
     """
     settings = Settings()
-    for _ in range(rounds):
+    for attempt in range(rounds):
         table = materialize(entity_table(docs, key, settings), "op7-entities", waves=1)
         names = table.where("kind like 'name:%'").count()
         if syllables_for(names) > settings.syllables:
@@ -437,7 +440,7 @@ def settle(docs: DataFrame, key: str, rounds: int = 8) -> Settings:
         twice = table.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1").select("kind")
         large = table.where(F.substring_index("kind", ":", 1).isin(*LARGE))
         taken = large.select("kind", "surrogate").join(large.select("kind", F.col("entity").alias("surrogate")).hint("merge"), ["kind", "surrogate"], "left_semi").select("kind")
-        bad = sorted({r.kind.partition(":")[0] for r in twice.union(taken).distinct().collect()})
+        bad = sorted({r.kind.partition(":")[0] for r in (twice.union(taken) if attempt < 2 else twice).distinct().collect()})
         discard(table)
         if not bad:
             return settings
