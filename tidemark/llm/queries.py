@@ -1,4 +1,4 @@
-"""Queries over the ten corpus operators and, where SQL can say it, their SQL."""
+"""Queries over the corpus operators and, where SQL can say it, their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fingerprint, mixing, neardup, packing, pii, quality, tokens, topk, toxicity, urlfilter
+from tidemark.llm import conversations, fingerprint, hosts, mixing, neardup, negatives, packing, pii, quality, tokens, topk, toxicity, urlfilter
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -64,9 +64,22 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.temporal_filter(urlfilter.derived_captures(pages), urlfilter.derived_entries(pages))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(conversations.damaged(_read(spark, sf_dir, "conversations")), _read(spark, sf_dir, "conversations"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(negatives.relabelled(_read(spark, sf_dir, "embeddings")))
+
+
+def op13_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.host_rules(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_fingerprints, op2_token_counts, op3_quality, op4_topk, op5_toxicity, op6_mixing, op7_pii, op8_packing, op9_neardup, op10_urlfilter,
+        op11_conversations, op12_negatives, op13_hosts,
     )
     return {f.__name__: f for f in own}
 
@@ -87,4 +100,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": OP4_SQL, "op10_urlfilter": urlfilter.SQL}
+    return {"op4_topk": OP4_SQL, "op10_urlfilter": urlfilter.SQL, "op11_conversations": conversations.SQL, "op12_negatives": negatives.SQL, "op13_hosts": hosts.SQL}
