@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import byte_prefix, empty, fingerprint, line_symbol, strip_ws
@@ -69,6 +69,43 @@ def reconcile_runs(findings: DataFrame, previous: int, fresh: int, changed: Data
     return out if include_resolved else out.where("state <> 'resolved'")
 
 
+def reconcile_pushes(previous: DataFrame, pushes: DataFrame) -> DataFrame:
+    """JON-1 over any number of pushes of each change set, one after the other: the state after the last.
+
+    ``previous``: key, fingerprint, path, ord, first_seen, last_seen, push (the last one that it
+    contains). ``pushes``: key, push (their order), fingerprint, path, ord, seen; a row without a fingerprint says that
+    the push changed its path and found nothing there, or nothing at all where the path is null too. Paths
+    of a push's rows count as changed. Change sets without a push aren't returned.
+
+    A finding's life is told by its pushes alone, so nothing is folded in a loop: it lives from one
+    presence to the next unless a push between them changed its path; it is in the state if its last life
+    reaches the last push. A presence is compared with the next change of its path (a window by path) and with its
+    next presence (a window by fingerprint); the groups are as large as the pushes that name them.
+    """
+    found = [*KEY, "fingerprint"]
+    last = pushes.groupBy(*KEY).agg(F.max("push").alias("last_push"), F.max_by("seen", F.struct("push", "seen")).alias("now"))
+    mine = previous.join(last.select(*KEY).hint("merge"), list(KEY), "left_semi")
+    rows = mine.select(*found, "path", "ord", "push", F.col("first_seen").alias("seen"), F.lit(True).alias("known")).unionByName(
+        pushes.where("fingerprint is not null").select(*found, "path", "ord", "push", "seen", F.lit(False).alias("known"))
+    )
+    once = rows.groupBy(*found, "path", "push").agg(F.max_by("seen", "ord").alias("seen"), F.max("known").alias("known"))
+    touches = pushes.where("path is not null").select(*KEY, "path", "push").distinct().withColumn("touch", F.col("push"))
+    later = Window.partitionBy(*KEY, "path").orderBy(F.desc("push")).rangeBetween(Window.unboundedPreceding, -1)
+    marked = once.withColumn("touch", F.lit(None).cast("long")).unionByName(touches, allowMissingColumns=True)
+    marked = marked.withColumn("next_touch", F.min("touch").over(later)).where("fingerprint is not null")
+    life = Window.partitionBy(*found).orderBy("push", "path")
+    marked = marked.withColumn("next", F.lead("push").over(life))
+    marked = marked.withColumn("ends", F.coalesce(F.col("next_touch") < F.col("next"), F.col("next_touch").isNotNull() & F.col("next").isNull(), F.lit(False)))
+    marked = marked.withColumn("lives", F.coalesce(F.sum(F.col("ends").cast("int")).over(life.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    born = Window.partitionBy(*found, "lives").orderBy("push", "path")
+    marked = marked.withColumn("first_seen", F.first("seen").over(born)).withColumn("nth", F.row_number().over(born))
+    alive = marked.where("next is null and not ends").select(*found, "path", "push", "first_seen", ((F.col("nth") > 1) | F.col("known")).alias("was"))
+    out = rows.join(alive.hint("merge"), [*found, "path", "push"]).join(last.hint("merge"), list(KEY))
+    here = F.col("push") == F.col("last_push")
+    state = F.when(~here, "carried").when(F.col("was"), "keep").otherwise("new")
+    return out.select(*found, "path", "ord", state.alias("state"), "first_seen", F.when(here, F.col("seen")).otherwise(F.col("now")).alias("last_seen"), F.col("last_push").alias("push"))
+
+
 def carryover_counts(states: DataFrame) -> DataFrame:
     """AGG-1: kept, new, carried and resolved by change set (from reconcile with include_resolved)."""
     names = {"keep": "kept", "new": "new", "carried": "carried", "resolved": "resolved"}

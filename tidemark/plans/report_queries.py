@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +10,7 @@ from tidemark.operators import findings, index, overlap, sarif, scoring
 from tidemark.operators.scoring import KEY
 from tidemark.plans.graph_queries import PAIRS
 from tidemark.plans.review_queries import F0, FP_SQL, FS
-from tidemark.sources import diffs, reports, store
+from tidemark.sources import diffs, reports, shared, store
 from tidemark.sources import fixtures as fx
 
 QUERIES: dict = {}
@@ -222,8 +219,7 @@ UNION ALL SELECT owner, repo, pr, ord, path FROM fx_findings WHERE run_id = 2 AN
 )
 def stored_findings(spark: SparkSession, d: str) -> DataFrame:
     """SRC-4: run 1 of all change sets is stored, then run 2 of a third, and nothing for another third."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    path = f"{base.rstrip('/')}/findings-{uuid.uuid4().hex}"
+    path = shared.new_folder(spark, "findings")
     f = fx.findings(spark, d).select(*KEY, "run_id", "ord", "path")
     one, two = (f.where(F.col("run_id") == k).drop("run_id") for k in (1, 2))
     store.write_findings(one, f.select(*KEY), path)

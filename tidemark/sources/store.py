@@ -7,25 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.scoring import KEY
+from tidemark.sources import versions
+
+
+def findings_store(spark: SparkSession, path: str, schema: T.StructType) -> versions.Store:
+    return versions.Store(spark, path, KEY, {"findings": schema})
 
 
 def write_findings(findings: DataFrame, keys: DataFrame, path: str) -> None:
-    """SRC-4: replace the findings of the change sets in ``keys`` (owner, repo, pr); others stay.
+    """SRC-4: replace the findings of the change sets in ``keys`` (owner, repo, pr) by one commit; others stay.
 
-    Each change set is a partition. A row without findings marks every one, so an empty set
-    replaces what was there as well. Keys may not be null.
+    Change sets are dealt into buckets, so there is no folder for each; a write that fails leaves
+    what was there. Keys may not be null.
     """
-    rows = findings.withColumn("has_finding", F.lit(True)).unionByName(keys.select(*KEY).distinct().withColumn("has_finding", F.lit(False)), allowMissingColumns=True)
-    rows.repartition(*KEY).write.partitionBy(*KEY).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    findings_store(findings.sparkSession, path, findings.schema).replace({"findings": findings}, keys)
 
 
-def read_findings(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """SRC-4: the stored findings; a store that doesn't exist is empty. Filters on the key prune partitions."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], schema)
-    stored = T.StructType([*schema.fields, T.StructField("has_finding", T.BooleanType())])
-    return spark.read.schema(stored).parquet(path).where("has_finding").select(*schema.names)
+def read_findings(spark: SparkSession, path: str, schema: T.StructType, keys: DataFrame | None = None) -> DataFrame:
+    """SRC-4: the stored findings; a store that doesn't exist is empty. ``keys``: of these change sets, from their buckets only."""
+    stored = findings_store(spark, path, schema)
+    if keys is None:
+        return stored.read("findings")
+    return stored.read("findings", stored.touched(keys)).join(keys.select(*KEY).distinct(), list(KEY), "left_semi")
 
 
 def envelopes(sessions: DataFrame, comments: DataFrame) -> DataFrame:

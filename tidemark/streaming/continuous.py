@@ -5,75 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.findings import reconcile
+from tidemark.operators.findings import reconcile_pushes
 from tidemark.operators.scoring import KEY
+from tidemark.sources.versions import Store
 
-STATE = "owner string, repo string, pr long, fingerprint string, path string, ord long, state string, first_seen long, last_seen long, batch long"
-#: Change sets are stored in so many folders, so a batch reads those it touches.
-BUCKETS = 64
-#: Batches between two snapshots of the whole state.
+TABLES = {
+    "findings": "owner string, repo string, pr long, fingerprint string, path string, ord long, state string, first_seen long, last_seen long, push long",
+    "pushes": "owner string, repo string, pr long, push long",
+}
+#: Commits between two snapshots of the whole state.
 COMPACT_EVERY = 32
 
 
-def _bucket() -> F.Column:
-    return F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)).cast("int")
+def state_store(spark: SparkSession, state_dir: str, compact_every: int = COMPACT_EVERY) -> Store:
+    return Store(spark, state_dir, KEY, TABLES, compact_every=compact_every)
 
 
-def reconcile_stream(pushes: DataFrame, state_dir: str, checkpoint: str, compact_every: int = COMPACT_EVERY):
-    """STR-1: a streaming query that folds each micro-batch of pushes into the table at ``state_dir``.
+def reconcile_stream(pushes: DataFrame, state_dir: str, checkpoint: str, compact_every: int = COMPACT_EVERY, available_now: bool = False):
+    """STR-1: a streaming query that folds pushes into the store at ``state_dir``, in their order.
 
-    ``pushes``: key, fingerprint, path, ord, seen; one push of a change set a batch; paths in it
-    count as changed. A batch writes the next version of the touched change sets under its own
-    number, so a replay after a failure overwrites what it wrote before. Every ``compact_every``
-    batches the whole state is written as a snapshot and versions older than the snapshot before it
-    go, so a batch reads one snapshot and a bounded number of versions, of its own buckets only.
+    ``pushes``: key, push (a long that orders the pushes of a change set; without the column, a batch is one
+    push of each), fingerprint, path, ord, seen. A row without a fingerprint names a path that the push
+    changed and that has no finding, so a file without findings resolves what it had. A batch may hold any
+    number of pushes of a change set, and each push must come whole in one batch. A push that is not
+    newer than the last one folded is old (a replay, or late) and is left out.
+
+    The touched change sets are replaced by one commit under the batch's number; a batch that is run again
+    after its commit changes nothing, and one that failed before it left no trace.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if number and number % compact_every == 0:
-            whole = current_state(spark, state_dir, number)
-            whole.withColumn("bucket", _bucket()).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{state_dir}/snapshot={number:012d}")
-            _forget(spark, state_dir, number - compact_every)
-        touched = batch.select(*KEY).distinct()
-        buckets = [r.bucket for r in touched.select(_bucket().alias("bucket")).distinct().collect()]  # BUCKETS values at most
-        before = current_state(spark, state_dir, number, buckets).join(touched, list(KEY), "left_semi")
-        out = reconcile(before.select(*KEY, "fingerprint", "path", "ord", "first_seen"), batch, batch.select(*KEY, "path").distinct())
-        out = out.withColumn("batch", F.lit(number).cast("long")).withColumn("bucket", _bucket())
-        out.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{state_dir}/version={number:012d}")
-
-    return pushes.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).start()
-
-
-def _folders(spark: SparkSession, state_dir: str) -> list[tuple[str, int]]:
-    """Kind and number of the folders in the state: a snapshot or two and the versions since."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(state_dir)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [s.getPath().getName().partition("=") for s in fs.listStatus(path)]
-    return sorted((kind, int(number)) for kind, _, number in names if kind in ("snapshot", "version"))
-
-
-def _forget(spark: SparkSession, state_dir: str, below: int) -> None:
-    for kind, number in _folders(spark, state_dir):
-        if number < below:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{state_dir}/{kind}={number:012d}")
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def current_state(spark: SparkSession, state_dir: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-    """The newest version of every change set, from batches below ``before``; of some buckets only, if given."""
-    own = [(k, n) for k, n in _folders(spark, state_dir) if before is None or (n <= before if k == "snapshot" else n < before)]
-    base = max((n for k, n in own if k == "snapshot"), default=0)
-    rows = None
-    for kind, number in own:
-        if number == base if kind == "snapshot" else number >= base:
-            part = spark.read.schema(f"{STATE}, bucket int").parquet(f"{state_dir}/{kind}={number:012d}")
-            part = part if buckets is None else part.where(F.col("bucket").isin(buckets))
-            rows = part if rows is None else rows.unionByName(part)
-    if rows is None:
-        return spark.createDataFrame([], STATE)
-    rows = rows.drop("bucket")
-    newest = rows.groupBy(*KEY).agg(F.max("batch").alias("batch"))
-    return rows.join(newest, [*KEY, "batch"])
+        store = state_store(batch.sparkSession, state_dir, compact_every)
+        if "push" not in batch.columns:
+            batch = batch.withColumn("push", F.lit(number))
+        batch = batch.select(*KEY, F.col("push").cast("long").alias("push"), "fingerprint", "path", "ord", "seen").persist()
+        try:
+            buckets = store.touched(batch)
+            known = store.read("pushes", buckets).select(*KEY, F.col("push").alias("folded"))
+            new = batch.join(known.hint("merge"), list(KEY), "left").where("folded is null or push > folded").drop("folded")
+            state = reconcile_pushes(store.read("findings", buckets), new)
+            last = new.groupBy(*KEY).agg(F.max("push").alias("push"))
+            store.replace({"findings": state, "pushes": last}, last, tag=f"{checkpoint}:{number}")
+        finally:
+            batch.unpersist()
+
+    writer = pushes.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def current_state(spark: SparkSession, state_dir: str, buckets: list[int] | None = None) -> DataFrame:
+    """The findings of every change set after its last push: key, fingerprint, path, ord, state, first_seen, last_seen, push, batch (the commit)."""
+    return state_store(spark, state_dir).read("findings", buckets, version=True).withColumnRenamed("_version", "batch")
