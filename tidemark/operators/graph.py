@@ -2,68 +2,96 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import strip_ws
+from tidemark.sources.shared import written
+
+
+#: A symbol with more callers than this is a hub: its callers are dealt out by salts of about so many.
+HUB = 100_000
 
 
 def inbound_edges(paths: DataFrame, imports: DataFrame, refs: DataFrame) -> DataFrame:
-    """AGG-4: imports of a path plus distinct files that refer to it; 0 if none."""
-    i = imports.groupBy(F.col("target_path").alias("path")).agg(F.count("*").alias("i"))
-    r = refs.groupBy(F.col("target_path").alias("path")).agg(F.countDistinct("source_path").alias("r"))
-    out = paths.select("path").distinct().join(i, "path", "left").join(r, "path", "left")
-    return out.select("path", (F.coalesce("i", F.lit(0)) + F.coalesce("r", F.lit(0))).alias("n_inbound"))
+    """AGG-4: repo, path, n_inbound: imports of a path plus distinct files that refer to it; 0 if none.
+
+    All three tables have ``repo``: equal paths of two repositories are two files.
+    """
+    i = imports.groupBy("repo", F.col("target_path").alias("path")).agg(F.count("*").alias("i"))
+    r = refs.groupBy("repo", F.col("target_path").alias("path")).agg(F.countDistinct("source_path").alias("r"))
+    out = paths.select("repo", "path").distinct().join(i, ["repo", "path"], "left").join(r, ["repo", "path"], "left")
+    return out.select("repo", "path", (F.coalesce("i", F.lit(0)) + F.coalesce("r", F.lit(0))).alias("n_inbound"))
 
 
 def rank_by_inbound(changed: DataFrame, inbound: DataFrame, *by: str) -> DataFrame:
-    """TOP-1: paths by inbound edges, most first, ties in input order (``ord``)."""
-    w = Window.partitionBy(*by).orderBy(F.desc("n_inbound"), "ord")
-    out = changed.join(inbound, "path", "left").withColumn("n_inbound", F.coalesce("n_inbound", F.lit(0)))
+    """TOP-1: paths of each change set (repo and ``by``) by inbound edges, most first, ties in input order (``ord``)."""
+    w = Window.partitionBy("repo", *by).orderBy(F.desc("n_inbound"), "ord")
+    out = changed.join(inbound, ["repo", "path"], "left").withColumn("n_inbound", F.coalesce("n_inbound", F.lit(0)))
     return out.withColumn("rank", F.row_number().over(w))
 
 
-def blast_radius(seeds: DataFrame, symbols: DataFrame, refs: DataFrame, hops: int = 2) -> DataFrame:
+def salted_calls(refs: DataFrame, hub: int = HUB) -> tuple[DataFrame, DataFrame]:
+    """Calls with a salt by their caller, and repo, target_path, target_symbol, salts of the hubs (others have one salt, 0)."""
+    target = ["repo", "target_path", "target_symbol"]
+    calls = refs.select(*target, "source_path", "source_symbol").distinct()
+    hubs = written(calls.groupBy(*target).agg(F.count("*").alias("n")).where(F.col("n") > hub).select(*target, F.ceil(F.col("n") / hub).cast("int").alias("salts")), "hubs")
+    salt = F.pmod(F.xxhash64("source_path", "source_symbol"), F.coalesce("salts", F.lit(1)).cast("long")).cast("int")
+    return written(calls.join(hubs.hint("merge"), target, "left").select(*target, "source_path", "source_symbol", salt.alias("salt")), "calls"), hubs
+
+
+def blast_radius(seeds: DataFrame, symbols: DataFrame, refs: DataFrame, hops: int | None = 2, hub: int = HUB) -> DataFrame:
     """JON-9: files that call into the seeds, directly or through other callers.
 
-    ``seeds``: seed_id, path. ``symbols``: file_path, name. ``refs``: source_path, source_symbol,
-    target_path, target_symbol. Returns seed_id, path, depth, symbols (sorted). A path appears once,
-    at its least depth. All seed sets advance together, one equality join a hop.
+    ``seeds``: seed_id, repo, path. ``symbols``: repo, file_path, name. ``refs``: repo, source_path, source_symbol,
+    target_path, target_symbol. Returns seed_id, repo, path, depth, symbols (sorted). A path appears
+    once, at its least depth; calls stay inside a repository. ``hops`` None: until no new file is found.
+
+    All seed sets advance together, and only with what the last hop found (semi-naive). Each hop is one
+    equality join, whose new callers are written once to the shared folder: the next hop, the visited files and the
+    result read that table. Targets with more than ``hub`` callers are spread over salts, so a symbol that
+    everything calls is no task of its own.
     """
-    visited = seeds.select("seed_id", "path").distinct()
-    front = visited.join(symbols, F.col("path") == F.col("file_path")).select("seed_id", "path", F.col("name").alias("symbol"))
-    out = None
-    for depth in range(1, hops + 1):
-        f = front.select("seed_id", F.col("path").alias("target_path"), F.col("symbol").alias("target_symbol"))
-        hit = refs.join(f, ["target_path", "target_symbol"]).select("seed_id", F.col("source_path").alias("path"), F.col("source_symbol").alias("symbol"))
-        hit = hit.join(visited, ["seed_id", "path"], "left_anti").distinct()
-        level = hit.groupBy("seed_id", "path").agg(F.array_sort(F.collect_set("symbol")).alias("symbols")).withColumn("depth", F.lit(depth))
-        out = level if out is None else out.unionByName(level)
-        visited = visited.unionByName(level.select("seed_id", "path"))
-        front = hit
-    return out.select("seed_id", "path", "depth", "symbols")
+    target = ["repo", "target_path", "target_symbol"]
+    calls, hubs = salted_calls(refs, hub)
+    visited = seeds.select("seed_id", "repo", "path").distinct()
+    front = visited.join(symbols.select("repo", F.col("file_path").alias("path"), F.col("name").alias("symbol")).distinct(), ["repo", "path"])
+    levels, depth = [], 0
+    while hops is None or depth < hops:
+        depth += 1
+        f = front.select("seed_id", "repo", F.col("path").alias("target_path"), F.col("symbol").alias("target_symbol")).join(hubs.hint("merge"), target, "left")
+        f = f.select("seed_id", *target, F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+        hit = f.hint("merge").join(calls, [*target, "salt"]).select("seed_id", "repo", F.col("source_path").alias("path"), F.col("source_symbol").alias("symbol")).distinct()
+        front = written(hit.join(visited.hint("merge"), ["seed_id", "repo", "path"], "left_anti"), f"hop-{depth}")
+        levels.append(front.groupBy("seed_id", "repo", "path").agg(F.array_sort(F.collect_set("symbol")).alias("symbols")).withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
+            break
+        visited = visited.unionByName(front.select("seed_id", "repo", "path").distinct())
+    return functools.reduce(DataFrame.unionByName, levels).select("seed_id", "repo", "path", "depth", "symbols")
 
 
 def one_hop(changed: DataFrame, imports: DataFrame, *by: str) -> DataFrame:
     """JON-17: distinct import targets of changed files that are not changed themselves.
 
-    ``changed``: the key columns ``by`` of a change set (none: one change set) and path; all change
-    sets are looked up together.
+    ``changed``: repo, path and the key columns ``by`` of a change set (none: one a repository); all change
+    sets are looked up together. ``imports``: repo, source_path, target_path.
     """
-    c = changed.select(*by, F.col("path").alias("source_path")).distinct()
-    hit = imports.select("source_path", F.col("target_path").alias("path")).join(c, "source_path").select(*by, "path").distinct()
-    return hit.join(c.withColumnRenamed("source_path", "path"), [*by, "path"], "left_anti")
+    c = changed.select(*by, "repo", F.col("path").alias("source_path")).distinct()
+    hit = imports.select("repo", "source_path", F.col("target_path").alias("path")).join(c, ["repo", "source_path"]).select(*by, "repo", "path").distinct()
+    return hit.join(c.withColumnRenamed("source_path", "path"), [*by, "repo", "path"], "left_anti")
 
 
 def importers(changed: DataFrame, imports: DataFrame, cap: int = 20, *by: str) -> DataFrame:
     """JON-11, files: unchanged files that import a changed path, at most ``cap`` a target, in path order.
 
-    ``by`` as in :func:`one_hop`. :func:`package_importers` has the form by package with its lines.
+    Tables and ``by`` as in :func:`one_hop`. :func:`package_importers` has the form by package with its lines.
     """
-    c = changed.select(*by, F.col("path").alias("target_path")).distinct()
-    hit = imports.join(c, "target_path").select(*by, "source_path", "target_path").distinct()
-    hit = hit.join(c.withColumnRenamed("target_path", "source_path"), [*by, "source_path"], "left_anti")
-    w = Window.partitionBy(*by, "target_path").orderBy("source_path")
+    c = changed.select(*by, "repo", F.col("path").alias("target_path")).distinct()
+    hit = imports.join(c, ["repo", "target_path"]).select(*by, "repo", "source_path", "target_path").distinct()
+    hit = hit.join(c.withColumnRenamed("target_path", "source_path"), [*by, "repo", "source_path"], "left_anti")
+    w = Window.partitionBy(*by, "repo", "target_path").orderBy("source_path")
     return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.text import basename, empty, parent_dir
+from tidemark.sources.versions import Store
 
 
 def content_hash(files: DataFrame) -> DataFrame:
@@ -44,13 +46,27 @@ def replace_children(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def replace_packages(old: DataFrame, new: DataFrame, live: DataFrame) -> DataFrame:
-    """JON-7: packages of re-read files are replaced, those of dead files cleared; the last of a name stays."""
-    w = Window.partitionBy("name", "kind", "file_path").orderBy(F.desc("ord"))
+    """JON-7: packages of re-read files are replaced, those of dead files cleared; the last of a name stays.
+
+    ``old`` and ``new``: repo, file_path, name, kind and more; ``live``: repo, file_path. A file is its
+    repository and path, so equal paths elsewhere are untouched.
+    """
+    file = ["repo", "file_path"]
+    w = Window.partitionBy(*file, "name", "kind").orderBy(F.desc("ord"))
     latest = new.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
-    kept = old.join(new.select("file_path").distinct(), "file_path", "left_anti").join(live.select("file_path").distinct(), "file_path", "left_semi")
+    kept = old.join(new.select(*file).distinct().hint("merge"), file, "left_anti").join(live.select(*file).distinct().hint("merge"), file, "left_semi")
     return kept.unionByName(latest)
 
 
+def stored_index(spark: SparkSession, path: str, tables: dict[str, T.StructType | str], key: tuple[str, ...] = ("repo", "path")) -> Store:
+    """JON-6, JON-7: the tables of an index (files, symbols, imports, ...), which change together, file by file.
+
+    All hold ``key``. ``replace(rows, keys)`` puts new rows of the files ``keys`` in all tables by one commit:
+    children of a re-read file go with it, and a vanished file is a key without rows.
+    """
+    return Store(spark, path, key, tables)
+
+
 def directory_rollup(files: DataFrame, cap: int = 30) -> DataFrame:
     """AGG-8: file count of each directory and the summary lines of its first ``cap`` paths."""
     d = files.select("repo", "path", "summary", parent_dir(F.col("path")).alias("dir"))

@@ -28,49 +28,61 @@ R0 = f"WITH RECURSIVE {fx.REFS_SQL}".replace("WITH RECURSIVE", "WITH")
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     refs = fx.references(spark, d)
-    symbols = refs.select(F.col("source_path").alias("file_path"), F.col("source_symbol").alias("name")).distinct()
-    return refs, symbols, refs.select("source_path", "target_path").distinct()
+    symbols = refs.select("repo", F.col("source_path").alias("file_path"), F.col("source_symbol").alias("name")).distinct()
+    return refs, symbols, refs.select("repo", "source_path", "target_path").distinct()
 
 
 def _changed(symbols: DataFrame) -> DataFrame:
-    """All files as change sets (``seed_id``) of eight neighbours."""
-    return symbols.select(F.expr("file_path div 8").alias("seed_id"), F.col("file_path").alias("path")).distinct()
+    """All files as change sets (``seed_id``) of eight neighbours in their repository."""
+    return symbols.select(F.expr("file_path div 8").alias("seed_id"), "repo", F.col("file_path").alias("path")).distinct()
 
 
-_INBOUND = """inb AS (SELECT p.path, coalesce(i.i,0) + coalesce(r.r,0) AS n_inbound FROM (SELECT DISTINCT source_path AS path FROM fx_refs) p
-LEFT JOIN (SELECT target_path AS path, count(*) AS i FROM fx_imports GROUP BY 1) i USING (path)
-LEFT JOIN (SELECT target_path AS path, count(DISTINCT source_path) AS r FROM fx_refs GROUP BY 1) r USING (path))"""
+_INBOUND = """inb AS (SELECT p.repo, p.path, coalesce(i.i,0) + coalesce(r.r,0) AS n_inbound FROM (SELECT DISTINCT repo, source_path AS path FROM fx_refs) p
+LEFT JOIN (SELECT repo, target_path AS path, count(*) AS i FROM fx_imports GROUP BY ALL) i USING (repo, path)
+LEFT JOIN (SELECT repo, target_path AS path, count(DISTINCT source_path) AS r FROM fx_refs GROUP BY ALL) r USING (repo, path))"""
 
 
 @query(f"{R0}, {_INBOUND} SELECT * FROM inb")
 def inbound_edges(spark: SparkSession, d: str) -> DataFrame:
     refs, symbols, imports = _graph(spark, d)
-    return graph.inbound_edges(symbols.select(F.col("file_path").alias("path")), imports, refs)
+    return graph.inbound_edges(symbols.select("repo", F.col("file_path").alias("path")), imports, refs)
 
 
-@query(f"{R0}, {_INBOUND} SELECT path, path % 7 AS pr, n_inbound, CAST(row_number() OVER (PARTITION BY path % 7 ORDER BY n_inbound DESC, path) AS INT) AS rank FROM inb")
+@query(f"{R0}, {_INBOUND} SELECT repo, path, path % 7 AS pr, n_inbound, CAST(row_number() OVER (PARTITION BY repo, path % 7 ORDER BY n_inbound DESC, path) AS INT) AS rank FROM inb")
 def ranked_paths(spark: SparkSession, d: str) -> DataFrame:
-    changed = _graph(spark, d)[1].select(F.col("file_path").alias("path"), (F.col("file_path") % 7).alias("pr"), F.col("file_path").alias("ord")).distinct()
-    return graph.rank_by_inbound(changed, inbound_edges(spark, d), "pr").select("path", "pr", "n_inbound", "rank")
+    changed = _graph(spark, d)[1].select("repo", F.col("file_path").alias("path"), (F.col("file_path") % 7).alias("pr"), F.col("file_path").alias("ord")).distinct()
+    return graph.rank_by_inbound(changed, inbound_edges(spark, d), "pr").select("repo", "path", "pr", "n_inbound", "rank")
 
 
-@query(
-    f"""{R0}, seeds AS (SELECT DISTINCT file_path // 8 AS seed_id, file_path AS path FROM fx_symbols),
-h1 AS (SELECT DISTINCT s.seed_id, r.source_path AS path, r.source_symbol AS symbol FROM seeds s JOIN fx_symbols y ON y.file_path = s.path
-  JOIN fx_refs r ON r.target_path = s.path AND r.target_symbol = y.name WHERE NOT EXISTS (SELECT 1 FROM seeds v WHERE v.seed_id = s.seed_id AND v.path = r.source_path)),
-h2 AS (SELECT DISTINCT h.seed_id, r.source_path AS path, r.source_symbol AS symbol FROM h1 h JOIN fx_refs r ON r.target_path = h.path AND r.target_symbol = h.symbol
-  WHERE NOT EXISTS (SELECT 1 FROM seeds v WHERE v.seed_id = h.seed_id AND v.path = r.source_path) AND NOT EXISTS (SELECT 1 FROM h1 v WHERE v.seed_id = h.seed_id AND v.path = r.source_path))
-SELECT seed_id, path, CAST(1 AS INT) AS depth, string_agg(symbol, ',' ORDER BY symbol) AS symbols FROM h1 GROUP BY ALL
-UNION ALL SELECT seed_id, path, CAST(2 AS INT), string_agg(symbol, ',' ORDER BY symbol) FROM h2 GROUP BY ALL"""
-)
+def _blast_sql(hops: int) -> str:
+    """Each hop as a table of its own, new files only; change sets of eight neighbours."""
+    parts = ["seeds AS (SELECT DISTINCT file_path // 8 AS seed_id, repo, file_path AS path FROM fx_symbols)", "h0 AS (SELECT s.*, y.name AS symbol FROM seeds s JOIN fx_symbols y ON y.repo = s.repo AND y.file_path = s.path)"]
+    for k in range(1, hops + 1):
+        seen = " ".join(f"AND NOT EXISTS (SELECT 1 FROM {t} v WHERE v.seed_id = h.seed_id AND v.repo = h.repo AND v.path = r.source_path)" for t in ["seeds", *[f"h{j}" for j in range(1, k)]])
+        parts.append(
+            f"""h{k} AS (SELECT DISTINCT h.seed_id, h.repo, r.source_path AS path, r.source_symbol AS symbol FROM h{k - 1} h
+  JOIN fx_refs r ON r.repo = h.repo AND r.target_path = h.path AND r.target_symbol = h.symbol WHERE true {seen})"""
+        )
+    rows = " UNION ALL ".join(f"SELECT seed_id, repo, path, CAST({k} AS INT) AS depth, string_agg(symbol, ',' ORDER BY symbol) AS symbols FROM h{k} GROUP BY ALL" for k in range(1, hops + 1))
+    return f"{R0}, {', '.join(parts)} {rows}"
+
+
+@query(_blast_sql(2))
 def blast_radius(spark: SparkSession, d: str) -> DataFrame:
     refs, symbols, _ = _graph(spark, d)
     return graph.blast_radius(_changed(symbols), symbols, refs).withColumn("symbols", F.array_join("symbols", ","))
 
 
+@query(_blast_sql(4))
+def blast_radius_deep(spark: SparkSession, d: str) -> DataFrame:
+    """JON-9 over four hops, symbols with more than 16 callers spread over salts."""
+    refs, symbols, _ = _graph(spark, d)
+    return graph.blast_radius(_changed(symbols), symbols, refs, hops=4, hub=16).withColumn("symbols", F.array_join("symbols", ","))
+
+
 @query(
-    f"""{R0}, c AS (SELECT DISTINCT file_path // 8 AS seed_id, file_path AS path FROM fx_symbols)
-SELECT DISTINCT c.seed_id, i.target_path AS path FROM fx_imports i JOIN c ON c.path = i.source_path WHERE (c.seed_id, i.target_path) NOT IN (SELECT (seed_id, path) FROM c)"""
+    f"""{R0}, c AS (SELECT DISTINCT file_path // 8 AS seed_id, repo, file_path AS path FROM fx_symbols)
+SELECT DISTINCT c.seed_id, c.repo, i.target_path AS path FROM fx_imports i JOIN c ON c.repo = i.repo AND c.path = i.source_path WHERE (c.seed_id, c.repo, i.target_path) NOT IN (SELECT (seed_id, repo, path) FROM c)"""
 )
 def one_hop_related(spark: SparkSession, d: str) -> DataFrame:
     _, symbols, imports = _graph(spark, d)
@@ -78,13 +90,13 @@ def one_hop_related(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""{R0}, c AS (SELECT DISTINCT file_path // 8 AS seed_id, file_path AS path FROM fx_symbols),
-i AS (SELECT DISTINCT c.seed_id, target_path, source_path FROM fx_imports JOIN c ON c.path = target_path WHERE (c.seed_id, source_path) NOT IN (SELECT (seed_id, path) FROM c))
-SELECT seed_id, target_path, source_path, CAST(row_number() OVER (PARTITION BY seed_id, target_path ORDER BY source_path) AS INT) AS rank FROM i QUALIFY rank <= 20"""
+    f"""{R0}, c AS (SELECT DISTINCT file_path // 8 AS seed_id, repo, file_path AS path FROM fx_symbols),
+i AS (SELECT DISTINCT c.seed_id, c.repo, target_path, source_path FROM fx_imports f JOIN c ON c.repo = f.repo AND c.path = target_path WHERE (c.seed_id, c.repo, source_path) NOT IN (SELECT (seed_id, repo, path) FROM c))
+SELECT seed_id, repo, target_path, source_path, CAST(row_number() OVER (PARTITION BY seed_id, repo, target_path ORDER BY source_path) AS INT) AS rank FROM i QUALIFY rank <= 20"""
 )
 def reverse_importers(spark: SparkSession, d: str) -> DataFrame:
     _, symbols, imports = _graph(spark, d)
-    return graph.importers(_changed(symbols), imports, 20, "seed_id").select("seed_id", "target_path", "source_path", "rank")
+    return graph.importers(_changed(symbols), imports, 20, "seed_id").select("seed_id", "repo", "target_path", "source_path", "rank")
 
 
 @query(
@@ -180,15 +192,12 @@ def stale_files(spark: SparkSession, d: str) -> DataFrame:
     return index.needs_work(f, s).select("path")
 
 
-@query(f"{X0}, {_STORED} SELECT f.path FROM fx_files f ANTI JOIN stored s ON s.repo = f.repo AND s.path = f.path")
+@query(f"{X0}, {_STORED} SELECT f.repo, f.path FROM fx_files f ANTI JOIN stored s ON s.repo = f.repo AND s.path = f.path")
 def missing_files(spark: SparkSession, d: str) -> DataFrame:
     f, s = _index(spark, d)
     return index.missing_rows(f.select("repo", "path"), s)
 
 
-SQL["missing_files"] = f"{X0}, {_STORED} SELECT f.repo, f.path FROM fx_files f ANTI JOIN stored s ON s.repo = f.repo AND s.path = f.path"
-
-
 @query(f"{X0}, {_STORED} SELECT s.path, s.content_hash FROM stored s WHERE ord % 3 <> 0")
 def pruned_index(spark: SparkSession, d: str) -> DataFrame:
     f, s = _index(spark, d)

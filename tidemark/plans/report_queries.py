@@ -12,6 +12,7 @@ from tidemark.plans.graph_queries import PAIRS
 from tidemark.plans.review_queries import F0, FP_SQL, FS
 from tidemark.sources import diffs, reports, shared, store
 from tidemark.sources import fixtures as fx
+from tidemark.streaming import continuous
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -227,6 +228,45 @@ def stored_findings(spark: SparkSession, d: str) -> DataFrame:
     return store.read_findings(spark, path, one.schema)
 
 
+_STATE = """last AS (SELECT owner, repo, pr, max(push) AS last_push, arg_max(seen, (push, seen)) AS now FROM fx_pushes GROUP BY ALL),
+once AS (SELECT owner, repo, pr, fingerprint, path, push, arg_max(seen, ord) AS seen FROM fx_pushes WHERE fingerprint IS NOT NULL GROUP BY ALL),
+touch AS (SELECT DISTINCT owner, repo, pr, path, push FROM fx_pushes),
+m AS (SELECT o.*, lead(push) OVER (PARTITION BY owner, repo, pr, fingerprint ORDER BY push) AS nxt,
+  (SELECT min(t.push) FROM touch t WHERE t.owner = o.owner AND t.repo = o.repo AND t.pr = o.pr AND t.path = o.path AND t.push > o.push) AS again FROM once o),
+ends AS (SELECT *, CASE WHEN nxt IS NULL THEN again IS NOT NULL ELSE coalesce(again < nxt, false) END AS ends FROM m),
+l AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY owner, repo, pr, fingerprint ORDER BY push ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS life FROM ends),
+b AS (SELECT *, first(seen) OVER w AS first_seen, row_number() OVER w AS nth FROM l WINDOW w AS (PARTITION BY owner, repo, pr, fingerprint, life ORDER BY push))
+SELECT owner, repo, pr, fingerprint, p.path, p.ord, CASE WHEN p.push < last_push THEN 'carried' WHEN nth > 1 THEN 'keep' ELSE 'new' END AS state, first_seen,
+  CASE WHEN p.push < last_push THEN now ELSE p.seen END AS last_seen
+FROM b JOIN fx_pushes p USING (owner, repo, pr, fingerprint, push) JOIN last USING (owner, repo, pr) WHERE nxt IS NULL AND NOT ends"""
+
+
+@query(f"{F0}, {fx.PUSHES_SQL}, {_STATE}")
+def pushed_findings(spark: SparkSession, d: str) -> DataFrame:
+    """STR-1: a stream over the events folds all pushes of each change set, in order, into a store; this is its state."""
+    events = fx.table(spark, d, "events")
+    arriving = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet*")
+    state, checkpoint = shared.new_folder(spark, "pushed"), shared.new_folder(spark, "pushed-checkpoint")
+    continuous.reconcile_stream(fx.pushes_of(fx.findings_of(arriving)), state, checkpoint, available_now=True).awaitTermination()
+    return continuous.current_state(spark, state).drop("push", "batch")
+
+
+@query(
+    f"""{F0}, f AS (SELECT DISTINCT repo, path, pr % 3 AS k FROM fx_findings), files AS (SELECT repo, path, min(k) AS k FROM f GROUP BY ALL)
+SELECT repo, path, 's'||n AS name, CASE k WHEN 1 THEN 'second' ELSE 'first' END AS written FROM files, range(3) t(n) WHERE k <> 2 AND (k <> 1 OR n > 0)"""
+)
+def committed_index(spark: SparkSession, d: str) -> DataFrame:
+    """JON-5, JON-6: files and their symbols in one store; a third is read again with fewer symbols, a third vanishes."""
+    files = fx.findings(spark, d).groupBy("repo", "path").agg(F.min(F.col("pr") % 3).alias("k"))
+    names = F.explode(F.array(*[F.lit(f"s{n}") for n in range(3)])).alias("name")
+    symbols = lambda written: files.select("repo", "path", "k", names).withColumn("written", F.lit(written))
+    kept = index.stored_index(spark, shared.new_folder(spark, "index"), {"files": "repo string, path string, k long", "symbols": "repo string, path string, name string, written string"})
+    kept.replace({"files": files, "symbols": symbols("first")}, files)
+    kept.replace({"files": files.where("k = 1"), "symbols": symbols("second").where("k = 1 and name <> 's0'")}, files.where("k = 1"))
+    kept.replace({}, files.where("k = 2"))
+    return kept.read("symbols")
+
+
 # --- the rest ------------------------------------------------------------------------------------
 
 
@@ -251,26 +291,29 @@ def shared_paths_text(spark: SparkSession, d: str) -> DataFrame:
     return overlap.shared_display(p).select("number", "shared_text")
 
 
-_ITEM = "SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS pk, l_suppkey AS sk, 'f'||(l_orderkey % 40) AS file, 'n'||(l_partkey % 5) AS name FROM lineitem"
+_ITEM = "SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS pk, l_suppkey AS sk, 'f'||(l_orderkey % 40) AS file, 'n'||(l_partkey % 5) AS name, 'r'||(l_suppkey % 2) AS repo FROM lineitem"
+_MINE = "((repo = 'r0' AND o % 40 >= 20) OR (repo = 'r1' AND o % 40 >= 24 AND o % 40 < 35))"
 
 
 @query(
-    f"""WITH i AS ({_ITEM}), old AS (SELECT DISTINCT name, file AS file_path, 'old' AS version FROM i WHERE o % 40 < 30), new AS (SELECT * FROM i WHERE o % 40 >= 20 AND o % 40 < 35)
-SELECT * FROM old WHERE CAST(substr(file_path, 2) AS INT) < 20 AND CAST(substr(file_path, 2) AS INT) % 3 <> 0
-UNION ALL SELECT name, file, arg_max(o||'.'||n||'.'||pk||'.'||sk, (o, n, pk, sk)) FROM new GROUP BY name, file"""
+    f"""WITH i AS ({_ITEM}), old AS (SELECT DISTINCT repo, name, file AS file_path, 'old' AS version, o % 40 AS no FROM i WHERE o % 40 < 30), new AS (SELECT * FROM i WHERE {_MINE})
+SELECT repo, name, file_path, version FROM old WHERE (repo, file_path) NOT IN (SELECT (repo, file) FROM new) AND (no >= 20 OR (no + CASE repo WHEN 'r0' THEN 0 ELSE 1 END) % 3 <> 0)
+UNION ALL SELECT repo, name, file, arg_max(o||'.'||n||'.'||pk||'.'||sk, (o, n, pk, sk)) FROM new GROUP BY repo, name, file"""
 )
 def replaced_packages(spark: SparkSession, d: str) -> DataFrame:
-    """JON-7: packages of re-read files are replaced, those of vanished files go."""
+    """JON-7: packages of re-read files are replaced, those of vanished files go; both repositories have the same paths."""
     s = lambda c: F.col(c).cast("string")
     i = fx.table(spark, d, "lineitem").select(
+        F.concat(F.lit("r"), (F.col("l_suppkey") % 2).cast("string")).alias("repo"),
         F.concat(F.lit("n"), (F.col("l_partkey") % 5).cast("string")).alias("name"), F.lit("npm").alias("kind"),
         F.concat_ws(".", s("l_orderkey"), s("l_linenumber"), s("l_partkey"), s("l_suppkey")).alias("version"), F.concat(F.lit("f"), (F.col("l_orderkey") % 40).cast("string")).alias("file_path"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ord"), (F.col("l_orderkey") % 40).alias("no"),
     )
     last = F.struct(*[F.lit(0).cast(f.dataType).alias(f.name) for f in i.schema["ord"].dataType.fields])
-    old = i.where("no < 30").select("name", "kind", F.lit("old").alias("version"), "file_path").distinct().withColumn("ord", last)
-    live = i.where("no >= 20 or no % 3 <> 0").select("file_path")
-    return index.replace_packages(old, i.where("no >= 20 and no < 35").drop("no"), live).select("name", "file_path", "version")
+    old = i.where("no < 30").select("repo", "name", "kind", F.lit("old").alias("version"), "file_path").distinct().withColumn("ord", last)
+    live = i.where("no >= 20 or (no + if(repo = 'r0', 0, 1)) % 3 <> 0").select("repo", "file_path")
+    new = i.where("(repo = 'r0' and no >= 20) or (repo = 'r1' and no >= 24 and no < 35)").drop("no")
+    return index.replace_packages(old, new, live).select("repo", "name", "file_path", "version")
 
 
 @query(

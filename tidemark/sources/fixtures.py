@@ -15,7 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two review runs of findings from ``events``, keyed by owner, repo, pr, run_id; ``ord`` orders them."""
-    e = table(spark, sf_dir, "events").select(
+    return findings_of(table(spark, sf_dir, "events"))
+
+
+def pushes_of(found: DataFrame) -> DataFrame:
+    """Findings as pushes of their change sets: fifty ids a push; every fourth row only says that its path changed."""
+    mark = F.concat_ws("|", "category", "path")
+    return found.select(
+        "owner", "repo", "pr", F.expr("ord div 50").alias("push"), F.when(F.col("ord") % 4 != 0, mark).alias("fingerprint"), "path", "ord", F.col("ord").alias("seen")
+    )
+
+
+PUSHES_SQL = """fx_pushes AS (SELECT owner, repo, pr, ord // 50 AS push, CASE WHEN ord % 4 <> 0 THEN category||'|'||path END AS fingerprint, path, ord, ord AS seen FROM fx_findings)"""
+
+
+def findings_of(events: DataFrame) -> DataFrame:
+    e = events.select(
         "event_id", "event_type", "value", "user_id", F.expr("user_id div 8").alias("pr"),
         F.get_json_object("props", "$.k").cast("int").alias("k"), (F.col("user_id") % 23).cast("string").alias("m"),
     )
@@ -93,23 +108,24 @@ CHANGES_SQL = """fx_changes AS (SELECT owner, repo, pr, path AS new_path, 'old/'
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls between files from ``events``: source and target paths are ids."""
+    """Calls between files of two repositories from ``events``: paths are ids, the same ones in both."""
+    repo = F.when(F.col("event_id") % 5 < 2, "a").otherwise("b")
     k = F.get_json_object("props", "$.k").cast("int").cast("long")
     sym = F.when(F.col("event_id") % 3 == 0, "view").when(F.col("event_id") % 3 == 1, "click").otherwise("error")
     return (
         table(spark, sf_dir, "events")
-        .select(F.col("user_id").alias("source_path"), F.col("event_type").alias("source_symbol"), k.alias("target_path"), sym.alias("target_symbol"))
+        .select(repo.alias("repo"), F.col("user_id").alias("source_path"), F.col("event_type").alias("source_symbol"), k.alias("target_path"), sym.alias("target_symbol"))
         .where("source_path <> target_path")
         .distinct()
     )
 
 
-REFS_SQL = """fx_refs AS (SELECT DISTINCT user_id AS source_path, event_type AS source_symbol,
+REFS_SQL = """fx_refs AS (SELECT DISTINCT CASE WHEN event_id%5 < 2 THEN 'a' ELSE 'b' END AS repo, user_id AS source_path, event_type AS source_symbol,
   CAST(CAST(json_extract_string(props,'$.k') AS INT) AS BIGINT) AS target_path,
   CASE event_id%3 WHEN 0 THEN 'view' WHEN 1 THEN 'click' ELSE 'error' END AS target_symbol
   FROM events WHERE user_id <> CAST(json_extract_string(props,'$.k') AS INT)),
-fx_symbols AS (SELECT DISTINCT source_path AS file_path, source_symbol AS name FROM fx_refs),
-fx_imports AS (SELECT DISTINCT source_path, target_path FROM fx_refs)"""
+fx_symbols AS (SELECT DISTINCT repo, source_path AS file_path, source_symbol AS name FROM fx_refs),
+fx_imports AS (SELECT DISTINCT repo, source_path, target_path FROM fx_refs)"""
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
