@@ -253,3 +253,28 @@ def test_a_prior_draws_small_hosts_to_the_mean(spark):
     a, b = hosts.beta_prior(apart, "base")
     assert a + b < 3
     assert hosts.beta_prior(apart.limit(0), "base") == (0.0, 0.0)
+
+
+def test_what_rounding_leaves_open_is_light():
+    from tidemark.llm import mixing
+
+    rng, taken = random.Random(6), Counter()
+    items = sorted(((i, float(rng.choice([1, 5, 40, 400])), 0.3) for i in range(120)), key=lambda x: -x[1])
+    for seed in range(400):
+        done, left = mixing.pivotal(items, seed)
+        size = {k: w for k, w, _ in items}
+        moved = sum(size[k] for k, c in done if c) + (left[1] * left[2] if left else 0)
+        assert abs(moved - 0.3 * sum(size.values())) < 1e-6 and (left is None or left[1] <= 5)
+        taken.update(k for k, c in done if c)
+    rates = [taken[k] / 400 for k, w, _ in items if w > 5]
+    assert abs(sum(rates) / len(rates) - 0.3) < 0.03 and 0.15 < min(rates) and max(rates) < 0.45
+
+
+def test_mixing_comes_near_small_targets(spark):
+    from tidemark.llm import mixing
+
+    rng = random.Random(16)
+    rows = [(i, " ".join(["w"] * int(rng.paretovariate(1.1) * 40)), f"s{i % 6}") for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").where("length(text) < 20000")
+    got = mixing.mix_report(d).join(d.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("x"), F.max("size").alias("big")).collect()
+    assert all(abs(r.t - r.x) <= 0.03 * r.x for r in got), got

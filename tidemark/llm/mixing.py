@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,30 +23,34 @@ def _uniform(seed: int, *parts) -> float:
 def pivotal(items: list[tuple], seed: int) -> tuple[list[tuple], tuple | None]:
     """Pair fractional probabilities and move mass until one of each pair is 0 or 1.
 
-    ``items``: (key, weight, p) with 0 < p < 1 in a fixed order. Moving mass d / weight keeps the
-    expected words of the pair, and the direction's odds keep each p. Returns the decided
-    (key, 0 or 1) and what is left: one (key, weight, p), or None.
+    ``items``: (key, weight, p) with 0 < p < 1, heaviest first. The heaviest open item is paired with
+    the set of all lighter ones: it becomes 0 or 1 with odds p, and they take its words, or give those
+    it lacks, each the same share of its room both ways. Where they have no room for that, it is
+    paired with the next item alone. So weights keep their sum, each p its expectation, and what stays open is
+    light. Returns the decided (key, 0 or 1) and what is left: one (key, weight, p), or None.
     """
-    done, held = [], None
-    for key, w, p in items:
-        if held is None:
-            held = (key, w, p)
-            continue
-        hk, hw, hp = held
-        up = min((1 - hp) * hw, p * w)  # words from this item to the held one
-        down = min(hp * hw, (1 - p) * w)
-        if _uniform(seed, hk, key) * (up + down) < down:
-            hp2, p2, full = hp + up / hw, p - up / w, (1 - hp) * hw <= p * w
-            first = (hk, 1) if full else (key, 0)
+    keys = [k for k, _, _ in items]
+    w, p = (np.array([x[i] for x in items], float) for i in (1, 2))
+    done, left = [], np.arange(len(items))
+    while len(left) > 1:
+        one, rest = left[0], left[1:]
+        down, up = p[one] * w[one], (1 - p[one]) * w[one]  # words that leave the item, or come to it
+        u = _uniform(seed, keys[one], keys[rest[0]])
+        share = np.minimum((1 - p[rest]) / down, p[rest] / up)
+        room = float((share * w[rest]).sum())
+        if room >= 1:
+            joins = u < p[one]
+            p[rest] += share / room * (-up if joins else down)
+            p[one] = float(joins)
         else:
-            hp2, p2, full = hp - down / hw, p + down / w, hp * hw <= (1 - p) * w
-            first = (hk, 0) if full else (key, 1)
-        done.append(first)
-        held = (key, w, p2) if full else (hk, hw, hp2)
-        if held[2] <= 1e-12 or held[2] >= 1 - 1e-12:
-            done.append((held[0], int(held[2] > 0.5)))
-            held = None
-    return done, held
+            two = rest[0]
+            to_one, to_two = min(up, p[two] * w[two]), min(down, (1 - p[two]) * w[two])
+            moved = to_one if u * (to_one + to_two) < to_two else -to_two
+            p[one], p[two] = p[one] + moved / w[one], p[two] - moved / w[two]
+        shut = (p[left] <= 1e-12) | (p[left] >= 1 - 1e-12)
+        done += [(keys[i], int(p[i] > 0.5)) for i in left[shut]]
+        left = left[~shut]
+    return done, ((keys[left[0]], float(w[left[0]]), float(p[left[0]])) if len(left) else None)
 
 
 def words_of(text: str) -> F.Column:
@@ -82,6 +87,25 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     return per.select("source", "source_size", "units", target.alias("target"))
 
 
+def _balanced(rated: DataFrame, small: bool) -> DataFrame:
+    """Documents heavier than all the words that chance moves in their source are rounded at once.
+
+    Nothing could balance such a draw. They take their nearest number of copies, and the others' p is what
+    meets the target then; where the others are too few for that, all keep their p.
+    """
+    weight = F.col("size") * F.col("n_rows")
+    heavy = (F.col("p") > 1e-12) & (weight > F.least(F.col("p"), 1 - F.col("p")) * F.col("source_size"))
+    per = rated.groupBy("source").agg(
+        F.sum(F.when(heavy, 0).otherwise(weight)).alias("light"), F.sum(F.when(heavy & (F.col("p") >= 0.5), weight).otherwise(0)).alias("fixed")
+    )
+    per = per.select(F.col("source").alias("b_source"), "light", "fixed")
+    d = rated.join(F.broadcast(per) if small else per.hint("merge"), F.col("source").eqNullSafe(F.col("b_source")))
+    other = (F.col("p") * F.col("source_size") - F.col("fixed")) / F.nullif("light", F.lit(0))
+    fits = F.coalesce((other >= 0) & (other < 1) & (F.col("p") > 1e-12), F.lit(False))
+    whole = F.col("whole") + F.when(fits & heavy & (F.col("p") >= 0.5), 1).otherwise(0)
+    return d.select(*[c for c in rated.columns if c not in ("whole", "p")], whole.alias("whole"), F.when(~fits, F.col("p")).when(heavy, 0.0).otherwise(other).alias("p"))
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = (1.0, 2.0, 3.0),
@@ -100,7 +124,8 @@ def mix(
     with probability r - floor(r). Buckets of a source (dealt by hash, so a hot source spans many)
     round theirs by :func:`pivotal`; each leaves at most one fractional document, and these meet in
     a tree of the same fan-in until each source has one left, which a last draw decides. So a
-    source's words miss its target by at most one document.
+    source's words miss its target by at most one document, a light one where the others have room
+    for the heavy ones.
     """
     units = materialize(
         docs.select("doc_id", "source", words_of("text").alias("size"))
@@ -121,6 +146,7 @@ def mix(
         .withColumn("whole", F.floor(F.col("rate") + 1e-12).cast("int"))
         .withColumn("p", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
     )
+    rated = materialize(_balanced(rated, small), "op6-rates")
     buckets = F.ceil(F.col("units") / bucket_rows)
     level = rated.where("p > 1e-12 and size > 0").select(
         F.col("doc_id").cast("string").alias("doc"),  # a string: pandas would turn a nullable long into a double
@@ -136,8 +162,8 @@ def mix(
 
     def rounds(last: bool):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            # near sizes meet first, so little mass stays open
-            pdf = pdf.sort_values(["size", "doc"], na_position="last").reset_index(drop=True)
+            # heavy documents first, so what stays open is light
+            pdf = pdf.sort_values(["w", "size", "doc"], ascending=[False, False, True], na_position="last").reset_index(drop=True)
             rows = zip(pdf["doc"], pdf["size"], pdf["w"], pdf["p"], strict=True)
             done, held = pivotal([((d, int(s)), w, p) for d, s, w, p in rows], seed)
             copy = dict(done)
