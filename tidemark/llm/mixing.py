@@ -24,10 +24,11 @@ def pivotal(items: list[tuple], seed: int) -> tuple[list[tuple], tuple | None]:
     """Pair fractional probabilities and move mass until one of each pair is 0 or 1.
 
     ``items``: (key, weight, p) with 0 < p < 1, heaviest first. The heaviest open item is paired with
-    the set of all lighter ones: it becomes 0 or 1 with odds p, and they take its words, or give those
-    it lacks, each the same share of its room both ways. Where they have no room for that, it is
-    paired with the next item alone. So weights keep their sum, each p its expectation, and what stays open is
-    light. Returns the decided (key, 0 or 1) and what is left: one (key, weight, p), or None.
+    the next one, or, where that has under half its weight, with as many of the next ones as have room for
+    its words: it becomes 0 or 1 with odds p, and they take its words, or give those it lacks, each as
+    much as it can do both ways (if all have too little room, the next one alone is its partner). So
+    weights keep their sum, each p its expectation, and what stays open is light. Returns the decided
+    (key, 0 or 1) and what is left: one (key, weight, p), or None.
     """
     keys = [k for k, _, _ in items]
     w, p = (np.array([x[i] for x in items], float) for i in (1, 2))
@@ -37,10 +38,12 @@ def pivotal(items: list[tuple], seed: int) -> tuple[list[tuple], tuple | None]:
         down, up = p[one] * w[one], (1 - p[one]) * w[one]  # words that leave the item, or come to it
         u = _uniform(seed, keys[one], keys[rest[0]])
         share = np.minimum((1 - p[rest]) / down, p[rest] / up)
-        room = float((share * w[rest]).sum())
-        if room >= 1:
+        room = np.cumsum(share * w[rest])
+        if room[-1] >= 1 and 2 * w[rest[0]] < w[one]:
+            k = int(np.searchsorted(room, 1.0))
+            share[k] *= 1 - (room[k] - 1) / (share[k] * w[rest[k]])
             joins = u < p[one]
-            p[rest] += share / room * (-up if joins else down)
+            p[rest[: k + 1]] += share[: k + 1] * (-up if joins else down)
             p[one] = float(joins)
         else:
             two = rest[0]
