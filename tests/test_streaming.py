@@ -1,12 +1,14 @@
 """Streams against the same work in one batch, and against plain versions."""
 
+import json
 import random
 from collections import defaultdict
 
 import pytest
 
-from tidemark.operators import findings
+from tidemark.operators import findings, sessions
 from tidemark.streaming.continuous import current_state, reconcile_stream
+from tidemark.streaming.sessions import closed_sessions, session_records
 
 SCHEMA = "owner string, repo string, pr long, push long, fingerprint string, path string, ord long, seen long"
 STATE = "owner string, repo string, pr long, fingerprint string, path string, ord long, first_seen long, last_seen long, push long"
@@ -85,3 +87,48 @@ def test_stream_equals_batch_for_any_split(spark, tmp_path, seed):
     spark.createDataFrame(rng.sample(rows, 20), SCHEMA).coalesce(1).write.mode("append").parquet(src)  # old pushes come again
     run()
     assert state_rows(current_state(spark, state)) == want
+
+
+def log(session, minute, kind, **fields):
+    return {"type": kind, "sessionId": session, "timestamp": f"2026-01-01T{minute // 60:02d}:{minute % 60:02d}:00Z", **fields}
+
+
+def test_closed_sessions_yield_once(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    call = lambda s, m, p, ok=True: log(s, m, "tool_call", filePath=p, ok=ok)
+    used = lambda s, m, n: log(s, m, "llm_response", usage={"prompt_tokens": n})
+    files = [
+        [used("a", 0, 5), call("a", 1, "x"), call("a", 2, "x", False), used("b", 1, 7)],  # both open
+        [call("a", 3, "y"), log("a", 4, "session_end"), call("b", 5, "z")],  # a ends
+        [used("a", 5, 100), used("c", 30, 1)],  # a has yielded: its rest is left out
+        [used("d", 300, 2), log("d", 301, "session_end")],  # b and c are idle by now
+        [used("a", 310, 9), log("a", 311, "session_end"), used("c", 20, 50)],  # a begins anew; c's row is late
+        [used("e", 600, 4)],
+    ]
+    out = str(tmp_path / "out")
+    seen = []
+    for k, rows in enumerate(files):
+        (folder / f"{k}.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows) + "broken\n")
+        q = closed_sessions(session_records(spark, str(folder)), gap="1 hour", delay="10 minutes").writeStream.format("parquet").option("path", out)
+        q.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        now = {tuple(r) for r in spark.read.parquet(out).select("session", "prompt_tokens", "tool_calls", "tool_failures", "n_files", "closed").collect()} if k else set()
+        seen.append(now - set().union(*seen) if seen else now)
+    assert seen == [set(), {("a", 5, 3, 1, 2, True)}, set(), {("d", 2, 0, 0, 0, True), ("b", 7, 1, 0, 1, False), ("c", 1, 0, 0, 0, False)}, {("a", 9, 0, 0, 0, True)}, set()]
+
+
+def test_closed_sessions_equal_the_batch(spark, tmp_path):
+    rng, lines = random.Random(5), []
+    for s in range(30):
+        n = rng.randint(1, 12)
+        rows = [log(f"s{s}", s + k, rng.choice(["llm_response", "tool_call", "llm_error"]), filePath=rng.choice(["", "p", "q", f"p{k}"]), ok=rng.random() < 0.7, usage={"completion_tokens": k, "cache_read_tokens": 2}) for k in range(n)]
+        lines.append([*rows, log(f"s{s}", s + n, "session_end")])
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    for k, rows in enumerate(lines):  # the end comes last, or with all the rest
+        (folder / f"{k:03d}.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    q = closed_sessions(session_records(spark, str(folder), files_per_batch=7)).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    q.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    batch = sessions.usage_totals(sessions.records(spark.read.text(str(folder))))
+    got = spark.read.parquet(str(tmp_path / "out")).select(*batch.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect())) and got.count() == 30

@@ -9,6 +9,8 @@ from tidemark.operators import context, findings, placement, sessions
 from tidemark.operators.context import Rule
 from tidemark.plans.review_queries import F0, FC
 from tidemark.sources import fixtures as fx
+from tidemark.sources import shared
+from tidemark.streaming import sessions as streams
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -101,8 +103,11 @@ def budgeted_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _session_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _lines_of(fx.table(spark, d, "events"))
+
+
+def _lines_of(e: DataFrame, *keep: str) -> DataFrame:
     """Log lines from ``events``: a session a user; one kind of record in six doesn't parse."""
-    e = fx.table(spark, d, "events")
     kind, k = F.col("event_id") % 6, F.get_json_object("props", "$.k").cast("long")
     when = lambda n, c: F.when(kind == n, c)
     kinds = ("llm_response", "tool_call", "llm_error", "review_item_done", "session_end")
@@ -113,7 +118,7 @@ def _session_lines(spark: SparkSession, d: str) -> DataFrame:
         when(3, F.concat(F.lit("p"), (k % 5).cast("string"))).alias("fingerprint"), when(3, F.col("event_type")).alias("comments"),
         when(0, F.struct(k.alias("prompt_tokens"), (F.col("event_id") % 50).alias("completion_tokens"), F.nullif(k % 7, F.lit(0)).alias("cache_read_tokens"))).alias("usage"),
     )
-    return e.select(F.col("event_id").alias("line_no"), F.when(kind == 5, '{"type": "tool_call", ').otherwise(F.to_json(rec)).alias("value"))
+    return e.select(*keep, F.col("event_id").alias("line_no"), F.when(kind == 5, '{"type": "tool_call", ').otherwise(F.to_json(rec)).alias("value"))
 
 
 _SESSIONS = """WITH e AS (SELECT *, CAST(user_id AS VARCHAR) AS session, CAST(json_extract_string(props,'$.k') AS BIGINT) AS k, event_id%6 AS kind FROM events WHERE event_id%6 <> 5)"""
@@ -129,6 +134,18 @@ def session_usage(spark: SparkSession, d: str) -> DataFrame:
     return sessions.usage_totals(sessions.records(_session_lines(spark, d)))
 
 
+@query(SQL["session_usage"].replace("GROUP BY 1", "GROUP BY 1 HAVING closed"))
+def closed_session_usage(spark: SparkSession, d: str) -> DataFrame:
+    """STR-2: a stream over the events yields each session when it ends."""
+    events = fx.table(spark, d, "events")
+    arriving = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet*")
+    recs = sessions.records(_lines_of(arriving.withColumn("event_time", F.col("ts").cast("timestamp")), "event_time"))
+    out, checkpoint = shared.new_folder(spark, "closed"), shared.new_folder(spark, "closed-checkpoint")
+    done = streams.closed_sessions(recs)
+    done.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(done.schema).parquet(out).where("closed")
+
+
 @query(f"{_SESSIONS} SELECT session, event_type AS tool_name, count(*) AS n_calls FROM e WHERE kind = 1 GROUP BY ALL")
 def session_tool_calls(spark: SparkSession, d: str) -> DataFrame:
     return sessions.tool_counts(sessions.records(_session_lines(spark, d)))
