@@ -1,5 +1,8 @@
 """Rules, budgets and session logs on small cases."""
 
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import context, findings, placement, sessions
@@ -30,6 +33,33 @@ def test_first_fit(spark):
     assert context.first_fit(d.where("false"), 10, "g").count() == 0
 
 
+def test_first_fit_of_many_items(spark):
+    rng = random.Random(30)
+    room = context.Rooms()
+    plain, limit = [], 100
+    for n in (rng.choice([rng.randint(0, 100), 60, 61, 100]) for _ in range(4000)):
+        at = next((k for k, t in enumerate(plain) if t + n <= limit), None)
+        if at is None:
+            plain.append(n)
+            assert room.first(n) is None and room.add(limit - n) == len(plain) - 1
+        else:
+            plain[at] += n
+            assert room.first(n) == at
+            room.take(at, n)
+    d = spark.range(100_000).select(F.lit("x").alias("g"), F.col("id").alias("ord"), (60 + F.col("id") % 37).alias("tokens"))
+    began = time.time()
+    assert context.first_fit(d, 100, "g").agg(F.max("chunk")).first()[0] == 99_999
+    assert time.time() - began < 60
+
+
+def test_context_falls_back_to_imports(spark):
+    key = "owner string, repo string, pr long, "
+    sections = spark.createDataFrame([("o", "r", 1, "source", "a.py", 9)], key + "section string, path string, n_bytes long")
+    found = spark.createDataFrame([("o", "r", p, 0, k, "m.py", f"i{k}.py", "x = 1\n") for p in (1, 2) for k in range(3)], key + "importer_ord int, ord int, importer string, path string, content string")
+    got = {tuple(r)[2:5] for r in context.review_context(sections, found, max_files=2).collect()}
+    assert got == {(1, "source", "a.py"), (2, "imported", "i0.py"), (2, "imported", "i1.py")}
+
+
 def test_token_chunks_equal_brute_force(spark):
     rows = catalog.queries()["token_chunks"](spark, SF).orderBy("owner", "repo", "pr", "ord").collect()
     assert len(rows) > max(r.chunk for r in rows) + 1
@@ -105,6 +135,27 @@ def test_placement(spark):
     }
 
 
+def test_runs_of_any_length_are_found(spark):
+    rng, key = random.Random(3), ("o", "r", 1)
+    files = {c: [rng.choice("abc") if rng.random() < 0.9 else f"line {rng.randint(0, 9)}" for _ in range(rng.randint(1, 60))] for c in range(12)}
+    quotes = {}
+    for k in range(80):
+        lines = files[rng.randrange(12)]
+        at, m = rng.randrange(len(lines)), rng.randint(1, 20)
+        quotes[k] = lines[at : at + m] + (["x"] if rng.random() < 0.1 else [])
+    contents = spark.createDataFrame([(*key, c, "\n".join(x)) for c, x in files.items()], "owner string, repo string, pr long, change_id long, content string")
+    hunks = spark.createDataFrame([], "owner string, repo string, pr long, change_id long, hunk_no int, pos int, type string, content string, old_line int, new_line int")
+    f = spark.createDataFrame([(k, *key, "p", "\n".join(q), 0, 0) for k, q in quotes.items()], "finding_id long, owner string, repo string, pr long, path string, existing_code string, start_line long, end_line long")
+    got = {(r.finding_id, r.change_id): (r.start, r.end) for r in placement.matches_of(f, placement.side_lines(hunks, contents)).collect()}
+    want = {}
+    for k, q in quotes.items():
+        for c, x in files.items():
+            at = next((i for i in range(len(x) - len(q) + 1) if x[i : i + len(q)] == q), None)
+            if at is not None:
+                want[k, c] = (at + 1, at + len(q))
+    assert got == want and max(map(len, quotes.values())) > 16
+
+
 def test_scanner_table(spark):
     f = spark.createDataFrame(
         [(1, 2, "scanner:s", "", "p", 3, "x" * 101), (1, 1, "scanner:t", "c", "q", 0, " a\n b "), (2, 1, "llm", "c", "q", 0, "a")],
@@ -159,7 +210,7 @@ def plain_sections(changed, blast, contents, summaries, imports, directories, to
 
 
 def test_context_sections_equal_a_plain_version(spark):
-    import random
+
 
     from tidemark.operators import context
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tidemark.functions.filetype import language
 from tidemark.functions.text import empty, excerpt, extension, parent_dir, strip_ws
 from tidemark.operators.scoring import KEY
+from tidemark.sources.shared import written
 from tidemark.operators.selection import matches
 
 # Labels that name a change's type; a change has one of them.
@@ -90,25 +91,59 @@ def diffs_of(changes: DataFrame, wanted: DataFrame) -> DataFrame:
     return changes.join(wanted.select(*KEY, "path").distinct(), [*KEY, "path"], "left_semi")
 
 
+class Rooms:
+    """Free room of chunks in a binary tree of maxima: the first chunk with enough room in log n steps."""
+
+    def __init__(self) -> None:
+        self.size, self.n, self.tree = 1, 0, [-1, -1]
+
+    def _set(self, at: int, room: int) -> None:
+        i = self.size + at
+        self.tree[i] = room
+        while i > 1:
+            i //= 2
+            self.tree[i] = max(self.tree[2 * i], self.tree[2 * i + 1])
+
+    def add(self, room: int) -> int:
+        if self.n == self.size:
+            leaves = self.tree[self.size :]
+            self.size *= 2
+            self.tree = [-1] * self.size + leaves + [-1] * len(leaves)
+            for i in range(self.size - 1, 0, -1):
+                self.tree[i] = max(self.tree[2 * i], self.tree[2 * i + 1])
+        self._set(self.n, room)
+        self.n += 1
+        return self.n - 1
+
+    def take(self, at: int, amount: int) -> None:
+        self._set(at, self.tree[self.size + at] - amount)
+
+    def first(self, need: int) -> int | None:
+        if self.tree[1] < need:
+            return None
+        i = 1
+        while i < self.size:
+            i = 2 * i if self.tree[2 * i] >= need else 2 * i + 1
+        return i - self.size
+
+
 def first_fit(items: DataFrame, limit: int, *by: str) -> DataFrame:
     """WIN-3: adds ``chunk`` (from 0): the first chunk of the group with room, in order of ``ord``.
 
     An item of more than ``limit`` tokens, and every item if ``limit`` < 1, is a chunk of its own
     (which stays closed, being full). The choice depends on all before it, so a group (a change
-    set's files) is one task's work and has to fit there; groups run in parallel.
+    set's files) is one task's work: their sizes and numbers only, n log n steps; groups run in parallel.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord", kind="stable")
-        totals: list[int] = []
-        chunk = []
+        rooms, chunk = Rooms(), []
         for n in pdf["tokens"].tolist():
-            at = next((k for k, t in enumerate(totals) if t + n <= limit), None) if 0 < limit and n <= limit else None
+            at = rooms.first(n) if 0 < limit and n <= limit else None
             if at is None:
-                totals.append(n)
-                at = len(totals) - 1
+                at = rooms.add(limit - n if 0 < limit and n <= limit else -1)
             else:
-                totals[at] += n
+                rooms.take(at, n)
             chunk.append(at)
         return pdf.assign(chunk=pd.array(chunk, dtype="int32"))
 
@@ -158,14 +193,13 @@ def import_excerpts(candidates: DataFrame, max_files: int = 8, per_file: int = 1
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["importer_ord", "ord"], kind="stable")
-        used, ranks, full = 0, [], None
+        used, ranks, full, taken = 0, [], None, 0
         for importer, n in zip(pdf["importer_ord"].tolist(), pdf["n_bytes"].tolist(), strict=True):
-            taken = sum(r > 0 for r in ranks)
             ok = taken < max_files and used < budget and importer != full and used + n <= budget
             if not ok and taken < max_files and importer != full:
                 full = importer
-            used += n if ok else 0
-            ranks.append(taken + 1 if ok else 0)
+            used, taken = (used + n, taken + 1) if ok else (used, taken)
+            ranks.append(taken if ok else 0)
         return pdf.assign(rank=pd.array(ranks, dtype="int32"))[pd.array(ranks) > 0]
 
     sizes = d.select(*KEY, "importer_ord", "ord", "path", "n_bytes")
@@ -236,14 +270,15 @@ def context_sections(changed: DataFrame, blast: DataFrame, contents: DataFrame,
     order = c.unionByName(b)
     place = Window.partitionBy(*KEY).orderBy("ord")
     order = order.withColumn("ord", F.row_number().over(place))
-    source = source_excerpts(order.join(contents.select("repo", "path", "content"), ["repo", "path"]), bytes_ * 60 // 100).select(*KEY, "path", "n_bytes")
+    # written: the summaries depend on it too, and its size is a function's
+    source = written(source_excerpts(order.join(contents.select("repo", "path", "content"), ["repo", "path"]), bytes_ * 60 // 100).select(*KEY, "path", "n_bytes"), "sources")
 
     has = summaries.where(strip_ws(empty(F.col("summary"))) != "")
     line = F.concat(F.lit("- `"), "path", F.lit("`: "), "summary")
     own = changed.select(*KEY, "path").withColumn("related", F.lit(False))
-    hop = changed.select(*KEY, F.col("path").alias("source_path")).join(imports, ["repo", "source_path"]).select(*KEY, F.col("target_path").alias("path")).distinct()
+    hop = changed.select(*KEY, F.col("path").alias("source_path")).join(imports.hint("merge"), ["repo", "source_path"]).select(*KEY, F.col("target_path").alias("path")).distinct()
     hop = hop.join(changed.select(*KEY, "path"), [*KEY, "path"], "left_anti").withColumn("related", F.lit(True))
-    listed = own.unionByName(hop).join(source.select(*KEY, "path"), [*KEY, "path"], "left_anti").join(has.select("repo", "path", "summary"), ["repo", "path"])
+    listed = own.unionByName(hop).join(source.select(*KEY, "path").hint("merge"), [*KEY, "path"], "left_anti").join(has.select("repo", "path", "summary"), ["repo", "path"])
     listed = _within(listed.withColumn("line", line), bytes_ * 30 // 100, len("### File summaries\n"))
 
     parents = changed.select(*KEY, parent_dir(F.col("path")).alias("path")).where("path <> ''").distinct()
@@ -252,3 +287,14 @@ def context_sections(changed: DataFrame, blast: DataFrame, contents: DataFrame,
     dirs = _within(dirs.withColumn("related", F.lit(False)).withColumn("line", line), bytes_ * 10 // 100, len("### Directory context\n"))
     part = lambda df, name: df.select(*KEY, F.lit(name).alias("section"), "path", "n_bytes")
     return part(source, "source").unionByName(part(listed, "summary")).unionByName(part(dirs, "directory"))
+
+
+def review_context(sections: DataFrame, candidates: DataFrame, **limits) -> DataFrame:
+    """WIN-6 with its fallback: the sections of each change set, and where the index gave none, excerpts of what it imports.
+
+    ``sections`` as from :func:`context_sections`, ``candidates`` as for :func:`import_excerpts` (WIN-5c), whose files
+    become the section 'imported'.
+    """
+    without = candidates.join(sections.select(*KEY).distinct().hint("merge"), list(KEY), "left_anti")
+    excerpts = import_excerpts(without, **limits)
+    return sections.unionByName(excerpts.select(*KEY, F.lit("imported").alias("section"), "path", "n_bytes"))

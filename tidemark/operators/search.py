@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.filetype import language
 from tidemark.functions.text import basename, empty, extension
 from tidemark.operators.selection import matches
+from tidemark.sources.shared import written
 
 #: Extensionless names that file search shows.
 NAMED = ("Makefile", "Dockerfile", "LICENSE", "README", "Gemfile")
@@ -17,6 +19,14 @@ SECRET_RULES = {
     "hardcoded-secret": r"(?i)(api[_-]?key|secret|password|token)\s*[:=]\s*[\"'][A-Za-z0-9_\-]{20,}[\"']",
     "aws-access-key": r"\"(AKIA|ASIA)[0-9A-Z]{16}\"",
 }
+# The same shapes as rules of languages.
+_ASSIGNED = r"\s*=\s*[\"'][A-Za-z0-9_\-]{20,}[\"']"
+LANGUAGE_RULES = (
+    ("go-hardcoded-aws-access-key", ("go",), r"\"(AKIA|ASIA)[0-9A-Z]{16}\""),
+    ("js-hardcoded-secret", ("javascript", "typescript"), r"(?i)(api[_-]?key|secret|password|token)\s*[:=]\s*[\"'][A-Za-z0-9_\-]{20,}[\"']"),
+    ("py-hardcoded-secret", ("python",), r"(?i)(api[_-]?key|secret|password|token)" + _ASSIGNED),
+    ("rb-hardcoded-secret", ("ruby",), r"(?i)(api[_-]?key|secret|password|token)" + _ASSIGNED),
+)
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -129,3 +139,62 @@ def last_runs(runs: DataFrame, n: int = 20, *by: str) -> DataFrame:
     return runs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def language_secrets(files: DataFrame, rules: Sequence[tuple[str, Sequence[str], str]] = LANGUAGE_RULES) -> DataFrame:
+    """FLT-21: repo, path, line_no, rule_id of the lines that a rule of their file's language finds.
+
+    ``rules``: (rule_id, languages, pattern). Each language has one array of its rules, chosen by the file; files in no
+    language of a rule, and texts that none of all patterns is in, go before lines are split.
+    """
+    lang = language(F.col("path"))
+    own: dict[str, list[tuple[str, str]]] = {}
+    for rule_id, languages, pattern in rules:
+        for name in languages:
+            own.setdefault(name, []).append((rule_id, pattern))
+    if not own:
+        return lines(files).select("repo", "path", "line_no", F.lit("").alias("rule_id")).limit(0)
+    any_of = "|".join(f"(?:{p})" if not p.startswith("(?i)") else f"(?i:{p[4:]})" for p in dict.fromkeys(p for _, _, p in rules))
+    found = None
+    for name, mine in own.items():
+        hits = F.filter(F.array(*[F.when(F.col("line").rlike(p), r) for r, p in mine]), lambda x: x.isNotNull())
+        found = F.when(F.col("lang") == name, hits) if found is None else found.when(F.col("lang") == name, hits)
+    kept = files.where(lang.isin(*own) & F.col("content").rlike(any_of))
+    d = lines(kept).withColumn("lang", lang)
+    return d.select("repo", "path", "line_no", F.explode_outer(found).alias("rule_id")).where("rule_id is not null")
+
+
+#: Letters of the grams in a search index: a pattern of fewer letters is a gram itself.
+GRAM = 3
+
+
+def _grams(text: Column, n: int) -> Column:
+    """The distinct grams of ``n`` letters of a text, without those that hold a line feed; one pass of a look-ahead."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?=([^\n]{{{n}}}))"), F.lit(1)))
+
+
+def search_index(files: DataFrame) -> DataFrame:
+    """Postings of a code search: gram, repo, path of all files' texts in lower case, written once to the shared folder."""
+    text = F.lower(empty(F.col("content")))
+    return written(files.select("repo", "path", F.explode_outer(F.concat(*[_grams(text, k) for k in range(1, GRAM + 1)])).alias("gram")).where("gram is not null"), "postings")
+
+
+def indexed_search(files: DataFrame, index: DataFrame, queries: DataFrame, per_file: int = 100, shown: int = 100) -> DataFrame:
+    """FLT-15 for any number of patterns: query_id, repo, path, line_no, line, n_total, truncated.
+
+    ``queries``: query_id, pattern (one line of text, any case). Each pattern is looked up by its rarest gram, whose
+    postings are the files to read; those are searched line by line, so the result is that of a scan. At most
+    ``per_file`` lines of a file; n_total counts a query's lines, and from ``shown`` on the answer is marked truncated.
+    """
+    asked = written(queries.where(F.coalesce("pattern", F.lit("")) != "").select("query_id", F.lower("pattern").alias("pattern")).distinct(), "patterns")
+    whole = F.when(F.length("pattern") < GRAM, F.array("pattern")).otherwise(_grams(F.col("pattern"), GRAM))
+    grams = written(asked.select("query_id", "pattern", F.explode_outer(whole).alias("gram")).where("gram is not null"), "pattern-grams")
+    wanted = index.join(grams.select("gram").distinct().hint("merge"), "gram", "left_semi")
+    often = wanted.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = grams.join(often.hint("merge"), "gram", "left").groupBy("query_id", "pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    rarest = written(rarest.select("query_id", "pattern", F.col("r.gram").alias("gram")), "rarest-grams")
+    candidates = index.join(rarest.hint("merge"), "gram").select("repo", "path", "query_id", "pattern")
+    read = candidates.join(files.select("repo", "path", "content").hint("merge"), ["repo", "path"])
+    split = F.transform(F.split(F.regexp_replace(empty(F.col("content")), r"\n\z", ""), "\n"), lambda x, k: F.struct((k + 1).alias("line_no"), x.alias("line")))
+    hits = F.slice(F.filter(split, lambda x: F.lower(x["line"]).contains(F.col("pattern"))), 1, per_file)
+    found = written(read.select("query_id", "repo", "path", F.explode_outer(hits).alias("h")).where("h is not null").select("query_id", "repo", "path", "h.line_no", "h.line"), "search-hits")
+    totals = found.groupBy("query_id").agg(F.count("*").alias("n_total"))
+    return found.join(totals.hint("merge"), "query_id").withColumn("truncated", F.col("n_total") >= shown)

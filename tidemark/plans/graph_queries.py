@@ -277,6 +277,45 @@ def secret_lines(spark: SparkSession, d: str) -> DataFrame:
     return search.secret_lines(f)
 
 
+_SUFFIX = "['go','js','ts','py','rb','java'][CAST(doc_id % 6 AS INT) + 1]"
+
+
+@query(
+    rf"""WITH f AS (SELECT source AS repo, 'd'||doc_id||'.'||{_SUFFIX} AS path, {_SUFFIX} AS s, string_split(regexp_replace(coalesce(text,'')||chr(10)||'token = "'||repeat('x', 20 + doc_id % 3)||'"'||chr(10)||
+  'Api-Key: '||chr(39)||repeat('Y', 17 + doc_id % 5)||chr(39)||chr(10)||'k("AKIA0123456789ABCDE'||CASE WHEN doc_id % 2 = 0 THEN 'F' ELSE 'f' END||'")', '\n$', ''), chr(10)) AS x FROM documents),
+l AS (SELECT repo, path, s, unnest(range(1, len(x) + 1)) AS line_no, unnest(x) AS line FROM f)
+SELECT repo, path, CAST(line_no AS INT) AS line_no, CASE s WHEN 'go' THEN 'go-hardcoded-aws-access-key' WHEN 'py' THEN 'py-hardcoded-secret' WHEN 'rb' THEN 'rb-hardcoded-secret' ELSE 'js-hardcoded-secret' END AS rule_id
+FROM l WHERE CASE s WHEN 'go' THEN regexp_matches(line, '"(AKIA|ASIA)[0-9A-Z]{{16}}"') WHEN 'java' THEN false
+  WHEN 'js' THEN regexp_matches(line, '(?i)(api[_-]?key|secret|password|token)\s*[:=]\s*["''][A-Za-z0-9_\-]{{20,}}["'']') WHEN 'ts' THEN regexp_matches(line, '(?i)(api[_-]?key|secret|password|token)\s*[:=]\s*["''][A-Za-z0-9_\-]{{20,}}["'']')
+  ELSE regexp_matches(line, '(?i)(api[_-]?key|secret|password|token)\s*=\s*["''][A-Za-z0-9_\-]{{20,}}["'']') END"""
+)
+def language_secret_lines(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-21: all documents as files of six languages, with a line for each rule: a colon means something in scripts only, a key's shape in Go only."""
+    i = F.col("doc_id")
+    tail = F.concat(
+        F.lit('\ntoken = "'), F.repeat(F.lit("x"), (20 + i % 3).cast("int")), F.lit('"\nApi-Key: \''), F.repeat(F.lit("Y"), (17 + i % 5).cast("int")), F.lit("'\nk(\"AKIA0123456789ABCDE"), F.when(i % 2 == 0, "F").otherwise("f"), F.lit('")'),
+    )
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("go", "js", "ts", "py", "rb", "java")]), (i % 6 + 1).cast("int"))
+    files = fx.table(spark, d, "documents").select(F.col("source").alias("repo"), F.concat(F.lit("d"), i.cast("string"), F.lit("."), kind).alias("path"), F.concat(F.coalesce("text", F.lit("")), tail).alias("content"))
+    return search.language_secrets(files)
+
+
+_ASKED = r"asked AS (SELECT 'q'||doc_id AS query_id, upper(list_last(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: length(w) >= 9))) AS pattern FROM documents WHERE doc_id % 40 = 0)"
+
+
+@query(
+    f"""{_LINES}, {_ASKED}, h AS (SELECT query_id, repo, path, CAST(line_no AS INT) AS line_no, line FROM asked a JOIN l ON contains(lower(l.line), lower(a.pattern))
+  QUALIFY row_number() OVER (PARTITION BY query_id, repo, path ORDER BY line_no) <= 100)
+SELECT *, count(*) OVER (PARTITION BY query_id) AS n_total, count(*) OVER (PARTITION BY query_id) >= 100 AS truncated FROM h"""
+)
+def indexed_code_search(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-15 for many patterns at once: the last long word of every fortieth document is looked up in all files."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: F.length(w) >= 9)
+    asked = fx.table(spark, d, "documents").where("doc_id % 40 = 0").select(F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("query_id"), F.upper(F.try_element_at(words, F.lit(-1))).alias("pattern"))
+    files = fx.files(spark, d)
+    return search.indexed_search(files, search.search_index(files), asked)
+
+
 @query(
     f"""{X0}, q AS (SELECT 'l'||x AS query_id, x||'/' AS query FROM (VALUES ('de'), ('en'), ('es'), ('fr')) t(x) UNION ALL SELECT 's'||k, 'D'||k||'1' FROM range(7) t(k)),
 h AS (SELECT q.query_id, f.repo, f.path, contains(lower(regexp_extract(f.path, '([^/]*)$', 1)), lower(q.query)) AS b FROM fx_files f JOIN q ON contains(lower(f.path), lower(q.query))),
