@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The characters of Unicode's White_Space property.
+WHITE_SPACE = " \t\n\x0b\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip_ws(c: Column) -> Column:
-    """Trim all white space, not only spaces."""
-    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
+    """Trim all Unicode white space, not only spaces."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def empty(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.scoring import KEY
+from tidemark.operators.scoring import KEY, severity_histogram
 from tidemark.operators.selection import touches_auth, touches_infra, touches_migration
 
 # Points and caps of each signal.
@@ -15,6 +15,20 @@ POLICY = {
 }
 
 
+def effort_severities(scored: DataFrame, count_by: str = "key") -> DataFrame:
+    """AGG-5, findings: key, n_critical .. n_low of scored findings (path, start_line, end_line, content, score_severity, ord).
+
+    By ``key``, findings of one place whose content begins with the same 64 bytes are one, with the severity
+    of the last; by ``row``, each counts.
+    """
+    if count_by not in ("key", "row"):
+        raise ValueError(f"count_by is 'key' or 'row', not {count_by!r}")
+    if count_by == "key":
+        head = F.substring(F.encode(F.coalesce("content", F.lit("")), "utf-8"), 1, 64).alias("head")
+        scored = scored.groupBy(*KEY, "path", "start_line", "end_line", head).agg(F.max_by("score_severity", "ord").alias("score_severity"))
+    return severity_histogram(scored)
+
+
 def effort_scores(files: DataFrame, severities: DataFrame | None = None, overlaps: DataFrame | None = None, policy: dict = POLICY) -> DataFrame:
     """AGG-5: key, value (0-10), label, raw, contributions (signal, detail, points, capped).
 

@@ -64,6 +64,15 @@ def findings_severity_histogram(spark: SparkSession, d: str) -> DataFrame:
     return scoring.severity_histogram(scoring.first_by_location(scoring.at_least(_scored(spark, d))))
 
 
+@query(
+    f"""{FS}, kept AS (SELECT * FROM fx_scored WHERE score_severity <> 'SUPPRESS'), k AS (SELECT owner, repo, pr, path, start_line, end_line, left(content, 64), arg_max(score_severity, ord) AS s FROM kept GROUP BY ALL)
+SELECT owner, repo, pr, count(*) FILTER (s='CRITICAL') AS n_critical, count(*) FILTER (s='HIGH') AS n_high, count(*) FILTER (s='MEDIUM') AS n_medium, count(*) FILTER (s='LOW') AS n_low FROM k GROUP BY owner, repo, pr"""
+)
+def effort_severity_counts(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-5: what effort counts of the findings that survive policy, one for each key."""
+    return effort.effort_severities(_scored(spark, d).where("score_severity <> 'SUPPRESS'"))
+
+
 @query(f"{F0} SELECT * FROM fx_findings")
 def fx_findings(spark: SparkSession, d: str) -> DataFrame:
     return fx.findings(spark, d)
