@@ -198,11 +198,11 @@ def sarif_violations(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""{FS} SELECT pr AS session_id, CAST(count(*) AS BIGINT) AS n_comments, count(*) FILTER (score_severity <> 'SUPPRESS') AS n_scored, pr % 3 = 0 AS has_summary,
-string_agg(path, ',' ORDER BY ord) AS paths FROM fx_scored WHERE ord % 2 = 0 GROUP BY ALL"""
+string_agg(path, ',' ORDER BY ord) AS paths FROM fx_scored GROUP BY ALL"""
 )
 def session_documents(spark: SparkSession, d: str) -> DataFrame:
     """SNK-2: session documents, read back."""
-    f = scoring.score(fx.findings(spark, d)).where("ord % 2 = 0")
+    f = scoring.score(fx.findings(spark, d))
     sev = F.when(F.col("score_severity") == "SUPPRESS", "").otherwise(F.col("score_severity"))
     comments = f.select(F.col("pr").alias("session_id"), "ord", "path", "content", sev.alias("severity"))
     note = F.struct(F.when(F.col("session_id") % 3 == 0, "s").otherwise("").alias("title"))
@@ -282,12 +282,12 @@ def gated_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {fx.PRS_SQL}, p AS (SELECT number, list_sort(list_transform(paths, lambda x: left(x, 12))) AS x FROM fx_prs)
+    f"""WITH {fx.PRS_SQL}, p AS (SELECT number, list_sort(paths) AS x FROM fx_prs)
 SELECT number, array_to_string(x[1:3], ', ')||CASE WHEN len(x) > 3 THEN ' +'||(len(x) - 3)||' more' ELSE '' END AS shared_text FROM p"""
 )
 def shared_paths_text(spark: SparkSession, d: str) -> DataFrame:
     """TOP-6."""
-    p = fx.pull_requests(spark, d).select("number", F.array_sort(F.transform("paths", lambda x: F.substring(x, 1, 12))).alias("shared_paths"))
+    p = fx.pull_requests(spark, d).select("number", F.array_sort("paths").alias("shared_paths"))
     return overlap.shared_display(p).select("number", "shared_text")
 
 

@@ -128,7 +128,7 @@ def first_by_location(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""{FS}, t AS (SELECT owner, repo, pr, max(greatest(CASE score_severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 ELSE 0 END,
-  CASE WHEN NOT source LIKE 'scanner:%' THEN 0 WHEN severity='critical' THEN 4 WHEN severity='high' THEN 3 ELSE 0 END)) AS target FROM fx_scored WHERE run_id = 1 GROUP BY ALL),
+  CASE WHEN NOT source LIKE 'scanner:%' THEN 0 WHEN severity='critical' THEN 4 WHEN severity='high' THEN 3 ELSE 0 END)) AS target FROM fx_scored GROUP BY ALL),
 l AS (SELECT DISTINCT owner, repo, pr, CASE WHEN pr%3=0 THEN 'risk/critical' WHEN pr%3=1 THEN 'risk/low' ELSE '' END AS risk_tag FROM fx_findings)
 SELECT l.owner, l.repo, l.pr, CASE WHEN coalesce(t.target,0) > CASE risk_tag WHEN 'risk/critical' THEN 4 WHEN 'risk/low' THEN 1 ELSE 0 END
   THEN CASE t.target WHEN 4 THEN 'risk/critical' ELSE 'risk/high' END ELSE risk_tag END AS risk_tag FROM l LEFT JOIN t USING (owner, repo, pr)"""
@@ -136,7 +136,7 @@ SELECT l.owner, l.repo, l.pr, CASE WHEN coalesce(t.target,0) > CASE risk_tag WHE
 def escalated_risk(spark: SparkSession, d: str) -> DataFrame:
     scored = _scored(spark, d)
     tag = F.when(F.col("pr") % 3 == 0, "risk/critical").when(F.col("pr") % 3 == 1, "risk/low").otherwise("")
-    return scoring.risk_label(scored.where("run_id = 1"), scored.select(*KEY, tag.alias("risk_tag")).distinct())
+    return scoring.risk_label(scored, scored.select(*KEY, tag.alias("risk_tag")).distinct())
 
 
 @query(

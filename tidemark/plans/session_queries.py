@@ -175,7 +175,7 @@ def _quoted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
         F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).alias("content"),
     )
     changes = docs.select("owner", "repo", "pr", "change_id", F.col("path").alias("new_path"), F.concat(F.lit("old/"), "path").alias("old_path"), F.col("change_id").alias("ord"))
-    lines = docs.select("owner", "repo", "pr", "change_id", F.posexplode(F.split("content", "\n")).alias("k", "content")).where("k % 7 <> 3")
+    lines = docs.select("owner", "repo", "pr", "change_id", F.posexplode(F.split("content", "\n")).alias("k", "content"))
     kind = F.when(F.col("k") % 5 == 0, "deleted").otherwise("added")
     hunks = lines.select("owner", "repo", "pr", "change_id", F.expr("k div 20").alias("hunk_no"), F.col("k").alias("pos"), kind.alias("type"), "content", (F.col("k") + 1).alias("old_line"), (F.col("k") + 1).alias("new_line"))
     of = F.when(F.col("change_id") % 3 == 0, F.col("change_id") + 1).otherwise(F.col("change_id"))
@@ -195,7 +195,7 @@ _NORM = r"regexp_replace(regexp_replace(regexp_replace({}, '^\s+|\s+$', '', 'g')
 @query(
     rf"""WITH d AS (SELECT doc_id, doc_id//10 AS pr, string_split(coalesce(text,''), chr(10)) AS l FROM documents),
 x AS (SELECT doc_id, pr, unnest(range(0, len(l))) AS k, {_NORM.format("unnest(l)")} AS s FROM d),
-lines AS (SELECT doc_id, pr, CASE WHEN k%5=0 THEN 2 ELSE 1 END AS stage, k//20 AS hunk, k+1 AS n, s FROM x WHERE k%7<>3 UNION ALL SELECT doc_id, pr, 3, 0, k+1, s FROM x WHERE s <> ''),
+lines AS (SELECT doc_id, pr, CASE WHEN k%5=0 THEN 2 ELSE 1 END AS stage, k//20 AS hunk, k+1 AS n, s FROM x UNION ALL SELECT doc_id, pr, 3, 0, k+1, s FROM x WHERE s <> ''),
 seg AS (SELECT doc_id, pr, stage, hunk, list(s ORDER BY n) AS ss, list(n ORDER BY n) AS ns FROM lines GROUP BY ALL),
 f AS (SELECT a.doc_id AS finding_id, a.pr, list_filter(list_transform(b.l[a.doc_id%4+1 : a.doc_id%4+2], lambda x: {_NORM.format("x")}), lambda x: x <> '') AS t,
   CASE WHEN a.doc_id%11=0 THEN 5 ELSE 0 END AS given FROM d a JOIN d b ON b.doc_id = CASE WHEN a.doc_id%3=0 THEN a.doc_id+1 ELSE a.doc_id END),
