@@ -25,6 +25,21 @@ def test_rules(spark):
     assert context.selected_rules(c, []).count() == 0
 
 
+def test_rules_of_a_table_equal_rules_of_the_plan(spark):
+    rng = random.Random(21)
+    part = lambda: rng.choice(["src", "a", "b.c", "*", "**", "f?", "x{1,2}", "[ab]", "*.py", "m.py", "**/*.py", ".env"])
+    glob = lambda: "/".join(part() for _ in range(rng.randint(1, 3)))
+    globs = lambda: tuple(glob() for _ in range(rng.randint(0, 2)))
+    rules = [Rule(f"r{k:03d}", rng.choice(["global", "repo", "path", "path", "odd"]), rng.random() < 0.9, rng.choice([(), ("o/r",), ("o/s", "o/r")]), rng.choice([globs(), ("",), globs()]), globs()) for k in range(120)]
+    name = lambda: rng.choice(["src", "a", "b.c", "f1", "x1", "m.py", "b", ".env", "n.md"])
+    rows = [("o", rng.choice("rst"), k % 9, "/".join(name() for _ in range(rng.randint(1, 4)))) for k in range(60)] + [("o", "t", 50, None), ("o", "t", 51, "")]
+    c = spark.createDataFrame(rows, "owner string, repo string, pr long, path string")
+    for cap in (1000, 4):
+        want = {tuple(r) for r in context.selected_rules(c, rules, cap).collect()}
+        assert {tuple(r) for r in context.selected_from_many(c, rules, cap).collect()} == want and len(want) > 20
+    assert context.selected_from_many(c, []).count() == 0
+
+
 def test_first_fit(spark):
     d = spark.createDataFrame([("x", i, n) for i, n in enumerate([6, 5, 4, 20, 3, 5, 0])] + [("y", 0, 1)], "g string, ord long, tokens long")
     got = [(r.g, r.chunk) for r in context.first_fit(d, 10, "g").orderBy("g", "ord").collect()]

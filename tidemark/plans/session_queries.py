@@ -45,6 +45,13 @@ def selected_rules(spark: SparkSession, d: str) -> DataFrame:
     return context.selected_rules(fx.changes(fx.findings(spark, d)).withColumnRenamed("new_path", "path"), RULES)
 
 
+@query(SQL["selected_rules"])
+def selected_from_many(spark: SparkSession, d: str) -> DataFrame:
+    """JON-16 with 5,000 more rules, whose globs begin or end like those that match."""
+    more = [Rule(f"x-{k}", "path", paths=(f"src/m{k % 7}/n{k}/**/*.py", f"docs/{k}-*.md", f"**/no{k}.sql")) for k in range(5000)]
+    return context.selected_from_many(fx.changes(fx.findings(spark, d)).withColumnRenamed("new_path", "path"), [*RULES, *more])
+
+
 @query(
     f"""{F0}, {fx.CHANGED_SQL}, {fx.CHANGES_SQL} SELECT c.owner, c.repo, c.pr, c.new_path AS path, CAST(length(c.diff) AS INT) AS n_chars
 FROM fx_changes c SEMI JOIN fx_changed w ON w.owner = c.owner AND w.repo = c.repo AND w.pr = c.pr AND w.path = c.new_path"""
