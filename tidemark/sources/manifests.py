@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import basename, strip_ws
+from tidemark.sources.shared import written
 
 # Groups of optional dependencies that count as development ones.
 DEV_GROUPS = ("dev", "test", "testing", "lint", "docs")
@@ -215,10 +216,12 @@ def packages(files: DataFrame) -> DataFrame:
     """SRC-9: repo, name, kind, version, file_path, is_dev of all manifests among ``files`` (repo, path, content).
 
     The base name decides the format; a file that doesn't parse gives no rows; blank names go.
-    Every format is a projection of its own files, so nothing is shuffled but the line tables of
-    yarn, pnpm and go.mod, whose blocks need their order (by file).
+    The input is read once: its manifests are written to the shared folder by format, and each format is a projection
+    of its own folder. Nothing is shuffled but the line tables of yarn, pnpm and go.mod, whose blocks need
+    their order (by file).
     """
-    d = files.withColumn("form", manifest_format(F.col("path"))).where("form is not null and content is not null")
+    d = files.select("repo", "path", "content", manifest_format(F.col("path")).alias("form")).where("form is not null and content is not null")
+    d = written(d, "manifests", files_per_core=1, by=("form",))
     parts = {f: _json_packages(d.where(F.col("form") == f), f) for f in ("package_json", "package_lock", "pipfile_lock", "composer_json", "composer_lock")}
     by_line = {"requirements": _requirements, "yarn": _yarn, "pnpm": _pnpm, "dockerfile": _dockerfile, "go_mod": _go_mod}
     parts |= {f: g(d.where(F.col("form") == f)) for f, g in by_line.items()}

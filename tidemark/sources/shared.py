@@ -29,9 +29,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, files_per_core: int = 4) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and sizes are known from here on."""
+def written(df: DataFrame, name: str, files_per_core: int = 4, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here, and sizes are known from here on.
+
+    ``by``: columns of few values; a filter on them reads its folders only.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.coalesce(files_per_core * spark.sparkContext.defaultParallelism).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.coalesce(files_per_core * spark.sparkContext.defaultParallelism).write.partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
