@@ -236,3 +236,14 @@ def test_likeness_of_fingerprints_equals_slot_by_slot(spark):
         same = next((k for k, (x, y) in enumerate(zip(t, e, strict=False)) if x != y), min(len(t), len(e)))
         assert got[i].common_prefix == same
     assert d.count() == len(got) and F is not None
+
+
+def test_toxicity_ranks_held_out_texts_from_few_labels(spark):
+    """About 330 labelled texts, 45 of them toxic, some by mistake: held-out ones must still rank well."""
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    scored = toxicity.score_toxicity(spark.read.parquet(f"{d}/documents.parquet"), labels).where("held_out")
+    rows = scored.join(labels.select("doc_id", "toxic"), "doc_id").collect()
+    bad, good = [r.score for r in rows if r.toxic == 1], [r.score for r in rows if r.toxic == 0]
+    assert sum((b > g) + (b == g) / 2 for b in bad for g in good) >= 0.9 * len(bad) * len(good)
+    assert sum(b >= 0.5 for b in bad) >= 0.6 * len(bad) and sum(g >= 0.5 for g in good) <= 0.05 * len(good)
