@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, dense, fingerprint, neardup, pii, quality
+from tidemark.llm import common, dense, fingerprint, neardup, pii, quality, toxicity
 
 WORDS = [f"w{i:03d}" for i in range(200)]
 
@@ -247,3 +248,45 @@ def test_toxicity_ranks_held_out_texts_from_few_labels(spark):
     bad, good = [r.score for r in rows if r.toxic == 1], [r.score for r in rows if r.toxic == 0]
     assert sum((b > g) + (b == g) / 2 for b in bad for g in good) >= 0.9 * len(bad) * len(good)
     assert sum(b >= 0.5 for b in bad) >= 0.6 * len(bad) and sum(g >= 0.5 for g in good) <= 0.05 * len(good)
+
+
+#: Texts and the entities in them, marked by hand.
+MARKED = """ISBN 978-3-16-148410-0 and EAN 4006381333931 are no cards||
+cards 4845168114407329 and 4845 1681 1440 7329, not 9807915762804490||card 4845168114407329|card 4845 1681 1440 7329
+version 1.2.3.4, v10.20.30.40 at 161.17.88.162||ip 161.17.88.162
+price 1 234 567 890 or 12 345 678 901 EUR||
+llame al 612 345 678, +1 (017) 555-7713||phone 612 345 678|phone +1 (017) 555-7713
+Paul Street and Mark Up, then Leon éêé||
+Jean de La Fontaine and Maria De Luca met Fontaine||name Jean de La Fontaine|name Maria De Luca|name Fontaine
+Mr. Al Gore and Mrs. Van Damme||name Al Gore|name Van Damme
+Dr. Ada Stone-Hill, Stone-Hill's, STONE-HILL and Ada Stone||name Ada Stone-Hill|name Stone-Hill|name STONE-HILL|name Ada
+token = "04dbebab91ab85687d33eeaaf9ac699e1188f962", den.34@mail7.example.com||secret 04dbebab91ab85687d33eeaaf9ac699e1188f962|email den.34@mail7.example.com"""
+
+
+@pytest.mark.parametrize("line", MARKED.split("\n"))
+def test_detection_equals_hand_marked_entities(line):
+    text, marks = line.split("||")
+    assert [f"{kind} {text[a:b]}" for a, b, kind, _ in pii.entities(text)] == [m for m in marks.split("|") if m]
+
+
+def test_mentions_of_names_equal_one_alternation():
+    rng = random.Random(5)
+    given, family = ["Anna", "John", "Maria", "Peter"], ["Stone", "Hill", "Stones", "Smith", "Hill-Stone"]
+    for _ in range(300):
+        words = rng.choices([*given, *family, "Hill's", "met", "x@Stone.org", "STONE", "Dr. John Hill", "Mrs. Stone", "-Stone", "Stone@"], k=rng.randint(3, 14))
+        text = " ".join(words)
+        first = [m.span(3) for m in pii._TITLED.finditer(text)] + [m.span(1) for m in pii._KNOWN.finditer(text) if m[2] not in pii.TITLES]
+        forms = {f for a, b in first for x in (text[a:b], *text[a:b].split(" ")) for f in (x, x.upper()) if len(f) > 2}
+        plain = set(first)
+        if forms:
+            longest = "|".join(map(re.escape, sorted(forms, key=lambda f: (-len(f), f))))
+            plain |= {m.span() for m in re.finditer(rf"(?<![\w@.-])(?:{longest})(?=s?(?![\w@]))", text)}
+        got = [(a, b) for a, b, _, _ in pii._named(text, True)]
+        covered = lambda spans: {k for a, b in spans for k in range(a, b)}
+        assert covered(got) == covered(plain), text
+
+
+def test_many_names_take_time_by_length():
+    text = " ".join(f"Mr. {''.join(chr(97 + int(c)) for c in str(k)).capitalize()}son came." for k in range(10_000, 30_000))
+    began = time.time()
+    assert len(pii.entities(text)) == 20_000 and time.time() - began < 5

@@ -89,15 +89,27 @@ SPELLING = {
     "cyrillic": ("бвгдзклмнпрст", "аеиоу", {"m": "н", "f": "на", "n": "ли", "family": "рин"}),
     "greek": ("βγδζκλμνπρστφ", "αεηιο", {"m": "νος", "f": "να", "n": "λι", "family": "ρης"}),
 }
-_CAP = r"[^\W\d_a-z](?:['’]?[^\W\d_]+)"
-_PARTICLE = r"(?:(?:de|del|della|di|da|dos|das|do|du|des|la|las|los|le|van|von|der|den|ter|zu|zur|zum|al|bin|ibn) )"
+#: Capitals of the Latin, Greek and Cyrillic blocks.
+_UPPER = "".join(chr(c) for c in range(0x530) if chr(c).isupper())
+_CAP = rf"[{_UPPER}](?:['’]?[^\W\d_]+)"
+_PARTICLES = "de del della di da dos das do du des la las los le van von der den ter zu zur zum al bin ibn".split()
+_PARTICLE = rf"(?:(?:{'|'.join(_PARTICLES)}) )"
+#: Behind a given name, particles may be capitals: 'Jean de La Fontaine', 'Maria De Luca'.
+_INNER = rf"(?:(?:{'|'.join(f'[{w[0].upper()}{w[0]}]{w[1:]}' for w in _PARTICLES)}) )"
 _TITLED = re.compile(
     r"(?<!\w)(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")(\.? )"
-    rf"((?:[A-ZÀ-Þ]\. ){{0,2}}{_PARTICLE}{{0,3}}{_CAP}(?:[ -]{_CAP}){{0,2}}(?: {_PARTICLE}{{1,3}}{_CAP}(?:[ -]{_CAP}){{0,2}})?)"
+    rf"((?:[{_UPPER}]\. ){{0,2}}{_PARTICLE}{{0,3}}{_CAP}(?:[ -]{_CAP}){{0,2}}(?: {_INNER}{{1,3}}{_CAP}(?:[ -]{_CAP}){{0,2}})?)"
 )
 _GENDER = {name.lower(): g for g, names in GIVEN.items() for name in names}
 #: A listed given name and a family name behind it, without a title.
-_KNOWN = re.compile(rf"(?<![\w@.-])((?:{'|'.join(n for names in GIVEN.values() for n in names)}) (?:[A-ZÀ-Þ]\. )?{_PARTICLE}{{0,3}}{_CAP}(?:-{_CAP})?)(?![\w@])")
+_KNOWN = re.compile(rf"(?<![\w@.-])((?:{'|'.join(n for names in GIVEN.values() for n in names)}) (?:[{_UPPER}]\. )?{_INNER}{{0,3}}({_CAP}(?:-{_CAP})?))(?![\w@])")
+#: Capitalised words behind a given name that make a place, a heading or a new sentence of it, not a person.
+NOT_FAMILY = frozenset(
+    "Street Road Avenue Lane Square Boulevard Drive Court Bridge Park Island River Lake Mountain Airport Station Hospital School College University Church "
+    "Cathedral Museum Day Week Award Prize Straße Strasse Platz Allee Weg Brücke Kirche Schule Airlines Inc Ltd GmbH Corp Company Foundation Institute "
+    "Up Down In Out On Off At By For From With And Or The A An Is Was Are Were Has Had He She It They We You I This That Und Oder Der Die Das Ist War Hat Er Es Wir "
+    "Et Ou Il Elle Est Y El Ella Los Las".split()
+)
 _GIVENS = frozenset(n for names in GIVEN.values() for n in names)
 _TRIGGER = re.compile(r"[@\d]|(?i:passw|pwd|secret|token|key)|(?<!\w)(?:" + "|".join(TITLES) + r")\.? ")
 
@@ -224,11 +236,18 @@ def _name(key: bytes, text: str, syllables: int, role: str = "") -> str:
     """
     words = text.split(" ")
     return " ".join(
-        w if re.fullmatch(r".\.", w) or (w.islower() and re.fullmatch(_PARTICLE, w + " ")) else _name_part(key, w, role or ("family" if k == len(words) - 1 else "given"), syllables)
+        w if _stays(w, k, len(words)) else _name_part(key, w, role or ("family" if k == len(words) - 1 else "given"), syllables)
         for k, w in enumerate(words)
     )
 
 
+def _stays(word: str, place: int, size: int) -> bool:
+    """Initials stay, and particles before the last word (with a capital only behind the first)."""
+    if re.fullmatch(r".\.", word):
+        return True
+    return place < size - 1 and (word if place == 0 else word.lower()) in _PARTICLES
+
+
 def _name_part(key: bytes, word: str, role: str, syllables: int) -> str:
     script, out = _script(word), []
     consonants, vowels, endings = SPELLING[script]
@@ -311,26 +330,75 @@ def _phone_end(text: str) -> int:
     return max(cuts)[1]
 
 
+_NAME_WORD = re.compile(r"(?<![\w@.-])[^\W\d_](?:[\w'’-]*\w)?")
+_NAME_CUT = re.compile(r"[-'’]")
+
+
+def _longest(word: str, head: str, forms: dict[str, str]) -> str | None:
+    """The longest form that is ``head`` and a beginning of ``word``, cut at its end, before a last s, a hyphen or an apostrophe."""
+    cuts = [len(word), *(m.start() for m in _NAME_CUT.finditer(word))]
+    for end in sorted((e for c in cuts for e in (c, c - (word[:c][-1:] == "s"))), reverse=True):
+        if end > 0 and head + word[:end] in forms:
+            return head + word[:end]
+    return None
+
+
+#: What makes a number in dots a version, a number an amount, and groups of three digits a part of a longer number.
+_VERSION = re.compile(r"(?i)(?:\bversion|\brelease|\bbuild|\brev|\bsection|\bv|§)[.:]? ?$")
+_AMOUNT = re.compile(r"(?i)(?:[$€£¥]|\b(?:usd|eur|gbp|chf|price|preis|prix|precio|total|sum)\b:?) ?(?:\d{1,3}[ .\u00a0\u202f])?$")
+_MONEY = re.compile(r" ?(?:[$€£¥]|(?:USD|EUR|GBP|CHF)\b)")
+_THOUSANDS = re.compile(r"(?<![\d+(])\d{1,3}[ .\u00a0\u202f]$")
+_BOOK = re.compile(r"(?i)\b(?:isbn|ean|gtin|upc)(?:-1[03])?:? ?$")
+
+
+def _is_card(text: str, before: str) -> bool:
+    """A card number has a valid check digit, and is neither an article number nor one digit repeated."""
+    digits = "".join(c for c in text if c.isdigit())
+    book = len(digits) == 13 and digits[:3] in ("978", "979") or _BOOK.search(before)
+    return not book and len(set(digits)) > 1 and int(digits[-1]) == _luhn(digits[:-1])
+
+
 def _named(text: str, known: bool) -> list[tuple[int, int, str, str]]:
     """Names behind titles or with a listed given name, and all other mentions of them or of their parts in the text.
 
-    The last field is the role of a lone word: 'family' or 'given' ('': a whole name).
+    The last field is the role of a lone word: 'family' or 'given' ('': a whole name). Mentions are
+    looked up word by word, so the time grows with the text, not with the number of its names.
     """
-    first = [m.span(3) for m in _TITLED.finditer(text)] + ([m.span(1) for m in _KNOWN.finditer(text)] if known else [])
+    first = [m.span(3) for m in _TITLED.finditer(text)]
+    if known:
+        first += [m.span(1) for m in _KNOWN.finditer(text) if m[2] not in NOT_FAMILY and m[2] not in TITLES]
     if not first:
         return []
     forms: dict[str, str] = {}
     for a, b in first:
-        words = [w for w in text[a:b].split(" ") if not w.islower() and not re.fullmatch(r".\.", w)]
+        parts = text[a:b].split(" ")
+        words = [w for k, w in enumerate(parts) if not _stays(w, k, len(parts))]
         for name, role in ((text[a:b], ""), (words[-1], "family"), *((w, "given") for w in words[:-1])):
             for form in (name, name.upper()):
                 if len(form) > 2 and forms.get(form) != "family":  # a word that is both counts as a family name
                     forms[form] = role if " " not in form else ""
     found = [(a, b, "name", "" if " " in text[a:b] else "family") for a, b in first]
-    if forms:
-        longest = "|".join(map(re.escape, sorted(forms, key=lambda f: (-len(f), f))))
-        for m in re.finditer(rf"(?<![\w@.-])(?:{longest})(?=s?(?![\w@]))", text):
-            found.append((*m.span(), "name", forms[m[0]]))
+    sizes: dict[str, set[int]] = {}  # numbers of words of the longer forms, by their first word
+    for form in forms:
+        if " " in form and (m := _NAME_WORD.match(form)):
+            sizes.setdefault(m[0], set()).add(form.count(" ") + 1)
+    reach, end = max(map(len, forms)) + 1, 0
+    for m in _NAME_WORD.finditer(text):
+        if m.start() < end:
+            continue
+        form, at = None, m.start()
+        if m[0] in sizes:
+            near = text[at : at + reach + 2]
+            for n in sorted(sizes[m[0]], reverse=True):
+                head = " ".join(near.split(" ", n - 1)[: n - 1]) + " "
+                last = _NAME_WORD.match(text, at + len(head))
+                if last and (form := _longest(last[0], head, forms)):
+                    break
+        form = form or _longest(m[0], "", forms)
+        after = at + len(form) if form else 0
+        if form and text[after : after + 1] != "@" and text[after : after + 2] != "s@":
+            found.append((at, after, "name", forms[form]))
+            end = after
     return found
 
 
@@ -357,7 +425,13 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     if re.search(r"\d", text):
         at = 0
         while m := _NUMBER.search(text, at):
-            kind, (a, at) = m.lastgroup, m.span()
+            kind, last, (a, at) = m.lastgroup, at, m.span()
+            if kind == "card" and not _is_card(m[0], text[max(0, a - 12) : a]) or kind == "ip" and _VERSION.search(text, max(0, a - 16), a):
+                continue
+            if kind in ("phone", "bare", "trunk") and (_AMOUNT.search(text, max(0, a - 12), a) or _MONEY.match(text, at)):
+                continue
+            if kind == "phone" and a - 1 != last and _THOUSANDS.search(text, max(0, a - 5), a):  # the end of a long number in groups
+                continue
             if kind in ("intl", "trunk", "bare", "phone"):
                 if kind in ("trunk", "phone") and (day := _DATE.match(text, a)):
                     at = day.end()
@@ -399,8 +473,19 @@ class Settings:
         return {k: hashlib.blake2b(f"{key}|{k}|{salts.get(k, 0)}".encode(), digest_size=32).digest() for k in KINDS}
 
 
-def entity_table(docs: DataFrame, key: str, settings: Settings = Settings()) -> DataFrame:
-    """Distinct kind, entity (canonical), surrogate (canonical) over all documents.
+def mentions(docs: DataFrame) -> DataFrame:
+    """Distinct kind, text, role of the entities of all documents: one pass, combined in the tasks before the shuffle."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = {(kind, t[a:b], role) for t in pdf["text"].tolist() for a, b, kind, role in entities(t)}
+            yield pd.DataFrame(list(rows), columns=["kind", "text", "role"], dtype="object")
+
+    return with_text(docs).select("text").mapInPandas(run, "kind string, text string, role string").distinct()
+
+
+def entity_table(found: DataFrame, key: str, settings: Settings = Settings()) -> DataFrame:
+    """Distinct kind, entity (canonical), surrogate (canonical) of :func:`mentions`.
 
     Names are given by their parts: what must stay distinct is each given and each family name.
     """
@@ -416,23 +501,24 @@ def entity_table(docs: DataFrame, key: str, settings: Settings = Settings()) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = {x for t in pdf["text"].tolist() for a, b, kind, role in entities(t) for x in parts(kind, t[a:b], role)}
+            rows = {x for k, t, r in zip(pdf["kind"], pdf["text"], pdf["role"], strict=True) for x in parts(k, t, r)}
             yield pd.DataFrame(list(rows), columns=["kind", "entity", "surrogate"], dtype="object")
 
-    return with_text(docs).select("text").mapInPandas(run, "kind string, entity string, surrogate string").distinct()
+    return found.mapInPandas(run, "kind string, entity string, surrogate string").distinct()
 
 
 def settle(docs: DataFrame, key: str, rounds: int = 8) -> Settings:
     """Settings under which no two entities of the corpus share a surrogate.
 
+    The documents are read once, for their distinct mentions; each round of keys works on those.
     Counts collisions over all entities in Spark; only counts and the names of kinds come back. Kinds
     with large domains are also keyed anew, twice at most, while some surrogate is itself an entity
     of the corpus; what is left after that (short e-mails of a huge corpus) is replaced too, so
     distinctness holds all the same.
     """
-    settings = Settings()
+    found, settings = materialize(mentions(docs), "op7-mentions", waves=1), Settings()
     for attempt in range(rounds):
-        table = materialize(entity_table(docs, key, settings), "op7-entities", waves=1)
+        table = materialize(entity_table(found, key, settings), "op7-entities", waves=1)
         names = table.where("kind like 'name:%'").count()
         if syllables_for(names) > settings.syllables:
             settings = replace(settings, syllables=syllables_for(names))
@@ -443,6 +529,7 @@ def settle(docs: DataFrame, key: str, rounds: int = 8) -> Settings:
         bad = sorted({r.kind.partition(":")[0] for r in (twice.union(taken) if attempt < 2 else twice).distinct().collect()})
         discard(table)
         if not bad:
+            discard(found)
             return settings
         salts = dict(settings.salts)
         settings = replace(settings, salts=tuple(sorted((salts | {k: salts.get(k, 0) + 1 for k in bad}).items())))
