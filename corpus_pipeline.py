@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, neardup, packing, pii, toxicity
-from tidemark.llm.common import materialize
+from tidemark.llm.common import discard, materialize, small_batches
 from tidemark.llm.queries import EXAMPLE_KEY, tokenizer_path
 
 
@@ -21,7 +21,7 @@ BATCH_ROWS = 1000
 
 
 def stage(f):
-    """A stage function; stages return lazily, so the batch size is set for the session."""
+    """A stage function; stages return lazily, so the batch size is set for the session (:func:`run` sets it back)."""
 
     @functools.wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -95,8 +95,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", waves=16)
+    """All stages over documents; a stage's table is deleted when the next one is written."""
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, apply in STAGES:
+        with small_batches(spark, BATCH_ROWS):
+            docs = materialize(apply(spark, docs, sf_dir), f"pipeline-{name}", waves=16)
+        if written is not None:
+            discard(written)
+        written = docs
     return docs
