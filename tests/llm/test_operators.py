@@ -120,10 +120,14 @@ def test_top_k_equals_brute_force(spark):
     bad = [(200, None), (250, [1.0] * 7 + [float("nan")]), (300, [1.0] * 7 + [None]), (50, data[50][1])]
     df = spark.createDataFrame(data + bad, "vec_id long, embedding array<float>")
     got = topk.top_k(df, query_tile=2, shard_rows=20, fan_in=2).collect()
-    x = {i: np.floor(256 * np.array(v, dtype=np.float32).astype(float)) for i, v in data}
-    for q in (0, 50, 100):
-        best = sorted(((-int(x[q] @ x[c]), c) for c in x if c != q))[:5]
-        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(c, -s) for s, c in best]
+    # the row that repeats 50 is a candidate and a query of its own
+    x = [(i, np.floor(256 * np.array(v, dtype=np.float32).astype(float))) for i, v in [*data, bad[-1]]]
+    want = []
+    for at, (q, v) in enumerate(x):
+        if q % 50 == 0:
+            best = sorted((-int(v @ w), c) for k, (c, w) in enumerate(x) if k != at)[:5]
+            want += [(q, rank, c, -s) for rank, (s, c) in enumerate(best, 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want) and len(want) == 20
     assert {r.query_id for r in got} == {0, 50, 100}
 
 

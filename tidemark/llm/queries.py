@@ -86,15 +86,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP4_SQL = """
 WITH v AS (
-  SELECT vec_id, min(x) AS x FROM (
-    SELECT vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS x FROM embeddings
-    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-      AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = len(embedding))
-  GROUP BY vec_id),
-i AS (SELECT vec_id, list_transform(x, lambda e: floor(256 * e)) AS x, len(x) AS dim FROM v),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
-  FROM i q JOIN i c ON c.dim = q.dim AND c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+  SELECT vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS x, row_number() OVER () AS row FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = len(embedding)),
+i AS (SELECT vec_id, row, list_transform(x, lambda e: floor(256 * e)) AS x, len(x) AS dim FROM v),
+s AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+  FROM i q JOIN i c ON c.dim = q.dim AND c.row <> q.row WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
