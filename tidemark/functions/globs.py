@@ -3,89 +3,66 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+#: A token of a dialect: what it looks like, and its regular expression (or a function of the match).
+Token = tuple[str, str | Callable[[re.Match], str]]
 
-def _char_class(pattern: str, i: int, negators: str = "!^") -> tuple[str, int] | None:
-    """The class that opens at ``i`` as a regex and the index behind it; None if it never closes."""
-    j = i + 1
-    if j < len(pattern) and pattern[j] in negators:
-        j += 1
-    if j < len(pattern) and pattern[j] == "]":
-        j += 1
-    while j < len(pattern) and pattern[j] != "]":
-        j += 1
-    if j >= len(pattern):
-        return None
-    body = pattern[i + 1 : j].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
-    if body[:1] in tuple(negators):
-        body = "^" + body[1:]
-    return f"[{body}]", j + 1
+
+def _set_token(negators: str) -> Token:
+    """``[...]``; a ``]`` right behind the bracket (or the negator) is a member, and a set that never closes is literal."""
+
+    def regex(m: re.Match) -> str:
+        inverted, members = re.fullmatch(rf"\[([{re.escape(negators)}]?)(.*)\]", m[0], re.S).groups()
+        return f"[{'^' if inverted else ''}{re.sub(r'[^\w-]', r'\\\g<0>', members)}]"
+
+    return rf"\[[{re.escape(negators)}]?+\]?+[^\]]*+\]", regex
+
+
+def _translate(pattern: str, tokens: list[Token]) -> str:
+    """``pattern`` with each token replaced, the first that fits; all other characters stand for themselves."""
+    shapes = re.compile("|".join(f"({shape})" for shape, _ in tokens) + r"|[\s\S]")
+
+    def one(m: re.Match) -> str:
+        if m.lastindex is None:
+            return re.escape(m[0])
+        regex = tokens[m.lastindex - 1][1]
+        return regex if isinstance(regex, str) else regex(m)
+
+    return shapes.sub(one, pattern)
 
 
 def fnmatch_regex(pattern: str) -> str:
-    """``*`` and ``?`` cross slashes, ``[!x]`` negates, an unterminated ``[`` is literal."""
-    out, i = "", 0
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "*":
-            out, i = out + ".*", i + 1
-        elif c == "?":
-            out, i = out + ".", i + 1
-        elif c == "[" and (got := _char_class(pattern, i, "!")):
-            out, i = out + got[0], got[1]
-        else:
-            out, i = out + re.escape(c), i + 1
-    return f"(?s)^{out}$"
+    """``*`` and ``?`` cross slashes, ``[!x]`` and ``[^x]`` negate, an unterminated ``[`` is literal."""
+    return f"(?s)^{_translate(pattern, [(r'\*+', '.*'), (r'\?', '.'), _set_token('!^')])}$"
 
 
 def doublestar_regex(pattern: str) -> str:
     """``**`` between slashes spans any depth, none included; ``*`` and ``?`` stay in a segment; ``{a,b}`` chooses."""
-    out, i, depth = "", 0, 0
-    while i < len(pattern):
-        c = pattern[i]
-        if pattern.startswith("**/", i) and (i == 0 or pattern[i - 1] == "/"):
-            out, i = out + "(?:[^/]*/)*", i + 3
-        elif pattern[i:] == "/**":
-            out, i = out + "(?:/.*)?", i + 3
-        elif pattern[i:] == "**" and i == 0:
-            out, i = out + ".*", i + 2
-        elif c == "*":
-            while pattern.startswith("*", i):
-                i += 1
-            out += "[^/]*"
-        elif c == "?":
-            out, i = out + "[^/]", i + 1
-        elif c == "[" and (got := _char_class(pattern, i)):
-            out, i = out + got[0], got[1]
-        elif c == "{":
-            out, i, depth = out + "(?:", i + 1, depth + 1
-        elif c == "}" and depth:
-            out, i, depth = out + ")", i + 1, depth - 1
-        elif c == "," and depth:
-            out, i = out + "|", i + 1
-        elif c == "\\" and i + 1 < len(pattern):
-            out, i = out + re.escape(pattern[i + 1]), i + 2
-        else:
-            out, i = out + re.escape(c), i + 1
-    return f"(?s)^{out}$"
+    open_braces: list[int] = []
+
+    def brace(m: re.Match) -> str:
+        if m[0] == "{":
+            open_braces.append(m.start())
+            return "(?:"
+        if not open_braces:
+            return re.escape(m[0])
+        if m[0] == ",":
+            return "|"
+        open_braces.pop()
+        return ")"
+
+    tokens: list[Token] = [
+        (r"(?<![^/])\*\*/", "(?:[^/]*/)*"), (r"/\*\*\Z", "(?:/.*)?"), (r"\A\*\*\Z", ".*"), (r"\*+", "[^/]*"), (r"\?", "[^/]"), _set_token("!^"),
+        (r"[{},]", brace), (r"\\[\s\S]", lambda m: re.escape(m[0][1])),
+    ]
+    return f"(?s)^{_translate(pattern, tokens)}$"
 
 
 def index_glob_regex(pattern: str) -> str:
     """Shell glob within one segment; ``dir/*`` also matches everything below ``dir/``."""
-    out, i = "", 0
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "*":
-            out, i = out + "[^/]*", i + 1
-        elif c == "?":
-            out, i = out + "[^/]", i + 1
-        elif c == "[" and (got := _char_class(pattern, i, "^")):
-            out, i = out + got[0], got[1]
-        else:
-            out, i = out + re.escape(c), i + 1
-    if pattern.endswith("/*"):
-        return f"(?s)^(?:{out}|{re.escape(pattern[:-1])}.*)$"
-    return f"(?s)^{out}$"
+    out = _translate(pattern, [(r"\*", "[^/]*"), (r"\?", "[^/]"), _set_token("^")])
+    return f"(?s)^(?:{out}|{re.escape(pattern[:-1])}.*)$" if pattern.endswith("/*") else f"(?s)^{out}$"
 
 
 def any_of(regexes: list[str]) -> str:
