@@ -1,6 +1,8 @@
 """Diffs, reports, SARIF and the streaming job on small cases."""
 
 import json
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -105,3 +107,35 @@ def test_govulncheck(spark):
     roots = spark.createDataFrame([(1, "/root", "m"), (2, "/root", None), (3, "/", "m")], "report_id long, root string, module string")
     got = sorted((r.report_id, r.rule_id, r.path, r.line, r.description, r.evidence) for r in reports.govulncheck_findings(reports.json_messages(streams), roots).collect())
     assert got == [(i, *r) for i in (1, 2) for r in (("V1", "a.go", 3, "bad", "p.F"), ("V2", "b.go", 4, "V2", "p.F"))]
+
+
+def plain_hunk_lines(text):
+    file_no = hunk_no = 0
+    for pos, line in enumerate(text.split("\n")):
+        if re.match(r"diff --git a/.+ b/.+$", line):
+            file_no, hunk_no = file_no + 1, 0
+        elif file_no and re.match(r"@@ -\d", line):
+            hunk_no += 1
+            m = re.match(r"@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@", line)
+            old, new = (int(m[1]), int(m[2])) if m else (None, None)
+        elif hunk_no and not line.startswith("\\ "):
+            kind = {"+": "added", "-": "deleted"}.get(line[:1], "context")
+            at = [n if kind != other else None for n, other in ((old, "added"), (new, "deleted"))]
+            yield file_no, hunk_no, pos, kind, line[1:] if line[:1] in ("+", "-", " ") and line else line, *at
+            if m:
+                old, new = old + (kind != "added"), new + (kind != "deleted")
+
+
+def test_diffs_of_any_form_are_cut_within_their_row(spark):
+    rng = random.Random(3)
+    some = ["diff --git a/x b/y", "@@ -3,4 +7 @@ f", "@@ -1", "@@ -9 +2,2 @@", "+a", "-b", " c", "", "+++i", "\\ No newline", "index 1..2", "text"]
+    texts = ["\n".join(rng.choices(some, k=rng.randrange(40))) for _ in range(150)]
+    texts.append("diff --git a/x b/y\n@@ -1 +1 @@\n" + "\n".join(rng.choices(["+a", "-b", " c"], k=1000)))  # many chunks
+    d = spark.createDataFrame(list(enumerate(texts)), "diff_id long, text string")
+    got = {(r.diff_id, r.file_no, r.hunk_no, r.pos, r.type, r.content, r.old_line, r.new_line) for r in diffs.hunk_lines(d).collect()}
+    assert got == {(k, *row) for k, t in enumerate(texts) for row in plain_hunk_lines(t)}
+    counts = {(r.diff_id, r.file_no): (r.insertions, r.deletions) for r in diffs.file_changes(d).collect()}
+    assert sum(a for a, _ in counts.values()) == sum(r[4] == "added" for r in got) and sum(b for _, b in counts.values()) == sum(r[4] == "deleted" for r in got)
+    for table in (diffs.file_changes(d), diffs.hunk_lines(d)):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Exchange", "Sort", "Window", "Aggregate")), plan
