@@ -198,3 +198,27 @@ def indexed_search(files: DataFrame, index: DataFrame, queries: DataFrame, per_f
     found = written(read.select("query_id", "repo", "path", F.explode_outer(hits).alias("h")).where("h is not null").select("query_id", "repo", "path", "h.line_no", "h.line"), "search-hits")
     totals = found.groupBy("query_id").agg(F.count("*").alias("n_total"))
     return found.join(totals.hint("merge"), "query_id").withColumn("truncated", F.col("n_total") >= shown)
+
+
+#: Letters of the piece by which a pattern is looked up in :func:`search_many`; a shorter pattern is its own piece.
+PIECE = 8
+
+
+def search_many(files: DataFrame, queries: DataFrame, per_file: int = 100, shown: int = 100) -> DataFrame:
+    """FLT-15 for any number of patterns in one pass over the texts; takes and returns what :func:`indexed_search` does.
+
+    The index is one of the patterns: each is looked up by its first letters among those of every place of every line, and
+    compared with the line where they meet. Texts are neither shuffled nor stored; what is shuffled are the hits. The table of
+    patterns, small next to the texts, goes to all executors.
+    """
+    asked = queries.where(F.coalesce("pattern", F.lit("")) != "").select("query_id", F.lower("pattern").alias("pattern")).distinct()
+    asked = written(asked.withColumn("piece", F.substring("pattern", 1, PIECE)), "patterns")
+    lengths = sorted(r[0] for r in asked.select(F.length("piece")).distinct().collect())
+    pieces = F.array_distinct(F.concat(F.array().cast("array<string>"), *[_grams(F.lower("line"), n) for n in lengths]))
+    at = lines(files).select("repo", "path", "line_no", "line", F.explode_outer(pieces).alias("piece")).where("piece is not null")
+    hits = at.join(F.broadcast(asked), "piece").where(F.lower("line").contains(F.col("pattern"))).drop("piece", "pattern")
+    w = Window.partitionBy("query_id", "repo", "path").orderBy("line_no")
+    found = hits.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= per_file).select("query_id", "repo", "path", "line_no", "line")
+    found = written(found, "search-hits")
+    totals = found.groupBy("query_id").agg(F.count("*").alias("n_total"))
+    return found.join(totals.hint("merge"), "query_id").withColumn("truncated", F.col("n_total") >= shown)
