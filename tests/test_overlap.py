@@ -46,3 +46,19 @@ def test_pairs_are_not_shuffled(spark, name):
     """Only change sets are; what the joins yield is the result."""
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.split("SortMergeJoin")[0] and plan.count("SortMergeJoin") == 2, plan
+
+
+def test_recent_overlaps_deal_a_large_repository(spark, monkeypatch):
+    """Every part of a repository meets the latest change sets, and no group holds more than its part."""
+    monkeypatch.setattr(overlap, "PART", 10, raising=False)
+    rng = random.Random(8)
+    prs = [("xxxy"[k % 4], k, rng.choice(["fix a", "fix b c", "new", ""]), rng.sample("pqrst", rng.randrange(3)), []) for k in range(120)]
+    df = spark.createDataFrame(prs, "repo string, number long, title string, paths array<string>, symbols array<string>")
+    late = {r: set(sorted((n for s, n, *_ in prs if s == r), reverse=True)[:4]) for r in "xy"}
+    want = {}
+    for (r, a, b), v in plain_pairs(prs, 0.4).items():
+        want |= {(r, c, d): v for c, d in ((a, b), (b, a)) if d in late[r]}
+    out = overlap.recent_overlaps(df, limit=3)
+    got = out.collect()
+    assert len(got) == len(want) and {(r.repo, r.a, r.b): (r.title_similarity, tuple(r.shared_paths)) for r in got} == want
+    assert "repo#" in (plan := out._jdf.queryExecution().executedPlan().toString()) and "part#" in plan
