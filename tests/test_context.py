@@ -249,3 +249,13 @@ def test_context_sections_equal_a_plain_version(spark):
         frame([("r", *i) for i in set(imports)], "repo string, source_path string, target_path string"), frame([("r", p, *v) for p, v in dirs.items()], "repo string, path string, summary string, n_files int"), tokens=900,
     )
     assert sorted((r.pr, r.section, r.path, r.n_bytes) for r in got.collect()) == sorted(want)
+
+
+def test_sections_take_many_groups_as_one_stream(spark):
+    """A Python call for each change set took 10 ms each; a null key is a group too, and limits begin anew."""
+    files = spark.createDataFrame(
+        [("o", "r", pr, f"f{k}.go", k, "x" * 100) for pr in (1, 2, None) for k in range(5)], "owner string, repo string, pr long, path string, ord int, content string"
+    )
+    got = context.source_excerpts(files.orderBy(F.desc("ord")), 600)
+    assert sorted((r.pr or 0, r.path) for r in got.collect()) == [(pr, f"f{k}.go") for pr in (0, 1, 2) for k in range(3)]
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -172,6 +173,36 @@ class Rooms:
         return i - self.size
 
 
+def in_order(items: DataFrame, by: Sequence[str], order: Sequence[str], inputs: Sequence[str], begin: Callable[[], Callable], added: dict[str, str], keep: Sequence[str] | None = None) -> DataFrame:
+    """Rows whose fate depends on all before them in their group: ``keep`` (default all) and what a step adds to each.
+
+    ``begin()`` gives a group's step; it is called with ``inputs`` of the group's rows in ``order`` (nulls last) and
+    returns the values of ``added`` (integer, long or string by name), or None for a row that goes. Groups lie one after another in a task's sorted
+    stream: a small group costs its rows only, and of a large one a batch is in memory.
+    """
+    keep = list(keep or items.columns)
+    kinds = [{"integer": pa.int32(), "long": pa.int64(), "string": pa.string()}[t] for t in added.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = step = None
+        for batch in batches:
+            keys, values = (zip(*[batch.column(c).to_pylist() for c in cols], strict=True) for cols in (by, inputs))
+            out = []
+            for k, x in zip(keys, values, strict=True):
+                if step is None or k != key:
+                    key, step = k, begin()
+                out.append(step(*x))
+            got = batch.select(keep).filter(pa.array([x is not None for x in out], pa.bool_()))
+            more = [pa.array([x[i] for x in out if x is not None], t) for i, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*got.columns, *more], names=[*keep, *added])
+
+    schema = T.StructType([items.schema[c] for c in keep])
+    for c, t in added.items():
+        schema = schema.add(c, t)
+    rows = items.select(*dict.fromkeys([*by, *order, *inputs, *keep])).repartition(*by).sortWithinPartitions(*by, *[F.col(c).asc_nulls_last() for c in order])
+    return rows.mapInArrow(run, schema)
+
+
 def first_fit(items: DataFrame, limit: int, *by: str) -> DataFrame:
     """WIN-3: adds ``chunk`` (from 0): the first chunk of the group with room, in order of ``ord``.
 
@@ -264,27 +295,29 @@ def source_excerpts(files: DataFrame, budget: int) -> DataFrame:
     d = files.where(empty(F.col("content")) != "").select(*KEY, "path", "ord", head.alias("head"), F.octet_length("content").alias("size"))
     d = d.withColumn("fence", F.octet_length(F.concat("path", F.regexp_replace(extension(F.col("path")), r"^\.", ""))) + 18)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = 0, []
-        pdf = pdf.sort_values("ord", kind="stable")
-        for r in pdf.itertuples(index=False):
+    def begin() -> Callable:
+        used = 0
+
+        def step(head: bytes, size: int, fence: int) -> tuple[str, int] | None:
+            nonlocal used
             room = budget - used - HEADER_ROOM
             if used >= budget or room <= 0:
-                continue
-            text = bytes(r.head)
-            if r.size > room:
+                return None
+            text = bytes(head)
+            if size > room:
                 text = text[:room]
                 at = text.rfind(b"\n")
                 text = (text[:at] if at > 0 else text) + CUT.encode()
-            n = len(text) + r.fence
-            if text.strip() and used + n <= budget:
-                used += n
-                out.append((r.owner, r.repo, r.pr, r.path, text.decode("utf-8", "replace"), n, r.ord))
-        return pd.DataFrame(out, columns=[*KEY, "path", "excerpt", "n_bytes", "ord"])
-
-    own = {f.name: f for f in d.schema.fields}
-    schema = T.StructType([*[own[c] for c in (*KEY, "path")], T.StructField("excerpt", T.StringType()), T.StructField("n_bytes", T.LongType()), own["ord"]])
-    return d.groupBy(*KEY).applyInPandas(run, schema)
+            n = len(text) + fence
+            if not text.strip() or used + n > budget:
+                return None
+            used += n
+            return text.decode("utf-8", "replace"), n
+
+        return step
+
+    got = in_order(d, KEY, ["ord"], ["head", "size", "fence"], begin, {"excerpt": "string", "n_bytes": "long"}, keep=[*KEY, "path", "ord"])
+    return got.select(*KEY, "path", "excerpt", "n_bytes", "ord")
 
 
 def _within(lines: DataFrame, budget: int, header: int) -> DataFrame:

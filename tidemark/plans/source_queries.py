@@ -11,6 +11,7 @@ from tidemark.plans.review_queries import F0
 from tidemark.sources import code, manifests, snapshot
 from tidemark.sources import fixtures as rx
 from tidemark.sources import code_fixtures as fx
+from tidemark.sources.shared import written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -208,9 +209,10 @@ def import_excerpts(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def context_sections(spark: SparkSession, d: str) -> DataFrame:
     """WIN-6: context of each change set of Go files (a file and its importers share a set); its source part depends on all before it, so tests compare with a plain version."""
-    files = fx.code_files(spark, d).where("path like 'go/%'").withColumn("owner", F.lit("acme"))
+    files = written(fx.code_files(spark, d).where("path like 'go/%'"), "go-files").withColumn("owner", F.lit("acme"))
     number = F.regexp_extract("path", r"m(\d+)", 1).cast("long")
-    edges = imports.raw_imports(files).select("repo", F.col("path").alias("source_path"), F.concat(F.lit("go/m"), F.regexp_extract("import", r"m(\d+)$", 1), F.lit("/main.go")).alias("target_path")).distinct()
+    edges = imports.raw_imports(files).select("repo", F.col("path").alias("source_path"), F.concat(F.lit("go/m"), F.regexp_extract("import", r"m(\d+)$", 1), F.lit("/main.go")).alias("target_path"))
+    edges = written(edges.distinct(), "go-imports")
     inbound = edges.groupBy("repo", F.col("target_path").alias("path")).agg(F.count("*").alias("n_inbound"))
     changed = files.select("owner", "repo", F.floor(number / 64).alias("pr"), "path", number.alias("ord")).join(inbound, ["repo", "path"], "left").fillna(0, ["n_inbound"])
     blast = changed.select(*KEY, F.col("path").alias("target_path")).join(edges, ["repo", "target_path"]).groupBy(*KEY, F.col("source_path").alias("path"))
