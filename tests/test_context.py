@@ -259,3 +259,16 @@ def test_sections_take_many_groups_as_one_stream(spark):
     got = context.source_excerpts(files.orderBy(F.desc("ord")), 600)
     assert sorted((r.pr or 0, r.path) for r in got.collect()) == [(pr, f"f{k}.go") for pr in (0, 1, 2) for k in range(3)]
     assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+
+
+def test_excerpts_and_chunks_take_many_groups_as_one_stream(spark):
+    rows = [("o", "r", pr, k // 2, k, f"m{k // 2}.go", f"p{k}.go", "x" * 100) for pr in (1, None, 3) for k in range(6)]
+    c = spark.createDataFrame(rows, "owner string, repo string, pr long, importer_ord int, ord int, importer string, path string, content string")
+    got = context.import_excerpts(c.orderBy(F.desc("ord")), budget=450, max_files=2)
+    assert sorted((r.pr or 0, r.path, r.rank) for r in got.where("pr is not null").collect()) == [(pr, f"p{k}.go", k + 1) for pr in (1, 3) for k in range(2)]
+    items = c.select("pr", "ord", F.lit(3).cast("long").alias("tokens"), F.lit(3).cast("long").alias("n_bytes"))
+    chunks, fit = context.first_fit(items, 6, "pr"), context.fitting_items(items, 10, "pr")
+    assert sorted((r.pr or 0, r.ord, r.chunk) for r in chunks.collect()) == [(pr, k, k // 2) for pr in (0, 1, 3) for k in range(6)]
+    assert sorted((r.pr or 0, r.ord) for r in fit.collect()) == [(pr, k) for pr in (0, 1, 3) for k in range(3)]
+    for d in (got, chunks, fit):
+        assert "FlatMapGroups" not in d._jdf.queryExecution().toString()

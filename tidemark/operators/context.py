@@ -6,7 +6,6 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -211,20 +210,20 @@ def first_fit(items: DataFrame, limit: int, *by: str) -> DataFrame:
     set's files) is one task's work: their sizes and numbers only, n log n steps; groups run in parallel.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        rooms, chunk = Rooms(), []
-        for n in pdf["tokens"].tolist():
-            at = rooms.first(n) if 0 < limit and n <= limit else None
+    def begin() -> Callable:
+        rooms = Rooms()
+
+        def step(n: int | None) -> tuple[int]:
+            fits = n is not None and 0 < limit and n <= limit
+            at = rooms.first(n) if fits else None
             if at is None:
-                at = rooms.add(limit - n if 0 < limit and n <= limit else -1)
-            else:
-                rooms.take(at, n)
-            chunk.append(at)
-        return pdf.assign(chunk=pd.array(chunk, dtype="int32"))
+                return (rooms.add(limit - n if fits else -1),)
+            rooms.take(at, n)
+            return (at,)
+
+        return step
 
-    schema = T.StructType([*items.schema.fields, T.StructField("chunk", T.IntegerType())])
-    return items.groupBy(*by).applyInPandas(run, schema)
+    return in_order(items, by, ["ord"], ["tokens"], begin, {"chunk": "integer"})
 
 
 def fitting_items(items: DataFrame, budget: int, *by: str) -> DataFrame:
@@ -233,15 +232,19 @@ def fitting_items(items: DataFrame, budget: int, *by: str) -> DataFrame:
     As for :func:`first_fit`, a group is one task's work.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        used, keep = 0, []
-        for n in pdf["n_bytes"].tolist():
-            keep.append(used + n <= budget)
-            used += n if keep[-1] else 0
-        return pdf[keep]
+    def begin() -> Callable:
+        used = 0
+
+        def step(n: int | None) -> tuple | None:
+            nonlocal used
+            if n is None or used + n > budget:
+                return None
+            used += n
+            return ()
+
+        return step
 
-    return items.groupBy(*by).applyInPandas(run, items.schema)
+    return in_order(items, by, ["ord"], ["n_bytes"], begin, {})
 
 
 #: What an excerpt ends with where it was cut.
@@ -267,20 +270,21 @@ def import_excerpts(candidates: DataFrame, max_files: int = 8, per_file: int = 1
     first = Window.partitionBy(*KEY, "path").orderBy("importer_ord", "ord")
     d = d.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["importer_ord", "ord"], kind="stable")
-        used, ranks, full, taken = 0, [], None, 0
-        for importer, n in zip(pdf["importer_ord"].tolist(), pdf["n_bytes"].tolist(), strict=True):
-            ok = taken < max_files and used < budget and importer != full and used + n <= budget
-            if not ok and taken < max_files and importer != full:
+    def begin() -> Callable:
+        used, full, taken = 0, (), 0
+
+        def step(importer: int, n: int | None) -> tuple[int] | None:
+            nonlocal used, full, taken
+            if taken < max_files and used < budget and importer != full and n is not None and used + n <= budget:
+                used, taken = used + n, taken + 1
+                return (taken,)
+            if taken < max_files and importer != full:
                 full = importer
-            used, taken = (used + n, taken + 1) if ok else (used, taken)
-            ranks.append(taken if ok else 0)
-        return pdf.assign(rank=pd.array(ranks, dtype="int32"))[pd.array(ranks) > 0]
+            return None
+
+        return step
 
-    sizes = d.select(*KEY, "importer_ord", "ord", "path", "n_bytes")
-    schema = T.StructType([*sizes.schema.fields, T.StructField("rank", T.IntegerType())])
-    kept = sizes.groupBy(*KEY).applyInPandas(run, schema).select(*KEY, "path", "rank")
+    kept = in_order(d, KEY, ["importer_ord", "ord"], ["importer_ord", "n_bytes"], begin, {"rank": "integer"}, keep=[*KEY, "path"])
     return d.join(kept.hint("merge"), [*KEY, "path"]).select(*KEY, "path", "importer", "excerpt", "n_bytes", "rank")
 
 
