@@ -145,3 +145,11 @@ def test_package_edges_read_the_texts_once(spark):
     assert sorted(map(tuple, got.collect())) == [("r", "a", "b"), ("r", "p/q", "p/r"), ("r", "w", "v")]
     plan = plan_of(got).split("== Initial Plan ==")[0]
     assert len(re.findall(r"\bGenerate\b", plan)) == 1 and plan.count("SortMergeJoin") == 1, plan
+
+
+def test_package_nodes_read_the_texts_once(spark):
+    d = table(spark, {"a/x.go": 'import "m.io/b"\nimport "m.io/c"\n', "w/a.ts": "import '../v'\n"})
+    got = imports.package_nodes(imports.package_edges(d, spark.createDataFrame([("r", "m.io")], "repo string, module string")), most=3)
+    assert sorted((r.package, r["rank"], r.n_packages) for r in got.collect()) == [("a", 1, 5), ("b", 2, 5), ("c", 3, 5)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 2 * 5, plan  # once on either side, which share the exchange
