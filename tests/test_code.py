@@ -153,3 +153,12 @@ def test_package_nodes_read_the_texts_once(spark):
     assert sorted((r.package, r["rank"], r.n_packages) for r in got.collect()) == [("a", 1, 5), ("b", 2, 5), ("c", 3, 5)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") <= 2 * 5, plan  # once on either side, which share the exchange
+
+
+def test_lines_without_a_comment_are_not_matched_for_one(spark):
+    d = table(spark, {"a.js": "const a = 1 // no\nconst b = 'x//y'\nclass C {\r\n", "a.py": "def f(a):\n  x = '#' # c\nclass D: #\n"})
+    lines = code.code_lines(d)
+    assert sorted((r.path, r.line) for r in lines.where("line <> ''").collect()) == sorted(
+        [("a.js", "const a = 1 "), ("a.js", "const b = 'x//y'"), ("a.js", "class C {\r"), ("a.py", "def f(a):"), ("a.py", "  x = '#' "), ("a.py", "class D: ")]
+    )
+    assert re.search(r"Contains\(l#\d+\.raw", plan_of(lines)), plan_of(lines)

@@ -128,7 +128,9 @@ def code_lines(files: DataFrame) -> DataFrame:
     d = d.select("repo", "path", "lang", F.posexplode_outer(F.when(go, in_blocks).otherwise(plain)).alias("pos", "l")).where("pos is not null")
     d = d.select("repo", "path", "lang", "pos", "l.raw", "l.within")
     hashed = F.col("lang").isin("python", "ruby")
-    line = F.when(go, F.col("raw")).when(hashed, F.regexp_replace("raw", _HASH, "$1")).otherwise(F.regexp_replace("raw", _SLASHES, "$1"))
+    # most lines have no comment, which a plain search tells
+    noted = F.when(hashed, F.col("raw").contains("#")).otherwise(F.col("raw").contains("//"))
+    line = F.when(go | ~noted, F.col("raw")).when(hashed, F.regexp_replace("raw", _HASH, "$1")).otherwise(F.regexp_replace("raw", _SLASHES, "$1"))
     d = d.withColumn("line", line)
     found = {}
     for lang, rules in RULES.items():
