@@ -221,10 +221,10 @@ def _imported(lang: str) -> Column:
     if lang in ("javascript", "typescript"):
         bare = F.regexp_replace(line, rf"{_DQ}|{_SQ}|{_BQ}", " ")
         static, dynamic = r"""^\s*import\b[^'"\n]*['"]([^'"]+)['"]""", r"""import\s*\(\s*['"]([^'"]+)['"]\s*\)"""
-        return F.concat(
-            F.coalesce(F.when(bare.contains("import"), one(static)), none), F.coalesce(F.when(bare.contains("import"), one(dynamic)), none),
-            F.coalesce(F.when(bare.contains("require"), one(r"""require\s*\(\s*['"]([^'"]+)['"]\s*\)""")), none),
-        )
+        both = F.concat(F.coalesce(one(static), none), F.coalesce(one(dynamic), none))
+        has = lambda word: line.contains(word) & bare.contains(word)
+        required = one(r"""require\s*\(\s*['"]([^'"]+)['"]\s*\)""")
+        return F.concat(F.when(has("import"), both).otherwise(none), F.coalesce(F.when(has("require"), required), none))
     if lang == "rust":
         clause = strip_ws(F.regexp_extract(line, _USE, 1))
         return F.when(line.rlike(_USE), F.filter(F.transform(_rust_paths(clause), _trimmed_path), lambda p: p != ""))
@@ -249,9 +249,13 @@ def imports(lines: DataFrame) -> DataFrame:
     """
     script = F.col("lang").isin("javascript", "typescript") & F.col("s.kind").isin("constant", "variable", "interface", "type", "enum")
     likely = (F.col("within") == "import") | F.col("line").rlike(r"import|require|include|use\s")
+    # a line begins its raw line, so this loses none; the others are left before they are matched
+    lines = lines.where((F.col("within") == "import") | F.col("raw").rlike(r"import|require|include|use\s"))
     d = lines.withColumn("s", F.when(likely, F.get(_declared(), 0))).withColumn("likely", likely)
     open_ = F.col("likely") & (F.col("s").isNull() | script | (F.col("lang") == "rust"))
     got = F.when(open_, _by_language({lang: _imported(lang) for lang in RULES}))
     d = d.select("repo", "path", "lang", "pos", F.posexplode_outer(got).alias("k", "import")).where("k is not null")
-    first = d.groupBy("repo", "path", "lang", "import").agg(F.min(F.struct("pos", "k")).alias("at"))
-    return first.select("repo", "path", "lang", F.col("at.pos").alias("ord"), F.col("at.k").alias("nth"), "import")
+    # one number, which a hash aggregation takes; a struct is sorted
+    at = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("k")
+    first = d.groupBy("repo", "path", "lang", "import").agg(F.min(at).alias("at"))
+    return first.select("repo", "path", "lang", F.shiftright("at", 32).cast("int").alias("ord"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("nth"), "import")
