@@ -132,3 +132,13 @@ def test_closed_sessions_equal_the_batch(spark, tmp_path):
     batch = sessions.usage_totals(sessions.records(spark.read.text(str(folder))))
     got = spark.read.parquet(str(tmp_path / "out")).select(*batch.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect())) and got.count() == 30
+
+
+def test_a_session_call_gets_one_column_of_facts(spark):
+    """Twelve columns were converted for each session's call."""
+    recs = spark.readStream.format("rate").load().selectExpr(
+        "'s' AS session", "timestamp AS event_time", "'tool_call' AS type", "'f' AS filePath", "true AS ok",
+        "named_struct('prompt_tokens', 1L, 'completion_tokens', 1L, 'cache_read_tokens', 1L, 'cache_write_tokens', 1L) AS usage",
+    )
+    plan = closed_sessions(recs)._jdf.queryExecution().analyzed().toString()
+    assert "AS facts" in plan and "AS prompt_tokens#" not in plan.split("AS facts")[1].split("\n")[0], plan

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,12 +53,14 @@ def closed_sessions(recs: DataFrame, gap: str = "1 hour", delay: str = "10 minut
     spark = recs.sparkSession
     wait = int(spark.sql(f"SELECT cast(interval {gap} AS interval day to second) AS i").first().i.total_seconds() * 1000)
     is_a = lambda t: (F.col("type") == t).cast("long")
-    tokens = [F.coalesce(F.when(F.col("type") == "llm_response", F.col(f"usage.{c}")), F.lit(0)).alias(c) for c in COUNTS[:4]]
-    rows = recs.where("event_time is not null").withWatermark("event_time", delay).select(
-        "session", "event_time", F.unix_millis("event_time").alias("at"), *tokens, F.coalesce(is_a("llm_error"), F.lit(0)).alias("llm_failures"),
-        F.coalesce(is_a("tool_call"), F.lit(0)).alias("tool_calls"), F.coalesce(is_a("tool_call") * (~F.col("ok")).cast("long"), F.lit(0)).alias("tool_failures"),
-        F.coalesce(F.when(F.col("filePath") != "", F.xxhash64("filePath")), F.lit(0)).alias("file"), F.coalesce(is_a("session_end"), F.lit(0)).alias("ends"),
-    )
+    tokens = [F.when(F.col("type") == "llm_response", F.col(f"usage.{c}")) for c in COUNTS[:4]]
+    facts = [
+        *tokens, is_a("llm_error"), is_a("tool_call"), is_a("tool_call") * (~F.col("ok")).cast("long"),
+        F.when(F.col("filePath") != "", F.xxhash64("filePath")), is_a("session_end"), F.unix_millis("event_time"),
+    ]
+    # one array: a session's call converts its columns one by one, which takes longer than its rows
+    facts = F.array(*[F.coalesce(c, F.lit(0).cast("long")) for c in facts]).alias("facts")
+    rows = recs.where("event_time is not null").withWatermark("event_time", delay).select("session", "event_time", facts)
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         def row(sums, files, closed):
@@ -72,10 +75,11 @@ def closed_sessions(recs: DataFrame, gap: str = "1 hour", delay: str = "10 minut
         sums, files, last, over = state.get if state.exists else ([0] * len(COUNTS), [], 0, False)
         sums, files, ends = list(sums), set(files), False
         for b in batches:
-            if not over:
-                sums = [s + int(b[c].sum()) for s, c in zip(sums, COUNTS, strict=True)]
-                files.update(int(x) for x in b["file"].unique() if x)
-                last, ends = max(last, int(b["at"].max())), ends or bool(b["ends"].any())
+            if not over and len(b):
+                *counts, file, end, at = np.stack(b["facts"].to_numpy()).T
+                sums = [s + int(c.sum()) for s, c in zip(sums, counts, strict=True)]
+                files.update(x for x in file.tolist() if x)
+                last, ends = max(last, int(at.max())), ends or bool(end.any())
         if ends:
             yield row(sums, files, True)
             sums, files, over = [0] * len(COUNTS), set(), True
