@@ -83,6 +83,15 @@ def test_small_functions(spark):
     u = one(spark, T.usage_tokens, '{"usage": {"prompt_tokens": 3, "completion_tokens": 4, "prompt_tokens_details": {"cached_tokens": 2}}}')
     assert (u.total, u.cache_read) == (7, 2)
     assert one(spark, T.usage_tokens, "{}") is None
+    u = one(spark, T.usage_tokens, '{"usage": {"total\\u005ftokens": 9, "prompt_tokens": 3}}')  # a name may be written with escapes
+    assert (u.total, u.prompt) == (9, 3)
+
+
+def test_usage_parses_a_reply_only_for_names_in_it(spark):
+    d = spark.createDataFrame([('{"usage": {"prompt_tokens": 3}}',)], "body string").select(T.usage_tokens(F.col("body")).alias("u"))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "Contains(body" in plan and "Contains(body" in plan.split("get_json_object")[0], plan
+    assert d.first().u.prompt == 3
 
 
 def test_excerpts_of_wide_characters_equal_their_sql(spark, tmp_path):
