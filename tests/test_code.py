@@ -170,3 +170,23 @@ def test_first_places_of_imports_need_no_sort(spark):
     got = code.imports(code.code_lines(d))
     assert sorted((r.path, r.ord, r.nth, r["import"]) for r in got.collect()) == [("a.py", 0, 0, "b"), ("a.py", 1, 0, "a"), ("a.rs", 1, 0, "a::b"), ("a.rs", 1, 1, "a::c")]
     assert "SortAggregate" not in plan_of(got), plan_of(got)
+
+
+def test_manifests_become_packages_in_one_pass(spark):
+    """The manifests were written by format and read eleven times; yarn, pnpm and go.mod were shuffled by line; JSON was parsed for the plan's own test of each array's size."""
+    files = {
+        "yarn.lock": 'a@1:\r\n  x "1"\n  version "2"\r\n  version "3"\nb@1:\nversion "9"\n', "pnpm-lock.yaml": "no:\n  /n@1:\npackages: # x\n  /a@1:\nend:\n  /n@1:\npackages:\n  /b/2:\n",
+        "go.mod": "require a v1\nb v1\nrequire (\n c v2\n) // end\nd v3\nrequire e v4\n", "Pipfile.lock": '{"default": {"a": {"version": "1"}}, "develop": [1]}', "package.json": '{"dependencies": {"a": NaN, "b": "1"}}',
+    }
+    got = manifests.packages(table(spark, files))
+    assert sorted((r.file_path, r.name, r.version) for r in got.collect()) == sorted(
+        [("yarn.lock", "a", "2"), ("yarn.lock", "b", "9"), ("pnpm-lock.yaml", "a", "1"), ("pnpm-lock.yaml", "b", "2"), ("go.mod", "a", "v1"), ("go.mod", "c", "v2"), ("go.mod", "e", "v4"), ("Pipfile.lock", "a", "1")]
+    )
+    plan = plan_of(got)
+    assert "Exchange" not in plan and "Union" not in plan and plan.count("from_json") == 5 and len(re.findall(r"\bGenerate\b", plan)) == 1, plan
+
+
+def test_toml_manifests_with_other_types_are_left_out(spark):
+    """A version that is a number ended the job."""
+    files = {"uv.lock": '[[package]]\nname = "a"\nversion = 1\n', "pyproject.toml": "[project]\ndependencies = [1]\n", "poetry.lock": '[[package]]\nname = "b"\nversion = "2"\n'}
+    assert [(r.name, r.version) for r in manifests.packages(table(spark, files)).collect()] == [("b", "2")]

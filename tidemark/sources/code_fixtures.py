@@ -5,6 +5,8 @@ They stand in for repositories; the SQL beside each query says what must be foun
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,14 +25,18 @@ PATH_SQL = """CASE {o} % 9 WHEN 0 THEN 'pkg/m'||{o}||'.py' WHEN 1 THEN 'web/m'||
   WHEN 7 THEN 'cc/m'||{o}||'.hpp' ELSE 'include/inc/m'||{o}||'.h' END"""
 
 
-def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, p, n = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
-    s = lambda c: c.cast("string")
-    x = 36 * (p % 400) + F.when(o % 9 == 2, (o + 8) % 36).otherwise(o % 36)
-    return table(spark, sf_dir, "lineitem").select(
-        o.alias("o"), n.alias("n"), F.concat(F.lit("f"), s(p), F.lit("_"), s(n)).alias("nm"), x.alias("x"), F.concat(F.lit("r"), s(o % 4)).alias("repo"),
-        F.concat(s(n), F.lit("."), s(p % 10), F.lit(".0")).alias("v"), (n % 2 == 0).alias("dev"),
-    )
+def _repo(order: Column) -> Column:
+    return F.concat(F.lit("r"), (order % 4).cast("string"))
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repo, o, l: the orders, their lines as numbers, so no text is shuffled.
+
+    ``o`` is the minimum of the key, not the key: a filter on what is made from it then runs once an order, not once a line.
+    """
+    o = F.col("l_orderkey")
+    r = table(spark, sf_dir, "lineitem").groupBy(o).agg(F.min(o).alias("o"), F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"))).alias("l"))
+    return r.select(_repo(F.col("o")).alias("repo"), "o", "l")
 
 
 def _by(number: Column, cases: list[Column]) -> Column:
@@ -40,12 +46,17 @@ def _by(number: Column, cases: list[Column]) -> Column:
     return out
 
 
-def _fill(template: str) -> Column:
-    """A template with %N (name), %X (imported order), %V (version), %P (x % 5) and %O (order)."""
-    c = F.lit(template)
-    for mark, col in (("%N", F.col("nm")), ("%X", F.col("x").cast("string")), ("%V", F.col("v")), ("%P", (F.col("x") % 5).cast("string"))):
-        c = F.replace(c, F.lit(mark), col)
-    return c
+def _fill(template: str, x: Column) -> Column:
+    """A template with %N (name), %X (imported order), %V (version) and %P (imported order % 5) for a line ``x`` of order ``o``."""
+    o, p, n = F.col("o"), x["p"], x["n"]
+    s = lambda c: c.cast("string")
+    to = 36 * (p % 400) + F.when(o % 9 == 2, (o + 8) % 36).otherwise(o % 36)
+    marks = {
+        "%N": [F.lit("f"), s(p), F.lit("_"), s(n)], "%X": [s(to)], "%P": [s(to % 5)],
+        "%V": [s(n), F.lit("."), s(p % 10), F.lit(".0")],
+    }
+    parts = [c for piece in re.split("(%[NXPV])", template) if piece for c in marks.get(piece, [F.lit(piece)])]
+    return F.concat(*parts)
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +70,8 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         f'\t"{GO_MODULE}/go/m%X"', "use crate::m%X::{A, b::{self, C}};", "import com.acme.p%P.M%X;", '#include "m%X.hpp"', '#include "inc/m%X.h"',
     ]
     lang = F.col("o") % 9
-    r = _rows(spark, sf_dir).withColumn("imp", _by(lang, [_fill(t) for t in includes])).withColumn("dec", _by(lang, [_fill(t) for t in declares]))
-    g = r.groupBy("repo", "o").agg(F.array_sort(F.collect_list(F.struct("n", "imp", "dec"))).alias("l"))
+    texts = lambda i, d: F.transform("l", lambda x: F.struct(x["n"].alias("n"), _fill(i, x).alias("imp"), _fill(d, x).alias("dec")))
+    g = _orders(spark, sf_dir).withColumn("l", F.array_sort(_by(lang, [texts(*t) for t in zip(includes, declares, strict=True)])))
     block = lambda f: F.array_join(F.transform("l", lambda x: x[f]), "\n")
     go = F.concat(F.lit("package p\n\nimport (\n"), block("imp"), F.lit("\n)\n\n/* func No(\n) */\nvar s = `\nfunc No()\n`\n"), block("dec"), F.lit("\n"))
     content = F.when(F.col("o") % 9 == 4, go).otherwise(F.concat(block("imp"), F.lit("\n"), block("dec"), F.lit("\n")))
@@ -68,7 +79,8 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def go_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, sf_dir).select("repo").distinct().withColumn("module", F.lit(GO_MODULE))
+    o = F.col("l_orderkey")
+    return table(spark, sf_dir, "lineitem").select(_repo(o).alias("repo")).distinct().withColumn("module", F.lit(GO_MODULE))
 
 
 #: Path, entry of the main block, entry of the development block and the text around both, by format.
@@ -92,18 +104,21 @@ MANIFESTS = [
 def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """repo, path, content: one manifest an order, its format by the order's number, odd lines in the main block."""
     form = F.col("o") % len(MANIFESTS)
-    r = _rows(spark, sf_dir)
-    main, dev = (_by(form, [_fill(m[k]) for m in MANIFESTS]) for k in (1, 2))
-    r = r.withColumn("entry", F.when(F.col("dev"), dev).otherwise(main))
-    g = r.groupBy("repo", "o").agg(F.array_sort(F.collect_list(F.struct("n", "entry", "dev"))).alias("l"))
-    joint = _by(form, [F.lit(m[4]) for m in MANIFESTS])
-    body = lambda keep: F.array_join(F.transform(F.filter("l", keep), lambda x: x["entry"]), "\u0001")
-    parts = {"<AB>": body(lambda x: F.lit(True)), "<A>": body(lambda x: ~x["dev"]), "<B>": body(lambda x: x["dev"])}
-    content = _by(form, [F.lit(m[3]) for m in MANIFESTS])
-    content = F.when(form == 9, F.when(F.exists("l", lambda x: ~x["dev"]), content).otherwise(F.replace(content, F.lit(", <A>"), F.lit("")))).otherwise(content)
-    for mark, text in parts.items():
-        content = F.replace(content, F.lit(mark), text)
-    content = F.replace(content, F.lit("\u0001"), joint)
+    def entries(main: str, dev: str) -> Column:
+        even = lambda x: x["n"] % 2 == 0
+        return F.transform("l", lambda x: F.struct(x["n"].alias("n"), F.when(even(x), _fill(dev, x)).otherwise(_fill(main, x)).alias("entry"), even(x).alias("dev")))
+
+    g = _orders(spark, sf_dir).withColumn("l", F.array_sort(_by(form, [entries(m[1], m[2]) for m in MANIFESTS])))
+    kept = {"<AB>": lambda x: F.lit(True), "<A>": lambda x: ~x["dev"], "<B>": lambda x: x["dev"]}
+
+    def text(template: str, joint: str) -> Column:
+        block = lambda mark: F.array_join(F.transform(F.filter("l", kept[mark]), lambda x: x["entry"]), joint)
+        return F.concat(*[block(piece) if piece in kept else F.lit(piece) for piece in re.split("(<AB?>|<B>)", template) if piece])
+
+    texts = [text(m[3], m[4]) for m in MANIFESTS]
+    some = F.exists("l", lambda x: ~x["dev"])
+    texts[9] = F.when(some, texts[9]).otherwise(text(MANIFESTS[9][3].replace(", <A>", ""), MANIFESTS[9][4]))
+    content = _by(form, texts)
     base = _by(form, [F.lit(m[0]) for m in MANIFESTS])
     path = F.concat(F.lit("d"), F.col("o").cast("string"), F.when((form == 4) & (F.col("o") % 2 == 0), "/requirements-dev.txt").otherwise(F.concat(F.lit("/"), base)))
     return g.select("repo", path.alias("path"), content.alias("content"))
