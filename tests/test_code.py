@@ -190,3 +190,12 @@ def test_toml_manifests_with_other_types_are_left_out(spark):
     """A version that is a number ended the job."""
     files = {"uv.lock": '[[package]]\nname = "a"\nversion = 1\n', "pyproject.toml": "[project]\ndependencies = [1]\n", "poetry.lock": '[[package]]\nname = "b"\nversion = "2"\n'}
     assert [(r.name, r.version) for r in manifests.packages(table(spark, files)).collect()] == [("b", "2")]
+
+
+def test_package_edges_deal_a_repository_into_parts(spark):
+    """A repository's imports met their module in one task, and stayed there for its edges, packages and ranks."""
+    d = table(spark, {**{f"a{k}/x.go": f'import "m.io/b{k}"\n' for k in range(40)}, "a/x.py": "from ..r import z\n", "a/x.rs": "use z;\n"})
+    got = imports.package_edges(d, spark.createDataFrame([("r", "m.io"), ("q", "m")], "repo string, module string"))
+    assert sorted((r.src, r.dst) for r in got.collect()) == sorted([*[(f"a{k}", f"b{k}") for k in range(40)], ("a", "r")])
+    plan = plan_of(got)
+    assert re.search(r"hashpartitioning\(repo#\d+, part#\d+", plan) and re.search(r"hashpartitioning\(repo#\d+, src#\d+, dst#\d+", plan), plan
