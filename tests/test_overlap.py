@@ -41,6 +41,36 @@ def test_overlaps_equal_a_plain_search(spark, monkeypatch, block, threshold):
     assert {(r.repo, r.a, r.b): (r.title_similarity, r.n_shared) for r in got} == {k: (s, len(p)) for k, (s, p) in want.items()}
 
 
+def test_sets_of_many_ids_equal_a_plain_search(spark):
+    """More words and paths than a set has bits for, and classes of so many paths that each kind of their number is needed."""
+    rng = random.Random(11)
+    words, paths = [f"w{k}" for k in range(700)], [f"p{k}" for k in range(700)]
+    some = lambda of, n: [of[int(len(of) * rng.random() ** 2)] for _ in range(n)]
+    prs = [(rng.choice("xy"), k, " ".join(some(words, rng.randrange(30))), some(paths, rng.randrange(25)), some(["s1", "s2", *paths[:40]], k % 2)) for k in range(160)]
+    prs += [("x", 200 + k, " ".join(some(words, 5)), [f"copied/{j}" for j in range((70, 4300)[k % 2])] + some(paths, 3), []) for k in range(6)]
+    df = spark.createDataFrame(prs, "repo string, number long, title string, paths array<string>, symbols array<string>")
+    for d, rows in ((df, prs), (df.drop("symbols"), [(*p[:4], []) for p in prs])):
+        got = overlap.overlap_pairs(d).collect()
+        want = plain_pairs(rows, 0.4)
+        assert len(got) == len(want) and {(r.repo, r.a, r.b): (r.title_similarity, r.n_shared) for r in got} == {k: (s, len(p)) for k, (s, p) in want.items()}
+    assert max(len(p) for _, p in want.values()) >= 4300
+
+
+@pytest.mark.parametrize("name", ["gated_pairs", "overlap_candidates"])
+def test_pairs_are_counted_in_one_compiled_loop(spark, name):
+    """No step between a join and the result falls out of the compiled stage, which would write a wide row for each pair."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    lines = plan.split("\n")
+    joins = [k for k, x in enumerate(lines) if "SortMergeJoin" in x]
+    assert len(joins) == 2
+    for k in joins:
+        assert "*(" in lines[k] and "*(" in lines[k - 1] and "Project" in lines[k - 1], plan
+
+
 @pytest.mark.parametrize("name", ["gated_pairs", "overlap_by_symbols", "overlap_candidates"])
 def test_pairs_are_not_shuffled(spark, name):
     """Only change sets are; what the joins yield is the result."""
