@@ -71,6 +71,18 @@ def test_pairs_are_counted_in_one_compiled_loop(spark, name):
         assert "*(" in lines[k] and "*(" in lines[k - 1] and "Project" in lines[k - 1], plan
 
 
+def test_what_is_shuffled_grows_with_the_memberships(spark, monkeypatch):
+    """A hot path has as many blocks as its share of the work asks for, not one more for each so many change sets."""
+    monkeypatch.setattr(overlap, "BLOCK", 2)
+    monkeypatch.setattr(overlap, "PAIR_TASKS", 1)
+    sent = []
+    kind = type(spark.range(1))
+    monkeypatch.setattr(kind, "repartition", lambda df, *a, own=kind.repartition: (sent.append(df), own(df, *a))[1])
+    df = spark.createDataFrame([("x", k, f"t{k}", ["hot", f"p{k // 2}"]) for k in range(300)], "repo string, number long, title string, paths array<string>")
+    assert overlap.overlap_pairs(df).count() == 300 * 299 // 2
+    assert sum(x.count() for x in sent) <= 600 * 12
+
+
 @pytest.mark.parametrize("name", ["gated_pairs", "overlap_by_symbols", "overlap_candidates"])
 def test_pairs_are_not_shuffled(spark, name):
     """Only change sets are; what the joins yield is the result."""
