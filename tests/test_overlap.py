@@ -1,5 +1,6 @@
 """Pairs of overlapping change sets against a plain search over all pairs."""
 
+import json
 import random
 
 import pytest
@@ -104,3 +105,33 @@ def test_recent_overlaps_deal_a_large_repository(spark, monkeypatch):
     got = out.collect()
     assert len(got) == len(want) and {(r.repo, r.a, r.b): (r.title_similarity, tuple(r.shared_paths)) for r in got} == want
     assert "repo#" in (plan := out._jdf.queryExecution().executedPlan().toString()) and "part#" in plan
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_lists_hold_each_pair_once(spark, monkeypatch, block):
+    """One list, so one reply, answers for many pairs, however the change sets of a path are dealt."""
+    monkeypatch.setattr(overlap, "BLOCK", block)
+    monkeypatch.setattr(overlap, "PAIR_TASKS", 1)
+    rng = random.Random(3)
+    prs = [(rng.choice("xy"), k, rng.choice(["fix a b", "fix b c d", "new", ""]), ["hot", *rng.sample("pqrstuvw", rng.randrange(4))][k % 3 // 2 :], []) for k in range(120)]
+    df = spark.createDataFrame(prs, "repo string, number long, title string, paths array<string>, symbols array<string>")
+    lists = [r for r in overlap.overlap_lists(df).collect() if r.others]
+    pairs = [(r.repo, r.a, b) for r in lists for b in r.others]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == set(plain_pairs(prs, 0.4))
+    assert len(lists) < len(pairs) / (3 if block == 1024 else 1)
+
+
+def test_best_verdicts_are_those_of_all(spark):
+    rng = random.Random(6)
+    kinds = ["both", "merge_conflict", "duplicate_effort", "none", "odd", None]
+    replies = []
+    for a in range(6):
+        said = [{"pr_number": rng.choice([*range(10, 30), 99, None]), "kind": rng.choice(kinds), "confidence": rng.choice([0.2, 0.6, 0.7, 0.95, 1.7, None])} for _ in range(60)]
+        replies.append(("x", a % 3, list(range(10, 30)), f"<think>{{no}}</think>```json\n{json.dumps({'overlaps': said})}\n```"))
+    replies += [("x", 7, [10], "nothing"), ("x", 8, [], None), ("x", 9, [10], '{"overlaps": []}')]
+    d = spark.createDataFrame(replies, "repo string, a long, others array<long>, reply string")
+    asked = overlap.parsed_verdicts(d).where("array_contains(others, pr_number)").withColumnRenamed("pr_number", "b")
+    cols = ["repo", "a", "b", "kind", "confidence"]
+    want = overlap.ranked_overlaps(overlap.kept_verdicts(asked), cap=5).select(*cols, "rank").collect()
+    got = overlap.ranked_overlaps(overlap.best_verdicts(d, cap=5), cap=5).select(*cols, "rank").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) == 15
