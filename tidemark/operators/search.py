@@ -208,17 +208,28 @@ def search_many(files: DataFrame, queries: DataFrame, per_file: int = 100, shown
     """FLT-15 for any number of patterns in one pass over the texts; takes and returns what :func:`indexed_search` does.
 
     The index is one of the patterns: each is looked up by its first letters among those of every place of every line, and
-    compared with the line where they meet. Texts are neither shuffled nor stored; what is shuffled are the hits. The table of
-    patterns, small next to the texts, goes to all executors.
+    compared with the line where they meet. Texts are not shuffled, and of the hits only those in files of more than ``per_file`` lines are.
+    Queries of equal pattern share their hits, which are stored once; a query's own are only rows of the result. The tables of
+    patterns and queries, small next to the texts, go to all executors.
     """
-    asked = queries.where(F.coalesce("pattern", F.lit("")) != "").select("query_id", F.lower("pattern").alias("pattern")).distinct()
-    asked = written(asked.withColumn("piece", F.substring("pattern", 1, PIECE)), "patterns")
+    named = queries.where(F.coalesce("pattern", F.lit("")) != "").select("query_id", F.lower("pattern").alias("pattern"))
+    asked = named.groupBy("pattern").agg(F.collect_set("query_id").alias("query_ids")).withColumn("piece", F.substring("pattern", 1, PIECE))
+    asked = written(asked.withColumn("id", F.monotonically_increasing_id()), "patterns")
     lengths = sorted(r[0] for r in asked.select(F.length("piece")).distinct().collect())
     pieces = F.array_distinct(F.concat(F.array().cast("array<string>"), *[_grams(F.lower("line"), n) for n in lengths]))
-    at = lines(files).select("repo", "path", "line_no", "line", F.explode_outer(pieces).alias("piece")).where("piece is not null")
-    hits = at.join(F.broadcast(asked), "piece").where(F.lower("line").contains(F.col("pattern"))).drop("piece", "pattern")
-    w = Window.partitionBy("query_id", "repo", "path").orderBy("line_no")
-    found = hits.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= per_file).select("query_id", "repo", "path", "line_no", "line")
-    found = written(found, "search-hits")
-    totals = found.groupBy("query_id").agg(F.count("*").alias("n_total"))
-    return found.join(totals.hint("merge"), "query_id").withColumn("truncated", F.col("n_total") >= shown)
+
+    def hits(some: DataFrame) -> DataFrame:
+        at = lines(some).select("repo", "path", "line_no", "line", F.explode_outer(pieces).alias("piece")).where("piece is not null")
+        at = at.join(F.broadcast(asked.select("piece", "id", "pattern")), "piece")
+        return at.where(F.lower("line").contains(F.col("pattern"))).select("id", "repo", "path", "line_no", "line")
+
+    content = empty(F.col("content"))
+    is_long = F.length(content) - F.length(F.replace(content, F.lit("\n"), F.lit(""))) >= per_file
+    w = Window.partitionBy("id", "repo", "path").orderBy("line_no")
+    first = hits(files.where(is_long)).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= per_file).drop("nth")
+    found = written(hits(files.where(~is_long)).unionByName(first), "search-hits")
+    counts = found.groupBy("id").agg(F.count("*").alias("n"))
+    answers = asked.select("id", F.explode("query_ids").alias("query_id")).join(counts.hint("merge"), "id")
+    answers = answers.select("id", "query_id", F.sum("n").over(Window.partitionBy("query_id")).alias("n_total"))
+    out = found.join(F.broadcast(answers), "id").select("query_id", "repo", "path", "line_no", "line", "n_total")
+    return out.withColumn("truncated", F.col("n_total") >= shown)
